@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, jpeg, langid, mixing, toxicity
+from . import html_extract, jpeg, langid, mixing, pii, simhash, suffix_dedup, toxicity
 from .common import table
 
 
@@ -18,6 +18,18 @@ def op4_language(spark, sf_dir):
     return langid.language_of(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark, sf_dir):
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark, sf_dir):
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
+def op8_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.toxicity_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,6 +38,6 @@ def op10_media_columns(spark, sf_dir):
     return jpeg.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_html_text, op4_language, op9_toxicity, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_html_text, op4_language, op6_pii, op7_simhash, op8_suffix_dedup, op9_toxicity, op10_media_columns)}
 
 ORACLE_SQL = {"op1_mix_sources": mixing.SQL}
