@@ -37,31 +37,40 @@ def digests(text: str) -> str:
     return f"array_distinct(transform(filter(split({text}, r'{PIECE}'), p -> p <> ''), p -> xxhash64(p)))"
 
 
-def _cell(d: str, table: str, cells: int, turn: int) -> str:
-    return f"pmod(shiftrightunsigned({d}, {turn} + 9 * {table}), {cells})"
+def _cells(d: str, cells: int = CELLS, turn: int = 0) -> str:
+    """SQL: the fields a, b, e: the cell of a digest in each of the three tables, numbered on."""
+    one = [f"cast(pmod(shiftrightunsigned({d}, {turn + 9 * k}), {cells}) as int) + {k * cells}" for k in range(3)]
+    return f"'a', {one[0]}, 'b', {one[1]}, 'e', {one[2]}"
 
 
-def sketch(signed: str, cells: int = CELLS, turn: int = 0) -> str:
-    """SQL: the 3 x ``cells`` cells of an array of struct(d, h, s): digest, its check hash, its sign."""
-    return f"""transform(sequence(0, {3 * cells - 1}), i -> aggregate(
-        filter({signed}, x -> {_cell('x.d', f'(i div {cells})', cells, turn)} = i % {cells}),
+def signed(d: str, sign: int) -> str:
+    """SQL: digests as struct(d, h, s, a, b, e): digest, check hash, sign, cells."""
+    return f"transform({d}, d -> named_struct('d', d, 'h', xxhash64(d), 's', {sign}, {_cells('d')}))"
+
+
+def sketch(elements: str, cells: int = CELLS) -> str:
+    """SQL: the 3 x ``cells`` cells (count, xor of digests, xor of check hashes) of an array of such structs."""
+    return f"""transform(sequence(0, {3 * cells - 1}), i -> aggregate(filter({elements}, x -> x.a = i or x.b = i or x.e = i),
         named_struct('n', 0, 'k', 0L, 'c', 0L), (a, x) -> named_struct('n', a.n + x.s, 'k', a.k ^ x.d, 'c', a.c ^ x.h)))"""
 
 
 def peeled(table: str, cells: int = CELLS, turn: int = 0) -> str:
     """SQL: how many digests peeling recovers from the cells, or null if it gets stuck."""
-    less = f"""transform(st.t, (c, i) -> aggregate(filter(p, y -> {_cell('y.k', f'(i div {cells})', cells, turn)} = i % {cells}),
+    less = """transform(st.t, (c, i) -> aggregate(filter(p, y -> y.a = i or y.b = i or y.e = i),
         c, (a, y) -> named_struct('n', a.n - y.n, 'k', a.k ^ y.k, 'c', a.c ^ y.c)))"""
     pure = "array_distinct(filter(st.t, x -> abs(x.n) = 1 and xxhash64(x.k) = x.c))"
-    state = f"""aggregate(sequence(1, {ROUNDS * cells // CELLS}), named_struct('t', {table}, 'r', 0),
-        (st, round) -> transform(array({pure}), p -> if(size(p) = 0, st, named_struct('t', {less}, 'r', st.r + size(p))))[0])"""
+    pure = f"transform({pure}, x -> named_struct('n', x.n, 'k', x.k, 'c', x.c, {_cells('x.k', cells, turn)}))"
+    state = f"""aggregate(sequence(1, {ROUNDS * cells // CELLS}), named_struct('t', {table}, 'r', 0, 'end', false), (st, round) -> if(st.end, st,
+        transform(array({pure}), p -> if(size(p) = 0, named_struct('t', st.t, 'r', st.r, 'end', true), named_struct('t', {less}, 'r', st.r + size(p), 'end', false)))[0]))"""
     return f"transform(array({state}), z -> if(forall(z.t, x -> x.n = 0 and x.k = 0L and x.c = 0L), z.r, cast(null as int)))[0]"
 
 
-def difference(signed: str) -> str:
-    """SQL: how many digests differ in one subtable's array of struct(d, h, s)."""
-    exact = f"size(filter({signed}, x -> not exists({signed}, y -> y.d = x.d and y.s <> x.s)))"
-    return f"if(size({signed}) = 0, 0, coalesce({peeled(sketch(signed))}, {peeled(sketch(signed, CELLS * LARGER, 27), CELLS * LARGER, 27)}, {exact}))"
+def difference(elements: str) -> str:
+    """SQL: how many digests differ in one subtable's array of signed digests."""
+    exact = f"size(filter({elements}, x -> not exists({elements}, y -> y.d = x.d and y.s <> x.s)))"
+    turned = f"transform({elements}, x -> named_struct('d', x.d, 'h', x.h, 's', x.s, {_cells('x.d', CELLS * LARGER, 27)}))"
+    larger = f"transform(array({turned}), u -> {peeled(sketch('u', CELLS * LARGER), CELLS * LARGER, 27)})[0]"
+    return f"if(size({elements}) = 0, 0, coalesce({peeled(sketch(elements))}, {larger}, {exact}))"
 
 
 def distance(a: str, b: str) -> str:
@@ -69,7 +78,7 @@ def distance(a: str, b: str) -> str:
 
     Subtables are dealt in two steps, so that dealing takes the square root of their number a digest.
     """
-    both = f"concat(transform({a}, d -> named_struct('d', d, 'h', xxhash64(d), 's', 1)), transform({b}, d -> named_struct('d', d, 'h', xxhash64(d), 's', -1)))"
+    both = f"concat({signed(a, 1)}, {signed(b, -1)})"
     steps = f"greatest(1, cast(ceil(sqrt((size({a}) + size({b})) / {LOAD})) as int))"
     fine = f"aggregate(sequence(0, w - 1), 0, (n, f) -> n + transform(array(filter(g, x -> pmod(shiftrightunsigned(x.d, 44), w) = f)), q -> {difference('q')})[0])"
     coarse = f"aggregate(sequence(0, w - 1), 0, (m, c) -> m + transform(array(filter(l, x -> pmod(shiftrightunsigned(x.h, 32), w) = c)), g -> {fine})[0])"
@@ -82,8 +91,7 @@ def likeness(a: str, b: str) -> str:
 
 def written(d: str) -> str:
     """SQL: the sketch of a digest array as text: how many, then count, xor and check of each cell."""
-    signed = f"transform({d}, d -> named_struct('d', d, 'h', xxhash64(d), 's', 1))"
-    cells = f"transform(array({signed}), l -> {sketch('l')})[0]"
+    cells = f"transform(array({signed(d, 1)}), l -> {sketch('l')})[0]"
     return f"concat(hex(size({d})), ':', array_join(transform({cells}, x -> concat(hex(x.n), '.', lower(lpad(hex(x.k), 16, '0')), '.', lower(lpad(hex(x.c), 16, '0')))), ' '))"
 
 

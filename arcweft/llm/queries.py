@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, jpeg, langid, mixing, pii, simhash, suffix_dedup, toxicity
+from . import fingerprint, html_extract, jpeg, langid, mixing, packing, pii, simhash, suffix_dedup, toxicity
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op2_version_fingerprints(spark, sf_dir):
+    return fingerprint.compare_versions(table(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark, sf_dir):
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -18,6 +22,10 @@ def op4_language(spark, sf_dir):
     return langid.language_of(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark, sf_dir):
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
@@ -38,6 +46,12 @@ def op10_media_columns(spark, sf_dir):
     return jpeg.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_html_text, op4_language, op6_pii, op7_simhash, op8_suffix_dedup, op9_toxicity, op10_media_columns)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_version_fingerprints, op3_html_text, op4_language, op5_packing,
+        op6_pii, op7_simhash, op8_suffix_dedup, op9_toxicity, op10_media_columns,
+    )
+}
 
 ORACLE_SQL = {"op1_mix_sources": mixing.SQL}
