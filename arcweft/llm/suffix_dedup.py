@@ -45,9 +45,10 @@ CONTEXT = KEY + 2 * REACH
 #: Bytes of text of a range of documents, and of a block of anchors' texts.
 PART_BYTES, BLOCK_BYTES = 12 << 20, 12 << 20
 #: Contexts for one suffix array; a group of one anchor is never divided, larger ones are compared by window.
-ARRAY_CONTEXTS, GROUP_CONTEXTS = 1500, 12_000
-#: An anchor is common if at least one in so many documents has it.
-COMMON = 200
+ARRAY_CONTEXTS, GROUP_CONTEXTS = 400, 12_000
+#: An anchor is common if at least one in so many documents has it, by a sample of so many documents.  Whether
+#: an anchor counts as common decides how its windows travel, never what is found.
+COMMON, COMMON_SAMPLE = 200, 40_000
 LOW40 = np.uint64((1 << 40) - 1)
 NO_ID = np.iinfo(np.int64).max
 
@@ -130,10 +131,11 @@ def suffix_array(text: list[int]) -> list[int]:
     return sa
 
 
-def repeated(contexts: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """(context, window) booleans: whether the window also is in a context of a smaller id.
+def repeated(contexts: np.ndarray, docs: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """(context, window) booleans: whether the window also is in a context of its group with a smaller id.
 
     ``contexts`` is (n, 76) bytes, 0xFF outside the text; windows that reach outside are never repeated.
+    ``group`` numbers the anchors from 0: all contexts of one share the middle 24 bytes, which are one symbol.
     """
     n = len(contexts)
     out = np.zeros((n, WINDOW), bool)
@@ -145,20 +147,21 @@ def repeated(contexts: np.ndarray, docs: np.ndarray) -> np.ndarray:
             np.minimum.at(least, at, docs)
             out[:, w] = least[at] < docs
     else:
-        text = np.full((n, CONTEXT + 1), 1, np.int64)
-        text[:, :CONTEXT] = contexts.astype(np.int64) + 2
-        order = np.array(suffix_array([*text.ravel().tolist(), 0]), np.int64)[1:]
-        row, col = order // (CONTEXT + 1), order % (CONTEXT + 1)
-        use = col < WINDOW
-        row, col = row[use], col[use]
-        flat = contexts.ravel()
-        at = row * CONTEXT + col
-        same = np.ones(max(0, len(at) - 1), bool)
-        for k in range(0, LENGTH):
+        width = 2 * REACH + 2
+        text = np.full((n, width), 1, np.int64)
+        text[:, :REACH] = contexts[:, :REACH].astype(np.int64) + 2
+        text[:, REACH] = group + 258
+        text[:, REACH + 1 : -1] = contexts[:, REACH + KEY :].astype(np.int64) + 2
+        flat = text.ravel()
+        order = np.array(suffix_array([*flat.tolist(), 0]), np.int64)[1:]
+        order = order[order % width < WINDOW]
+        row, col = order // width, order % width
+        same = np.ones(max(0, len(order) - 1), bool)
+        for k in range(REACH + 1):  # a window is its bytes before the key, the key, and its bytes behind
             live = np.flatnonzero(same)
             if not len(live):
                 break
-            same[live] = flat[at[live] + k] == flat[at[live + 1] + k]
+            same[live] = flat[order[live] + k] == flat[order[live + 1] + k]
         run = np.concatenate([[0], np.cumsum(~same)])
         least = np.full(int(run[-1]) + 1, NO_ID)
         np.minimum.at(least, run, docs[row])
@@ -167,6 +170,27 @@ def repeated(contexts: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out & (outside[:, LENGTH:] == outside[:, :WINDOW])
 
 
+def likely(contexts: np.ndarray, docs: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Contexts that can share a window with another document: 13 more bytes on one side agree with one's.
+
+    A window has 26 bytes besides the key, hence 13 at least on one side.
+    """
+    out = np.zeros(len(key), bool)
+    half = REACH // 2
+    for first in (REACH - half, REACH):
+        piece = np.ascontiguousarray(contexts[:, first : first + KEY + half])
+        whole = np.zeros((len(key), 40), np.uint8)
+        whole[:, : KEY + half] = piece
+        h = key.copy()
+        for word in whole.view("<u8").T:
+            h = mix(h ^ word)
+        order = np.argsort(h)
+        cut = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        low, high = np.minimum.reduceat(docs[order], cut), np.maximum.reduceat(docs[order], cut)
+        out[order] |= np.repeat(low < high, np.diff(np.append(cut, len(order))))
+    return out
+
+
 def anchors(texts: list[bytes]):
     """Anchors of all texts: text, place, key, context hash; and a function for the hashes of one's windows."""
     gap = b"\xff" * REACH
@@ -289,6 +313,21 @@ def _emit(column: str, keys: np.ndarray, kind: int, pack):
         yield pa.RecordBatch.from_arrays([pa.array(values[i : i + 64], pa.int64()), pa.array([kind] * len(values[i : i + 64]), pa.int32()), pa.array(blobs[i : i + 64], pa.binary())], [column, "kind", "blob"])
 
 
+def _class(key: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return mix(key ^ mix(context * np.uint64(3)))
+
+
+def _least(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The least id of the rows with the same number in ``group``, for each row."""
+    if not len(doc):
+        return doc
+    order = np.argsort(group)
+    cut = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
+    out = np.empty_like(doc)
+    out[order] = np.repeat(np.minimum.reduceat(doc[order], cut), np.diff(np.append(cut, len(order))))
+    return out
+
+
 BLOB = "long, kind int, blob binary"
 #: Kinds of blobs: entries of anchors, stretches that go, open anchors, contexts.
 ENTRIES, GONE, OPEN, CONTEXTS = 0, 1, 2, 3
@@ -302,10 +341,7 @@ def _gone(ids: np.ndarray, first: np.ndarray, last: np.ndarray, parts: int):
 
 
 def _common(docs: DataFrame, total: int) -> np.ndarray:
-    """Keys of the anchors that at least one in COMMON documents has; at most COMMON times a document's anchors.
-
-    Batches name the keys that are frequent in them; their sums over all batches decide.
-    """
+    """Keys of the anchors that one in COMMON documents of a sample has; at most COMMON times a document's anchors."""
 
     def run(batches):
         for b in batches:
@@ -314,10 +350,12 @@ def _common(docs: DataFrame, total: int) -> np.ndarray:
                 doc, _, key, _, _ = anchors(texts[first:end])
                 key = key[np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])] if len(key) else key
                 value, n = np.unique(key, return_counts=True)
-                often = n > max(2, (end - first) // (2 * COMMON))
+                often = n > max(1, (end - first) // (4 * COMMON))
                 yield pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["key", "n"])
 
-    found = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1000, total // COMMON))
+    share = min(1.0, COMMON_SAMPLE / max(1, total))
+    some = docs.where((F.xxhash64("doc_id", F.lit(7)) % 1_000_000 + 1_000_000) % 1_000_000 < int(1_000_000 * share)) if share < 1 else docs
+    found = some.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(100, total * share // COMMON))
     return np.sort(np.array([r["key"] for r in found.select("key").collect()], np.int64).view(np.uint64))
 
 
@@ -357,48 +395,52 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
                         pieces.append((h, h | np.uint64(1), ids[first + doc[rows]], place[rows] - REACH + w))
                 key, context, doc, place = (np.concatenate(x) for x in zip(*pieces, strict=True))
                 window = (context & np.uint64(1)).astype(bool)
-                block = (mix(key) % np.uint64(blocks)).astype(np.int64)
+                block = (mix(key) % np.uint64(blocks)).astype(np.uint16 if blocks < 1 << 16 else np.uint32)
                 key, context = key & LOW40, context & LOW40
-                order = np.lexsort((doc, context, key))
-                key, context, doc, place, window, block = (x[order] for x in (key, context, doc, place, window, block))
-                new = np.concatenate([[True], (key[1:] != key[:-1]) | (context[1:] != context[:-1])])
-                least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(doc) else doc
-                late = np.flatnonzero(doc > least)
-                start = np.where(window, place, place - REACH)
-                end = np.where(window, place + LENGTH, place + KEY + REACH)
-                for out in _gone(doc[late], start[late], end[late], parts):
-                    yield out.rename_columns(["block", "kind", "blob"])
-                go = np.flatnonzero(doc == least)
-                go = go[np.lexsort((place[go], doc[go], block[go]))]
+                late = doc > _least(_class(key, context), doc)
+                where = np.flatnonzero(late)
+                start = np.where(window, place, place - REACH)[where]
+                end = np.where(window, place + LENGTH, place + KEY + REACH)[where]
+                for out in _gone(doc[where], start, end, parts):
+                    # they go the way of the entries and are passed on there
+                    blob = [p.to_bytes(8, "little") + x for p, x in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([p % blocks for p in out.column(0).to_pylist()], pa.int64()), out.column(1), pa.array(blob, pa.binary())], ["block", "kind", "blob"])
+                go = np.flatnonzero(~late)
+                go = go[np.argsort(block[go], kind="stable")]
                 key, context, doc, place, block = (x[go] for x in (key, context, doc, place, block))
 
                 def pack(a, b, key=key, context=context, doc=doc, place=place):
-                    own, count = np.unique(doc[a:b], return_counts=True)
-                    return np.array([b - a, len(own)], "<i4").tobytes() + own.astype("<i8").tobytes() + _five(key[a:b]).tobytes() + _five(context[a:b]).tobytes() + place[a:b].astype("<i4").tobytes() + count.astype("<i4").tobytes()
+                    cut = np.concatenate([[0], np.flatnonzero(np.diff(doc[a:b])) + 1, [b - a]])
+                    own = doc[a:b][cut[:-1]]
+                    return np.array([b - a, len(own)], "<i4").tobytes() + own.astype("<i8").tobytes() + _five(key[a:b]).tobytes() + _five(context[a:b]).tobytes() + place[a:b].astype("<i4").tobytes() + np.diff(cut).astype("<i4").tobytes()
 
-                yield from _emit("block", block, ENTRIES, pack)
+                yield from _emit("block", block.astype(np.int64), ENTRIES, pack)
 
     def settle(table):
         """Of a block: stretches that go, and open anchors."""
-        got = [_entries(x) for x in table.column("blob").to_pylist()]
+        schema = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
+        kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+        passed = [x for k, x in zip(kinds, blobs, strict=True) if k == GONE]
+        out = [pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:8], "little") for x in passed], pa.int64()), pa.array([GONE] * len(passed), pa.int32()), pa.array([x[8:] for x in passed], pa.binary())], schema=schema)]
+        got = [_entries(x) for k, x in zip(kinds, blobs, strict=True) if k == ENTRIES]
+        if not got:
+            return pa.Table.from_batches(out, schema)
         key, context, doc, place = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((doc, context, key))
-        key, context, doc, place = (x[order] for x in (key, context, doc, place))
-        new_key = np.concatenate([[True], key[1:] != key[:-1]])
-        new = new_key | np.concatenate([[True], context[1:] != context[:-1]])
-        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        late = doc > _least(_class(key, context), doc)
         window = (context & np.uint64(1)).astype(bool)
-        late = np.flatnonzero(doc > least)
-        out = list(_gone(doc[late], np.where(window, place, place - REACH)[late], np.where(window, place + LENGTH, place + KEY + REACH)[late], parts))
-        group = np.cumsum(new_key) - 1
-        starts = np.flatnonzero(new_key)
-        several = np.add.reduceat(new.astype(np.int64), starts) > 1
-        several &= np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)
-        left = np.flatnonzero(several[group] & (doc == least) & ~window)
-        part = _part(doc[left], parts)
-        left = left[np.argsort(part, kind="stable")]
-        out += _emit("part", np.sort(part), OPEN, lambda a, b: _pack(k=key[left[a:b]].astype("<u8"), i=doc[left[a:b]].astype("<i8"), p=place[left[a:b]].astype("<i4")))
-        return pa.Table.from_batches(out, pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())]))
+        where = np.flatnonzero(late)
+        out += list(_gone(doc[where], np.where(window, place, place - REACH)[where], np.where(window, place + LENGTH, place + KEY + REACH)[where], parts))
+        rest = np.flatnonzero(~late & ~window)
+        if len(rest):  # an anchor is open if documents have it with unequal contexts
+            order = rest[np.argsort(key[rest])]
+            starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+            low, high = np.minimum.reduceat(doc[order], starts), np.maximum.reduceat(doc[order], starts)
+            left = order[np.repeat(low < high, np.diff(np.append(starts, len(order))))]
+            part = _part(doc[left], parts)
+            by = np.argsort(part, kind="stable")
+            left, part = left[by], part[by]
+            out += _emit("part", part, OPEN, lambda a, b: _pack(k=key[left[a:b]].astype("<u8"), i=doc[left[a:b]].astype("<i8"), p=place[left[a:b]].astype("<i4")))
+        return pa.Table.from_batches(out, schema)
 
     def cut(table, blobs):
         """Contexts of the open anchors of a range of documents."""
@@ -425,13 +467,15 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
         got = [_unpack(x, "<u8", "<i8", "<i4", f"V{CONTEXT}") for x in table.column("blob").to_pylist()]
         key, doc, place, matrix = (np.concatenate(x) for x in zip(*got, strict=True))
         matrix = np.ascontiguousarray(matrix).view(np.uint8).reshape(-1, CONTEXT)
-        order = np.argsort(key, kind="stable")
+        use = np.flatnonzero(likely(matrix, doc, key))
+        order = use[np.argsort(key[use], kind="stable")]
         key, doc, place, matrix = key[order], doc[order], place[order], matrix[order]
-        bounds = np.concatenate([np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), [len(key)]])
+        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
+        group, bounds = np.cumsum(new) - 1, np.append(np.flatnonzero(new), len(key))
         out, first = [], 0
         while first < len(key):
             last = bounds[max(np.searchsorted(bounds, first + ARRAY_CONTEXTS, side="right") - 1, np.searchsorted(bounds, first, side="right"))]
-            hit = repeated(matrix[first:last], doc[first:last])
+            hit = repeated(matrix[first:last], doc[first:last], group[first:last] - group[first])
             rows = np.flatnonzero(hit.any(1))
             if len(rows):  # the windows of a context all hold its anchor: one stretch
                 lo, hi = hit[rows].argmax(1), WINDOW - 1 - hit[rows][:, ::-1].argmax(1)
@@ -472,13 +516,12 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
 
     own = docs.select("doc_id", "text")
     entered = own.mapInArrow(enter, f"block {BLOB}")
-    local = entered.where(F.col("kind") == GONE).withColumnRenamed("block", "part")
-    settled = entered.where(F.col("kind") == ENTRIES).groupBy("block").applyInArrow(settle, f"part {BLOB}")
+    settled = entered.groupBy("block").applyInArrow(settle, f"part {BLOB}")
     part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), F.lit(parts))
     by_part = own.withColumn("part", part)
     contexts = by_part.groupBy("part").cogroup(settled.groupBy("part")).applyInArrow(cut, f"block {BLOB}")
     found = contexts.groupBy("block").applyInArrow(sort, f"part {BLOB}")
-    everything = local.unionByName(settled).unionByName(found)
+    everything = settled.unionByName(found)
     out = by_part.groupBy("part").cogroup(everything.groupBy("part")).applyInArrow(finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, " + ("kept binary" if keep else "kept_sha256 string"))
     return out, contexts
 
