@@ -151,11 +151,11 @@ def chars(col: Column) -> Column:
 def as_list(e: Expr) -> Expr:
     """Lists as they are, strings as lists of characters, null as null, other values as a list of one."""
     if is_list(e.type):
-        return Expr(e.col, T.ArrayType(STRING)) if is_null(e.type.elementType) else e
+        return e
     if is_string(e.type):
         return Expr(chars(e.col), T.ArrayType(STRING))
     if is_null(e.type):
-        return Expr(F.lit(None).cast(T.ArrayType(STRING)), T.ArrayType(STRING))
+        return Expr(F.lit(None).cast(T.ArrayType(STRING)), T.ArrayType(NULL))
     return Expr(F.when(e.col.isNotNull(), F.array(e.col)), T.ArrayType(e.type))
 
 

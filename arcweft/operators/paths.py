@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import QueryError
-from ..functions.typed import Expr
+from ..functions.typed import Expr, convert
 from ..plans.bindings import Frame, Node, Value, fresh
 from .cutting import cut_lineage
 
@@ -17,14 +17,19 @@ from .cutting import cut_lineage
 UNROLLED = 4
 
 
-def _edges(graph, rel):
-    from ..plans.match import hops
+def _edges(graph, rel, labels=None):
+    """Edges as (a, b, rel), from nodes of the labels where these are known, and the labels that they lead to."""
+    from .. import ast as A
+    from ..plans.match import hops, oriented
 
-    h = hops(graph, rel, generic=True)
+    term = A.LabelTerm(tuple(((x, False),) for x in sorted(labels))) if labels else None
+    h = hops(graph, rel, (term, None), generic=True)
+    ends = {t.source_label if back else t.target_label for t, back in oriented(graph, rel, (term, None))}
+    reached = None if None in ends or labels is None else ends
     s = h.edge.struct()
     df = h.df.select(F.col(h.start.key).alias("a"), F.col(h.end.key).alias("b"), s.col.alias("rel"))
     df = _filtered(df, rel, s.type)
-    return df, s.type
+    return df, s.type, reached
 
 
 def _filtered(df: DataFrame, rel, kind) -> DataFrame:
@@ -45,7 +50,7 @@ def expand(matcher, frame: Frame, left: Node, rel, path, flipped: bool):
     Paths start at the distinct nodes that the frame has, not at all nodes.
     """
     graph = matcher.graph
-    edges, kind = _edges(graph, rel)
+    _, kind, _ = _edges(graph, rel)
     low, high = rel.low, rel.high
     capped = high < 0
     if capped:
@@ -59,7 +64,13 @@ def expand(matcher, frame: Frame, left: Node, rel, path, flipped: bool):
     found = [level] if low == 0 else []
     total = 0
     lazily = high <= UNROLLED and matcher.budget is None
+    # typed tables: a level only reads the edge tables that leave the labels reached so far
+    labels = {left.label} if left.label else None
     for depth in range(1, high + 1):
+        if labels is not None and not labels:
+            break
+        edges, own, labels = _edges(graph, rel, labels)
+        edges = edges.withColumn("rel", convert(Expr(F.col("rel"), own), kind))
         step = level.where("not ended").join(edges, F.col("last") == F.col("a"))
         step = step.where((F.col("b") == F.col("last")) | ~F.array_contains("seen", F.col("b")))
         rels = F.concat(F.array("rel"), "rels") if flipped else F.concat("rels", F.array("rel"))
@@ -113,7 +124,7 @@ def shortest(graph, frame: Frame, a: Node, b: Node, rel, every: bool) -> tuple[F
     start, a node met at an earlier level is left out by an anti join, and the search ends when all pairs are
     found, the frontier is empty, or the pattern's bound is reached.
     """
-    edges, kind = _edges(graph, rel)
+    edges, kind, _ = _edges(graph, rel)
     low, high = (1, 1) if rel.low is None else (rel.low, rel.high)
     list_type = T.ArrayType(kind)
     pairs = cut_lineage(frame.df.select(a.id().alias("start"), b.id().alias("goal")).where("start is not null and goal is not null").distinct())

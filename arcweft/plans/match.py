@@ -63,13 +63,9 @@ def _accepts(label: str | None, term: A.LabelTerm | None, hint: str | None) -> b
     return label is None or ((term is None or term.accepts({label})) and (hint is None or hint == label))
 
 
-def hops(graph: PropertyGraph, rel: A.RelPattern, left=(None, None), right=(None, None), generic: bool = False) -> Hops:
-    """Edges of the pattern's types as seen from its left end.
-
-    ``left`` and ``right`` are (label term, known label) of the ends: edge tables and orientations that can't
-    join are left out.  One typed orientation keeps stored keys; several become one generic table.
-    """
-    found: list[tuple[EdgeTable, bool]] = []
+def oriented(graph: PropertyGraph, rel: A.RelPattern, left=(None, None), right=(None, None)) -> list[tuple[EdgeTable, bool]]:
+    """Edge tables that a hop can follow, and whether against their direction."""
+    found = []
     for t in graph.edges:
         if rel.types and t.type is not None and t.type not in rel.types:
             continue
@@ -79,6 +75,16 @@ def hops(graph: PropertyGraph, rel: A.RelPattern, left=(None, None), right=(None
             a, b = (t.target_label, t.source_label) if back else (t.source_label, t.target_label)
             if wanted and _accepts(a, *left) and _accepts(b, *right):
                 found.append((t, back))
+    return found
+
+
+def hops(graph: PropertyGraph, rel: A.RelPattern, left=(None, None), right=(None, None), generic: bool = False) -> Hops:
+    """Edges of the pattern's types as seen from its left end.
+
+    ``left`` and ``right`` are (label term, known label) of the ends: edge tables and orientations that can't
+    join are left out.  One typed orientation keeps stored keys; several become one generic table.
+    """
+    found = oriented(graph, rel, left, right)
     parts = [_oriented(t, back, rel, len(found) > 1 or generic) for t, back in found]
     if len(parts) == 1:
         return parts[0]
@@ -94,8 +100,6 @@ def _oriented(t: EdgeTable, back: bool, rel: A.RelPattern, as_text: bool) -> Hop
         df = df.where(undirected(t) & (F.col(t.source) != F.col(t.target)))
     elif rel.direction == "BOTH" and back and t.source_label == t.target_label:
         df = df.where(F.col(t.source) != F.col(t.target))
-    elif natural is not None and back == natural and (t.undirected or t.undirected_column) and back and rel.direction == "IN":
-        pass
     eid, s, d, ty = fresh("e"), fresh("src"), fresh("dst"), fresh("type")
     spaces = (None, None) if as_text else (t.source_label, t.target_label)
     ends = [space_id(label, F.col(c)) if as_text else F.col(c) for label, c in ((t.source_label, t.source), (t.target_label, t.target))]
