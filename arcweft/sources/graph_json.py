@@ -163,7 +163,9 @@ def read_graph(spark: SparkSession, path: str, config: GraphConfig | None = None
 
 
 def _exploded(raw: DataFrame, name: str) -> DataFrame:
-    kind = raw.schema[name].dataType.elementType
+    kind = raw.schema[name].dataType.elementType if isinstance(raw.schema[name].dataType, T.ArrayType) else None
+    if not isinstance(kind, T.StructType):  # an empty array has no fields to infer
+        return raw.sparkSession.createDataFrame([], "__key string" if name == "nodes" else "__n int, source string, target string")
     rows = raw.select(F.posexplode(name).alias("__n", "x"))
     top = [f.name for f in kind.fields if f.name not in ("key", "attributes")]
     attrs = kind["attributes"].dataType if "attributes" in kind.fieldNames() else None
