@@ -107,6 +107,8 @@ def coalesce(*args: Expr) -> Expr:
 
 def keys(e: Expr) -> Expr:
     """Names of a map's entries that have a value; of a node or edge those of its properties."""
+    if isinstance(e.type, T.MapType):
+        return Expr(F.map_keys(e.col), T.ArrayType(STRING))
     if not is_struct(e.type):
         return _none(T.ArrayType(STRING))
     names = [F.when(e.col.getField(f.name).isNotNull(), F.lit(f.name)) for f in e.type.fields]

@@ -67,6 +67,10 @@ def test_with_and_stars(u):
     assert rows(u, "MATCH (n) WITH n AS m WHERE m.age = 25 RETURN m.name AS x") == [("bob",)]
 
 
+def test_limit_before_order(u):
+    assert rows(u, "MATCH (n) RETURN n.name AS n LIMIT 2 ORDER BY n DESC") == [("dave",), ("charlie",)]
+
+
 def test_unwind(u):
     assert rows(u, "UNWIND [1, 2, 3] AS x WHERE x <> 2 RETURN x") == [(1,), (3,)]
     assert rows(u, "UNWIND null AS x RETURN x") == [] and rows(u, "UNWIND 'ab' AS x RETURN x") == [("a",), ("b",)]

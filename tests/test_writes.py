@@ -54,6 +54,7 @@ def test_merge(u):
 
 def test_foreach(u):
     assert after(u, "MATCH (a:User) WITH collect(a) AS l FOREACH (x IN l WHERE x.age > 28 | SET x.big = true SET x:Big)", "MATCH (a:Big) RETURN count(a.big) AS c") == [(2,)]
+    assert after(u, "MATCH (a {name: 'bob'}) FOREACH (i IN [1] | SET a.z = i, SET a:T, CREATE (:K2 {i: i}))", "MATCH (a:T), (k:K2) RETURN a.z + k.i AS s") == [(2,)]
     assert after(u, "FOREACH (i IN [1, 2] | CREATE (:K {i: i}))", "MATCH (k:K) RETURN sum(k.i) AS s") == [(3,)]
     assert after(u, "MATCH p = ({name: 'alice'})-[:FRIEND*2]->() FOREACH (n IN nodes(p) | SET n.mark = 1)", "MATCH (n) WHERE n.mark = 1 RETURN n.name AS n ORDER BY n") == [("alice",), ("bob",), ("charlie",)]
 
