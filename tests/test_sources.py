@@ -85,6 +85,23 @@ def test_typed_tables_join_stored_keys(spark):
     assert g.cypher("MATCH (a:A)-[:T]->(b:A) RETURN count(b) AS c")._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
 
 
+def test_tables_and_memory(spark, tmp_path):
+    g = users(spark)
+    g.write_tables(str(tmp_path / "g"))
+    again = PropertyGraph.read_tables(spark, str(tmp_path / "g"))
+    q = "MATCH (a:User)-[r:FRIEND]->(b) RETURN a.name AS a, b.age AS b ORDER BY a"
+    assert rows(again, q) == rows(g.indexed(), q) == rows(g, q) == [("alice", 25), ("bob", 35)]
+
+
+def test_argument_checks():
+    from arcweft.functions import arguments as need
+
+    assert need.number("f", 3) == 3 and need.string("f", None) is None and need.numbers("f", [1, None, 2.5]) == [1, 2.5] and need.arity("f", [1], 1, 2) == [1]
+    for bad in (lambda: need.number("f", "x"), lambda: need.number("f", True), lambda: need.string("f", None, False), lambda: need.array("f", 1), lambda: need.arity("f", [], 1), lambda: need.boolean("f", 1)):
+        with pytest.raises(arcweft.FunctionError):
+            bad()
+
+
 def test_csv(spark, tmp_path):
     g = users(spark)
     p = tmp_path / "p.csv"
