@@ -19,9 +19,11 @@ from .common import chunks, crc_fold
 from .ngrams import mix, words
 
 BITS = 20
-#: Learning reads at most so many labelled texts (the bound on what the driver holds).
+#: Learning reads at most so many labelled texts (the bound on what its one task holds).
 SAMPLE = 12_000
 EPOCHS = 6
+#: Learning looks at features that so many texts of the sample have, and at so many bytes of text at a time.
+MIN_TEXTS, LEARN_BYTES = 2, 1 << 18
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 4.0, 1.0
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
@@ -39,14 +41,23 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts]).astype(np.int64), np.concatenate([p[1] for p in parts])
 
 
+def _rows(texts: list[bytes]):
+    """The distinct features of each text."""
+    for first, end in chunks(texts, LEARN_BYTES):
+        idx, doc = features(texts[first:end])
+        idx, doc = idx[np.argsort(doc, kind="stable")], np.sort(doc)
+        cut = np.searchsorted(doc, np.arange(end - first + 1))
+        for i in range(end - first):
+            yield np.unique(idx[cut[i] : cut[i + 1]])
+
+
 def learn(texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """Indices and values of the weights other than 0, and the bias."""
-    rows: list[np.ndarray] = []
-    for first, end in chunks(texts):
-        idx, doc = features(texts[first:end])
-        cut = np.searchsorted(np.sort(doc, kind="stable"), np.arange(end - first + 1))
-        idx = idx[np.argsort(doc, kind="stable")]
-        rows += [np.unique(idx[cut[i] : cut[i + 1]]).astype(np.int32) for i in range(end - first)]
+    # two passes in small pieces: what is held at once are the texts and the features that several texts have
+    seen = np.zeros(1 << BITS, np.int32)
+    for row in _rows(texts):
+        seen[row] += 1
+    rows = [row[seen[row] >= MIN_TEXTS].astype(np.int32) for row in _rows(texts)]
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = 1 << BITS
     order = np.random.default_rng(7)
@@ -68,15 +79,14 @@ def learn(texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> tuple[
     return idx.astype(np.int32), w[idx].astype(np.float32), float(b)
 
 
-def sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[list[bytes], list[int]]:
-    """At most ``bound`` labelled whole texts of the learning folds, chosen by a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
+    """(id, text, toxic): at most ``bound`` labelled whole texts of the learning folds, chosen by a hash of the id."""
     rows = labels.where(F.col("toxic").isNotNull() & (crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT)).select("doc_id", "toxic")
     total = rows.count()
     draw = (F.xxhash64("doc_id") % 1_000_000 + 1_000_000) % 1_000_000
     rows = rows.where(draw < int(1_000_000 * min(1.0, 0.95 * bound / total if total > bound else 1.0)) + 1)
-    got = docs.select("doc_id", "text").join(F.broadcast(rows.limit(bound)), "doc_id").select("doc_id", "text", "toxic").limit(bound).collect()
-    got.sort(key=lambda r: (str(r["doc_id"]), r["text"] or "", r["toxic"]))
-    return [(r["text"] or "").encode() for r in got], [int(r["toxic"]) for r in got]
+    got = docs.select("doc_id", "text").join(F.broadcast(rows.limit(bound)), "doc_id")
+    return got.select(F.col("doc_id").cast("string").alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.col("toxic").cast("int").alias("toxic")).limit(bound)
 
 
 def probabilities(texts: list[bytes], weight: np.ndarray, bias: float) -> np.ndarray:
@@ -119,8 +129,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None) -
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float] | None:
-    texts, toxic = sample(docs, labels)
-    return learn(texts, toxic) if texts else None
+    """Weights learned from the bounded sample in one executor task; the driver only gets the few that are not 0."""
+
+    def run(batches):
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        if rows:
+            rows.sort()
+            idx, val, bias = learn([r[1] for r in rows], [r[2] for r in rows])
+            yield pa.RecordBatch.from_arrays([pa.array([idx.tobytes()], pa.binary()), pa.array([val.tobytes()], pa.binary()), pa.array([bias])], ["idx", "val", "bias"])
+
+    got = sample(docs, labels).coalesce(1).mapInArrow(run, "idx binary, val binary, bias double").collect()
+    return (np.frombuffer(got[0]["idx"], np.int32), np.frombuffer(got[0]["val"], np.float32), got[0]["bias"]) if got else None
 
 
 def toxicity_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
