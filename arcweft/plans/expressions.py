@@ -128,6 +128,33 @@ class Compiler:
         """Two-valued truth of a condition."""
         return truth(self.test(node))
 
+    def keeps(self, node) -> Column:
+        """A condition for a filter or a join, where null counts as false already.
+
+        Comparisons stay bare under AND and OR, so that they reach the scans as pushed filters.
+        """
+        if isinstance(node, A.Binary) and node not in self.hooks:
+            if node.op in ("AND", "OR"):
+                a, b = self.keeps(node.left), self.keeps(node.right)
+                return a & b if node.op == "AND" else a | b
+            if node.op == "=":
+                return self._equal(node.left, node.right, False)
+            if node.op == "<>":
+                a, b = self.compile(node.left), self.compile(node.right)
+                plain = a.binding is None and b.binding is None and (type(a.type) is type(b.type) or (is_number(a.type) and is_number(b.type)))
+                return a.col != b.col if plain and not is_struct(a.type) and not is_list(a.type) and not is_null(a.type) else self._equal(node.left, node.right, True)
+            if node.op in ("<", "<=", ">", ">="):
+                return order(self.value(node.left), self.value(node.right), node.op)
+            if node.op == "IN" and isinstance(node.right, A.ListExpr) and node.right.items and all(isinstance(x, A.Literal) and x.value is not None for x in node.right.items):
+                a, values = self.compile(node.left), [x.value for x in node.right.items]
+                kinds = {type(v) for v in values}
+                if a.binding is None and ((is_string(a.type) and kinds == {str}) or (is_number(a.type) and kinds <= {int, float})):
+                    return a.col.isin(*values)
+            if node.op in ("CONTAINS", "STARTS", "ENDS"):
+                x, y = text(self.value(node.left)).col, text(self.value(node.right)).col
+                return {"CONTAINS": x.contains, "STARTS": x.startswith, "ENDS": x.endswith}[node.op](y)
+        return self.condition(node)
+
     def _binary(self, n):
         op = n.op
         if op in ("AND", "OR", "XOR"):

@@ -85,13 +85,22 @@ def hops(graph: PropertyGraph, rel: A.RelPattern, left=(None, None), right=(None
     join are left out.  One typed orientation keeps stored keys; several become one generic table.
     """
     found = oriented(graph, rel, left, right)
-    parts = [_oriented(t, back, rel, len(found) > 1 or generic) for t, back in found]
+    parts = [_oriented(graph, t, back, rel, len(found) > 1 or generic) for t, back in found]
     if len(parts) == 1:
         return parts[0]
     return _merged(graph, parts)
 
 
-def _oriented(t: EdgeTable, back: bool, rel: A.RelPattern, as_text: bool) -> Hops:
+def _held(graph: PropertyGraph, t: EdgeTable, column: str, label: str | None) -> NodeTable | None:
+    """The node table whose rows the edge table's rows are, at the end with that key column.
+
+    A foreign key's own table is such an edge table: its rows hold the properties of one end, so that end needs
+    no join.
+    """
+    return next((n for n in graph.nodes if n.label is not None and n.label == label and n.df is t.df and n.key == column), None)
+
+
+def _oriented(graph: PropertyGraph, t: EdgeTable, back: bool, rel: A.RelPattern, as_text: bool) -> Hops:
     df, kinds = t.df, types_of(t.df)
     if t.type is None and rel.types:
         df = df.where(F.col(t.type_column).isin(*rel.types))
@@ -105,9 +114,14 @@ def _oriented(t: EdgeTable, back: bool, rel: A.RelPattern, as_text: bool) -> Hop
     ends = [space_id(label, F.col(c)) if as_text else F.col(c) for label, c in ((t.source_label, t.source), (t.target_label, t.target))]
     props = {p: (fresh(p), kinds[c]) for p, c in t.props.items() if p != "type" or t.type}
     kind = F.lit(t.type) if t.type else F.col(t.type_column)
-    df = df.select(edge_id(t).alias(eid), ends[0].alias(s), ends[1].alias(d), kind.cast("string").alias(ty), *[F.col(f"`{t.props[p]}`").alias(a) for p, (a, _) in props.items()])
+    cols, nodes = [], []
+    for c, sp, label, own in ((s, spaces[0], t.source_label, t.source), (d, spaces[1], t.target_label, t.target)):
+        table = None if as_text else _held(graph, t, own, label)
+        held = {p: (fresh(p), kinds[k]) for p, k in table.props.items()} if table else {}
+        cols += [F.col(f"`{table.props[p]}`").alias(a) for p, (a, _) in held.items()]
+        nodes.append(Node(c, sp, label if not as_text else None, None, held, bool(table)))
+    df = df.select(edge_id(t).alias(eid), ends[0].alias(s), ends[1].alias(d), kind.cast("string").alias(ty), *[F.col(f"`{t.props[p]}`").alias(a) for p, (a, _) in props.items()], *cols)
     edge = Edge(eid, s, d, spaces[0], spaces[1], t.type, ty, props)
-    nodes = [Node(c, sp, label if not as_text else None, None, {}, False) for c, sp, label in ((s, spaces[0], t.source_label), (d, spaces[1], t.target_label))]
     start, end = nodes[::-1] if back else nodes
     return Hops(df, edge, start, end)
 
@@ -217,9 +231,9 @@ class Matcher:
         n = nodes[at]
         if n.var and n.var in frame.vars:
             bound[at] = self._known(frame, n, conditions)
-        elif path.rels and path.rels[at if at < len(path.rels) else at - 1].low is None and not self._needs_table(n, path) and at == 0:
-            frame, bound[0], edges[0], frame_end = self._first(frame, path, hints, conditions)
-            bound[1] = frame_end
+        elif at == 0 and path.rels and path.rels[0].low is None and (not self._needs_table(n, path) or self._starts_held(path, hints)):
+            frame, bound[0], edges[0], bound[1] = self._first(frame, path, hints, conditions)
+            self._props(n, bound[0], conditions)
         else:
             df, node = scan_nodes(self.graph, n.labels, hints.get(n.var))
             frame = self._cross(frame, df)
@@ -242,6 +256,15 @@ class Matcher:
     def _needs_table(self, n: A.NodePattern, path: A.PathPattern) -> bool:
         return bool(n.props) or self.reads(n.var) or path.var is not None
 
+    def _starts_held(self, path: A.PathPattern, hints) -> bool:
+        """Whether the first hop's edge table holds the first node's properties."""
+        a, b, rel = path.nodes[0], path.nodes[1], path.rels[0]
+        found = oriented(self.graph, rel, (a.labels, hints.get(a.var)), (b.labels, hints.get(b.var)))
+        if len(found) != 1:
+            return False
+        t, back = found[0]
+        return _held(self.graph, t, t.target if back else t.source, t.target_label if back else t.source_label) is not None
+
     def _known(self, frame: Frame, n: A.NodePattern, conditions: list) -> Node:
         b = frame.vars[n.var]
         if isinstance(b, Value):  # a node that came through a list or a map
@@ -262,7 +285,7 @@ class Matcher:
         for key, expr in n.props:
             def holds(frame, key=key, expr=expr, b=b):
                 var = fresh("x")
-                return Compiler({**frame.vars, var: b}).condition(A.Binary("=", A.Prop(A.Var(var), key), expr))
+                return Compiler({**frame.vars, var: b}).keeps(A.Binary("=", A.Prop(A.Var(var), key), expr))
 
             conditions.append(holds)
 
@@ -297,7 +320,7 @@ class Matcher:
             known = self._known(frame, n, conditions)
             bound[i] = known
             return Frame(frame.df.where(same_node(known, end)), frame.vars)
-        if self._needs_table(n, path) or not self._label_known(n, end):
+        if not self._label_known(n, end) or (not end.loaded and self._needs_table(n, path)):
             df, node = scan_nodes(self.graph, n.labels, hint or end.label)
             frame = Frame(frame.df.join(df, same_node(end, node)), frame.vars)
             end = node

@@ -175,7 +175,7 @@ class Planner:
     def join_condition(self, frame: Frame, node):
         if any(True for _ in special(node)):
             raise QueryError("an OPTIONAL MATCH condition can't hold a pattern or a graph function")
-        return Compiler(frame.vars).condition(node)
+        return Compiler(frame.vars).keeps(node)
 
     def filter(self, frame: Frame, node) -> Frame:
         """Rows that meet a condition; existence of a pattern is a semi or anti join."""
@@ -189,7 +189,7 @@ class Planner:
         if rest is None:
             return frame
         frame, hooks = self.prepare(frame, (rest,))
-        return Frame(frame.df.where(Compiler(frame.vars, hooks).condition(rest)), frame.vars)
+        return Frame(frame.df.where(Compiler(frame.vars, hooks).keeps(rest)), frame.vars)
 
     def unwind(self, frame: Frame, c: A.Unwind) -> Frame:
         frame, hooks = self.prepare(frame, (c.expr,))
