@@ -34,7 +34,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--ext-fn", action="append", default=[], metavar="MODULE", help="Python module that registers functions")
     p.add_argument("--list-extensions", action="store_true")
     p.add_argument("--no-cache", action="store_true")
-    p.add_argument("--cache-dir", default=os.path.join(tempfile.gettempdir(), "arcweft-cache"))
+    p.add_argument("--cache-dir", help="folder for parsed graphs, on a cluster one that all executors share; without it only a local master caches")
     p.add_argument("--pass-through", action="store_true", help="check the graph and write it out again")
     return p
 
@@ -42,7 +42,10 @@ def arguments() -> argparse.ArgumentParser:
 def _load(spark: SparkSession, a, config: GraphConfig):
     if a.graph == "-":
         return graph_from_dict(spark, json.load(sys.stdin), config)
-    return formats.load(spark, a.graph, config) if a.no_cache else GraphCache(a.cache_dir).load(spark, a.graph, config)
+    folder = a.cache_dir
+    if not folder and spark.sparkContext.master.startswith("local["):
+        folder = os.path.join(tempfile.gettempdir(), "arcweft-cache")
+    return formats.load(spark, a.graph, config) if a.no_cache or not folder else GraphCache(folder).load(spark, a.graph, config)
 
 
 def _graph_json(graph) -> dict:

@@ -20,7 +20,7 @@ from .bindings import Edge, Frame, Node, Value, fresh
 from .expressions import Compiler, has_aggregate, is_aggregate, same_node, sort_columns
 from .match import Matcher
 from .naming import default_names
-from .needs import needs
+from .needs import ALL, needs
 
 JOINED = (A.PatternComprehension, A.CountPattern, A.PatternPredicate, A.ShortestPath)
 
@@ -490,8 +490,22 @@ class Planner:
         keep = tuple(A.Item(A.Var(v), v, v) for v in frame.vars if v not in own)
         return replace(p, items=keep + p.items, order=())
 
+    def _read_only(self, frame: Frame) -> Frame:
+        """The frame without properties that the query never reads: what is written out must not hold them."""
+        if self.writing or ALL in self.need.get(ALL, ()):
+            return frame
+        variables, columns = {}, [self.rid] if self.rid else []
+        for v, b in frame.vars.items():
+            wanted = self.need.get(v, set())
+            if isinstance(b, (Node, Edge)) and ALL not in wanted:
+                b = replace(b, props={p: c for p, c in b.props.items() if p in wanted})
+            variables[v] = b
+            columns += b.columns()
+        return Frame(frame.df.select(*dict.fromkeys(columns)), variables) if columns else frame
+
     def _numbered(self, frame: Frame, q: A.Query) -> Frame:
         """A subquery that aggregates, sorts or cuts: its outer rows are numbered, and it is planned for all at once."""
+        frame = self._read_only(frame)
         rid, outer_rid = fresh("rid"), self.rid
         df = cut_lineage(frame.df.withColumn(rid, F.monotonically_increasing_id()))
         results, empties = [], []
