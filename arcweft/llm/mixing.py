@@ -79,11 +79,13 @@ def cut(items: DataFrame) -> DataFrame:
     """Mark what the queue sends before the budget is used up.
 
     Virtual time is range-partitioned into slices; the slice in which the running total crosses the budget
-    is sliced again, and again, until rows of one slice are few; only those are put in exact order.
+    is sliced again, and again, until rows of one slice are few; only those are put in exact order.  Items of
+    one source that have a size never tie, so a slice shrinks to as many rows as there are sources.
     """
+    empty, items = items.where("size = 0").withColumn("taken", F.lit(0).cast("long")), items.where("size > 0")  # nothing to send
     row = items.agg(F.max("budget").alias("budget"), F.min("finish").alias("lo"), F.max("finish").alias("hi")).first()
     if row["budget"] is None:
-        return items.withColumn("taken", F.lit(0).cast("long"))
+        return empty
     budget, low, high, spent = row["budget"], row["lo"], row["hi"], 0
     for _ in range(3):
         width = (high - low) / SLICES
@@ -108,7 +110,7 @@ def cut(items: DataFrame) -> DataFrame:
     exact = Window.partitionBy(F.lit(0)).orderBy("finish", F.col("source").asc_nulls_last(), "key", "doc_id", "nth", "pass").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = edge.withColumn("taken", F.when(F.sum("size").over(exact) + F.lit(spent) <= budget, F.col("size")).otherwise(F.lit(0)).cast("long"))
     rest = items.where((F.col("finish") < low) | (F.col("finish") > high)).withColumn("taken", F.when(F.col("finish") < low, F.col("size")).otherwise(F.lit(0)).cast("long"))
-    return rest.unionByName(edge)
+    return rest.unionByName(edge).unionByName(empty)
 
 
 def mix_sizes(docs: DataFrame) -> DataFrame:
