@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Documents of a range, and ranges that are found by quantiles (each is cut evenly further on).
 RANGE_ROWS, QUANTILES = 4096, 64
+#: No more ranges than this for each quantile; beyond 64 x 1024 ranges they grow instead (windows spill).
+RANGES = 1024
 #: Cells of a table, and its multiple in a retry; digests of both versions for each subtable.
 CELLS, LARGER, LOAD = 4, 3, 4
 ROUNDS = 5
@@ -103,7 +105,7 @@ def _ranges(docs: DataFrame, rows_per_range: int):
     quantiles = max(1, min(QUANTILES, n // rows_per_range))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / quantiles for i in range(1, quantiles)] or [0.5], 2000)).first()[0]
     edges = sorted({lo, *cuts, hi + 1})
-    inner = math.ceil(n / len(edges) / rows_per_range)
+    inner = min(RANGES, math.ceil(n / len(edges) / rows_per_range))
     out = F.when(F.col("doc_id").isNull(), F.lit(-1))
     for i in range(len(edges) - 1):
         a, b = edges[i], edges[i + 1]
@@ -119,7 +121,7 @@ def with_next(docs: DataFrame, rows_per_range: int = RANGE_ROWS) -> DataFrame:
     place = F.struct("doc_id", "tie")  # nulls are least
     first = rows.groupBy("part").agg(F.max(place).alias("top"))
     every = Window.partitionBy(F.lit(0)).orderBy(F.desc("part"))
-    # ranges are few: one in rows_per_range rows; the last one is followed by the first
+    # at most 64 x 1024 ranges of 32 bytes; the last one is followed by the first
     first = first.withColumn("to", F.coalesce(F.lag("part").over(every), F.min("part").over(Window.partitionBy(F.lit(0)))))
     first = first.select(F.col("part").alias("p"), F.col("top.doc_id").alias("i"), F.col("top.tie").alias("t"), "to")
     heads = rows.join(F.broadcast(first), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")))
