@@ -27,7 +27,8 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript iframe template svg math title textarea object canvas noembed noframes xmp".split())
-SKIP = frozenset("nav footer aside form button select dialog menu fieldset head option optgroup datalist".split())
+SKIP = frozenset("nav footer aside button select dialog menu head option optgroup datalist".split())
+FORM = frozenset("form fieldset".split())
 KEEP = frozenset("article main".split())
 BAD_ROLE = frozenset("navigation banner contentinfo complementary dialog alert alertdialog search form menu menubar toolbar tablist".split())
 BAD_WORD = frozenset(
@@ -51,10 +52,10 @@ _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "bad", "bias", "points", "chars", "links", "order")
+    __slots__ = ("tag", "parent", "depth", "bad", "doubt", "bias", "points", "chars", "links", "order")
 
-    def __init__(self, tag, parent, bad, bias, order):
-        self.tag, self.parent, self.bad, self.bias, self.order = tag, parent, bad, bias, order
+    def __init__(self, tag, parent, bad, doubt, bias, order):
+        self.tag, self.parent, self.bad, self.doubt, self.bias, self.order = tag, parent, bad, doubt, bias, order
         self.depth = parent.depth + 1 if parent else 0
         self.points = 0.0
         self.chars = self.links = 0
@@ -82,23 +83,28 @@ def _tag_end(html: str, at: int) -> int:
     return close
 
 
-def _judge(tag: str, attrs: dict, inside_keep: bool) -> tuple[bool, float]:
-    """Whether an element is left out, and the points its names give or take."""
+def _judge(tag: str, attrs: dict, inside_keep: bool) -> tuple[bool, bool, float]:
+    """Whether an element is left out, whether it is unless it holds most of the page, and the points of its names."""
     if tag in SKIP or (tag == "header" and not inside_keep):
-        return True, 0.0
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in BAD_ROLE or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True, 0.0
+        return True, False, 0.0
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in BAD_ROLE - {"form", "search"} or re.search(r"display\s*:\s*none", attrs.get("style", "")):
+        return True, False, 0.0
     if tag in ("html", "body"):
-        return False, 0.0
+        return False, False, 0.0
+    if tag in FORM or attrs.get("role", "").lower() in ("form", "search"):
+        return False, True, 0.0
     names = {w.lower() for w in _WORDS.findall(attrs.get("class", "") + " " + attrs.get("id", ""))}
-    if names & BAD_WORD and tag not in KEEP and not (names & GOOD_WORD and not names & {"comment", "comments", "sidebar", "footer", "ad", "ads"}):
-        return True, 0.0
-    return False, (25.0 if names & GOOD_WORD else 0.0) + (25.0 if tag in KEEP else 0.0)
+    if names & BAD_WORD and tag not in KEEP:
+        if not names & GOOD_WORD or names & {"comment", "comments", "ad", "ads"}:
+            return True, False, 0.0
+        if names & {"sidebar", "footer"}:  # "sidebar-content", or "content-with-sidebar"
+            return False, True, 0.0
+    return False, False, (25.0 if names & GOOD_WORD else 0.0) + (25.0 if tag in KEEP else 0.0)
 
 
 def parse(html: str) -> list[tuple[Node, str, int]]:
     """Text blocks in page order: the element they stand in, the text, and how many of its characters are links."""
-    root = Node("html", None, False, 0.0, 0)
+    root = Node("html", None, False, False, 0.0, 0)
     stack, blocks, parts = [root], [], []
     order = links = in_link = 0
 
@@ -194,11 +200,11 @@ def parse(html: str) -> list[tuple[Node, str, int]]:
                 attrs.setdefault(a[1].lower(), unescape((a[2] or "").strip("\"'")))
         up = stack[-1]
         keep = any(x.tag in KEEP for x in stack)
-        bad, bias = (True, 0.0) if up.bad else _judge(tag, attrs, keep)
+        bad, doubt, bias = (True, False, 0.0) if up.bad else _judge(tag, attrs, keep)
         if raw.rstrip().endswith("/") and tag not in BLOCK:
             continue
         order += 1
-        node = Node(tag, up, bad, bias, order)
+        node = Node(tag, up, bad, doubt, bias, order)
         stack.append(node)
         in_link += tag == "a"
         if len(stack) > 400:  # nesting that no article has: later elements count to the same depth
@@ -212,6 +218,24 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     blocks = [b for b in parse(html.replace("\x00", "")) if not b[0].bad]
+    # forms and names that say two things are in doubt: left out unless they hold most of what is there
+    held: dict[int, int] = {}
+    for node, text, _ in blocks:
+        x = node
+        while x is not None:
+            if x.doubt:
+                held[id(x)] = held.get(id(x), 0) + len(text)
+            x = x.parent
+    most = 0.6 * sum(len(t) for _, t, _ in blocks)
+
+    def doubted(x) -> bool:
+        while x is not None:
+            if x.doubt and held[id(x)] <= most:
+                return True
+            x = x.parent
+        return False
+
+    blocks = [b for b in blocks if not doubted(b[0])] if held else blocks
     if not blocks:
         return ""
     scored: dict[int, Node] = {}

@@ -107,6 +107,14 @@ def test_article_without_the_rest():
     assert html_extract.extract(html) == "The title & more\nFirst, long paragraph, with commas, and text <here>. Same block.\nAn item, kept\nAnother\nSecond paragraph with a link inside."
 
 
+def test_wrappers_named_like_parts_of_a_page():
+    body = "<h1>Head</h1><p>First text, of the page.</p><p>Second text, a little longer.</p>"
+    text = "Head\nFirst text, of the page.\nSecond text, a little longer."
+    side = "<div class='sidebar-content'><p>More, more, more.</p></div><div class='comments-main'><p>I say, no.</p></div>"
+    assert html_extract.extract(f"<form id=aspnet><div class='content-with-sidebar'>{body}</div>{side}</form>") == text
+    assert html_extract.extract(f"<div id=page>{body}<form><p>Subscribe now</p></form>{side}</div>") == text
+
+
 def test_page_without_structure():
     assert html_extract.extract("<div>One block,\n of &nbsp; text</div>") == "One block, of text"
     assert html_extract.extract("<nav><a href=x>Menu</a></nav>") == ""
