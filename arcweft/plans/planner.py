@@ -95,6 +95,9 @@ class Planner:
         if not isinstance(last, A.Return):
             return q.parts, None
         p = last.projection
+        names = set(default_names(p.items))
+        if p.star or any(isinstance(x, A.Var) and x.name not in names for k in p.order for x in A.walk(k.expr)):
+            return q.parts, None  # sorted by what only the branch knows
         bare = A.Return(replace(p, order=(), skip=None, limit=None))
         return (*q.parts[:-1], A.SingleQuery((*q.parts[-1].clauses[:-1], bare))), p
 

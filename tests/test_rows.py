@@ -80,6 +80,8 @@ def test_unwind(u):
 
 def test_unions(u):
     assert rows(u, "RETURN 1 AS a UNION ALL RETURN 1 AS a UNION RETURN 2 AS a ORDER BY a") == [(1,), (2,)]
+    q = "MATCH (n) RETURN n.name AS x ORDER BY n.age DESC LIMIT 1 UNION ALL MATCH (n) RETURN n.name AS x ORDER BY n.age LIMIT 1"
+    assert sorted(rows(u, q)) == [("bob",), ("charlie",)]
     df = u.cypher("RETURN 1 AS a, 'x' AS b UNION ALL RETURN 2.5 AS a, true AS c")
     assert df.columns == ["a", "b", "c"] and sorted(tuple(r) for r in df.collect()) == [(1.0, "x", None), (2.5, None, True)]
     assert rows(u, "MATCH (n) RETURN n.name AS n UNION ALL MATCH (n) RETURN n.name AS n ORDER BY n DESC SKIP 1 LIMIT 2") == [("dave",), ("charlie",)]
