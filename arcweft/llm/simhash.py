@@ -35,9 +35,9 @@ SEGMENTS, SEGMENT_BITS = 8, 8
 SHINGLE, SIMILARITY, FAR = 5, 0.8, 22
 #: Min-wise keys: so many bands of so many minima; a pair of similarity 0.8 shares none with probability 0.0002.
 BANDS, ROWS = 12, 3
-#: Bins of the sketch, and estimates outside which no exact comparison is needed.
+#: Bins of the sketch (15 bits each, 0 for an empty one), and estimates outside which no exact comparison is needed.
 BINS, SURE, UNLIKE = 128, 0.93, 0.66
-#: A band's bucket with more texts than this is sorted in parts.
+#: A band's bucket with more texts than this is sorted in parts, by the next band's key and at random.
 BUCKET = 1024
 
 
@@ -127,12 +127,12 @@ def signature(text: bytes, shingle: int = SHINGLE) -> tuple[int, int, int, list[
     h = np.unique(shingle_hashes(text, shingle))
     whole = _signed(xxhash.xxh64_intdigest(h.tobytes(), SEED))
     if not len(h):
-        return whole, 0, 0, [0] * BANDS, bytes(4 * BINS)
+        return whole, 0, 0, [0] * BANDS, bytes(2 * BINS)
     least = np.array([(h * m).min() for m in _ODD])
     keys = [_signed(xxhash.xxh64_intdigest(least[i : i + ROWS].tobytes(), i)) for i in range(0, BANDS * ROWS, ROWS)]
     edges = np.searchsorted(h, np.arange(BINS, dtype=np.uint64) << np.uint64(57))
     nxt = np.append(edges[1:], len(h))
-    sketch = np.where(edges < nxt, h[np.minimum(edges, len(h) - 1)] & np.uint64(0xFFFFFFFF) | np.uint64(1), np.uint64(0)).astype(np.uint32)
+    sketch = np.where(edges < nxt, h[np.minimum(edges, len(h) - 1)] & np.uint64(0xFFFF) | np.uint64(1), np.uint64(0)).astype(np.uint16)
     return whole, len(h), _signed(majority(h)), keys, sketch.tobytes()
 
 
@@ -166,7 +166,8 @@ def candidates(sets: DataFrame) -> DataFrame:
 
     A bucket of any size gives a number of pairs in proportion to it: each member with the bucket's leader,
     which another hash order names in every band, and with its next two in the order of fingerprints, a
-    large bucket being sorted in parts by the next band's key.  The leader is a partial aggregate.
+    large bucket being sorted in parts, by the next band's key and by a salt that bounds a part to about
+    8192 texts whatever they share.  The leader is a partial aggregate.
     """
     rows = sets.select("whole", "fp", F.posexplode("keys").alias("band", "key"), F.col("keys").alias("all"))
     rows = rows.withColumn("next", F.element_at("all", (F.pmod(F.col("band") + 1, F.lit(BANDS)) + 1).cast("int"))).drop("all")
@@ -174,8 +175,9 @@ def candidates(sets: DataFrame) -> DataFrame:
     buckets = rows.groupBy("band", "key").agg(F.min(lead).alias("lead"), F.count("*").alias("size")).where("size > 1")
     rows = rows.join(buckets, ["band", "key"])
     star = rows.select(F.col("whole").alias("a"), F.col("fp").alias("fa"), F.col("lead.whole").alias("b"), F.col("lead.fp").alias("fb"))
-    part = F.when(F.col("size") > BUCKET, F.col("next")).otherwise(F.lit(0))
-    order = Window.partitionBy("band", "key", part).orderBy("fp", "whole")
+    large = F.col("size") > BUCKET
+    part, salt = F.when(large, F.col("next")).otherwise(F.lit(0)), F.when(large, F.pmod(F.xxhash64("band", "whole"), F.ceil(F.col("size") / (8 * BUCKET)))).otherwise(F.lit(0))
+    order = Window.partitionBy("band", "key", part, salt).orderBy("fp", "whole")
     after = F.array(*[F.struct(F.lead("whole", k).over(order).alias("b"), F.lead("fp", k).over(order).alias("fb")) for k in (1, 2)])
     side = rows.where("size > 2").withColumn("after", after).select(F.col("whole").alias("a"), F.col("fp").alias("fa"), F.explode("after").alias("x")).select("a", "fa", "x.b", "x.fb")
     pairs = star.unionByName(side).where("b is not null and a <> b")
@@ -185,12 +187,12 @@ def candidates(sets: DataFrame) -> DataFrame:
 
 
 def _estimate(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    x, y = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
     return float(((x == y) & (x > 0)).sum() / max(1, ((x > 0) | (y > 0)).sum()))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, th (hash of the text), group: the least (whole, doc_id, th) names the document that stays."""
+def _groups(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The rows' signatures, and (whole, component) of the shingle sets that have a near-duplicate."""
     rows = checkpoint(signatures(docs))
     sets = rows.groupBy("whole").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     sets = checkpoint(sets)
@@ -209,14 +211,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     open_pairs = checkpoint(open_pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
     agreed = _exact(docs, rows, open_pairs, similarity)
     edges = est.where(F.col("est") >= SURE).select("a", "b").unionByName(agreed)
-    parts = connected_components(edges).select(F.col("node").alias("whole"), "component")
+    return rows, connected_components(edges).select(F.col("node").alias("whole"), "component")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, th (hash of the text) and group of every document; near-duplicates have one group."""
+    rows, parts = _groups(docs, similarity)
     return rows.join(parts, "whole", "left").select("doc_id", "th", F.coalesce("component", "whole").alias("group"))
 
 
 def _exact(docs: DataFrame, rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs whose shingle sets have the similarity, by the texts themselves."""
     needed = pairs.select(F.col("a").alias("whole")).unionByName(pairs.select(F.col("b").alias("whole"))).distinct()
-    one = rows.join(needed, "whole", "left_semi").groupBy("whole").agg(F.min(F.struct("doc_id", "th")).alias("r"))
+    one = rows.groupBy("whole").agg(F.min(F.struct("doc_id", "th")).alias("r")).join(needed, "whole", "left_semi")
     texts = docs.select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"), "text").join(one, F.col("i").eqNullSafe(F.col("r.doc_id")) & (F.col("t") == F.col("r.th")))
     texts = texts.select("whole", "text").dropDuplicates(["whole"])
     a, b = (texts.select(F.col("whole").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
@@ -235,9 +242,11 @@ def _exact(docs: DataFrame, rows: DataFrame, pairs: DataFrame, similarity: float
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group (the least doc_id; nulls last, then by text), with all columns."""
-    rows = checkpoint(near_duplicates(docs))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
-    keep = rows.groupBy("group").agg(first.alias("k"), F.count("*").alias("n")).select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"))
+    rows, parts = _groups(docs, SIMILARITY)
+    # equal shingle sets meet first, in partial aggregates: copies in any number are one row of the join
+    first = rows.groupBy("whole").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k"))
+    first = first.join(parts, "whole", "left").groupBy(F.coalesce("component", "whole").alias("group")).agg(F.min("k").alias("k"))
+    keep = first.select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"))
     out = docs.withColumn("__t", F.xxhash64("text")).join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__th")), "left_semi")
     if rows.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():  # repeated rows of one id
         out = out.dropDuplicates(["doc_id", "__t"])
