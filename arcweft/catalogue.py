@@ -68,7 +68,7 @@ ENTRIES: dict[str, Entry] = {
     ),
     "optional_null_where": Entry(
         "MATCH (c:Customer) OPTIONAL MATCH (c)-[:DID]->(e:Event) WHERE e IS NULL RETURN count(c) AS n, count(e) AS e",
-        "SELECT count(*) AS n, 0 AS e FROM customer",
+        "SELECT count(*) AS n, CAST(0 AS BIGINT) AS e FROM customer",
     ),
     "anti_by_with": Entry(
         "MATCH (c:Customer) OPTIONAL MATCH (c)-[:DID]->(e:Event) WITH c, e WHERE e IS NULL RETURN count(c) AS n",
@@ -142,7 +142,7 @@ ENTRIES: dict[str, Entry] = {
     ),
     "agg_empty": Entry(
         "MATCH (p:Part) WHERE p.size > 1000 RETURN count(p) AS n, sum(p.size) AS s, avg(p.size) AS a, size(collect(p.name)) AS l",
-        "SELECT 0 AS n, 0 AS s, CAST(NULL AS DOUBLE) AS a, 0 AS l",
+        "SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS s, CAST(NULL AS DOUBLE) AS a, CAST(0 AS BIGINT) AS l",
     ),
     "collect_sorted": Entry(
         "MATCH (r:Region)<-[:IN_REGION]-(n:Nation) WITH r, n ORDER BY n.name WITH r.name AS r, collect(n.name) AS names RETURN r, size(names) AS c, reduce(t = 0, x IN names | t + size(x)) AS chars",
@@ -224,7 +224,7 @@ ENTRIES: dict[str, Entry] = {
     ),
     "conversions": Entry(
         "MATCH (s:Supplier) RETURN s.suppkey AS k, toString(s.nationkey) AS t, toInteger('12abc') AS i, toFloat('3.5x') AS f, toBoolean(s.nationkey) AS b, toInteger(s.acctbal) AS n, toString(2.0) AS d",
-        "SELECT s_suppkey AS k, CAST(s_nationkey AS VARCHAR) AS t, 12 AS i, 3.5::DOUBLE AS f, s_nationkey <> 0 AS b, CAST(trunc(s_acctbal) AS BIGINT) AS n, '2' AS d FROM supplier",
+        "SELECT s_suppkey AS k, CAST(s_nationkey AS VARCHAR) AS t, CAST(12 AS BIGINT) AS i, 3.5::DOUBLE AS f, s_nationkey <> 0 AS b, CAST(trunc(s_acctbal) AS BIGINT) AS n, '2' AS d FROM supplier",
     ),
     "temporal_parts": Entry(
         "MATCH (o:Order) RETURN year(o.orderdate) AS y, month(o.orderdate) AS m, count(*) AS n",
@@ -236,11 +236,11 @@ ENTRIES: dict[str, Entry] = {
     ),
     "temporal_build": Entry(
         "RETURN date(2023, 13, 1) AS d, datetime({year: 2023, month: 6, day: 15, hour: 14}) AS t, time(14, 30, 45, 120) AS c, localdatetime('2023-01-02T03:04:05') AS l, datetimewithtimezone('2023-06-15T14:30:45+02:00') AS z, duration({hours: 1, minutes: 30}) AS u, totalMinutes('PT1H30M') AS m, epochseconds('1970-01-02') AS e, temporalepoch('1970-01-01T01:00:00+01:00') AS te",
-        "SELECT '2024-01-01' AS d, '2023-06-15T14:00:00.000Z' AS t, '14:30:45.120' AS c, '2023-01-02T03:04:05' AS l, '2023-06-15T14:30:45+02:00' AS z, 'PT1H30M' AS u, 90.0::DOUBLE AS m, 86400 AS e, 0 AS te",
+        "SELECT '2024-01-01' AS d, '2023-06-15T14:00:00.000Z' AS t, '14:30:45.120' AS c, '2023-01-02T03:04:05' AS l, '2023-06-15T14:30:45+02:00' AS z, 'PT1H30M' AS u, 90.0::DOUBLE AS m, CAST(86400 AS BIGINT) AS e, CAST(0 AS BIGINT) AS te",
     ),
     "path_value": Entry(
         "MATCH p = (c:Customer)-[:IN_NATION]->(n)-[:IN_REGION]->(r) WHERE c.custkey < 20 RETURN c.custkey AS k, length(p) AS hops, [x IN nodes(p) | id(x)][2] AS region, size(relationships(p)) AS rels",
-        "SELECT c_custkey AS k, 2 AS hops, 'Region:' || n_regionkey AS region, 2 AS rels FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey < 20",
+        "SELECT c_custkey AS k, CAST(2 AS BIGINT) AS hops, 'Region:' || n_regionkey AS region, CAST(2 AS BIGINT) AS rels FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey < 20",
     ),
     "varlen_region": Entry(
         "MATCH (r:Region)-[*1..2]-(x) RETURN r.name AS r, labelsOf(x)[0] AS label, count(*) AS n",
@@ -249,12 +249,12 @@ ENTRIES: dict[str, Entry] = {
     ),
     "varlen_zero": Entry(
         "MATCH (n:Nation)-[rs:IN_REGION*0..1]->(x) RETURN n.name AS n, count(*) AS c, sum(size(rs)) AS hops",
-        "SELECT n_name AS n, 2 AS c, 1 AS hops FROM nation",
+        "SELECT n_name AS n, CAST(2 AS BIGINT) AS c, CAST(1 AS BIGINT) AS hops FROM nation",
         GEO,
     ),
     "varlen_simple_paths": Entry(
         "MATCH (a:Nation {nationkey: 0})-[:IN_REGION*1..4]-(b:Nation) RETURN b.name AS b, count(*) AS paths",
-        "SELECT b.n_name AS b, 1 AS paths FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey <> 0 WHERE a.n_nationkey = 0",
+        "SELECT b.n_name AS b, CAST(1 AS BIGINT) AS paths FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey <> 0 WHERE a.n_nationkey = 0",
         GEO,
     ),
     "shortest_path_len": Entry(
@@ -269,7 +269,7 @@ ENTRIES: dict[str, Entry] = {
     ),
     "graph_stats": Entry(
         "MATCH (r:Region) RETURN r.name AS r, numNodes() AS nodes, numRelationships() AS rels, density() AS density, averageDegree() AS degree, diameter() AS diameter",
-        "SELECT r_name AS r, 30 AS nodes, 25 AS rels, 25.0::DOUBLE / (30 * 29) AS density, 50.0::DOUBLE / 30 AS degree, -1 AS diameter FROM region",
+        "SELECT r_name AS r, CAST(30 AS BIGINT) AS nodes, CAST(25 AS BIGINT) AS rels, 25.0::DOUBLE / (30 * 29) AS density, 50.0::DOUBLE / 30 AS degree, CAST(-1 AS BIGINT) AS diameter FROM region",
         GEO,
     ),
     "degree_centrality": Entry(
@@ -290,7 +290,7 @@ ENTRIES: dict[str, Entry] = {
     ),
     "ego_graph": Entry(
         "MATCH (n:Nation) WITH n, egoGraph(n, 1) AS g RETURN n.name AS n, size(g.nodes) AS nodes, size(g.edges) AS edges",
-        "SELECT n_name AS n, 2 AS nodes, 1 AS edges FROM nation",
+        "SELECT n_name AS n, CAST(2 AS BIGINT) AS nodes, CAST(1 AS BIGINT) AS edges FROM nation",
         GEO,
     ),
     "subgraph_of_list": Entry(
@@ -300,22 +300,22 @@ ENTRIES: dict[str, Entry] = {
     ),
     "create_set_delete": Entry(
         "MATCH (r:Region) CREATE (r)<-[:IN_REGION]-(n:Nation {nationkey: 100 + r.regionkey, name: 'NEW ' + r.name}) SET n.fresh = true WITH count(*) AS made MATCH (x:Nation) WHERE x.nationkey < 5 DETACH DELETE x WITH DISTINCT made MATCH (r:Region)<-[:IN_REGION]-(n:Nation) RETURN made, r.name AS r, count(n) AS c, count(n.fresh) AS f",
-        "SELECT 5 AS made, r_name AS r, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey >= 5) + 1 AS c, 1 AS f FROM region",
+        "SELECT CAST(5 AS BIGINT) AS made, r_name AS r, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey >= 5) + 1 AS c, CAST(1 AS BIGINT) AS f FROM region",
         GEO,
     ),
     "merge": Entry(
         "UNWIND ['ASIA', 'ATLANTIS', 'ATLANTIS'] AS name MERGE (r:Region {name: name}) ON CREATE SET r.made = true ON MATCH SET r.seen = true WITH count(*) AS n MATCH (r:Region) RETURN n, r.name AS r, coalesce(r.made, false) AS made, coalesce(r.seen, false) AS seen",
-        "SELECT 3 AS n, r_name AS r, false AS made, r_name = 'ASIA' AS seen FROM region UNION ALL SELECT 3, 'ATLANTIS', true, false",
+        "SELECT CAST(3 AS BIGINT) AS n, r_name AS r, false AS made, r_name = 'ASIA' AS seen FROM region UNION ALL SELECT 3, 'ATLANTIS', true, false",
         GEO,
     ),
     "remove_label_prop": Entry(
         "MATCH (r:Region) WHERE r.regionkey < 2 REMOVE r.name, r:Region WITH count(*) AS n MATCH (x) WHERE size(labels(x)) = 0 RETURN n, x.regionkey AS k, x.name IS NULL AS gone",
-        "SELECT 2 AS n, r_regionkey AS k, true AS gone FROM region WHERE r_regionkey < 2",
+        "SELECT CAST(2 AS BIGINT) AS n, r_regionkey AS k, true AS gone FROM region WHERE r_regionkey < 2",
         GEO,
     ),
     "foreach_write": Entry(
         "MATCH (n:Nation) WITH collect(n) AS ns FOREACH (x IN ns WHERE x.regionkey = 1 | SET x.flag = x.nationkey) WITH size(ns) AS total MATCH (n:Nation) RETURN total, count(n.flag) AS flagged, sum(n.flag) AS s",
-        "SELECT 25 AS total, count(*) AS flagged, CAST(sum(n_nationkey) AS BIGINT) AS s FROM nation WHERE n_regionkey = 1",
+        "SELECT CAST(25 AS BIGINT) AS total, count(*) AS flagged, CAST(sum(n_nationkey) AS BIGINT) AS s FROM nation WHERE n_regionkey = 1",
         GEO,
     ),
 }
