@@ -6,7 +6,8 @@ A byte goes if it is covered by a string of 50 bytes that also starts in a docum
    windows name equal anchors, so a repeat is always seen where two documents share an anchor.  An anchor
    carries a hash of its 24 bytes and one of its context, all 76 bytes that its windows can reach.  Anchors
    travel as packed blocks dealt by the first hash; equal contexts of a block are one entry, the smallest id.
-2. Where contexts are equal, every document but the one with the smallest id loses the whole context.
+2. Where contexts are equal (by 64 bits of hash besides the anchor's), every document but the one with the
+   smallest id loses the whole context.
 3. Anchors with unequal contexts lie at the ends of a repeat.  Their contexts are cut from the texts and put,
    dealt by anchor, into suffix arrays; runs of suffixes that agree in 50 bytes are the repeats left.
 4. Each document's covered stretches are merged.
@@ -16,7 +17,7 @@ in descending order, and each sends the previous smaller suffixes of its members
 to them, into new groups behind their own.  When all groups are taken they are groups of equal Lyndon prefix
 in their final order, and one pass along the array puts each group's members in order.  Nothing is renamed.
 
-An anchor that a large share of documents has (a common line) sends its 27 windows as entries of their own
+An anchor that a large share of documents has in unequal contexts (a common line) sends its 27 windows as entries of their own
 instead of its context: they are dealt by their own hashes, so no task meets all its documents, and need no
 third step.  Both ways give the same bytes.
 
@@ -34,7 +35,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES
 from .ngrams import _BYTE, mix
 
 LENGTH = 50
@@ -43,13 +43,15 @@ REACH = LENGTH - KEY  # bytes that a context has on either side of its anchor
 WINDOW = REACH + 1  # places in a window of 50 bytes
 CONTEXT = KEY + 2 * REACH
 #: Bytes of text of a range of documents, and of a block of anchors' texts.
-PART_BYTES, BLOCK_BYTES = 12 << 20, 12 << 20
+PART_BYTES, BLOCK_BYTES = 8 << 20, 12 << 20
+#: Bytes of text whose hashes are held at once, and whose anchors are packed together.
+HASH_BYTES, PACK_BYTES = 1 << 19, 1 << 23
 #: Contexts for one suffix array; a group of one anchor is never divided, larger ones are compared by window.
 ARRAY_CONTEXTS, GROUP_CONTEXTS = 400, 12_000
-#: An anchor is common if at least one in so many documents has it, by a sample of so many documents.  Whether
-#: an anchor counts as common decides how its windows travel, never what is found.
-COMMON, COMMON_SAMPLE = 200, 40_000
-LOW40 = np.uint64((1 << 40) - 1)
+#: An anchor is common if one in so many documents has it, each in another context, by a sample of so many
+#: documents.  Whether an anchor counts as common decides how its windows travel, never what is found.
+COMMON, COMMON_SAMPLE = 200, 10_000
+LOW32 = np.uint64((1 << 32) - 1)
 NO_ID = np.iinfo(np.int64).max
 
 _A = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -284,21 +286,16 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _five(x: np.ndarray) -> np.ndarray:
-    """The low 40 bits of each number as five bytes."""
-    return (x & LOW40).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-
-
 def _entries(blob: bytes) -> tuple[np.ndarray, ...]:
-    n, d = np.frombuffer(blob, "<i4", 2)
-    ids = np.frombuffer(blob, "<i8", d, 8)
-    at = 8 + 8 * d
-    wide = np.zeros((2, n, 8), np.uint8)
-    wide[0, :, :5] = np.frombuffer(blob, np.uint8, 5 * n, at).reshape(n, 5)
-    wide[1, :, :5] = np.frombuffer(blob, np.uint8, 5 * n, at + 5 * n).reshape(n, 5)
-    key, context = wide.view("<u8")[:, :, 0]
-    place = np.frombuffer(blob, "<i4", n, at + 10 * n)
-    doc = np.repeat(ids, np.frombuffer(blob, "<i4", d, at + 14 * n))
+    n, d, wide = np.frombuffer(blob, "<i4", 3)
+    first = np.frombuffer(blob, "<i8", 1, 12)[0]
+    at = 20 + (12 if wide else 6) * d
+    ids = first + np.frombuffer(blob, "<i8" if wide else "<u4", d, 20).astype(np.int64)
+    count = np.frombuffer(blob, "<i4" if wide else "<u2", d, at - (4 if wide else 2) * d)
+    key = np.frombuffer(blob, "<u4", n, at).astype(np.uint64)
+    context = np.frombuffer(blob, "<u8", n, at + 4 * n)
+    place = np.frombuffer(blob, "<i4", n, at + 12 * n)
+    doc = np.repeat(ids, count)
     return key, context, doc, place
 
 
@@ -341,21 +338,22 @@ def _gone(ids: np.ndarray, first: np.ndarray, last: np.ndarray, parts: int):
 
 
 def _common(docs: DataFrame, total: int) -> np.ndarray:
-    """Keys of the anchors that one in COMMON documents of a sample has; at most COMMON times a document's anchors."""
+    """Keys of the anchors with as many unequal contexts in a sample as one in COMMON documents.
+
+    They are at most COMMON times as many as a document's anchors.  Copies have equal contexts and don't count.
+    """
 
     def run(batches):
         for b in batches:
             texts = _texts(b.column("text"))
-            for first, end in _slices(texts, CHUNK_BYTES):
-                doc, _, key, _, _ = anchors(texts[first:end])
-                key = key[np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])] if len(key) else key
-                value, n = np.unique(key, return_counts=True)
-                often = n > max(1, (end - first) // (4 * COMMON))
-                yield pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["key", "n"])
+            for first, end in _slices(texts, HASH_BYTES):
+                _, _, key, context, _ = anchors(texts[first:end])
+                pairs = np.unique(np.stack([key, context], axis=1), axis=0).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["key", "context"])
 
     share = min(1.0, COMMON_SAMPLE / max(1, total))
     some = docs.where((F.xxhash64("doc_id", F.lit(7)) % 1_000_000 + 1_000_000) % 1_000_000 < int(1_000_000 * share)) if share < 1 else docs
-    found = some.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(100, total * share // COMMON))
+    found = some.select("text").mapInArrow(run, "key long, context long").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= max(20, total * share // COMMON))
     return np.sort(np.array([r["key"] for r in found.select("key").collect()], np.int64).view(np.uint64))
 
 
@@ -381,14 +379,14 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
         """Anchors of a batch as entries; of equal entries only the smallest id goes on, the others are settled here."""
         for b in batches:
             all_texts, all_ids = _texts(b.column("text")), _ids(b.column("doc_id"))
-            for lo, hi in _slices(all_texts, 4 * CHUNK_BYTES):
+            for lo, hi in _slices(all_texts, PACK_BYTES):
                 texts, ids = all_texts[lo:hi], all_ids[lo:hi]
                 pieces = []
-                for first, end in _slices(texts, CHUNK_BYTES):
+                for first, end in _slices(texts, HASH_BYTES):
                     doc, place, key, context, window_hash = anchors(texts[first:end])
                     often = np.isin(key, common.value) if len(common.value) else np.zeros(len(key), bool)
                     hot, calm = np.flatnonzero(often), np.flatnonzero(~often)
-                    pieces.append((key[calm] & LOW40 | (key[calm] >> np.uint64(40) << np.uint64(40)), context[calm] & ~np.uint64(1), ids[first + doc[calm]], place[calm]))
+                    pieces.append((key[calm], context[calm] & ~np.uint64(1), ids[first + doc[calm]], place[calm]))
                     for w in range(WINDOW if len(hot) else 0):
                         h, inside = window_hash(hot, w)
                         h, rows = h[inside], hot[inside]
@@ -396,7 +394,7 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
                 key, context, doc, place = (np.concatenate(x) for x in zip(*pieces, strict=True))
                 window = (context & np.uint64(1)).astype(bool)
                 block = (mix(key) % np.uint64(blocks)).astype(np.uint16 if blocks < 1 << 16 else np.uint32)
-                key, context = key & LOW40, context & LOW40
+                key = key & LOW32
                 late = doc > _least(_class(key, context), doc)
                 where = np.flatnonzero(late)
                 start = np.where(window, place, place - REACH)[where]
@@ -411,8 +409,12 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
 
                 def pack(a, b, key=key, context=context, doc=doc, place=place):
                     cut = np.concatenate([[0], np.flatnonzero(np.diff(doc[a:b])) + 1, [b - a]])
-                    own = doc[a:b][cut[:-1]]
-                    return np.array([b - a, len(own)], "<i4").tobytes() + own.astype("<i8").tobytes() + _five(key[a:b]).tobytes() + _five(context[a:b]).tobytes() + place[a:b].astype("<i4").tobytes() + np.diff(cut).astype("<i4").tobytes()
+                    own, count = doc[a:b][cut[:-1]], np.diff(cut)
+                    first = own.min()
+                    wide = int(own.max()) - int(first) >= 1 << 32 or int(count.max()) >= 1 << 16
+                    head = np.array([b - a, len(own), wide], "<i4").tobytes() + np.array([first], "<i8").tobytes()
+                    head += (own - first).astype("<i8" if wide else "<u4").tobytes() + count.astype("<i4" if wide else "<u2").tobytes()
+                    return head + key[a:b].astype("<u4").tobytes() + context[a:b].astype("<u8").tobytes() + place[a:b].astype("<i4").tobytes()
 
                 yield from _emit("block", block.astype(np.int64), ENTRIES, pack)
 
@@ -467,6 +469,9 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
         got = [_unpack(x, "<u8", "<i8", "<i4", f"V{CONTEXT}") for x in table.column("blob").to_pylist()]
         key, doc, place, matrix = (np.concatenate(x) for x in zip(*got, strict=True))
         matrix = np.ascontiguousarray(matrix).view(np.uint8).reshape(-1, CONTEXT)
+        key = np.zeros(len(matrix), np.uint64)  # of the 24 bytes themselves: equal keys share them
+        for word in np.ascontiguousarray(matrix[:, REACH : REACH + KEY]).view("<u8").T:
+            key = mix(key ^ word) + word
         use = np.flatnonzero(likely(matrix, doc, key))
         order = use[np.argsort(key[use], kind="stable")]
         key, doc, place, matrix = key[order], doc[order], place[order], matrix[order]
@@ -503,7 +508,7 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
                 good = b > a
                 np.add.at(cover, start[row[good]] + a[good], 1)
                 np.add.at(cover, start[row[good]] + b[good], -1)
-        gone = np.cumsum(cover) > 0
+        gone = np.cumsum(cover, dtype=np.int32) > 0
         data = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8) if texts else np.empty(0, np.uint8)
         n_removed, n_spans, kept = [], [], []
         for i, t in enumerate(texts):
@@ -519,9 +524,10 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     settled = entered.groupBy("block").applyInArrow(settle, f"part {BLOB}")
     part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), F.lit(parts))
     by_part = own.withColumn("part", part)
-    contexts = by_part.groupBy("part").cogroup(settled.groupBy("part")).applyInArrow(cut, f"block {BLOB}")
+    opened, gone = settled.where(F.col("kind") == OPEN), settled.where(F.col("kind") == GONE)
+    contexts = by_part.groupBy("part").cogroup(opened.groupBy("part")).applyInArrow(cut, f"block {BLOB}")
     found = contexts.groupBy("block").applyInArrow(sort, f"part {BLOB}")
-    everything = settled.unionByName(found)
+    everything = gone.unionByName(found)
     out = by_part.groupBy("part").cogroup(everything.groupBy("part")).applyInArrow(finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, " + ("kept binary" if keep else "kept_sha256 string"))
     return out, contexts
 
