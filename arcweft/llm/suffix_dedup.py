@@ -286,6 +286,23 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _halves(x: np.ndarray) -> bytes:
+    """Low halves of 32-bit numbers, then high halves: these are nearly all 0, and the shuffle's compression drops them."""
+    x = x.astype("<i4").view("<u4")
+    return (x & 0xFFFF).astype("<u2").tobytes() + (x >> 16).astype("<u2").tobytes()
+
+
+def _whole(blob: bytes, n: int, at: int) -> np.ndarray:
+    low, high = np.frombuffer(blob, "<u2", n, at), np.frombuffer(blob, "<u2", n, at + 2 * n)
+    return (low.astype("<u4") | high.astype("<u4") << 16).view("<i4")
+
+
+def _stretches(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Ids, starts and lengths of the stretches that go."""
+    n = len(blob) // 14
+    return np.frombuffer(blob, "<i8", n), _whole(blob, n, 8 * n), np.frombuffer(blob, "<i2", n, 12 * n)
+
+
 def _entries(blob: bytes) -> tuple[np.ndarray, ...]:
     n, d, wide = np.frombuffer(blob, "<i4", 3)
     first = np.frombuffer(blob, "<i8", 1, 12)[0]
@@ -294,7 +311,7 @@ def _entries(blob: bytes) -> tuple[np.ndarray, ...]:
     count = np.frombuffer(blob, "<i4" if wide else "<u2", d, at - (4 if wide else 2) * d)
     key = np.frombuffer(blob, "<u4", n, at).astype(np.uint64)
     context = np.frombuffer(blob, "<u8", n, at + 4 * n)
-    place = np.frombuffer(blob, "<i4", n, at + 12 * n)
+    place = _whole(blob, n, at + 12 * n)
     doc = np.repeat(ids, count)
     return key, context, doc, place
 
@@ -334,7 +351,7 @@ def _gone(ids: np.ndarray, first: np.ndarray, last: np.ndarray, parts: int):
     part = _part(ids, parts)
     order = np.lexsort((first, ids, part))
     part, ids, first, last = part[order], ids[order], first[order], last[order]
-    yield from _emit("part", part, GONE, lambda a, b: _pack(i=ids[a:b].astype("<i8"), f=first[a:b].astype("<i4"), n=(last - first)[a:b].astype("<i2")))
+    yield from _emit("part", part, GONE, lambda a, b: ids[a:b].astype("<i8").tobytes() + _halves(first[a:b]) + (last - first)[a:b].astype("<i2").tobytes())
 
 
 def _common(docs: DataFrame, total: int) -> np.ndarray:
@@ -414,7 +431,7 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
                     wide = int(own.max()) - int(first) >= 1 << 32 or int(count.max()) >= 1 << 16
                     head = np.array([b - a, len(own), wide], "<i4").tobytes() + np.array([first], "<i8").tobytes()
                     head += (own - first).astype("<i8" if wide else "<u4").tobytes() + count.astype("<i4" if wide else "<u2").tobytes()
-                    return head + key[a:b].astype("<u4").tobytes() + context[a:b].astype("<u8").tobytes() + place[a:b].astype("<i4").tobytes()
+                    return head + key[a:b].astype("<u4").tobytes() + context[a:b].astype("<u8").tobytes() + _halves(place[a:b])
 
                 yield from _emit("block", block.astype(np.int64), ENTRIES, pack)
 
@@ -493,7 +510,7 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     def finish(table, blobs):
         """Merge each document's stretches."""
         ids, texts = _ids(table.column("doc_id")), _texts(table.column("text"))
-        got = [_unpack(x, "<i8", "<i4", "<i2") for k, x in zip(blobs.column("kind").to_pylist(), blobs.column("blob").to_pylist(), strict=True) if k == GONE]
+        got = [_stretches(x) for k, x in zip(blobs.column("kind").to_pylist(), blobs.column("blob").to_pylist(), strict=True) if k == GONE]
         size = np.array([len(t) for t in texts], np.int64)
         start = np.concatenate([[0], np.cumsum(size + 1)])
         cover = np.zeros(int(start[-1]) + 1, np.int32)
