@@ -28,6 +28,7 @@ than all; an empty table gives an empty result; other columns do not matter.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
@@ -43,11 +44,11 @@ REACH = LENGTH - KEY  # bytes that a context has on either side of its anchor
 WINDOW = REACH + 1  # places in a window of 50 bytes
 CONTEXT = KEY + 2 * REACH
 #: Bytes of text of a range of documents, and of a block of anchors' texts.
-PART_BYTES, BLOCK_BYTES = 8 << 20, 12 << 20
+PART_BYTES, BLOCK_BYTES = 4 << 20, 6 << 20
 #: Bytes of text whose hashes are held at once, and whose anchors are packed together.
 HASH_BYTES, PACK_BYTES = 1 << 19, 1 << 23
 #: Contexts for one suffix array; a group of one anchor is never divided, larger ones are compared by window.
-ARRAY_CONTEXTS, GROUP_CONTEXTS = 400, 12_000
+ARRAY_CONTEXTS, GROUP_CONTEXTS = 400, 4000
 #: An anchor is common if one in so many documents has it, each in another context, by a sample of so many
 #: documents.  Whether an anchor counts as common decides how its windows travel, never what is found.
 COMMON, COMMON_SAMPLE = 200, 10_000
@@ -238,6 +239,15 @@ def anchors(texts: list[bytes]):
     return doc, (at - start[doc]).astype(np.int64), key[at], context, window_hash
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on, and beside it others need the executor's share."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def _ids(column) -> np.ndarray:
     return np.array([NO_ID if x is None else x for x in column.to_pylist()], np.int64)
 
@@ -434,9 +444,12 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
                     return head + key[a:b].astype("<u4").tobytes() + context[a:b].astype("<u8").tobytes() + _halves(place[a:b])
 
                 yield from _emit("block", block.astype(np.int64), ENTRIES, pack)
+                del key, context, doc, place, block, window, late, go, pieces
+                _give_back()
 
     def settle(table):
         """Of a block: stretches that go, and open anchors."""
+        _give_back()
         schema = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
         passed = [x for k, x in zip(kinds, blobs, strict=True) if k == GONE]
@@ -463,6 +476,7 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
 
     def cut(table, blobs):
         """Contexts of the open anchors of a range of documents."""
+        _give_back()
         got = [_unpack(x, "<u8", "<i8", "<i4") for k, x in zip(blobs.column("kind").to_pylist(), blobs.column("blob").to_pylist(), strict=True) if k == OPEN]
         empty = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
         if not got or not len(table):
@@ -483,6 +497,7 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
 
     def sort(table):
         """Repeats among the contexts of a block, by suffix arrays."""
+        _give_back()
         got = [_unpack(x, "<u8", "<i8", "<i4", f"V{CONTEXT}") for x in table.column("blob").to_pylist()]
         key, doc, place, matrix = (np.concatenate(x) for x in zip(*got, strict=True))
         matrix = np.ascontiguousarray(matrix).view(np.uint8).reshape(-1, CONTEXT)
@@ -509,6 +524,7 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
 
     def finish(table, blobs):
         """Merge each document's stretches."""
+        _give_back()
         ids, texts = _ids(table.column("doc_id")), _texts(table.column("text"))
         got = [_stretches(x) for k, x in zip(blobs.column("kind").to_pylist(), blobs.column("blob").to_pylist(), strict=True) if k == GONE]
         size = np.array([len(t) for t in texts], np.int64)
