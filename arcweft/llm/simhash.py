@@ -13,6 +13,7 @@ Equal fingerprints are one node from the start.
 For the similarity of shingle sets (near_duplicates) t is so large that no chain gives a selective key;
 there candidates come from min-wise samples of the shingles, chains and the full Hamming distance prune
 them, a sketch estimates their Jaccard similarity, and what the sketch can't decide is compared exactly.
+Buckets that these pairs leave in several components are compared whole, every text with every other.
 
 Edge cases: null, empty and blank texts have no word and the fingerprint 0, linked like any other; fewer
 words than a shingle make one shingle of all; equal texts and repeated rows get one component; rows with a
@@ -39,6 +40,9 @@ BANDS, ROWS = 12, 3
 BINS, SURE, UNLIKE = 128, 0.93, 0.66
 #: A band's bucket with more texts than this is sorted in parts, by the next band's key and at random.
 BUCKET = 1024
+#: Texts and shingles of a block in which all pairs of a bucket are compared, and least texts of a block that
+#: share a shingle for it to be a column of a matrix product.
+BLOCK_SETS, BLOCK_SHINGLES, DENSE = 1024, 1 << 20, 48
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -164,6 +168,7 @@ def _chain(x):
 def candidates(sets: DataFrame) -> DataFrame:
     """(a, b): pairs of distinct shingle sets that share a band and whose fingerprints are near.
 
+    These are the pairs that settle most buckets; ``bucket_links`` compares what they leave apart.
     A bucket of any size gives a number of pairs in proportion to it: each member with the bucket's leader,
     which another hash order names in every band, and with its next two in the order of fingerprints, a
     large bucket being sorted in parts, by the next band's key and by a salt that bounds a part to about
@@ -194,7 +199,7 @@ def _estimate(a: bytes, b: bytes) -> float:
 def _groups(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The rows' signatures, and (whole, component) of the shingle sets that have a near-duplicate."""
     rows = checkpoint(signatures(docs))
-    sets = rows.groupBy("whole").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    sets = rows.groupBy("whole").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     sets = checkpoint(sets)
     pairs = candidates(sets)
     a, b = (sets.select(F.col("whole").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
@@ -210,22 +215,118 @@ def _groups(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     open_pairs = est.where(F.col("est") < SURE).join(ca, "a", "left").join(cb, "b", "left")
     open_pairs = checkpoint(open_pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
     agreed = _exact(docs, rows, open_pairs, similarity)
-    edges = est.where(F.col("est") >= SURE).select("a", "b").unionByName(agreed)
+    edges = checkpoint(est.where(F.col("est") >= SURE).select("a", "b").unionByName(agreed))
+    linked = checkpoint(connected_components(edges))
+    edges = edges.unionByName(bucket_links(docs, rows, sets, linked, similarity))
     return rows, connected_components(edges).select(F.col("node").alias("whole"), "component")
 
 
+def shared(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(i, j) numbers of hashes that sets i and j have in common; ``hashes`` holds one set after the other."""
+    m = len(sizes)
+    out = np.zeros((m, m), np.float32)
+    row = np.repeat(np.arange(m), sizes)
+    order = np.lexsort((row, hashes))
+    row, first = row[order], np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
+    number, count = np.cumsum(first) - 1, np.diff(np.append(np.flatnonzero(first), len(hashes)))
+    often = np.flatnonzero(count >= DENSE)
+    column = np.full(len(count), -1)
+    column[often] = np.arange(len(often))
+    column, rare = column[number], count[number] < DENSE
+    at = np.flatnonzero(column >= 0)
+    for low in range(0, len(often), 512):
+        part = at[np.searchsorted(column[at], low) : np.searchsorted(column[at], low + 512)]
+        dense = np.zeros((m, 512), np.float32)
+        dense[row[part], column[part] - low] = 1
+        out += dense @ dense.T
+    row, number = row[rare], number[rare]
+    for k in range(1, DENSE):
+        same = np.flatnonzero(number[k:] == number[:-k])
+        if not len(same):
+            break
+        a, b = row[same], row[same + k]
+        np.add.at(out, (a, b), 1)
+        np.add.at(out, (b, a), 1)
+    out[np.arange(m), np.arange(m)] = sizes
+    return out
+
+
+def forest(near: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of a symmetric boolean matrix."""
+    left, a, b = np.ones(len(near), bool), [], []
+    for root in range(len(near)):
+        if not left[root]:
+            continue
+        left[root], queue = False, [root]
+        while queue:
+            i = queue.pop()
+            new = np.flatnonzero(near[i] & left)
+            left[new] = False
+            queue += new.tolist()
+            a += [i] * len(new)
+            b += new.tolist()
+    return a, b
+
+
+def bucket_links(docs: DataFrame, rows: DataFrame, sets: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links of that similarity that join the components of each band's buckets, by the shingles themselves.
+
+    Buckets of up to three have had all their pairs, and those within one component need no more.  The others
+    are dealt into blocks, and every two blocks of a bucket meet in a group of their own, so that any two texts of
+    a bucket are compared.  A group gives a spanning forest of its links, never all of them.
+    """
+    spark = docs.sparkSession
+    parts = linked.select(F.col("node").alias("whole"), "component")
+    members = sets.select("whole", "n", F.posexplode("keys").alias("band", "key")).join(parts, "whole", "left")
+    members = members.withColumn("component", F.coalesce("component", "whole"))
+    mixed = members.groupBy("band", "key").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = mixed.where("size > 3 and low < high")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    members = members.join(mixed.select("band", "key", blocks.alias("blocks")), ["band", "key"])
+    members = checkpoint(members.select("whole", "component", "band", "key", "blocks", F.pmod(F.xxhash64("whole", F.lit(3)), F.col("blocks")).cast("int").alias("own")))
+    if members.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
+
+    def hashed(batches):
+        for t in batches:
+            own = [np.unique(shingle_hashes(x, SHINGLE)).tobytes() for x in _texts(t.column("text"))]
+            yield pa.RecordBatch.from_arrays([t.column("whole"), pa.array(own, pa.binary())], ["whole", "hashes"])
+
+    def compare(table):
+        whole, component = table.column("whole").to_numpy(), table.column("component").to_numpy()
+        blobs = table.column("hashes").to_pylist()
+        sizes = np.array([len(x) // 8 for x in blobs], np.int64)
+        both = shared(np.frombuffer(b"".join(blobs), np.uint64), sizes)
+        near = np.empty(both.shape, bool)
+        for i in range(len(both)):
+            near[i] = (both[i] >= similarity * (sizes[i] + sizes - both[i].astype(np.float64))) & (component[i] != component)
+        a, b = forest(near)
+        return pa.table({"a": pa.array(whole[a], pa.int64()), "b": pa.array(whole[b], pa.int64())})
+
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own"))))
+    texts = _texts_of(docs, rows, members.select("whole").distinct()).mapInArrow(hashed, "whole long, hashes binary")
+    met = members.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    met = met.join(texts, "whole").select("whole", "component", "band", "key", "i", "j", "hashes")
+    return checkpoint(met.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, th (hash of the text) and group of every document; near-duplicates have one group."""
     rows, parts = _groups(docs, similarity)
     return rows.join(parts, "whole", "left").select("doc_id", "th", F.coalesce("component", "whole").alias("group"))
 
 
+def _texts_of(docs: DataFrame, rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """whole and a text of each of the shingle sets ``needed``."""
+    one = rows.groupBy("whole").agg(F.min(F.struct("doc_id", "th")).alias("r")).join(needed, "whole", "left_semi")
+    texts = docs.select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"), "text").join(one, F.col("i").eqNullSafe(F.col("r.doc_id")) & (F.col("t") == F.col("r.th")))
+    return texts.select("whole", "text").dropDuplicates(["whole"])
+
+
 def _exact(docs: DataFrame, rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs whose shingle sets have the similarity, by the texts themselves."""
     needed = pairs.select(F.col("a").alias("whole")).unionByName(pairs.select(F.col("b").alias("whole"))).distinct()
-    one = rows.groupBy("whole").agg(F.min(F.struct("doc_id", "th")).alias("r")).join(needed, "whole", "left_semi")
-    texts = docs.select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"), "text").join(one, F.col("i").eqNullSafe(F.col("r.doc_id")) & (F.col("t") == F.col("r.th")))
-    texts = texts.select("whole", "text").dropDuplicates(["whole"])
+    texts = _texts_of(docs, rows, needed)
     a, b = (texts.select(F.col("whole").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
 
     def run(batches):

@@ -250,6 +250,35 @@ def test_near_duplicates_of_shingles(spark):
     assert kept == expect
 
 
+def test_near_copies_among_texts_with_a_passage(spark, monkeypatch):
+    rng = random.Random(17)
+    passage = prose(rng, 300)
+    rows = []
+    for i in range(150):
+        own = prose(rng, 70).split()
+        rows.append((2 * i, f"{passage} {' '.join(own)}", "a"))
+        own[rng.randrange(10, 60)] = "zzz"
+        own[rng.randrange(10, 60)] = "yyy"
+        rows.append((2 * i + 1, f"{prose(rng, 4)} {passage} {' '.join(own)}", "a"))
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t, _ in rows}
+
+    def alike(a, b):
+        return len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+    assert all(alike(2 * i, 2 * i + 1) for i in range(150)) and not any(alike(a, b) for a in range(300) for b in range(a) if a // 2 != b // 2)
+    for size in (1024, 64):
+        monkeypatch.setattr(simhash, "BLOCK_SETS", size, raising=False)
+        kept = sorted(r["doc_id"] for r in simhash.without_near_duplicates(docs(spark, rows)).collect())
+        assert kept == list(range(0, 300, 2))
+
+
+def test_shared_hashes():
+    rng = random.Random(4)
+    sets = [sorted(rng.sample(range(200), rng.randint(0, 120)) + ([1000 + i // 2] if i % 3 else [])) for i in range(90)]
+    got = simhash.shared(np.array([x for s in sets for x in s], np.uint64), np.array([len(s) for s in sets]))
+    assert got.tolist() == [[len(set(a) & set(b)) for b in sets] for a in sets]
+
+
 def test_one_of_a_large_group_stays(spark):
     rng = random.Random(9)
     w = prose(rng, 150).split()
