@@ -23,7 +23,7 @@ third step.  Both ways give the same bytes.
 
 Edge cases: a null text is empty; texts below 50 bytes lose nothing; equal texts and repeats within runs such
 as blanks are found like others; documents of one id never cost each other a byte; a null id counts as larger
-than all; an empty table gives an empty result; other columns do not matter.
+than all; rows of null ids, and of one id with different texts, are told apart by a hash of the text; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
 from .ngrams import _BYTE, mix
 
 LENGTH = 50
@@ -54,6 +55,8 @@ ARRAY_CONTEXTS, GROUP_CONTEXTS = 400, 4000
 COMMON, COMMON_SAMPLE = 200, 10_000
 LOW32 = np.uint64((1 << 32) - 1)
 NO_ID = np.iinfo(np.int64).max
+#: Repeated ids with different texts that are broadcast; with more, every row carries the hash of its text.
+SEVERAL = 200_000
 
 _A = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -252,6 +255,25 @@ def _ids(column) -> np.ndarray:
     return np.array([NO_ID if x is None else x for x in column.to_pylist()], np.int64)
 
 
+def _row(ids: np.ndarray, version: np.ndarray) -> np.ndarray:
+    """Where a row is found: its id, or the hash of its text where the id does not name one text (0 elsewhere)."""
+    return np.where(version != 0, version, ids)
+
+
+def _versions(docs: DataFrame) -> DataFrame:
+    """doc_id, text and version: a hash of the text for null ids and ids with different texts, 0 for others."""
+    text = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)).bitwiseOR(F.lit(1))
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("low"), F.max(text).alias("high"))
+    several = checkpoint(ids.where("low <> high").select(F.col("doc_id").alias("several")))
+    own, n = docs.select("doc_id", "text"), several.limit(SEVERAL + 1).count()
+    if n > SEVERAL:
+        return own.withColumn("version", text)
+    if n == 0:
+        return own.withColumn("version", F.when(F.col("doc_id").isNull(), text).otherwise(F.lit(0)))
+    own = own.join(F.broadcast(several), F.col("doc_id") == F.col("several"), "left")
+    return own.select("doc_id", "text", F.when(F.col("doc_id").isNull() | F.col("several").isNotNull(), text).otherwise(F.lit(0)).alias("version"))
+
+
 def _texts(column) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
@@ -308,7 +330,7 @@ def _whole(blob: bytes, n: int, at: int) -> np.ndarray:
 
 
 def _stretches(blob: bytes) -> tuple[np.ndarray, ...]:
-    """Ids, starts and lengths of the stretches that go."""
+    """Rows, starts and lengths of the stretches that go."""
     n = len(blob) // 14
     return np.frombuffer(blob, "<i8", n), _whole(blob, n, 8 * n), np.frombuffer(blob, "<i2", n, 12 * n)
 
@@ -316,14 +338,15 @@ def _stretches(blob: bytes) -> tuple[np.ndarray, ...]:
 def _entries(blob: bytes) -> tuple[np.ndarray, ...]:
     n, d, wide = np.frombuffer(blob, "<i4", 3)
     first = np.frombuffer(blob, "<i8", 1, 12)[0]
-    at = 20 + (12 if wide else 6) * d
-    ids = first + np.frombuffer(blob, "<i8" if wide else "<u4", d, 20).astype(np.int64)
-    count = np.frombuffer(blob, "<i4" if wide else "<u2", d, at - (4 if wide else 2) * d)
+    at = 20 + (12 if wide & 1 else 6) * d
+    ids = first + np.frombuffer(blob, "<i8" if wide & 1 else "<u4", d, 20).astype(np.int64)
+    count = np.frombuffer(blob, "<i4" if wide & 1 else "<u2", d, at - (4 if wide & 1 else 2) * d)
+    version = np.frombuffer(blob, "<i8", d, at) if wide & 2 else np.zeros(d, np.int64)
+    at += 8 * d if wide & 2 else 0
     key = np.frombuffer(blob, "<u4", n, at).astype(np.uint64)
     context = np.frombuffer(blob, "<u8", n, at + 4 * n)
     place = _whole(blob, n, at + 12 * n)
-    doc = np.repeat(ids, count)
-    return key, context, doc, place
+    return key, context, np.repeat(ids, count), np.repeat(version, count), place
 
 
 def _emit(column: str, keys: np.ndarray, kind: int, pack):
@@ -358,6 +381,7 @@ ENTRIES, GONE, OPEN, CONTEXTS = 0, 1, 2, 3
 
 
 def _gone(ids: np.ndarray, first: np.ndarray, last: np.ndarray, parts: int):
+    """Stretches that go as blobs; ``ids`` are rows (see ``_row``)."""
     part = _part(ids, parts)
     order = np.lexsort((first, ids, part))
     part, ids, first, last = part[order], ids[order], first[order], last[order]
@@ -400,25 +424,26 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     parts = max(1, total["bytes"] // PART_BYTES)
     blocks = max(1, total["bytes"] // BLOCK_BYTES)
     sc = docs.sparkSession.sparkContext
+    own = _versions(docs)
     common = sc.broadcast(_common(docs, total["n"]))
 
     def enter(batches):
         """Anchors of a batch as entries; of equal entries only the smallest id goes on, the others are settled here."""
         for b in batches:
-            all_texts, all_ids = _texts(b.column("text")), _ids(b.column("doc_id"))
+            all_texts, all_ids, all_versions = _texts(b.column("text")), _ids(b.column("doc_id")), b.column("version").to_numpy()
             for lo, hi in _slices(all_texts, PACK_BYTES):
-                texts, ids = all_texts[lo:hi], all_ids[lo:hi]
+                texts, ids, versions = all_texts[lo:hi], all_ids[lo:hi], all_versions[lo:hi]
                 pieces = []
                 for first, end in _slices(texts, HASH_BYTES):
                     doc, place, key, context, window_hash = anchors(texts[first:end])
                     often = np.isin(key, common.value) if len(common.value) else np.zeros(len(key), bool)
                     hot, calm = np.flatnonzero(often), np.flatnonzero(~often)
-                    pieces.append((key[calm], context[calm] & ~np.uint64(1), ids[first + doc[calm]], place[calm]))
+                    pieces.append((key[calm], context[calm] & ~np.uint64(1), ids[first + doc[calm]], versions[first + doc[calm]], place[calm]))
                     for w in range(WINDOW if len(hot) else 0):
                         h, inside = window_hash(hot, w)
                         h, rows = h[inside], hot[inside]
-                        pieces.append((h, h | np.uint64(1), ids[first + doc[rows]], place[rows] - REACH + w))
-                key, context, doc, place = (np.concatenate(x) for x in zip(*pieces, strict=True))
+                        pieces.append((h, h | np.uint64(1), ids[first + doc[rows]], versions[first + doc[rows]], place[rows] - REACH + w))
+                key, context, doc, version, place = (np.concatenate(x) for x in zip(*pieces, strict=True))
                 window = (context & np.uint64(1)).astype(bool)
                 block = (mix(key) % np.uint64(blocks)).astype(np.uint16 if blocks < 1 << 16 else np.uint32)
                 key = key & LOW32
@@ -426,25 +451,27 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
                 where = np.flatnonzero(late)
                 start = np.where(window, place, place - REACH)[where]
                 end = np.where(window, place + LENGTH, place + KEY + REACH)[where]
-                for out in _gone(doc[where], start, end, parts):
+                for out in _gone(_row(doc[where], version[where]), start, end, parts):
                     # they go the way of the entries and are passed on there
                     blob = [p.to_bytes(8, "little") + x for p, x in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array([p % blocks for p in out.column(0).to_pylist()], pa.int64()), out.column(1), pa.array(blob, pa.binary())], ["block", "kind", "blob"])
                 go = np.flatnonzero(~late)
                 go = go[np.argsort(block[go], kind="stable")]
-                key, context, doc, place, block = (x[go] for x in (key, context, doc, place, block))
+                key, context, doc, version, place, block = (x[go] for x in (key, context, doc, version, place, block))
 
-                def pack(a, b, key=key, context=context, doc=doc, place=place):
-                    cut = np.concatenate([[0], np.flatnonzero(np.diff(doc[a:b])) + 1, [b - a]])
-                    own, count = doc[a:b][cut[:-1]], np.diff(cut)
+                def pack(a, b, key=key, context=context, doc=doc, version=version, place=place):
+                    new = (doc[a + 1 : b] != doc[a : b - 1]) | (version[a + 1 : b] != version[a : b - 1])
+                    cut = np.concatenate([[0], np.flatnonzero(new) + 1, [b - a]])
+                    own, text, count = doc[a:b][cut[:-1]], version[a:b][cut[:-1]], np.diff(cut)
                     first = own.min()
                     wide = int(own.max()) - int(first) >= 1 << 32 or int(count.max()) >= 1 << 16
-                    head = np.array([b - a, len(own), wide], "<i4").tobytes() + np.array([first], "<i8").tobytes()
+                    head = np.array([b - a, len(own), wide + 2 * bool(text.any())], "<i4").tobytes() + np.array([first], "<i8").tobytes()
                     head += (own - first).astype("<i8" if wide else "<u4").tobytes() + count.astype("<i4" if wide else "<u2").tobytes()
+                    head += text.astype("<i8").tobytes() if text.any() else b""
                     return head + key[a:b].astype("<u4").tobytes() + context[a:b].astype("<u8").tobytes() + _halves(place[a:b])
 
                 yield from _emit("block", block.astype(np.int64), ENTRIES, pack)
-                del key, context, doc, place, block, window, late, go, pieces
+                del key, context, doc, version, place, block, window, late, go, pieces
                 _give_back()
 
     def settle(table):
@@ -457,34 +484,34 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
         got = [_entries(x) for k, x in zip(kinds, blobs, strict=True) if k == ENTRIES]
         if not got:
             return pa.Table.from_batches(out, schema)
-        key, context, doc, place = (np.concatenate(x) for x in zip(*got, strict=True))
+        key, context, doc, version, place = (np.concatenate(x) for x in zip(*got, strict=True))
         late = doc > _least(_class(key, context), doc)
         window = (context & np.uint64(1)).astype(bool)
         where = np.flatnonzero(late)
-        out += list(_gone(doc[where], np.where(window, place, place - REACH)[where], np.where(window, place + LENGTH, place + KEY + REACH)[where], parts))
+        out += list(_gone(_row(doc[where], version[where]), np.where(window, place, place - REACH)[where], np.where(window, place + LENGTH, place + KEY + REACH)[where], parts))
         rest = np.flatnonzero(~late & ~window)
         if len(rest):  # an anchor is open if documents have it with unequal contexts
             order = rest[np.argsort(key[rest])]
             starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
             low, high = np.minimum.reduceat(doc[order], starts), np.maximum.reduceat(doc[order], starts)
             left = order[np.repeat(low < high, np.diff(np.append(starts, len(order))))]
-            part = _part(doc[left], parts)
+            part = _part(_row(doc[left], version[left]), parts)
             by = np.argsort(part, kind="stable")
             left, part = left[by], part[by]
-            out += _emit("part", part, OPEN, lambda a, b: _pack(k=key[left[a:b]].astype("<u8"), i=doc[left[a:b]].astype("<i8"), p=place[left[a:b]].astype("<i4")))
+            out += _emit("part", part, OPEN, lambda a, b: _pack(k=key[left[a:b]].astype("<u8"), i=doc[left[a:b]].astype("<i8"), v=version[left[a:b]].astype("<i8"), p=place[left[a:b]].astype("<i4")))
         return pa.Table.from_batches(out, schema)
 
     def cut(table, blobs):
         """Contexts of the open anchors of a range of documents."""
         _give_back()
-        got = [_unpack(x, "<u8", "<i8", "<i4") for k, x in zip(blobs.column("kind").to_pylist(), blobs.column("blob").to_pylist(), strict=True) if k == OPEN]
+        got = [_unpack(x, "<u8", "<i8", "<i8", "<i4") for k, x in zip(blobs.column("kind").to_pylist(), blobs.column("blob").to_pylist(), strict=True) if k == OPEN]
         empty = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
         if not got or not len(table):
             return pa.Table.from_batches([], empty)
-        key, doc, place = (np.concatenate(x) for x in zip(*got, strict=True))
-        ids, texts = _ids(table.column("doc_id")), _texts(table.column("text"))
+        key, doc, version, place = (np.concatenate(x) for x in zip(*got, strict=True))
+        ids, texts = _row(_ids(table.column("doc_id")), table.column("version").to_numpy()), _texts(table.column("text"))
         at = np.argsort(ids, kind="stable")
-        row = at[np.searchsorted(ids[at], doc)]
+        row = at[np.searchsorted(ids[at], _row(doc, version))]
         size = np.array([len(t) for t in texts], np.int64)
         start = REACH + np.concatenate([[0], np.cumsum(size + REACH)])[:-1]
         gap = b"\xff" * REACH
@@ -492,21 +519,21 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
         matrix = data[(start[row] + place - REACH)[:, None] + np.arange(CONTEXT)]
         block = (mix(key) % np.uint64(4 * blocks)).astype(np.int64)
         order = np.lexsort((key, block))
-        key, doc, place, matrix, block = (x[order] for x in (key, doc, place, matrix, block))
-        return pa.Table.from_batches(list(_emit("block", block, CONTEXTS, lambda a, b: _pack(k=key[a:b].astype("<u8"), i=doc[a:b].astype("<i8"), p=place[a:b].astype("<i4"), m=matrix[a:b].view(f"V{CONTEXT}").ravel()))), empty)
+        key, doc, version, place, matrix, block = (x[order] for x in (key, doc, version, place, matrix, block))
+        return pa.Table.from_batches(list(_emit("block", block, CONTEXTS, lambda a, b: _pack(k=key[a:b].astype("<u8"), i=doc[a:b].astype("<i8"), v=version[a:b].astype("<i8"), p=place[a:b].astype("<i4"), m=matrix[a:b].view(f"V{CONTEXT}").ravel()))), empty)
 
     def sort(table):
         """Repeats among the contexts of a block, by suffix arrays."""
         _give_back()
-        got = [_unpack(x, "<u8", "<i8", "<i4", f"V{CONTEXT}") for x in table.column("blob").to_pylist()]
-        key, doc, place, matrix = (np.concatenate(x) for x in zip(*got, strict=True))
+        got = [_unpack(x, "<u8", "<i8", "<i8", "<i4", f"V{CONTEXT}") for x in table.column("blob").to_pylist()]
+        key, doc, version, place, matrix = (np.concatenate(x) for x in zip(*got, strict=True))
         matrix = np.ascontiguousarray(matrix).view(np.uint8).reshape(-1, CONTEXT)
         key = np.zeros(len(matrix), np.uint64)  # of the 24 bytes themselves: equal keys share them
         for word in np.ascontiguousarray(matrix[:, REACH : REACH + KEY]).view("<u8").T:
             key = mix(key ^ word) + word
         use = np.flatnonzero(likely(matrix, doc, key))
         order = use[np.argsort(key[use], kind="stable")]
-        key, doc, place, matrix = key[order], doc[order], place[order], matrix[order]
+        key, doc, version, place, matrix = key[order], doc[order], version[order], place[order], matrix[order]
         new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
         group, bounds = np.cumsum(new) - 1, np.append(np.flatnonzero(new), len(key))
         out, first = [], 0
@@ -517,7 +544,7 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
             if len(rows):  # the windows of a context all hold its anchor: one stretch
                 lo, hi = hit[rows].argmax(1), WINDOW - 1 - hit[rows][:, ::-1].argmax(1)
                 p = place[first:last][rows] - REACH
-                out.append((doc[first:last][rows], p + lo, p + hi + LENGTH))
+                out.append((_row(doc[first:last][rows], version[first:last][rows]), p + lo, p + hi + LENGTH))
             first = last
         batches = list(_gone(*(np.concatenate(x) for x in zip(*out, strict=True)), parts)) if out else []
         return pa.Table.from_batches(batches, pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())]))
@@ -525,7 +552,7 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     def finish(table, blobs):
         """Merge each document's stretches."""
         _give_back()
-        ids, texts = _ids(table.column("doc_id")), _texts(table.column("text"))
+        ids, texts = _row(_ids(table.column("doc_id")), table.column("version").to_numpy()), _texts(table.column("text"))
         got = [_stretches(x) for k, x in zip(blobs.column("kind").to_pylist(), blobs.column("blob").to_pylist(), strict=True) if k == GONE]
         size = np.array([len(t) for t in texts], np.int64)
         start = np.concatenate([[0], np.cumsum(size + 1)])
@@ -534,7 +561,7 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
             doc, first, length = (np.concatenate(x) for x in zip(*got, strict=True))
             at = np.argsort(ids, kind="stable")
             lo, hi = np.searchsorted(ids[at], doc), np.searchsorted(ids[at], doc, side="right")
-            for more in range(int((hi - lo).max(initial=0))):  # once, unless ids repeat
+            for more in range(int((hi - lo).max(initial=0))):  # once, unless rows repeat
                 live = lo + more < hi
                 row = at[lo[live] + more]
                 a, b = np.maximum(first[live], 0), np.minimum(first[live] + length[live], size[row])
@@ -552,10 +579,9 @@ def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
             kept.append(rest if keep else hashlib.sha256(rest).hexdigest())
         return pa.table({"doc_id": table.column("doc_id"), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept" if keep else "kept_sha256": pa.array(kept, pa.binary() if keep else pa.string())})
 
-    own = docs.select("doc_id", "text")
     entered = own.mapInArrow(enter, f"block {BLOB}")
     settled = entered.groupBy("block").applyInArrow(settle, f"part {BLOB}")
-    part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), F.lit(parts))
+    part = F.pmod(F.xxhash64(F.when(F.col("version") != 0, F.col("version")).otherwise(F.col("doc_id").cast("long"))), F.lit(parts))
     by_part = own.withColumn("part", part)
     opened, gone = settled.where(F.col("kind") == OPEN), settled.where(F.col("kind") == GONE)
     contexts = by_part.groupBy("part").cogroup(opened.groupBy("part")).applyInArrow(cut, f"block {BLOB}")

@@ -326,6 +326,33 @@ def test_repeats_byte_by_byte(spark, common, monkeypatch):
     assert got == brute_removed(rows)
 
 
+@pytest.mark.parametrize("several", [100, 0])
+def test_repeats_of_rows_that_share_an_id(spark, several, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SEVERAL", several, raising=False)
+    rng = random.Random(12)
+    lines = [prose(rng, 14) for _ in range(8)]
+    rows = []
+    for i in [1, 2, 3, 4, 4, 4, 5, None, None, None, None, None]:
+        parts = [rng.choice(lines) if rng.random() < 0.5 else prose(rng, 9) for _ in range(rng.randint(1, 12))]
+        rows.append((i, " ".join(parts), "a"))
+    rows.append(rows[-1])
+    least: dict = {}
+    for i, t, _ in rows:
+        for k in range(len(t) - 49):
+            w = t[k : k + 50]
+            least[w] = min(least.get(w, 1 << 40), 1 << 40 if i is None else i)
+    want = []
+    for i, t, _ in rows:
+        gone = [False] * len(t)
+        for k in range(len(t) - 49):
+            if least[t[k : k + 50]] < (1 << 40 if i is None else i):
+                gone[k : k + 50] = [True] * 50
+        rest = "".join(c for c, g in zip(t, gone, strict=True) if not g)
+        want.append((str(i), len(t), sum(gone), hashlib.sha256(rest.encode()).hexdigest()))
+    got = [(str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.removed(docs(spark, rows)).collect()]
+    assert sorted(got) == sorted(want) and any(x[2] for x in want if x[0] == "None")
+
+
 def test_suffix_arrays():
     rng = random.Random(11)
     for _ in range(400):
