@@ -38,6 +38,7 @@ BAD_WORD = frozenset(
     " sidebar sidebars side aside social sponsor sponsored subscribe signup login search tags toolbar widget widgets skip topbar copyright"
     " outbrain taboola teaser sitemap legal disclaimer".split()
 )
+TALK = frozenset("comment comments commentlist disqus discussion replies reply respond".split())
 GOOD_WORD = frozenset("article body content entry hentry main page post story text blog prose column".split())
 # an open element is closed by the start of one of these
 CLOSES = {
@@ -52,11 +53,13 @@ _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "bad", "doubt", "bias", "points", "chars", "links", "order")
+    __slots__ = ("tag", "parent", "depth", "bad", "doubt", "named", "keep", "bias", "points", "chars", "links", "order")
 
     def __init__(self, tag, parent, bad, doubt, bias, order):
         self.tag, self.parent, self.bad, self.doubt, self.bias, self.order = tag, parent, bad, doubt, bias, order
         self.depth = parent.depth + 1 if parent else 0
+        self.named = False
+        self.keep = tag in KEEP or parent is not None and parent.keep
         self.points = 0.0
         self.chars = self.links = 0
 
@@ -83,7 +86,7 @@ def _tag_end(html: str, at: int) -> int:
     return close
 
 
-def _judge(tag: str, attrs: dict, inside_keep: bool) -> tuple[bool, bool, float]:
+def _judge(tag: str, attrs: dict, inside_keep: bool) -> tuple[bool, bool | str, float]:
     """Whether an element is left out, whether it is unless it holds most of the page, and the points of its names."""
     if tag in SKIP or (tag == "header" and not inside_keep):
         return True, False, 0.0
@@ -96,7 +99,7 @@ def _judge(tag: str, attrs: dict, inside_keep: bool) -> tuple[bool, bool, float]
     names = {w.lower() for w in _WORDS.findall(attrs.get("class", "") + " " + attrs.get("id", ""))}
     if names & BAD_WORD and tag not in KEEP:
         if not names & GOOD_WORD or names & {"comment", "comments", "ad", "ads"}:
-            return True, False, 0.0
+            return False, "talk" if names & TALK else "name", 0.0
         if names & {"sidebar", "footer"}:  # "sidebar-content", or "content-with-sidebar"
             return False, True, 0.0
     return False, False, (25.0 if names & GOOD_WORD else 0.0) + (25.0 if tag in KEEP else 0.0)
@@ -105,6 +108,7 @@ def _judge(tag: str, attrs: dict, inside_keep: bool) -> tuple[bool, bool, float]
 def parse(html: str) -> list[tuple[Node, str, int]]:
     """Text blocks in page order: the element they stand in, the text, and how many of its characters are links."""
     root = Node("html", None, False, False, 0.0, 0)
+    open_tags: dict[str, int] = {}
     stack, blocks, parts = [root], [], []
     order = links = in_link = 0
 
@@ -124,7 +128,9 @@ def parse(html: str) -> list[tuple[Node, str, int]]:
         nonlocal in_link
         if any(x.tag in BLOCK for x in stack[depth:]):
             flush()
-        in_link -= sum(x.tag == "a" for x in stack[depth:])
+        for x in stack[depth:]:
+            open_tags[x.tag] -= 1
+            in_link -= x.tag == "a"
         del stack[depth:]
 
     i, n = 0, len(html)
@@ -164,8 +170,9 @@ def parse(html: str) -> list[tuple[Node, str, int]]:
             break
         i = end + 1
         if closing:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
-                flush()
+            if not open_tags.get(tag):
+                if tag == "p":
+                    flush()
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
@@ -199,13 +206,15 @@ def parse(html: str) -> list[tuple[Node, str, int]]:
             for a in _ATTR.finditer(raw):
                 attrs.setdefault(a[1].lower(), unescape((a[2] or "").strip("\"'")))
         up = stack[-1]
-        keep = any(x.tag in KEEP for x in stack)
-        bad, doubt, bias = (True, False, 0.0) if up.bad else _judge(tag, attrs, keep)
+        bad, doubt, bias = (True, False, 0.0) if up.bad else _judge(tag, attrs, up.keep)
         if raw.rstrip().endswith("/") and tag not in BLOCK:
             continue
         order += 1
-        node = Node(tag, up, bad, doubt, bias, order)
+        keep = up.keep or tag in KEEP
+        node = Node(tag, up, bad, bool(doubt), bias, order)
+        node.keep, node.named = keep, doubt if isinstance(doubt, str) else ""
         stack.append(node)
+        open_tags[tag] = open_tags.get(tag, 0) + 1
         in_link += tag == "a"
         if len(stack) > 400:  # nesting that no article has: later elements count to the same depth
             close_to(400)
@@ -213,29 +222,55 @@ def parse(html: str) -> list[tuple[Node, str, int]]:
     return blocks
 
 
-def extract(html: str | None) -> str:
-    """The main text: kept blocks joined by one newline."""
-    if not html:
-        return ""
-    blocks = [b for b in parse(html.replace("\x00", "")) if not b[0].bad]
-    # forms and names that say two things are in doubt: left out unless they hold most of what is there
-    held: dict[int, int] = {}
-    for node, text, _ in blocks:
+def _settle(blocks: list, named: bool) -> list:
+    """The blocks without those in elements in doubt that do not hold most of the page."""
+    held: dict[int, list] = {}
+    articles = 0
+    for node, text, links in blocks:
+        articles += len(text) * node.keep
         x = node
         while x is not None:
-            if x.doubt:
-                held[id(x)] = held.get(id(x), 0) + len(text)
+            if x.doubt and bool(x.named) == named:
+                h = held.setdefault(id(x), [0, 0, 0, False])
+                h[0] += len(text)
+                h[1] += links
+                h[2] += len(text) * node.keep
+                h[3] |= node.tag == "h1"
             x = x.parent
-    most = 0.6 * sum(len(t) for _, t, _ in blocks)
+    if not held:
+        return blocks
+    total = sum(len(t) for _, t, _ in blocks)
+
+    def stays(x, node) -> bool:
+        size, links, inside, title = held[id(x)]
+        if not named:
+            return size > 0.6 * total
+        if links >= 0.5 * size:
+            return False
+        if size > (0.9 if x.named == "talk" and not title and not inside else 0.6) * total and inside >= 0.6 * articles:
+            return True
+        # an article that is most of the articles and much of the page overrides the name around it
+        return node.keep and not x.keep and inside > 0.6 * articles and inside > 0.25 * total
 
-    def doubted(x) -> bool:
+    def whole(node) -> bool:
+        x = node
         while x is not None:
-            if x.doubt and held[id(x)] <= most:
-                return True
+            if id(x) in held and not stays(x, node):
+                return False
             x = x.parent
-        return False
+        return True
+
+    return [b for b in blocks if whole(b[0])]
 
-    blocks = [b for b in blocks if not doubted(b[0])] if held else blocks
+
+def extract(html: str | None) -> str:
+    """The main text: kept blocks joined by one newline."""
+    if not html:
+        return ""
+    blocks = [b for b in parse(html.replace("\x00", "")) if not b[0].bad]
+    # names first, then forms and names that say two things: left out unless they hold most of what is there
+    for named in (True, False):
+        blocks = _settle(blocks, named)
     if not blocks:
         return ""
     scored: dict[int, Node] = {}

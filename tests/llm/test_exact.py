@@ -115,6 +115,16 @@ def test_wrappers_named_like_parts_of_a_page():
     assert html_extract.extract(f"<div id=page>{body}<form><p>Subscribe now</p></form>{side}</div>") == text
 
 
+LONG = " ".join(f"Sentence {i} of the story goes on, with commas, for a while." for i in range(12))
+
+
+@pytest.mark.parametrize("name", ["layout with-sidebar", "has-ads", "fixed-header", "legal", "search-page"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_names_of_wrappers_do_not_empty_a_page(name, inner):
+    page = f"<body><div class='{name}'><{inner}><h1>Title</h1><p>{LONG}</p></{inner}><div class='sidebar'><p>Side note, short.</p></div></div></body>"
+    assert html_extract.extract(page) == f"Title\n{LONG}"
+
+
 def test_page_without_structure():
     assert html_extract.extract("<div>One block,\n of &nbsp; text</div>") == "One block, of text"
     assert html_extract.extract("<nav><a href=x>Menu</a></nav>") == ""
