@@ -40,6 +40,8 @@ BAD_WORD = frozenset(
 )
 TALK = frozenset("comment comments commentlist disqus discussion replies reply respond".split())
 GOOD_WORD = frozenset("article body content entry hentry main page post story text blog prose column".split())
+# containers of which one block may be a link
+LEAF = frozenset("p h1 h2 h3 h4 h5 h6 pre li td th dd dt blockquote figcaption header hgroup figure".split())
 # an open element is closed by the start of one of these
 CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
@@ -301,15 +303,38 @@ def extract(html: str | None) -> str:
     for x in inside:
         if x is not best and x.parent is best.parent and x.parent is not None and score(x) >= max(3.0, 0.2 * top) and x.links < 0.5 * x.chars:
             keep.add(id(x))
-    out = []
+    # menus: containers of the article that are mostly links, but not one linked headline or item
+    size: dict[int, list] = {}
     for node, text, links in blocks:
-        x, within = node, False
+        x = node
+        while x is not None:
+            c = size.setdefault(id(x), [0, 0, 0])
+            c[0] += len(text)
+            c[1] += links
+            c[2] += 1 + (x is node)
+            x = x.parent
+    title = -1  # the headings directly before the best container
+    for k, (node, _, _) in enumerate(blocks):
+        x = node
+        while x is not None and x is not best:
+            x = x.parent
+        if x is best:
+            title = k
+            while title and blocks[title - 1][0].tag in ("h1", "h2", "h3") and blocks[title - 1][0].parent is best.parent:
+                title -= 1
+            break
+    first = k
+    out = []
+    for k, (node, text, links) in enumerate(blocks):
+        x, within, menu = node, False, False
         while x is not None and not within:
             within = id(x) in keep
+            c = size[id(x)]
+            menu |= not within and x.tag in BLOCK and x.tag not in LEAF and c[2] > 1 and c[1] >= 0.6 * c[0]
             x = x.parent
         if not within and node.parent is best.parent and node.tag in ("p", "h1", "h2", "blockquote", "pre"):
-            within = len(text) > 80 and links < 0.25 * len(text)
-        if within and (links < 0.6 * len(text) or node.tag == "p" and links < len(text)):
+            within, menu = len(text) > 80 and links < 0.25 * len(text), False
+        if within and not menu or title <= k < first:
             out.append(text)
     return "\n".join(out)
 

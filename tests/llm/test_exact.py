@@ -125,6 +125,11 @@ def test_names_of_wrappers_do_not_empty_a_page(name, inner):
     assert html_extract.extract(page) == f"Title\n{LONG}"
 
 
+def test_linked_blocks_of_an_article_stay():
+    page = f"<body><h1>Page title</h1><div id='content'><h2><a href='x'>Linked headline</a></h2><p>{LONG}</p><p><a href='y'>All of it a link</a></p><p>{LONG}</p><ul><li><a href='1'>One</a></li><li><a href='2'>Two</a></li></ul></div></body>"
+    assert html_extract.extract(page).split("\n") == ["Page title", "Linked headline", LONG, "All of it a link", LONG]
+
+
 def test_page_without_structure():
     assert html_extract.extract("<div>One block,\n of &nbsp; text</div>") == "One block, of text"
     assert html_extract.extract("<nav><a href=x>Menu</a></nav>") == ""
