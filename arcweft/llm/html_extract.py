@@ -40,6 +40,8 @@ BAD_WORD = frozenset(
 )
 TALK = frozenset("comment comments commentlist disqus discussion replies reply respond".split())
 GOOD_WORD = frozenset("article body content entry hentry main page post story text blog prose column".split())
+#: Depth beyond which elements have no level of their own; what they are named and left out by still counts.
+DEEP = 400
 # containers of which one block may be a link
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 pre li td th dd dt blockquote figcaption header hgroup figure".split())
 # an open element is closed by the start of one of these
@@ -51,6 +53,7 @@ SCOPE = frozenset("table ul ol dl td th body html article section div main".spli
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_STOP = re.compile(r"""[>"']""")
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
@@ -66,25 +69,24 @@ class Node:
         self.chars = self.links = 0
 
 
-def _tag_end(html: str, at: int) -> int:
-    """Where the tag that opens before ``at`` ends: the first '>' outside quotes, else the first at all."""
+def _tag_end(html: str, at: int, unclosed: set) -> int:
+    """Where the tag that opens before ``at`` ends: the first '>' outside quotes, else the first at all.
+
+    ``unclosed`` collects quotes that do not come again in the page, so that no two tags look for them.
+    """
     close = html.find(">", at)
     if close < 0:
         return -1
-    head = html[at:close]
-    if head.count('"') % 2 == 0 and head.count("'") % 2 == 0:
-        return close
-    i, n = at, min(len(html), at + 4096)
-    quote = ""
-    while i < n:
-        c = html[i]
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'" and html[i - 1] in "= ":
-            quote = c
-        elif c == ">":
-            return i
-        i += 1
+    i = at
+    while m := _STOP.search(html, i):
+        i = m.end()
+        if m[0] == ">":
+            return m.start()
+        if html[m.start() - 1] in "= \t\n\r":
+            i = 0 if m[0] in unclosed else html.find(m[0], i) + 1
+            if not i:
+                unclosed.add(m[0])
+                return close
     return close
 
 
@@ -111,6 +113,7 @@ def parse(html: str) -> list[tuple[Node, str, int]]:
     """Text blocks in page order: the element they stand in, the text, and how many of its characters are links."""
     root = Node("html", None, False, False, 0.0, 0)
     open_tags: dict[str, int] = {}
+    unclosed: set[str] = set()
     stack, blocks, parts = [root], [], []
     order = links = in_link = 0
 
@@ -167,7 +170,7 @@ def parse(html: str) -> list[tuple[Node, str, int]]:
                 i = lt + 1
             continue
         tag = m[0].lower()
-        end = _tag_end(html, m.end())
+        end = _tag_end(html, m.end(), unclosed)
         if end < 0:
             break
         i = end + 1
@@ -212,14 +215,15 @@ def parse(html: str) -> list[tuple[Node, str, int]]:
         if raw.rstrip().endswith("/") and tag not in BLOCK:
             continue
         order += 1
+        if up.depth >= DEEP and tag not in BLOCK and tag != "a" and bad == up.bad and not doubt:
+            continue
+        # nesting that no article has: later elements hang from one, or from the last that is in doubt
         keep = up.keep or tag in KEEP
-        node = Node(tag, up, bad, bool(doubt), bias, order)
+        node = Node(tag, up if up.depth < DEEP or up.doubt else up.parent, bad, bool(doubt), bias, order)
         node.keep, node.named = keep, doubt if isinstance(doubt, str) else ""
         stack.append(node)
         open_tags[tag] = open_tags.get(tag, 0) + 1
         in_link += tag == "a"
-        if len(stack) > 400:  # nesting that no article has: later elements count to the same depth
-            close_to(400)
     flush()
     return blocks
 

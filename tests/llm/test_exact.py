@@ -130,6 +130,14 @@ def test_linked_blocks_of_an_article_stay():
     assert html_extract.extract(page).split("\n") == ["Page title", "Linked headline", LONG, "All of it a link", LONG]
 
 
+def test_long_attributes_and_deep_menus():
+    data = "{" + "a > b, " * 2000 + "}"
+    page = f"<article><p data-json='{data}'>{LONG}</p></article>"
+    assert html_extract.extract(page) == LONG
+    page = "<div>" * 450 + f"<nav><div><p>Menu entry of the page</p></div></nav><p>{LONG}</p>" + "</div>" * 450
+    assert html_extract.extract(page) == LONG
+
+
 def test_page_without_structure():
     assert html_extract.extract("<div>One block,\n of &nbsp; text</div>") == "One block, of text"
     assert html_extract.extract("<nav><a href=x>Menu</a></nav>") == ""
