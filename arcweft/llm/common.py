@@ -20,14 +20,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder that the session names.
 
-    A folder of our own is made only where ``spark.checkpoint.dir`` is unset (tests, one machine).
+    A folder of our own is made only on one machine (a local master); a cluster must name a shared one.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
     return df.checkpoint(eager=True)
 
 
+def free_names(df: DataFrame, *bases: str) -> list[str]:
+    """A column name for each base that the table does not have (Spark compares names without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for base in bases:
+        name, n = base, 0
+        while name.lower() in taken:
+            n += 1
+            name = f"{base}_{n}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def integer_ids(docs: DataFrame) -> None:
+    """Raise ValueError unless ``doc_id`` is an integer column: ids are compared as numbers."""
+    kind = dict(docs.dtypes)["doc_id"]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"doc_id must be an integer column, not {kind}")
+
+
 def word_count(text):
     """Words of a text, as long; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -55,7 +78,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds: each round hangs neighbours below the least node they
     see, so the number of rounds grows with the logarithm of the longest chain.  Only edges are shuffled,
-    each round is checkpointed in the shared folder, and a round stops the loop when no edge changed.
+    each round is checkpointed in the shared folder, and a round that changes no edge ends the loop (equal counts
+    and sums are confirmed by an anti join).
     A hub's neighbours are never gathered: the least neighbour is a partial aggregate, joined back.
     """
     edges = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -68,9 +92,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(low, "a").select(
             F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")
         )
-        edges = checkpoint(small.select("e.*").where("a <> b").distinct())
+        before, edges = edges, checkpoint(small.select("e.*").where("a <> b").distinct())
         now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
-        if now == state:
+        if now == state and edges.join(before, ["a", "b"], "left_anti").isEmpty():
             break
         state = now
     else:

@@ -115,14 +115,14 @@ def _scored(docs: DataFrame, model, emit, schema) -> DataFrame:
             texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column(at).cast(pa.binary())]
             yield emit(b, probabilities(texts, weight, bias) if shared.value else np.zeros(len(texts)))
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, schema)  # by place: names may hold dots
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None) -> DataFrame:
     """doc_id, held_out, score, predicted for every whole text."""
 
     def emit(b, out):
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(out), pa.array((out >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out), pa.array((out >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", (crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text")
     return _scored(rows, model, emit, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
@@ -151,4 +151,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Texts are scored where they lie; a row is kept or dropped by its own text, so nothing is shuffled.
     """
-    return _scored(docs, train(docs, labels), lambda b, out: b.filter(pa.array(out < THRESHOLD)), docs.schema)
+    docs_names = docs.columns
+    return _scored(docs, train(docs, labels), lambda b, out: b.filter(pa.array(out < THRESHOLD)).rename_columns(docs_names), docs.schema)
