@@ -2,12 +2,14 @@
 
 Every document of a source is put in a seeded random order.  Its virtual finish time is the number of
 tokens its source has sent up to and including it, divided by the source's target; a source that must
-send more than it has sends its documents again, in the same order, after the first pass.  All items are
-range-partitioned by virtual finish time and the queue is cut where the total budget is used up.
+send more than it has sends its documents again, in the same order, after the first pass.  The queue is the
+order of virtual finish times, cut where the total budget is used up.  To find the cut no global sort is needed:
+slices of virtual time, counted in partial aggregates, take the place of a range sort's partitions, the slice
+with the cut is sliced again, and only what is left of it is sorted.
 
 Edge cases: a null text has size 0; a null source is a source of its own and the last in code-point
 order; an empty table gives an empty result; equal ids and repeated rows are separate documents, each
-with its own place in the queue; further columns are left alone.
+with its own place in the queue (id and text decide it, so reruns agree); further columns are left alone.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, word_count
+from .common import checkpoint, free_names, word_count
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -24,6 +26,10 @@ BUCKET_DIGITS = 3
 #: Slices of virtual time per level of the range partitioning.
 SLICES = 4096
 MAX_PASSES = 2
+#: Copies of one document that are ranked in one part.
+SALTED = 8192
+#: Rows of a table of sources that are broadcast at most.
+BROADCAST = 100_000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, budget_num: int = 3, budget_den: int = 2, passes: int = MAX_PASSES) -> DataFrame:
@@ -50,6 +56,11 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget_num: int = 3, budge
     )
 
 
+def place():
+    """The key that shuffles documents: a hash of id and text, so that rows of one id or of none are dealt like others."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
+
+
 def queue(docs: DataFrame, weights=WEIGHTS, budget_num: int = 3, budget_den: int = 2, passes: int = MAX_PASSES) -> DataFrame:
     """(row_key, doc_id, size, source, source_size, target, finish, pass, taken): one row per document and pass.
 
@@ -57,8 +68,7 @@ def queue(docs: DataFrame, weights=WEIGHTS, budget_num: int = 3, budget_den: int
     two levels, so that a source with a third of all rows is no single task: sums of (source, bucket) give
     each bucket's start, and a window runs within a bucket only.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), place().alias("key"))
     sized = checkpoint(sized.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)))
     targets = source_targets(sized, weights, budget_num, budget_den, passes)
     starts = sized.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
@@ -122,19 +132,41 @@ def mix_sizes(docs: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The mixed documents with all their columns, a document once for each pass that sends it."""
-    items = queue(docs.select("doc_id", "text", "source")).where((F.col("taken") > 0) | ((F.col("size") == 0) & (F.col("pass") == 0)))
-    times = items.groupBy("source", "bucket", "key", "doc_id", "nth").agg(F.count("*").alias("times"))
-    # ids are unique in a table of documents; where they repeat, the copies share the sum of their passes
-    times = times.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg((F.sum("times") / F.count("*")).alias("__times"))
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")))
-    return joined.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil("__times"))))).select(*docs.columns)
+    """The mixed documents with all their columns, a document once for each pass that sends it.
+
+    Rows that share id, text and source are copies of one document: together they are sent as often as the queue
+    sends them.  Where that is no multiple of their number (at the cut of a source only) the copies are ranked,
+    in parts, and the first ones are sent once more.
+    """
+    key, source, copies, times, extra, row, salt, nth, start = free_names(docs, "key", "mixed_source", "copies", "times", "extra", "row", "salt", "nth", "start")
+    sent = (F.col("taken") > 0) | ((F.col("size") == 0) & (F.col("pass") == 0))
+    per = queue(docs.select("doc_id", "text", "source")).groupBy(F.col("key").alias(row), F.col("source").alias(source))
+    per = per.agg(F.count(F.when(F.col("pass") == 0, 1)).alias(copies), F.count(F.when(sent, 1)).alias(times)).where(F.col(times) > 0)
+    per = checkpoint(per.select(row, source, copies, F.floor(F.col(times) / F.col(copies)).alias(times), F.pmod(F.col(times), F.col(copies)).alias(extra)))
+    own, at = docs.withColumn(key, place()), (F.col(key) == F.col(row)) & F.col("source").eqNullSafe(F.col(source))
+    out = own.join(per, at).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times)))).where(F.col(nth) <= F.col(times)).select(*_quoted(docs))
+    more = per.where(F.col(extra) > 0)  # a row for each source at most, as copies follow each other in the queue
+    n = more.count()
+    if n:
+        some = own.join(F.broadcast(more) if n <= BROADCAST else more, at).withColumn(row, F.monotonically_increasing_id())
+        some = checkpoint(some.withColumn(salt, F.pmod(F.xxhash64(row), F.ceil(F.col(copies) / SALTED))))
+        before = Window.partitionBy(key, source).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+        first = some.groupBy(key, source, salt).agg(F.count("*").alias(nth)).withColumn(start, F.coalesce(F.sum(nth).over(before), F.lit(0))).drop(nth)
+        first = first.withColumnsRenamed({key: "k", source: "s", salt: "p"}).select(F.struct("k", "s", "p").alias(row), start)
+        ranked = some.withColumn(nth, F.row_number().over(Window.partitionBy(key, source, salt).orderBy(row))).drop(row)
+        ranked = ranked.join(first, F.col(key).eqNullSafe(F.col(f"{row}.k")) & F.col(source).eqNullSafe(F.col(f"{row}.s")) & (F.col(salt) == F.col(f"{row}.p")))
+        out = out.unionByName(ranked.where(F.col(start) + F.col(nth) <= F.col(extra)).select(*_quoted(docs)))
+    return out
+
+
+def _quoted(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM per),
