@@ -1,19 +1,25 @@
 """Document fingerprints: invertible Bloom lookup sketches of hashed paragraphs.
 
-A text is cut into lines and sentences; the set of their 64-bit digests goes into cells of (count, xor of
-digests, xor of check hashes), each digest into one cell of each of three tables.  Subtracting two versions'
-cells leaves what differs; peeling takes a cell that holds a single digest, removes it from its other cells,
-and goes on until all are empty: the digests that differ are recovered, and with them the likeness, shared
-over all.  Digests are first dealt to subtables by their own bits, so a subtable holds few of them for texts
-of any length and the work grows with the text.  A subtable that does not peel is retried with three times
-the cells and other bits, and one that fails again is compared as it is.
+A text is cut into lines and sentences; the set of their 64-bit digests (40 bits of hash, 24 that check them) is
+its sketch.  Digests are dealt by their bits to subtables, in number the least power of two that leaves
+``LOAD`` digests to each on average, and a digest enters one cell of each of the subtable's five tables; a cell is (how
+many, xor of digests).  The fingerprint is the sketch as text, so it grows with its document.
+
+Two versions are compared by their sketches alone.  If one has fewer subtables, its digests are recovered by peeling
+and entered in as many as the other has.  Then cells are subtracted, which leaves what differs, and peeled: a cell
+that holds a single digest gives it, and it is taken from its other cells, until nothing is left.  A subtable
+that gets stuck is retried larger: the digests of both sides, recovered by peeling, enter four times the cells by other
+bits, are subtracted, and peeled again.  If that gets stuck as well (or a side can't be recovered), each cell that
+is left counts for the digests that it holds, two at least, and five cells for one digest; that is the end of it.
+Likeness is what two sets share over all that they have.
 
 Everything is DataFrame expressions.  Texts are shuffled once, into ranges of ids, in which a window sees the
 next document; a range's last document sees the first of the next range through one extra row.
 
 Edge cases: a null text is the empty text; the empty text has no digest, and two empty texts have likeness 1;
-rows of equal or null ids follow each other by the hash of their texts (null ids last); one single document
-is its own next; an empty table gives an empty result; other columns do not matter.
+rows of equal or null ids follow each other by the hash of their texts (null ids last, in ranges of that hash); one
+single document is its own next; an empty table gives an empty result; other columns do not matter; ids that are
+no integers raise ValueError.
 """
 
 from __future__ import annotations
@@ -23,90 +29,122 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpoint, integer_ids
+
 #: Documents of a range, and ranges that are found by quantiles (each is cut evenly further on).
-RANGE_ROWS, QUANTILES = 4096, 64
-#: No more ranges than this for each quantile; beyond 64 x 1024 ranges they grow instead (windows spill).
-RANGES = 1024
-#: Cells of a table, and its multiple in a retry; digests of both versions for each subtable.
-CELLS, LARGER, LOAD = 4, 3, 4
-ROUNDS = 5
+RANGE_ROWS, QUANTILES = 2048, 64
+#: The most ranges whose last documents are found by a broadcast of 40 bytes each; with more it is a shuffled join.
+BROADCAST = 250_000
+#: Digests of a subtable at most on average, its tables, bits of a cell's number, and those in a retry.
+LOAD, TABLES, BITS, MORE_BITS = 8, 5, 3, 5
+#: Bits of a digest that check the others, and the first of those that say its cells; the ones between say its subtable.
+CHECK, FIRST = 24, 64 - TABLES * BITS
+MASK = (1 << CHECK) - 1
 #: Where a piece of text ends.
 PIECE = r"\n|(?<=[.!?]) "
 
 
-def digests(text: str) -> str:
-    """SQL: the set of piece digests of a text column."""
-    return f"array_distinct(transform(filter(split({text}, r'{PIECE}'), p -> p <> ''), p -> xxhash64(p)))"
-
-
-def _cells(d: str, cells: int = CELLS, turn: int = 0) -> str:
-    """SQL: the fields a, b, e: the cell of a digest in each of the three tables, numbered on."""
-    one = [f"cast(pmod(shiftrightunsigned({d}, {turn + 9 * k}), {cells}) as int) + {k * cells}" for k in range(3)]
-    return f"'a', {one[0]}, 'b', {one[1]}, 'e', {one[2]}"
-
-
-def signed(d: str, sign: int) -> str:
-    """SQL: digests as struct(d, h, s, a, b, e): digest, check hash, sign, cells."""
-    return f"transform({d}, d -> named_struct('d', d, 'h', xxhash64(d), 's', {sign}, {_cells('d')}))"
-
-
-def sketch(elements: str, cells: int = CELLS) -> str:
-    """SQL: the 3 x ``cells`` cells (count, xor of digests, xor of check hashes) of an array of such structs."""
-    return f"""transform(sequence(0, {3 * cells - 1}), i -> aggregate(filter({elements}, x -> x.a = i or x.b = i or x.e = i),
-        named_struct('n', 0, 'k', 0L, 'c', 0L), (a, x) -> named_struct('n', a.n + x.s, 'k', a.k ^ x.d, 'c', a.c ^ x.h)))"""
-
-
-def peeled(table: str, cells: int = CELLS, turn: int = 0) -> str:
-    """SQL: how many digests peeling recovers from the cells, or null if it gets stuck."""
-    less = """transform(st.t, (c, i) -> aggregate(filter(p, y -> y.a = i or y.b = i or y.e = i),
-        c, (a, y) -> named_struct('n', a.n - y.n, 'k', a.k ^ y.k, 'c', a.c ^ y.c)))"""
-    pure = "array_distinct(filter(st.t, x -> abs(x.n) = 1 and xxhash64(x.k) = x.c))"
-    pure = f"transform({pure}, x -> named_struct('n', x.n, 'k', x.k, 'c', x.c, {_cells('x.k', cells, turn)}))"
-    state = f"""aggregate(sequence(1, {ROUNDS * cells // CELLS}), named_struct('t', {table}, 'r', 0, 'end', false), (st, round) -> if(st.end, st,
-        transform(array({pure}), p -> if(size(p) = 0, named_struct('t', st.t, 'r', st.r, 'end', true), named_struct('t', {less}, 'r', st.r + size(p), 'end', false)))[0]))"""
-    return f"transform(array({state}), z -> if(forall(z.t, x -> x.n = 0 and x.k = 0L and x.c = 0L), z.r, cast(null as int)))[0]"
-
+def _let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-def difference(elements: str) -> str:
-    """SQL: how many digests differ in one subtable's array of signed digests."""
-    exact = f"size(filter({elements}, x -> not exists({elements}, y -> y.d = x.d and y.s <> x.s)))"
-    turned = f"transform({elements}, x -> named_struct('d', x.d, 'h', x.h, 's', x.s, {_cells('x.d', CELLS * LARGER, 27)}))"
-    larger = f"transform(array({turned}), u -> {peeled(sketch('u', CELLS * LARGER), CELLS * LARGER, 27)})[0]"
-    return f"if(size({elements}) = 0, 0, coalesce({peeled(sketch(elements))}, {larger}, {exact}))"
 
-
-def distance(a: str, b: str) -> str:
-    """SQL: the size of the symmetric difference of two digest arrays, by sketches of subtables.
-
-    Subtables are dealt in two steps, so that dealing takes the square root of their number a digest.
-    """
-    both = f"concat({signed(a, 1)}, {signed(b, -1)})"
-    steps = f"greatest(1, cast(ceil(sqrt((size({a}) + size({b})) / {LOAD})) as int))"
-    fine = f"aggregate(sequence(0, w - 1), 0, (n, f) -> n + transform(array(filter(g, x -> pmod(shiftrightunsigned(x.d, 44), w) = f)), q -> {difference('q')})[0])"
-    coarse = f"aggregate(sequence(0, w - 1), 0, (m, c) -> m + transform(array(filter(l, x -> pmod(shiftrightunsigned(x.h, 32), w) = c)), g -> {fine})[0])"
-    return f"transform(array({both}), l -> transform(array({steps}), w -> {coarse})[0])[0]"
-
-
-def likeness(a: str, b: str) -> str:
-    return f"transform(array({distance(a, b)}), n -> if(size({a}) + size({b}) = 0, 1D, (size({a}) + size({b}) - n) / cast(size({a}) + size({b}) + n as double)))[0]"
-
-
-def written(d: str) -> str:
-    """SQL: the sketch of a digest array as text: how many, then count, xor and check of each cell."""
-    cells = f"transform(array({signed(d, 1)}), l -> {sketch('l')})[0]"
-    return f"concat(hex(size({d})), ':', array_join(transform({cells}, x -> concat(hex(x.n), '.', lower(lpad(hex(x.k), 16, '0')), '.', lower(lpad(hex(x.c), 16, '0')))), ' '))"
+def digests(text: str) -> str:
+    """SQL: the set of piece digests of a text column."""
+    one = _let("h", f"shiftrightunsigned(xxhash64(p), {CHECK})", f"shiftleft(h, {CHECK}) | (xxhash64(h) & {MASK}L)")
+    return f"array_distinct(transform(filter(split({text}, r'{PIECE}'), p -> p <> ''), p -> {one}))"
+
+
+def _here(d: str, i: str, bits: int) -> str:
+    """SQL: whether digest ``d`` enters cell ``i``; the tables' bits and the cells' numbers are constant arrays."""
+    word, first = (d, FIRST) if bits == BITS else (f"xxhash64({d}, 1)", 0)
+    shifts = ", ".join(str(first + bits * (c >> bits)) for c in range(TABLES << bits))
+    numbers = ", ".join(f"{c & ((1 << bits) - 1)}L" for c in range(TABLES << bits))
+    return f"(shiftrightunsigned({word}, array({shifts})[{i}]) & {(1 << bits) - 1}L) = array({numbers})[{i}]"
+
+
+def subtables(n: str) -> str:
+    """SQL: how many subtables a set of ``n`` digests has."""
+    return f"if({n} <= {LOAD}, 1, cast(shiftleft(1, length(bin(cast(({n} - 1) div {LOAD} as bigint)))) as int))"
+
+
+def deal(digests: str, count: str) -> str:
+    """SQL: digests by subtable, in two steps, so that dealing takes the square root of their number a digest."""
+    low = f"shiftrightunsigned(x, {CHECK})"
+    coarse = f"filter(l, x -> ({low} & (s - 1)) div w = c)"
+    fine = f"transform(sequence(0, w - 1), f -> filter(g, x -> ({low} & (w - 1)) = f))"
+    width = "cast(shiftleft(1, cast((length(bin(s)) - 1) div 2 as int)) as int)"
+    every = f"flatten(transform(sequence(0, cast(s div w as int) - 1), c -> {_let('g', coarse, fine)}))"
+    return _let("l", digests, _let("s", count, _let("w", width, every)))
+
+
+def sketch(elements: str, bits: int = BITS) -> str:
+    """SQL: the cells (count, xor of digests) of an array of digests."""
+    word, first = ("x", FIRST) if bits == BITS else ("xxhash64(x, 1)", 0)
+    cell = _let("m", f"filter({elements}, x -> (shiftrightunsigned({word}, h) & {(1 << bits) - 1}L) = r)", "named_struct('n', size(m), 'k', aggregate(m, 0L, (z, x) -> z ^ x))")
+    numbers = ", ".join(f"{c}L" for c in range(1 << bits))
+    return f"flatten(transform(array({', '.join(str(first + bits * t) for t in range(TABLES))}), h -> transform(array({numbers}), r -> {cell})))"
+
+
+def sketches(digests: str) -> str:
+    """SQL: all subtables of an array of digests."""
+    return _let("own", digests, f"transform({deal('own', subtables('size(own)'))}, q -> {sketch('q')})")
+
+
+def minus(a: str, b: str) -> str:
+    return f"zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k))"
+
+
+def peeled(table: str, bits: int = BITS) -> str:
+    """SQL: struct(found, left): the digests that peeling recovers (with their sign), and how many are stuck."""
+    single = f"abs(x.n) = 1 and (xxhash64(shiftrightunsigned(x.k, {CHECK})) & {MASK}L) = (x.k & {MASK}L) and {_here('x.k', 'i', bits)}"
+    pure = f"array_distinct(filter(st.t, (x, i) -> {single}))"
+    less = f"transform(st.t, (c, i) -> aggregate(filter(p, y -> {_here('y.k', 'i', bits)}), c, (a, y) -> named_struct('n', a.n - y.n, 'k', a.k ^ y.k)))"
+    step = _let("p", pure, f"if(size(p) = 0, named_struct('t', st.t, 'f', st.f, 'end', true), named_struct('t', {less}, 'f', concat(st.f, p), 'end', false))")
+    start = f"named_struct('t', {table}, 'f', cast(array() as array<struct<n:int,k:bigint>>), 'end', false)"
+    # every round that is no end finds a digest, so a table can't take more rounds than it has cells
+    state = f"aggregate(sequence(1, {TABLES << bits}), {start}, (st, round) -> if(st.end, st, {step}))"
+    stuck = f"cast(ceil(aggregate(z.t, 0, (s, x) -> s + if(x.n = 0 and x.k = 0L, 0, greatest(abs(x.n), 2))) / {TABLES}) as int)"
+    return _let("z", state, f"named_struct('f', z.f, 'left', {stuck})")
+
+
+def add_likeness(rows: DataFrame, name: str, a: str, na: str, b: str, nb: str) -> DataFrame:
+    """A column with what two sets of ``na`` and ``nb`` digests share over all that they have, from their sketches a and b."""
+    steps = {
+        "small": f"if(size({a}) < size({b}), {a}, {b})",
+        "large": f"if(size({a}) < size({b}), {b}, {a})",
+        # the smaller one's digests, where it has fewer subtables, and these dealt to more of them
+        "own": f"if(size(small) = size(large), null, transform(small, o -> {peeled('o')}))",
+        "spread": f"if(own is null, small, transform({deal('flatten(transform(own, o -> transform(o.f, x -> x.k)))', 'size(large)')}, q -> {sketch('q')}))",
+        "lost": "if(own is null, 0, aggregate(own, 0, (s, o) -> s + o.left))",
+        # subtract and peel
+        "once": f"transform(large, (o, i) -> {peeled(minus('o', 'spread[i]'))})",
+        # what is stuck again with more cells, from what both sides give by themselves
+        "sides": f"transform(once, (o, i) -> if(o.left = 0, null, named_struct('a', {peeled('large[i]')}, 'b', {peeled('spread[i]')})))",
+        "again": f"transform(sides, o -> if(o is null or o.a.left + o.b.left > 0, null, {peeled(minus(sketch('transform(o.a.f, x -> x.k)', MORE_BITS), sketch('transform(o.b.f, x -> x.k)', MORE_BITS)), MORE_BITS)}))",
+        "differ": "aggregate(zip_with(once, again, (o, r) -> if(r is null, size(o.f) + o.left, size(r.f) + r.left)), lost, (s, n) -> s + n)",
+    }
+    kept = rows.columns
+    for step, expr in steps.items():
+        rows = rows.withColumn(step, F.expr(expr))
+    return rows.select(*kept, F.expr(f"if({na} + {nb} = 0, 1D, greatest(0D, ({na} + {nb} - differ) / cast({na} + {nb} + differ as double)))").alias(name))
+
+
+def written(sketch: str, n: str) -> str:
+    """SQL: a sketch as text: how many digests, then for each cell count and xor, nothing for an empty one."""
+    return f"concat({n}, ':', array_join(transform(flatten({sketch}), x -> if(x.n = 0, '', concat(x.n, '.', lower(hex(x.k))))), ' '))"
 
 
 def _ranges(docs: DataFrame, rows_per_range: int):
-    """An expression that numbers ranges of ids in ascending order, about evenly filled; null ids get -1."""
-    n, lo, hi = docs.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    """An expression that numbers ranges in ascending order, about evenly filled: of ids, below 0 of null ids' hashes."""
+    total, n, lo, hi = docs.agg(F.count("*"), F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    parts = max(1, math.ceil((total - n) / rows_per_range))
+    out = F.when(F.col("doc_id").isNull(), F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * parts).cast("long") - parts - 1)
     if not n or lo == hi:
-        return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long")
+        return out.otherwise(F.lit(0)).cast("long")
     quantiles = max(1, min(QUANTILES, n // rows_per_range))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / quantiles for i in range(1, quantiles)] or [0.5], 2000)).first()[0]
     edges = sorted({lo, *cuts, hi + 1})
-    inner = min(RANGES, math.ceil(n / len(edges) / rows_per_range))
-    out = F.when(F.col("doc_id").isNull(), F.lit(-1))
+    inner = math.ceil(n / len(edges) / rows_per_range)
     for i in range(len(edges) - 1):
         a, b = edges[i], edges[i + 1]
         part = F.floor((F.col("doc_id") - F.lit(a)).cast("double") * inner / float(b - a))
@@ -115,21 +153,28 @@ def _ranges(docs: DataFrame, rows_per_range: int):
 
 
 def with_next(docs: DataFrame, rows_per_range: int = RANGE_ROWS) -> DataFrame:
-    """(doc_id, text, d, next_text, next_d) of every document, next being that of the next smaller id."""
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = own.select(_ranges(own, rows_per_range).alias("part"), "doc_id", "text", F.xxhash64("text").alias("tie"))
+    """(doc_id, text, n, s, next_text, next_n, next_s) of every document, next being that of the next smaller id.
+
+    ``n`` and ``s`` are a text's digests' number and subtables, computed once, behind the shuffle.
+    """
+    integer_ids(docs)
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = own.withColumn("part", _ranges(own, rows_per_range))
     place = F.struct("doc_id", "tie")  # nulls are least
     first = rows.groupBy("part").agg(F.max(place).alias("top"))
     every = Window.partitionBy(F.lit(0)).orderBy(F.desc("part"))
-    # at most 64 x 1024 ranges of 32 bytes; the last one is followed by the first
+    # a row for each range; the last one is followed by the first
     first = first.withColumn("to", F.coalesce(F.lag("part").over(every), F.min("part").over(Window.partitionBy(F.lit(0)))))
-    first = first.select(F.col("part").alias("p"), F.col("top.doc_id").alias("i"), F.col("top.tie").alias("t"), "to")
-    heads = rows.join(F.broadcast(first), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")))
+    first = checkpoint(first.select(F.col("part").alias("p"), F.col("top.doc_id").alias("i"), F.col("top.tie").alias("t"), "to"))
+    first = F.broadcast(first) if first.count() <= BROADCAST else first
+    heads = rows.join(first, (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")))
     heads = heads.select(F.col("to").alias("part"), "doc_id", "text", "tie", F.lit(1).alias("extra"))
-    rows = rows.withColumn("extra", F.lit(0)).unionByName(heads).withColumn("d", F.expr(digests("text")))
-    order = Window.partitionBy("part").orderBy("extra", F.col("doc_id").desc_nulls_last(), F.desc("tie"))
-    nxt = F.lead(F.struct("text", "d")).over(order)
-    return rows.withColumn("next", nxt).where("extra = 0").select("doc_id", "text", "d", F.col("next.text").alias("next_text"), F.col("next.d").alias("next_d"))
+    rows = rows.select("part", "doc_id", "text", "tie", F.lit(0).alias("extra")).unionByName(heads)
+    # sorted before the sketches are made, so that neither the shuffle nor the sort carries them
+    order = ["extra", F.col("doc_id").desc_nulls_last(), F.desc("tie")]
+    rows = rows.repartition("part").sortWithinPartitions("part", *order).withColumn("d", F.expr(digests("text"))).withColumn("s", F.expr(sketches("d"))).withColumn("n", F.size("d")).drop("d")
+    nxt = F.lead(F.struct("text", "n", "s")).over(Window.partitionBy("part").orderBy(*order))
+    return rows.withColumn("next", nxt).where("extra = 0").select("doc_id", "text", "n", "s", F.col("next.text").alias("next_text"), F.col("next.n").alias("next_n"), F.col("next.s").alias("next_s"))
 
 
 def compare_versions(docs: DataFrame) -> DataFrame:
@@ -138,8 +183,7 @@ def compare_versions(docs: DataFrame) -> DataFrame:
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
     rows = rows.withColumn("edited", edited).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).withColumn("e", F.expr(digests("edited")))
-    rows = rows.select("doc_id", "n_chars", "edited_sha256", "d", "e", "next_d")
-    return rows.select(
-        "doc_id", "n_chars", "edited_sha256", F.expr(written("d")).alias("fingerprint"), F.expr(written("e")).alias("edited_fingerprint"),
-        F.expr(likeness("d", "e")).alias("near_edited"), F.expr(likeness("d", "next_d")).alias("near_next"),
-    )
+    rows = rows.withColumn("es", F.expr(sketches("e"))).withColumn("en", F.size("e"))
+    rows = rows.select("doc_id", "n_chars", "edited_sha256", "n", "s", "en", "es", "next_n", "next_s", F.expr(written("s", "n")).alias("fingerprint"), F.expr(written("es", "en")).alias("edited_fingerprint"))
+    rows = add_likeness(add_likeness(rows, "near_edited", "s", "n", "es", "en"), "near_next", "s", "n", "next_s", "next_n")
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
