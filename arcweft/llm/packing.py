@@ -7,12 +7,12 @@ until one is found, else a new sequence is opened.  Each sequence carries two bi
 a cluster being in a sequence once, and of sources, a source having as many bits as its share of a
 sequence's documents (one at least), so that no sequence fills up with one source.
 
-Rows are dealt to blocks of bounded size by a hash of id, cluster and piece; a block is packed in one task, so a source
+Documents are counted once; their lengths are checkpointed and everything else reads those.  Rows are dealt to blocks of bounded size by a hash of id, cluster and piece; a block is packed in one task, so a source
 or cluster of any size is spread over all blocks.  No text is shuffled.
 
 Edge cases: null, empty and blank texts have no word and no place: they come back with sequence null, as do
-no others; equal texts are one cluster and never share a sequence; null sources are a source; ties are broken
-by id, piece and cluster; an empty table gives an empty result; other columns do not matter.
+no others; equal texts are one cluster and never share a sequence (near copies only where a column names their
+cluster, a null there meaning the text itself); null sources are a source; ties are broken by id, piece and cluster; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import checkpoint, word_count
 
 CAPACITY = 2048
 BLOCK_ROWS = 8192
@@ -78,20 +78,21 @@ def _key(x) -> int:
     return xxhash.xxh64_intdigest(repr(x))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS, cluster: str | None = None) -> DataFrame:
     """sequence, position, doc_id, piece, first_word, size: one row per piece of every document.
 
-    A column ``cluster`` of ``docs``, if there is one, names the duplicate cluster; else equal texts are one.
+    ``cluster`` is a column of ``docs`` that names the duplicate cluster; without one equal texts are a cluster.
     """
-    cluster = F.coalesce(F.xxhash64("cluster"), F.xxhash64("text")) if "cluster" in docs.columns else F.xxhash64("text")
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), cluster.alias("cluster"))
-    n = docs.count()
-    mean = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.least("words", F.lit(capacity))).alias("w"))
-    mean = mean.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
-    per_bin = capacity * (mean["n"] or 0) / max(1, mean["w"] or 0)
+    own = F.xxhash64("text")
+    named = F.when(F.col(f"`{cluster}`").isNotNull(), F.xxhash64(F.col(f"`{cluster}`"))).otherwise(own) if cluster else own
+    rows = checkpoint(docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), named.alias("cluster")))
+    per = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.least("words", F.lit(capacity))).alias("w"))
+    total = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
+    n = total["n"]
+    per_bin = capacity * n / max(1, total["w"])
     # the share of a source in all documents times the documents of a sequence, for the sources that get over one bit
-    shares = rows.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") * per_bin > max(1, n)).collect() if n else []
-    bits = {_key(r["source"]): min(64, 1 + int(r["n"] / n * per_bin)) for r in shares}
+    shares = per.where(F.col("n") * per_bin > max(1, n)).collect() if n else []
+    bits = {_key(r["source"]): 1 + int(r["n"] / n * per_bin) for r in shares}
     blocks = max(1, -(-n // block_rows))
     piece = F.posexplode(F.when(F.col("words") > 0, F.sequence(F.lit(0).cast("long"), F.col("words") - 1, F.lit(capacity).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))).alias("piece", "first_word")
     rows = rows.select("doc_id", "source", "words", "cluster", piece).withColumn("size", F.least(F.col("words") - F.col("first_word"), F.lit(capacity).cast("long")))
