@@ -7,6 +7,10 @@ a keyed SHA-256 of the other half.  A permutation gives every value one pseudony
 value, so equal values stay linked across documents, and a pseudonym is valid again: cards get their check
 digit, numbers avoid unused areas, dates walk the permutation until they are calendar days of 1900 to 2099.
 
+The key is the secret: whoever has it can undo the pseudonyms.  It is an argument without a default; the
+registered query and the pipeline read it from the session's ``spark.arcweft.pii.key``, and make up a random one
+for the session where that is unset, so that nothing is ever permuted with a key that others know.
+
 Everything is DataFrame expressions in the row; nothing is shuffled.
 
 Edge cases: a null text stays null; texts without a digit or @ are passed on as they are; numbers that don't
@@ -15,12 +19,17 @@ validate stay; several values in a row, at either end, or repeated are all repla
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import secrets
+import warnings
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 ROUNDS = 6
-#: The secret that selects the permutation; a production run passes its own.
-KEY = "arcweft-default-key"
+#: Session setting that holds the secret which selects the permutation.
+SETTING = "spark.arcweft.pii.key"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # fixed values: patterns of the kinds, in the order in which they are tried
@@ -118,36 +127,48 @@ def _pseudonym(t: str, key: str) -> str:
     return f"case {' '.join(cases)} else {t} end"
 
 
-def pseudonyms(text: str, key: str = KEY) -> tuple[str, str]:
-    """SQL of a text column with pseudonyms in place, and of the array of (value, pseudonym) in text order."""
-    if "'" in key or "\\" in key:
-        raise ValueError("the key may hold no quote and no backslash")
+def session_key(spark: SparkSession) -> str:
+    """The session's key; a random one is set, with a warning, where it has none."""
+    key = spark.conf.get(SETTING, None)
+    if not key:
+        warnings.warn(f"{SETTING} is not set: pseudonyms of this session can't be linked with those of others", stacklevel=2)
+        key = secrets.token_hex(16)
+        spark.conf.set(SETTING, key)
+    return key
+
+
+def pseudonyms(text: str, key: str, pairs_name: str = "pairs") -> tuple[str, str]:
+    """SQL of a text column with pseudonyms in place, and of the array of (value, pseudonym) in text order.
+
+    The first one reads the second as a column of the name ``pairs_name``.
+    """
+    if not key or "'" in key or "\\" in key:
+        raise ValueError("a key is needed; it may hold no quote and no backslash")
     found = f"transform(regexp_extract_all({text}, r'{ANY}', 0), t -> named_struct('value', t, 'pseudonym', {_pseudonym('t', key)}))"
     has = f"{text} rlike '[0-9@]' and {text} rlike r'{ANY}'"
     pairs = f"case when {has} then {found} else array() end"
-    joined = f"array_join(zip_with(split({text}, r'{ANY}', -1), pairs.pseudonym, (s, p) -> concat(s, coalesce(p, ''))), '')"
-    return f"case when size(pairs) > 0 then {joined} else {text} end", pairs
+    joined = f"array_join(zip_with(split({text}, r'{ANY}', -1), {pairs_name}.pseudonym, (s, p) -> concat(s, coalesce(p, ''))), '')"
+    return f"case when size({pairs_name}) > 0 then {joined} else {text} end", pairs
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """All columns with ``text`` replaced, and ``pairs``: the values and pseudonyms in text order.
-
-    A column of the name ``pairs`` that the table already has is kept as it is, under that name.
-    """
-    text, pairs = pseudonyms("text", key)
-    text = text.replace("pairs", "__pairs")
-    return docs.withColumn("__pairs", F.expr(pairs)).withColumn("text", F.expr(text))
+def pseudonymised(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """All columns with ``text`` replaced, and one more: the values and pseudonyms in text order; and its name."""
+    (name,) = free_names(docs, "pairs")
+    text, pairs = pseudonyms("text", key, name)
+    return docs.withColumn(name, F.expr(pairs)).withColumn("text", F.expr(text)), name
 
 
-def without_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
+def without_pii(docs: DataFrame, key: str) -> DataFrame:
     """The documents with pseudonyms in their texts; n_chars, where there is one, is counted anew."""
-    out = pseudonymised(docs, key).drop("__pairs")
+    out, pairs = pseudonymised(docs, key)
+    out = out.drop(pairs)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def pii_report(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pii_report(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, n_found, n_replaced, text (with pseudonyms) of every document."""
-    changed = F.size(F.filter("__pairs", lambda x: x["value"] != x["pseudonym"]))
-    return pseudonymised(docs.select("doc_id", "text"), key).select("doc_id", F.size("__pairs").cast("long").alias("n_found"), changed.cast("long").alias("n_replaced"), "text")
+    out, pairs = pseudonymised(docs.select("doc_id", "text"), key)
+    changed = F.size(F.filter(pairs, lambda x: x["value"] != x["pseudonym"]))
+    return out.select("doc_id", F.size(pairs).cast("long").alias("n_found"), changed.cast("long").alias("n_replaced"), "text")

@@ -27,7 +27,7 @@ def op5_packing(spark, sf_dir):
 
 
 def op6_pii(spark, sf_dir):
-    return pii.pii_report(table(spark, sf_dir, "documents"))
+    return pii.pii_report(table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op7_simhash(spark, sf_dir):
