@@ -5,10 +5,11 @@ in at most t bits, cut into m segments on a ring, have a segment from which ever
 segments differs in at most l * t / m bits (the pigeonring principle).
 
 With t = 2 and m = 8, chains of up to three segments are equal and chains of up to seven differ in one bit
-at most.  That makes two equality keys: the 24 bits of the first three segments, and the 56 bits of seven
-segments with one bit left open.  Fingerprints that share the second key differ in nine known bits at most,
-so a group holds at most 512 of them whatever the data: no group of copies is ever paired with itself.
-Equal fingerprints are one node from the start.
+at most, so one half of the four segments behind the first three is equal too: 16 equality keys of 40 bits,
+which unrelated fingerprints hardly ever share.  Two fingerprints with a key are a pair to look at; up to PAIRED
+of them are paired with each other; in larger groups a bit of the other half is left open in turn.  Fingerprints
+that share all but that bit differ in nine known bits at most, so such a group holds at most 512 of them whatever
+the data: no group of copies is ever paired with itself.  Equal fingerprints are one node from the start.
 
 For the similarity of shingle sets (near_duplicates) t is so large that no chain gives a selective key;
 there candidates come from min-wise samples of the shingles, chains and the full Hamming distance prune
@@ -28,10 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components
+from .common import checkpoint, connected_components, free_names
 
 SEED = 42
 SEGMENTS, SEGMENT_BITS = 8, 8
+#: Fingerprints with one key that are paired with each other (all links are found either way), and the most
+#: rows of a table of keys that is broadcast.
+PAIRED, BROADCAST = 64, 100_000
 #: near_duplicates: words of a shingle, least similarity, Hamming distance beyond which no pair is looked at.
 SHINGLE, SIMILARITY, FAR = 5, 0.8, 22
 #: Min-wise keys: so many bands of so many minima; a pair of similarity 0.8 shares none with probability 0.0002.
@@ -93,19 +97,46 @@ def _turned(fp, start: int):
 
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): every pair of the distinct longs in ``fps.fp`` that differ in at most two bits, some more than once."""
-    ring = F.array(*[F.struct(F.lit(i).alias("i"), _turned(F.col("fp"), i).alias("ring")) for i in range(SEGMENTS)])
-    starts = fps.select("fp", F.explode(ring).alias("s")).select("fp", "s.i", "s.ring", F.shiftrightunsigned("s.ring", 40).alias("head"))
-    heads = starts.groupBy("i", "head").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    starts = checkpoint(starts.join(heads, ["i", "head"]).select("fp", "i", F.shiftrightunsigned("ring", 8).alias("chain")))
-    open_bit = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col("chain").bitwiseAND(F.lit(~(1 << j))).alias("key")) for j in range(4 * SEGMENT_BITS)]))
-    hubs = starts.select("fp", "i", open_bit.alias("o")).select("fp", "i", "o.j", "o.key")
-    full = hubs.groupBy("i", "j", "key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("a < b")
-    full = checkpoint(full)
-    two = full.where("n = 2").select("a", "b")
-    more = hubs.join(full.where("n > 2").select("i", "j", "key"), ["i", "j", "key"])
-    left, right = more.withColumnRenamed("fp", "a"), more.withColumnRenamed("fp", "b")
-    several = left.join(right, ["i", "j", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b")
-    return two.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).unionByName(several)
+    tags = F.array(*[(F.shiftleft(_first(F.col("fp"), i, half), 4).bitwiseOR(F.lit(2 * i + half))) for i in range(SEGMENTS) for half in range(2)])
+    tags = fps.select("fp", F.explode(tags).alias("key"))
+    groups = checkpoint(tags.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("n > 1"))
+    pairs = groups.where("n = 2").select("a", "b")
+    more = groups.where("n > 2").select("key", "n")
+    n = more.count()
+    if n:
+        members = checkpoint(tags.join(F.broadcast(more) if n <= BROADCAST else more, "key"))
+        pairs = pairs.unionByName(_within(members.where(F.col("n") <= PAIRED), ["key"]))
+        large = members.where(F.col("n") > PAIRED).withColumn("ring", _ring(F.col("key"), F.col("fp")))
+        # the half that is not in the key differs in one bit at most: the bits that stay open are the last segment and that one
+        rest = F.shiftrightunsigned("ring", SEGMENT_BITS)
+        low = F.when(F.col("key").bitwiseAND(F.lit(1)) == 0, 0).otherwise(2 * SEGMENT_BITS)
+        hubs = large.select("fp", "key", rest.alias("rest"), low.alias("low"), F.explode(F.sequence(F.lit(0), F.lit(2 * SEGMENT_BITS - 1))).alias("j"))
+        hubs = hubs.select("fp", "key", "j", F.expr("rest & ~shiftleft(1L, low + j)").alias("chain"))
+        several = hubs.groupBy("key", "j", "chain").agg(F.count("*").alias("n")).where("n > 1")
+        pairs = pairs.unionByName(_within(hubs.join(several, ["key", "j", "chain"]), ["key", "j", "chain"]))
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
+
+
+def _ring(key, fp):
+    """The ring of segments of ``fp`` from the segment that the key starts with."""
+    out = fp
+    for i in range(1, SEGMENTS):
+        out = F.when(F.shiftright(key.bitwiseAND(F.lit(15)), 1) == i, _turned(fp, i)).otherwise(out)
+    return out
+
+
+def _first(fp, start: int, half: int):
+    """40 bits: three segments of the ring, and the first or the second half of the next four."""
+    ring = _turned(fp, start)
+    if half == 0:
+        return F.shiftrightunsigned(ring, 24)
+    return F.shiftleft(F.shiftrightunsigned(ring, 40), 16).bitwiseOR(F.shiftrightunsigned(ring, 8).bitwiseAND(F.lit(0xFFFF)))
+
+
+def _within(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of the rows that share the keys and differ in at most two bits."""
+    left, right = rows.select(*keys, F.col("fp").alias("a")), rows.select(*keys, F.col("fp").alias("b"))
+    return left.join(right, keys).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -347,8 +378,9 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     # equal shingle sets meet first, in partial aggregates: copies in any number are one row of the join
     first = rows.groupBy("whole").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k"))
     first = first.join(parts, "whole", "left").groupBy(F.coalesce("component", "whole").alias("group")).agg(F.min("k").alias("k"))
-    keep = first.select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"))
-    out = docs.withColumn("__t", F.xxhash64("text")).join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__th")), "left_semi")
+    own, i, h = free_names(docs, "hash", "kept_id", "kept_hash")
+    keep = first.select(F.col("k.doc_id").alias(i), F.col("k.th").alias(h))
+    out = docs.withColumn(own, F.xxhash64("text")).join(keep, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(h)), "left_semi")
     if rows.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():  # repeated rows of one id
-        out = out.dropDuplicates(["doc_id", "__t"])
-    return out.drop("__t")
+        out = out.dropDuplicates(["doc_id", own])
+    return out.drop(own)
