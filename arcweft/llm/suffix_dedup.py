@@ -23,7 +23,8 @@ third step.  Both ways give the same bytes.
 
 Edge cases: a null text is empty; texts below 50 bytes lose nothing; equal texts and repeats within runs such
 as blanks are found like others; documents of one id never cost each other a byte; a null id counts as larger
-than all; rows of null ids, and of one id with different texts, are told apart by a hash of the text; an empty table gives an empty result; other columns do not matter.
+than all; rows of null ids, and of one id with different texts, are told apart by a hash of the text; ids that are no
+integers raise ValueError; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, integer_ids
 from .ngrams import _BYTE, mix
 
 LENGTH = 50
@@ -419,6 +420,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def _plan(docs: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    integer_ids(docs)
     kind = dict(docs.dtypes)["doc_id"]
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
     parts = max(1, total["bytes"] // PART_BYTES)

@@ -6,11 +6,11 @@ import pytest
 
 from arcweft.llm import fingerprint, html_extract, jpeg, langid, mixing, packing, pii, simhash, suffix_dedup, toxicity
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, pairs string, fp long, size int, part int, block int, key string, th long, d string, budget long, page_id string, __x int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, pairs string, fp long, size int, part int, block int, key string, th long, d string, budget long, page_id string, __x int, source_size int, kept_id int, kept_hash int, hash int, `a.b` int, times int, row int, cluster string, whole long, small int, spread int"
 
 
 def table(spark, rows):
-    return spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), "p", 7, 1, 2, 3, "k", 4, "dd", 5, "pg", None) for i, t, lang, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), "p", 7, 1, 2, 3, "k", 4, "dd", 5, "pg", None, 1, 2, 3, 4, 5, 6, 7, "c", 8, 9, 10) for i, t, lang, s in rows], SCHEMA)
 
 
 def odd(spark):
@@ -30,7 +30,7 @@ DOC_OPS = {
     "fingerprint": fingerprint.compare_versions,
     "language": langid.language_of,
     "packing": packing.pack,
-    "pii": pii.pii_report,
+    "pii": lambda d: pii.pii_report(d, "k"),
     "simhash": simhash.components,
     "suffix": suffix_dedup.removed,
     "toxicity": lambda d: toxicity.toxicity_of(d, labels(d.sparkSession)),
@@ -57,7 +57,7 @@ def test_empty_tables(spark, name):
     assert DOC_OPS[name](odd(spark).limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("stage", [pii.without_pii, simhash.without_near_duplicates, mixing.mix_documents, lambda d: toxicity.without_toxic(d, labels(d.sparkSession, ((1, 0), (4, 0), (6, 0), (8, 0), (9, 1))))])
+@pytest.mark.parametrize("stage", [lambda d: pii.without_pii(d, "k"), simhash.without_near_duplicates, mixing.mix_documents, lambda d: toxicity.without_toxic(d, labels(d.sparkSession, ((1, 0), (4, 0), (6, 0), (8, 0), (9, 1))))])
 def test_stages_keep_columns(spark, stage):
     docs = odd(spark)
     out = stage(docs)
@@ -65,6 +65,22 @@ def test_stages_keep_columns(spark, stage):
     assert out.count() > 0 and stage(docs.limit(0)).count() == 0
 
 
+def test_ids_that_are_no_integers(spark):
+    rows = spark.createDataFrame([("a", "text one", "en", "s", 8)], "doc_id string, text string, lang string, source string, n_chars long")
+    for op in (fingerprint.compare_versions, suffix_dedup.removed):
+        with pytest.raises(ValueError, match="integer"):
+            op(rows)
+
+
+def test_keys_are_secret(spark):
+    with pytest.raises(TypeError):
+        pii.pii_report(odd(spark))
+    with pytest.warns(UserWarning, match="pii.key"):
+        first = pii.session_key(spark)
+    assert first == pii.session_key(spark) and len(first) == 32
+    spark.conf.unset(pii.SETTING)
+
+
 def test_defined_values(spark):
     by = {r["doc_id"]: r for r in fingerprint.compare_versions(odd(spark).where("doc_id in (1, 2)")).collect()}
     assert by[1]["n_chars"] == 0 and by[1]["near_next"] == 1.0 and by[1]["fingerprint"] == by[2]["fingerprint"]

@@ -62,6 +62,20 @@ def test_mixed_documents_repeat(spark):
     assert got == {i: n // 10 for i, n in taken.items() if n}
 
 
+def test_copies_of_a_document_share_their_passes(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i // 4, f"{'w ' * 9}{i // 4}", "a" if i % 200 else "b") for i in range(400)] + [(None, "n " * 10, "a")] * 30 + [(7, "other text of one id " + str(i), "a") for i in range(20)]
+    for salted in (mixing.SALTED, 3):
+        monkeypatch.setattr(mixing, "SALTED", salted)
+        table = docs(spark, rows)
+        taken = sum(r["taken"] for r in mixing.mix_sizes(table).collect())
+        got = mixing.mix_documents(table.selectExpr("*", "1 as key", "2 as k", "3 as s", "4 as p", "5 as start")).collect()
+        assert taken == sum(len(r["text"].split()) for r in got) > 0
+        per = collections.Counter((r["doc_id"], r["text"], r["source"]) for r in got)
+        have = collections.Counter((i, t, s) for i, t, s in rows)
+        assert all(n <= 2 * have[k] for k, n in per.items())
+
+
 # ---- fingerprints
 
 
@@ -90,10 +104,103 @@ def test_ranges_do_not_matter(spark):
     assert sorted(one) == sorted(many)
 
 
+def xx(value, seed=42):
+    return xxhash.xxh64_intdigest((value & (1 << 64) - 1).to_bytes(8, "little"), seed)
+
+
+class Sketch:
+    """A fingerprint read back from its text."""
+
+    def __init__(self, text):
+        n, _, cells = text.partition(":")
+        self.n = int(n)
+        cells = [(int(c.split(".")[0]), int(c.split(".")[1], 16)) if c else (0, 0) for c in cells.split(" ")]
+        self.tables = [cells[i : i + 40] for i in range(0, len(cells), 40)]
+
+
+def cells_of(digest, bits):
+    word, first = (digest, 49) if bits == 3 else (xx(digest, 1), 0)
+    return [(t << bits) + (word >> first + bits * t & (1 << bits) - 1) for t in range(5)]
+
+
+def enter(digests, bits):
+    table = [(0, 0)] * (5 << bits)
+    for d in digests:
+        for c in cells_of(d, bits):
+            table[c] = (table[c][0] + 1, table[c][1] ^ d)
+    return table
+
+
+def peel(table, bits=3):
+    """Digests found, and how many are stuck."""
+    table, found = list(table), []
+    while True:
+        pure = {(n, k) for i, (n, k) in enumerate(table) if abs(n) == 1 and xx(k >> 24) & 0xFFFFFF == k & 0xFFFFFF and i in cells_of(k, bits)}
+        if not pure:
+            break
+        for n, k in pure:
+            for c in cells_of(k, bits):
+                table[c] = (table[c][0] - n, table[c][1] ^ k)
+        found += pure
+    return [k for _, k in found], -(-sum(max(abs(n), 2) for n, k in table if n or k) // 5)
+
+
+def minus(a, b):
+    return [(x[0] - y[0], x[1] ^ y[1]) for x, y in zip(a, b, strict=True)]
+
+
+def near(a, b):
+    """Likeness of two fingerprints by nothing but their texts."""
+    small, large = sorted((Sketch(a), Sketch(b)), key=lambda s: len(s.tables))
+    differ, spread = 0, small.tables
+    if len(small.tables) < len(large.tables):
+        own = [peel(t) for t in small.tables]
+        differ = sum(left for _, left in own)
+        spread = [[] for _ in large.tables]
+        for found, _ in own:
+            for d in found:
+                spread[d >> 24 & len(spread) - 1].append(d)
+        spread = [enter(ds, 3) for ds in spread]
+    for x, y in zip(large.tables, spread, strict=True):
+        found, left = peel(minus(x, y))
+        if left:
+            (fx, lx), (fy, ly) = peel(x), peel(y)
+            if not lx + ly:
+                found, left = peel(minus(enter(fx, 5), enter(fy, 5)), 5)
+        differ += len(found) + left
+    n = small.n + large.n
+    return max(0.0, (n - differ) / (n + differ)) if n else 1.0
+
+
+def test_likeness_of_fingerprints_alone(spark):
+    rng = random.Random(21)
+    base = [prose(rng, 6) + "." for _ in range(400)]
+    rows = []
+    for i in range(60):
+        lines = rng.sample(base, rng.choice([0, 1, 3, 9, 30, 90, 300])) if i % 2 else rows[-1][1].split("\n") if rows else []
+        if lines and i % 2 == 0:
+            lines[rng.randrange(len(lines))] = prose(rng, 5)
+        rows.append((i, "\n".join(lines), "s"))
+    got = {r["doc_id"]: r for r in fingerprint.compare_versions(docs(spark, rows)).collect()}
+    for i in got:
+        assert got[i]["near_edited"] == pytest.approx(near(got[i]["fingerprint"], got[i]["edited_fingerprint"]))
+        assert got[i]["near_next"] == pytest.approx(near(got[i]["fingerprint"], got[(i - 1) % len(rows)]["fingerprint"]))
+    assert any(len(Sketch(r["fingerprint"]).tables) > 16 for r in got.values())
+
+
 def test_sketches_recover_differences(spark):
-    for n in (1, 3, 12, 60):
-        a = spark.range(n).selectExpr("collect_list(xxhash64(id)) as a").crossJoin(spark.range(n // 2, n // 2 + n).selectExpr("collect_list(xxhash64(id)) as b"))
-        assert a.selectExpr(f"{fingerprint.distance('a', 'b')} as d").first()[0] == 2 * (n // 2)
+    for n in (1, 3, 12, 60, 1000):
+        pairs = spark.range(1).selectExpr(f"transform(sequence(1, {n}), x -> concat('p', x)) as a", f"transform(sequence({n // 2 + 1}, {n // 2 + n}), x -> concat('p', x)) as b")
+        pairs = pairs.selectExpr(f"{fingerprint.digests('array_join(a, chr(10))')} as a", f"{fingerprint.digests('array_join(b, chr(10))')} as b")
+        pairs = pairs.selectExpr(f"{fingerprint.sketches('a')} as a", f"{fingerprint.sketches('b')} as b", f"{n} as n")
+        assert fingerprint.add_likeness(pairs, "near", "a", "n", "b", "n").first()["near"] == pytest.approx((n - n // 2) / (n + n // 2))
+
+
+def test_null_ids_follow_by_hash_in_many_ranges(spark):
+    rows = [(None, f"text {i}.", "s") for i in range(60)] + [(7, "x", "s"), (9, "y", "s")]
+    one = fingerprint.with_next(docs(spark, rows)).select("doc_id", "text", "next_text").collect()
+    many = fingerprint.with_next(docs(spark, rows), rows_per_range=8).select("doc_id", "text", "next_text").collect()
+    assert sorted(map(str, one)) == sorted(map(str, many)) and {r["text"]: r["next_text"] for r in one}["y"] == "x"
 
 
 # ---- HTML
@@ -185,26 +292,43 @@ def test_packing_keeps_every_word(spark):
     assert all(len({t for t, _ in v}) == len(v) for v in texts.values())
 
 
+def test_short_texts_of_one_source_fill_sequences(spark):
+    rows = [(i, f"a{i} b{i} c{i}", "s") for i in range(4000)]
+    got = packing.pack(docs(spark, rows)).collect()
+    full = collections.Counter()
+    for r in got:
+        full[r["sequence"]] += r["size"]
+    assert sum(full.values()) == 12_000 and max(full.values()) <= packing.CAPACITY
+    assert len(full) == 6 and sorted(full.values())[1] > 0.95 * packing.CAPACITY
+
+
+def test_named_clusters(spark):
+    rows = docs(spark, [(i, f"w{i}", "s") for i in range(40)]).selectExpr("*", "if(doc_id < 2, 'c', null) as c", "1 as cluster")
+    got = {r["doc_id"]: r["sequence"] for r in packing.pack(rows, cluster="c").collect()}
+    assert len(set(got.values())) == 2 and got[0] != got[1]
+    assert len({r["sequence"] for r in packing.pack(rows).collect()}) == 1
+
+
 # ---- personal data
 
 
 def test_pseudonyms_link_and_stay_valid(spark):
     card, ip, mail = "4111111111111111", "10.20.30.40", "jo.doe42@mail.example.com"
     rows = [(1, f"{card} {ip}, {mail}", "s"), (2, f"x {mail} y {card}!! {ip}.", "s"), (3, "4111111111111112 999.1.1.1 2023-02-30 000-12-3456 1.2.3.4.5", "s"), (4, "2023-02-28 123-45-6789 (212) 555-0100", "s")]
-    got = {r["doc_id"]: r for r in pii.pii_report(docs(spark, rows)).collect()}
+    got = {r["doc_id"]: r for r in pii.pii_report(docs(spark, rows), "k1").collect()}
     a, b = re.findall(r"\d{16}", got[1]["text"]), re.findall(r"\d{16}", got[2]["text"])
     digits = [int(c) for c in a[0][::-1]]
     assert a == b and a[0] != card and (sum(digits[::2]) + sum(sum(divmod(2 * c, 10)) for c in digits[1::2])) % 10 == 0
     assert re.search(r"\S+@mail\.example\.com", got[1]["text"])[0] == re.search(r"\S+@mail\.example\.com", got[2]["text"])[0] != mail
     assert got[3]["text"] == rows[2][1] and got[3]["n_replaced"] == 0
     assert re.fullmatch(r"\d{4}-\d\d-\d\d \d{3}-\d\d-\d{4} \(\d{3}\) \d{3}-\d{4}", got[4]["text"]) and got[4]["n_replaced"] == 3
-    assert {r["doc_id"]: r for r in pii.pii_report(docs(spark, rows), key="other").collect()}[1]["text"] != got[1]["text"]
+    assert {r["doc_id"]: r for r in pii.pii_report(docs(spark, rows), "other").collect()}[1]["text"] != got[1]["text"]
 
 
 def test_feistel_is_a_permutation(spark):
     n = spark.range(1000).selectExpr(f"{pii.feistel('array(id div 10, id % 10)', 'array(100L, 10L)', 'x', 'k')} as p")
     assert n.distinct().count() == 1000
-    days = spark.sql("select explode(sequence(date'2000-01-01', date'2009-12-31')) d").selectExpr("cast(d as string) t").selectExpr(f"{pii._pseudonym('t', pii.KEY)} as p")
+    days = spark.sql("select explode(sequence(date'2000-01-01', date'2009-12-31')) d").selectExpr("cast(d as string) t").selectExpr(f"{pii._pseudonym('t', 'k1')} as p")
     assert days.distinct().count() == days.count() == days.where("try_to_date(p, 'yyyy-MM-dd') is not null").count()
 
 
@@ -243,13 +367,15 @@ def test_simhash_components(spark):
     assert {i: r["component_id"] for i, r in got.items()} == {i: root(i) for i in fps}
 
 
-def test_links_of_random_neighbours(spark):
+def test_links_of_random_neighbours(spark, monkeypatch):
     rng = random.Random(7)
     base = [rng.getrandbits(64) for _ in range(30)]
     values = {simhash._signed(v) for b in base for v in [b] + [b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64) if rng.random() < 0.4 else 0) for _ in range(6)]}
     frame = spark.createDataFrame([(v,) for v in values], "fp long")
-    got = {tuple(sorted(r)) for r in simhash.links(frame).collect()}
-    assert got == {(a, b) for a in values for b in values if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+    for paired in (simhash.PAIRED, 2):  # all members of a key, or a bit left open
+        monkeypatch.setattr(simhash, "PAIRED", paired)
+        got = {tuple(sorted(r)) for r in simhash.links(frame).collect()}
+        assert got == {(a, b) for a in values for b in values if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
 
 
 def test_near_duplicates_of_shingles(spark):
