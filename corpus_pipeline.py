@@ -21,7 +21,7 @@ def drop_near_duplicates(spark, docs, sf_dir):
 
 def pseudonymise(spark, docs, sf_dir):
     """Operator 6: personal data gets format-preserving pseudonyms; n_chars is counted anew."""
-    return pii.without_pii(docs)
+    return pii.without_pii(docs, pii.session_key(spark))
 
 
 def mix_sources(spark, docs, sf_dir):
