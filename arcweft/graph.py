@@ -21,13 +21,16 @@ from .errors import GraphError
 class GraphConfig:
     """Names of the label and type properties, and guards for variable-length paths.
 
-    ``max_paths`` is off by default: a variable-length hop that yields more paths raises an error if set.
+    ``max_paths`` is off by default.  If set, a variable-length hop that yields more paths raises an error, or with
+    ``on_excess="stop"`` keeps that many, shorter ones first, with a warning.  A hop without an upper bound follows
+    paths of up to ``max_var_length_depth`` steps, with a warning; a larger depth, or a bound in the pattern, gives more.
     """
 
     label_property: str = "label"
     edge_type_property: str = "type"
     max_var_length_depth: int = 10
     max_paths: int | None = None
+    on_excess: str = "error"
     graph_type: str = "directed"
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import QueryError
 from ..functions.typed import DOUBLE, LONG, STRING, Expr, as_list, field, is_null, is_struct
 from ..plans.bindings import Frame, Node, fresh
 from .cutting import cut_lineage
@@ -20,6 +21,8 @@ FUNCTIONS = frozenset(
 
 #: Fixed values of the PageRank iteration.
 DAMPING, TOLERANCE, ITERATIONS = 0.85, 1e-6, 100
+#: Sources that a search over all pairs takes at once, and nodes that one value (a map of scores, a graph) may hold.
+BATCH, LARGEST = 2000, 5_000_000
 
 
 def _ids(graph) -> DataFrame:
@@ -77,6 +80,8 @@ def _scores(frame: Frame, scores: DataFrame, args: list[Expr]) -> tuple[Frame, E
         key, value = fresh("id"), fresh("score")
         right = scores.select(F.col("id").alias(key), F.col("score").alias(value))
         return Frame(frame.df.join(right, _node_id(args[0]) == F.col(key), "left"), frame.vars), Expr(F.col(value), DOUBLE)
+    if scores.limit(LARGEST + 1).count() > LARGEST:
+        raise QueryError(f"a map of more than {LARGEST} scores is no single value; ask for the score of a node")
     whole = scores.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "score")))).alias("v"))
     return _one(frame, whole, "v", T.MapType(STRING, DOUBLE))
 
@@ -107,7 +112,10 @@ def degree_centrality(graph) -> DataFrame:
 
 
 def pagerank(graph) -> DataFrame:
-    """Damping 0.85; parallel edges count, rank of nodes without out-edges is spread over all."""
+    """Damping 0.85; parallel edges count, rank of nodes without out-edges is spread over all.
+
+    A round is one written table and one small aggregate: how far ranks moved, and the rank that leaves lose next.
+    """
     nodes = cut_lineage(_ids(graph))
     n = nodes.count()
     if not n:
@@ -117,72 +125,82 @@ def pagerank(graph) -> DataFrame:
     out = cut_lineage(out.groupBy("a", "b").agg(F.count("*").alias("w")))
     degree = out.groupBy("a").agg(F.sum("w").alias("d"))
     links = cut_lineage(out.join(degree, "a").select("a", "b", (F.col("w") / F.col("d")).alias("w")))
-    leaves = cut_lineage(nodes.join(degree, F.col("id") == F.col("a"), "left").select("id", F.col("a").isNull().alias("leaf")))
-    ranks = leaves.select("id", "leaf", F.lit(1.0 / n).alias("score"))
+    leaves = nodes.join(degree, F.col("id") == F.col("a"), "left").select("id", F.col("a").isNull().alias("leaf"))
+    ranks = cut_lineage(leaves.select("id", "leaf", F.lit(1.0 / n).alias("score"), F.lit(0.0).alias("moved")))
+    lost = ranks.where("leaf").count() / n
     for _ in range(ITERATIONS):
-        lost = ranks.where("leaf").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
         sent = ranks.join(links, F.col("id") == F.col("a")).groupBy("b").agg(F.sum(F.col("score") * F.col("w")).alias("in"))
-        new = ranks.join(sent, F.col("id") == F.col("b"), "left")
-        new = new.select("id", "leaf", F.col("score").alias("old"), ((1 - DAMPING) / n + DAMPING * (F.coalesce("in", F.lit(0.0)) + F.lit(lost / n))).alias("score"))
-        new = cut_lineage(new)
-        moved = new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
-        ranks = new.drop("old")
+        score = F.lit((1 - DAMPING) / n) + F.lit(DAMPING) * (F.coalesce("in", F.lit(0.0)) + F.lit(lost / n))
+        new = ranks.select("id", "leaf", F.col("score").alias("old")).join(sent, F.col("id") == F.col("b"), "left").select("id", "leaf", "old", score.alias("score"))
+        ranks = cut_lineage(new.select("id", "leaf", "score", F.abs(F.col("score") - F.col("old")).alias("moved")))
+        moved, lost = ranks.agg(F.sum("moved"), F.coalesce(F.sum(F.when(F.col("leaf"), F.col("score"))), F.lit(0.0))).first()
         if moved < TOLERANCE:
             break
     return ranks.select("id", "score")
 
 
-def distances(graph, want_paths: bool = False) -> DataFrame:
-    """(s, t, d[, paths]): hops between all connected pairs, level by level; for graphs with few nodes."""
-    links = cut_lineage(_both(graph))
-    level = _ids(graph).select(F.col("id").alias("s"), F.col("id").alias("t"), F.lit(0).cast("long").alias("d"), F.lit(1.0).alias("paths"))
-    level = cut_lineage(level)
-    done = level
-    d = 0
-    while not level.isEmpty():
-        d += 1
-        step = level.join(links, F.col("t") == F.col("a")).groupBy("s", F.col("b").alias("t")).agg(F.sum("paths").alias("paths"))
-        step = step.join(done.select("s", "t"), ["s", "t"], "left_anti").select("s", "t", F.lit(d).cast("long").alias("d"), "paths")
-        level = cut_lineage(step)
-        done = cut_lineage(done.unionByName(level))
-    return done if want_paths else done.drop("paths")
+def _batches(graph):
+    """Sources in batches of about BATCH: what a search holds is a batch's rows of the graph, never all pairs."""
+    nodes = cut_lineage(_ids(graph))
+    n = nodes.count()
+    parts = -(-n // BATCH)
+    for i in range(parts):
+        yield n, nodes.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i) if parts > 1 else nodes
+
+
+def _levels(links: DataFrame, sources: DataFrame) -> list[DataFrame]:
+    """(s, t, paths) of each level of a breadth-first search: how many shortest paths lead from s to t."""
+    levels = [cut_lineage(sources.select(F.col("id").alias("s"), F.col("id").alias("t"), F.lit(1.0).alias("paths")))]
+    while True:
+        step = levels[-1].join(links, F.col("t") == F.col("a")).groupBy("s", F.col("b").alias("t")).agg(F.sum("paths").alias("paths"))
+        for met in levels[-2:]:  # links go both ways: a neighbour lies one level up, on the same, or one down
+            step = step.join(met.select("s", "t"), ["s", "t"], "left_anti")
+        step = cut_lineage(step.select("s", "t", "paths"))
+        if step.isEmpty():
+            return levels
+        levels.append(step)
 
 
 def diameter(graph) -> DataFrame:
-    """The longest shortest path; -1 if some pair is not connected."""
-    n = _ids(graph).agg(F.count("*").alias("n"))
-    far = distances(graph).agg(F.max("d").alias("d"), F.count("*").alias("pairs"))
-    return n.crossJoin(far).select(F.when(F.col("n") <= 1, 0).when(F.col("pairs") < F.col("n") * F.col("n"), -1).otherwise(F.col("d")).cast("long").alias("v"))
+    """The longest shortest path; -1 if some pair is not connected, which the first batch of sources tells."""
+    links, far = cut_lineage(_both(graph)), 0
+    for n, sources in _batches(graph):
+        levels = _levels(links, sources)
+        if n > 1 and sum(x.count() for x in levels) < n * levels[0].count():
+            far = -1
+            break
+        far = max(far, len(levels) - 1)
+    return graph.spark.range(1).select(F.lit(far).cast("long").alias("v"))
 
 
 def betweenness(graph) -> DataFrame:
     """Shares of shortest paths that pass a node, each pair of ends once.
 
-    Dependencies are summed from the farthest level back, for all sources at once: a node's is the sum over
-    its successors of paths(node) / paths(successor) * (1 + dependency(successor)).
+    Dependencies are summed from the farthest level back, for a batch of sources at once: a node's is the sum over
+    its successors of paths(node) / paths(successor) * (1 + dependency(successor)).  Batches leave sums by node.
     """
     links = cut_lineage(_both(graph))
-    dist = distances(graph, want_paths=True)
-    depth = dist.agg(F.max("d")).first()[0] or 0
-    total = dist.select("s", "t", "d", "paths", F.lit(0.0).alias("dep"))
-    below = None
-    parts = []
-    for d in range(depth, 0, -1):
-        here = total.where(F.col("d") == d)
-        if below is not None:
-            here = here.drop("dep").join(below, ["s", "t"], "left").withColumn("dep", F.coalesce("dep", F.lit(0.0)))
-        here = cut_lineage(here)
-        parts.append(here.select("s", "t", "dep"))
-        up = total.where(F.col("d") == d - 1).select("s", F.col("t").alias("v"), F.col("paths").alias("pv"))
-        flow = here.join(links, F.col("t") == F.col("a")).select("s", F.col("b").alias("v"), "paths", "dep").join(up, ["s", "v"])
-        below = flow.groupBy("s", F.col("v").alias("t")).agg(F.sum(F.col("pv") / F.col("paths") * (1 + F.col("dep"))).alias("dep"))
-    rows = _ids(graph)
-    if not parts:
+    rows, sums = _ids(graph), []
+    for _, sources in _batches(graph):
+        levels, below, parts = _levels(links, sources), None, []
+        for here, up in zip(levels[:0:-1], levels[-2::-1], strict=True):
+            here = here.withColumn("dep", F.lit(0.0)) if below is None else here.join(below, ["s", "t"], "left").withColumn("dep", F.coalesce("dep", F.lit(0.0)))
+            here = cut_lineage(here.select("s", "t", "paths", "dep"))
+            parts.append(here.select("t", "dep"))
+            up = up.select("s", F.col("t").alias("v"), F.col("paths").alias("pv"))
+            flow = here.join(links, F.col("t") == F.col("a")).select("s", F.col("b").alias("v"), "paths", "dep").join(up, ["s", "v"])
+            below = flow.groupBy("s", F.col("v").alias("t")).agg(F.sum(F.col("pv") / F.col("paths") * (1 + F.col("dep"))).alias("dep"))
+        if parts:
+            every = parts[0]
+            for p in parts[1:]:
+                every = every.unionByName(p)
+            sums.append(cut_lineage(every.groupBy("t").agg(F.sum("dep").alias("dep"))))
+    if not sums:
         return rows.select("id", F.lit(0.0).alias("score"))
-    every = parts[0]
-    for p in parts[1:]:
+    every = sums[0]
+    for p in sums[1:]:
         every = every.unionByName(p)
-    score = every.where("s <> t").groupBy(F.col("t").alias("id")).agg((F.sum("dep") / 2).alias("score"))
+    score = every.groupBy(F.col("t").alias("id")).agg((F.sum("dep") / 2).alias("score"))
     return rows.join(score, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -234,8 +252,6 @@ def subgraph(graph, frame: Frame, nodes: Expr) -> tuple[Frame, Expr]:
 
 def ego(graph, frame: Frame, node: Expr, steps: Expr | None) -> tuple[Frame, Expr]:
     """Nodes within so many steps in either direction, with the edges between them."""
-    from ..errors import QueryError
-
     if is_null(node.type) and node.binding is None:
         return frame, Expr(F.lit(None), T.NullType())
     key = _node_id(node)
@@ -280,7 +296,10 @@ def component_of(graph, frame: Frame, node: Expr) -> tuple[Frame, Expr]:
     parts = labels_of_components(graph)
     wanted = frame.df.select(_node_id(node).alias("n")).distinct().join(parts, F.col("n") == F.col("id"))
     wanted = wanted.select(F.col("n"), F.col("component").alias("group"))
-    members = parts.join(wanted.select("group").distinct(), F.col("component") == F.col("group")).select("group", "id")
+    members = cut_lineage(parts.join(wanted.select("group").distinct(), F.col("component") == F.col("group")).select("group", "id"))
+    largest = members.groupBy("group").count().agg(F.max("count")).first()[0] or 0
+    if largest > LARGEST:
+        raise QueryError(f"a component of {largest} nodes is no single value; MATCH its nodes instead")
     rows, kind = _members(graph, members)
     n, g = fresh("node"), fresh("component")
     df = frame.df.join(wanted.select(F.col("n").alias(n), F.col("group").alias(g)), _node_id(node) == F.col(n), "left")

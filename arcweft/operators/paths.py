@@ -47,35 +47,37 @@ def expand(matcher, frame: Frame, left: Node, rel, path, flipped: bool):
     """Paths of a variable-length hop: no node twice, a self loop only as the last step.
 
     Returns the frame joined with them, the list of relationships, the far end, and the nodes in between.
-    Paths start at the distinct nodes that the frame has, not at all nodes.
+    Paths start at the distinct nodes that the frame has, not at all nodes, and carry their relationships only
+    where the query reads them.  Short hops are one plan; longer ones are written level by level.
     """
     graph = matcher.graph
     _, kind, _ = _edges(graph, rel)
     low, high = rel.low, rel.high
-    capped = high < 0
-    if capped:
+    if high < 0:
         high = graph.config.max_var_length_depth
-        warnings.warn(f"unbounded variable-length relationship: paths of up to {high} steps are followed", stacklevel=2)
+        warnings.warn(f"unbounded variable-length relationship: paths of up to {high} steps are followed (max_var_length_depth)", stacklevel=2)
+    limit, stop = graph.config.max_paths, graph.config.on_excess == "stop"
     want_nodes = path.var is not None
+    want_rels = want_nodes or matcher.whole(rel.var) or matcher.reads(rel.var)
     list_type = T.ArrayType(kind)
     starts = frame.df.select(left.id().alias("start")).where(F.col("start").isNotNull()).distinct()
     empty = F.array().cast(list_type)
-    level = starts.select("start", F.col("start").alias("last"), F.array("start").alias("seen"), empty.alias("rels"), F.lit(False).alias("ended"))
+    level = starts.select("start", F.col("start").alias("last"), F.array("start").alias("seen"), *[empty.alias("rels")] * want_rels, F.lit(False).alias("ended"))
     found = [level] if low == 0 else []
     total = 0
-    lazily = high <= UNROLLED and matcher.budget is None
+    lazily = high <= UNROLLED and limit is None
     # typed tables: a level only reads the edge tables that leave the labels reached so far
     labels = {left.label} if left.label else None
     for depth in range(1, high + 1):
         if labels is not None and not labels:
             break
         edges, own, labels = _edges(graph, rel, labels)
-        edges = edges.withColumn("rel", convert(Expr(F.col("rel"), own), kind))
+        edges = edges.withColumn("rel", convert(Expr(F.col("rel"), own), kind)) if want_rels else edges.select("a", "b")
         step = level.where("not ended").join(edges, F.col("last") == F.col("a"))
         step = step.where((F.col("b") == F.col("last")) | ~F.array_contains("seen", F.col("b")))
         rels = F.concat(F.array("rel"), "rels") if flipped else F.concat("rels", F.array("rel"))
         seen = F.concat(F.array("b"), "seen") if flipped else F.concat("seen", F.array("b"))
-        level = step.select("start", F.col("b").alias("last"), seen.alias("seen"), rels.alias("rels"), (F.col("b") == F.col("last")).alias("ended"))
+        level = step.select("start", F.col("b").alias("last"), seen.alias("seen"), *[rels.alias("rels")] * want_rels, (F.col("b") == F.col("last")).alias("ended"))
         if not lazily:
             level = cut_lineage(level)
             n = level.count()
@@ -83,17 +85,17 @@ def expand(matcher, frame: Frame, left: Node, rel, path, flipped: bool):
                 break
             if depth >= low:
                 total += n
-            if graph.config.max_paths is not None and total > graph.config.max_paths:
-                raise QueryError(f"more than {graph.config.max_paths} paths; narrow the pattern or raise max_paths")
+            if limit is not None and total > limit:
+                if not stop:
+                    raise QueryError(f"more than {limit} paths; narrow the pattern or raise max_paths")
+                warnings.warn(f"more than {limit} paths: the first ones by length are kept (max_paths)", stacklevel=2)
+                found.append(level.limit(n - (total - limit)))
+                break
         if depth >= low:
             found.append(level)
-        if matcher.budget is not None and total >= matcher.budget:
-            break  # the query wants no more rows than this
-    out = found[0] if found else level.limit(0)
-    for f in found[1:]:
-        out = out.unionByName(f)
+    out = _union(found) if found else level.limit(0)
     start, last, rels, seen = fresh("start"), fresh("end"), fresh(rel.var or "rels"), fresh("seen")
-    out = out.select(F.col("start").alias(start), F.col("last").alias(last), F.col("rels").alias(rels), F.col("seen").alias(seen))
+    out = out.select(F.col("start").alias(start), F.col("last").alias(last), (F.col("rels") if want_rels else empty).alias(rels), F.col("seen").alias(seen))
     inner = None
     df = frame.df.join(out, left.id() == F.col(start))
     if want_nodes:
@@ -120,38 +122,44 @@ def _attach_nodes(graph, df: DataFrame, seen: str):
 def shortest(graph, frame: Frame, a: Node, b: Node, rel, every: bool) -> tuple[Frame, Expr]:
     """Shortest paths between two bound nodes of each row, as path structs (a list of them for ``every``).
 
-    One breadth-first search over all distinct pairs of the frame: the frontier holds distinct nodes of each
-    start, a node met at an earlier level is left out by an anti join, and the search ends when all pairs are
-    found, the frontier is empty, or the pattern's bound is reached.
+    One breadth-first search over all distinct pairs of the frame: a level holds the distinct nodes that each start
+    first meets there, no paths.  It ends when all pairs are found, a level is empty, or the pattern's bound is reached.
+    Going back from the goals marks the nodes that lie on a shortest path; paths are built over those alone.
     """
     edges, kind, _ = _edges(graph, rel)
     low, high = (1, 1) if rel.low is None else (rel.low, rel.high)
     list_type = T.ArrayType(kind)
+    ways = edges.where("a <> b")
     pairs = cut_lineage(frame.df.select(a.id().alias("start"), b.id().alias("goal")).where("start is not null and goal is not null").distinct())
-    level = pairs.select("start").distinct().select("start", F.col("start").alias("node"), F.array("start").alias("ids"), F.array().cast(list_type).alias("rels"))
-    reached = level.select("start", "node")
-    hits = [level.join(pairs, (level["start"] == pairs["start"]) & (F.col("node") == F.col("goal"))).select(level["start"], "goal", "ids", "rels")]
+    levels = [pairs.select("start").distinct().select("start", F.col("start").alias("node"))]
+    hits = [pairs.where("start = goal")]
     open_pairs = cut_lineage(pairs.where("start <> goal"))
-    depth = 0
-    while (high < 0 or depth < high) and not open_pairs.isEmpty():
-        depth += 1
-        live = level.join(open_pairs.select("start").distinct(), "start", "left_semi")
-        step = live.join(edges, F.col("node") == F.col("a")).where("b <> node")
-        step = step.select("start", F.col("b").alias("node"), F.concat("ids", F.array("b")).alias("ids"), F.concat("rels", F.array("rel")).alias("rels"))
-        step = step.join(reached, ["start", "node"], "left_anti")
-        if not every:  # ties: the least sequence of edge ids
-            best = F.min_by(F.struct("ids", "rels"), F.transform("rels", lambda r: r.getField("id"))).alias("s")
-            step = step.groupBy("start", "node").agg(best).select("start", "node", "s.ids", "s.rels")
-        level = cut_lineage(step)
+    while (high < 0 or len(levels) <= high) and not open_pairs.isEmpty():
+        live = levels[-1].join(open_pairs.select("start").distinct(), "start", "left_semi")
+        step = live.join(ways, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct()
+        level = cut_lineage(step.join(_union(levels), ["start", "node"], "left_anti"))
         if level.isEmpty():
             break
-        reached = cut_lineage(reached.unionByName(level.select("start", "node").distinct()))
-        hit = level.join(open_pairs, (level["start"] == open_pairs["start"]) & (F.col("node") == F.col("goal"))).select(level["start"], "goal", "ids", "rels")
-        hits.append(cut_lineage(hit))
-        open_pairs = cut_lineage(open_pairs.join(hits[-1].select("start", "goal"), ["start", "goal"], "left_anti"))
-    out = hits[0]
-    for h in hits[1:]:
-        out = out.unionByName(h)
+        levels.append(level)
+        hits.append(cut_lineage(open_pairs.join(level.withColumnRenamed("node", "goal"), ["start", "goal"], "left_semi")))
+        open_pairs = cut_lineage(open_pairs.join(hits[-1], ["start", "goal"], "left_anti"))
+    # back from the goals: (start, goal, node) of the nodes on a shortest path, by level
+    marked = [hits[-1].withColumn("node", F.col("goal"))]
+    for level, hit in zip(levels[-2::-1], hits[-2::-1], strict=True):
+        before = marked[0].join(ways.select("a", "b"), F.col("node") == F.col("b")).select("start", "goal", F.col("a").alias("node")).distinct()
+        marked.insert(0, cut_lineage(before.join(level, ["start", "node"], "left_semi").select("start", "goal", "node").unionByName(hit.withColumn("node", F.col("goal")))))
+    # forward again, over the marked nodes only
+    part = marked[0].withColumn("ids", F.array("node")).withColumn("rels", F.array().cast(list_type))
+    done = [part.where("node = goal")]
+    for mark in marked[1:]:
+        step = part.where("node <> goal").join(ways, F.col("node") == F.col("a")).drop("node").withColumnRenamed("b", "node")
+        step = step.join(mark, ["start", "goal", "node"], "left_semi")
+        step = step.select("start", "goal", "node", F.concat("ids", F.array("node")).alias("ids"), F.concat("rels", F.array("rel")).alias("rels"), F.col("rel").getField("id").alias("by"))
+        if not every:  # ties: the least sequence of edge ids
+            step = step.groupBy("start", "goal").agg(F.min_by(F.struct("node", "ids", "rels"), F.struct("by", "node")).alias("s")).select("start", "goal", "s.*")
+        part = cut_lineage(step.select("start", "goal", "node", "ids", "rels"))
+        done.append(part.where("node = goal"))
+    out = _union(done).select("start", "goal", "ids", "rels")
     # a path shorter than the pattern's least length doesn't count, but a node reaches itself
     out = out.where((F.size("rels") >= low) | (F.size("rels") == 0))
     out, node_type = _with_nodes(graph, out)
@@ -169,6 +177,13 @@ def shortest(graph, frame: Frame, a: Node, b: Node, rel, every: bool) -> tuple[F
     return Frame(df, frame.vars), Expr(F.col(p), path_type)
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def _with_nodes(graph, paths: DataFrame):
     from ..plans.match import scan_nodes
 

@@ -156,8 +156,8 @@ def flip(rel: A.RelPattern) -> A.RelPattern:
 class Matcher:
     """Extends a frame by the patterns of one MATCH."""
 
-    def __init__(self, graph: PropertyGraph, need: dict[str, set], budget: int | None = None):
-        self.graph, self.need, self.budget = graph, need, budget
+    def __init__(self, graph: PropertyGraph, need: dict[str, set]):
+        self.graph, self.need = graph, need
 
     def reads(self, var: str | None) -> bool:
         """Whether a property, a label or the whole of the variable is read."""

@@ -122,24 +122,39 @@ class Planner:
         return frame.df.select(*cols)
 
     def single(self, q: A.SingleQuery, frame: Frame) -> Frame:
-        budget = self.budget(q)
-        for i, clause in enumerate(q.clauses):
-            frame = self.clause(clause, frame, budget if i == 0 else None)
+        if frame.df is None and not self.rid:
+            q = self.as_deep_as_needed(q)
+        for clause in q.clauses:
+            frame = self.clause(clause, frame)
         if not isinstance(q.clauses[-1], (A.Return, A.CallSubquery)):
             return Frame(None, {})
         return frame
 
-    @staticmethod
-    def budget(q: A.SingleQuery) -> int | None:
-        """How many rows of the first MATCH are enough: MATCH … RETURN … LIMIT n without anything in between."""
+    def as_deep_as_needed(self, q: A.SingleQuery) -> A.SingleQuery:
+        """MATCH … RETURN … LIMIT n with a variable-length hop: the shallowest bound that yields n rows.
+
+        Nothing is sorted, grouped or made distinct, so any n rows are the result.  Bounds are tried from the least
+        one; each try is limited and costs a fraction of the next.
+        """
         if len(q.clauses) != 2 or not isinstance(q.clauses[0], A.Match) or not isinstance(q.clauses[1], A.Return):
-            return None
+            return q
         m, p = q.clauses[0], q.clauses[1].projection
-        if m.optional or m.where is not None or len(m.paths) > 1 or len(m.paths[0].rels) != 1 or p.order or p.distinct or p.limit is None:
-            return None
-        if any(has_aggregate(i.expr) for i in p.items) or any(n.props for n in m.paths[0].nodes) or m.paths[0].nodes[1].labels is not None:
-            return None
-        return p.limit + (p.skip or 0)
+        varying = [(i, j) for i, path in enumerate(m.paths) for j, r in enumerate(path.rels) if r.low is not None]
+        if m.optional or len(varying) != 1 or p.order or p.distinct or p.limit is None or self.graph.config.max_paths is not None or any(has_aggregate(x.expr) for x in p.items):
+            return q
+        i, j = varying[0]
+        rel = m.paths[i].rels[j]
+        high = rel.high if rel.high >= 0 else self.graph.config.max_var_length_depth
+        wanted = p.limit + (p.skip or 0)
+        for depth in range(max(1, rel.low), high):
+            rels = (*m.paths[i].rels[:j], replace(rel, high=depth), *m.paths[i].rels[j + 1 :])
+            paths_ = (*m.paths[:i], replace(m.paths[i], rels=rels), *m.paths[i + 1 :])
+            tried = A.SingleQuery((replace(m, paths=paths_), q.clauses[1]))
+            bare = A.Return(replace(p, items=(A.Item(A.Literal(1), "one", "one"),), star=False, skip=None, limit=wanted))
+            found = Planner(self.graph, self.need)
+            if found.output(found.clause(bare, found.clause(tried.clauses[0], Frame(None, {})))).count() >= wanted:
+                return tried
+        return q
 
     def rows(self, frame: Frame) -> Frame:
         """The frame with a DataFrame: one empty row to start from."""
@@ -149,9 +164,9 @@ class Planner:
 
     # ---- clauses
 
-    def clause(self, c, frame: Frame, budget=None) -> Frame:
+    def clause(self, c, frame: Frame) -> Frame:
         if isinstance(c, A.Match):
-            matcher = Matcher(self.graph, self.need, budget)
+            matcher = Matcher(self.graph, self.need)
             if c.optional:
                 frame = self.rows(frame)
                 return matcher.optional(frame, c, self.join_condition)

@@ -103,8 +103,19 @@ def test_path_guard(spark):
 def test_limit_stops_following_paths(spark):
     nodes = {f"n{i}": {"id2": i} for i in range(8)}
     g = make(spark, nodes, [(f"n{i}", f"n{j}", {"type": "K"}) for i in range(8) for j in range(8) if i != j])
-    with pytest.warns(UserWarning):
-        assert len(rows(g, "MATCH (a)-[*1..]->(b) RETURN a.id2 AS a, b.id2 AS b LIMIT 10")) == 10
+    assert len(rows(g, "MATCH (a)-[*1..]->(b) RETURN a.id2 AS a, b.id2 AS b LIMIT 10")) == 10
+    assert len(rows(g, "MATCH (a {id2: 1})-[*1..]->(b) WHERE b.id2 > 3 RETURN a.id2 AS a, b.id2 AS b SKIP 2 LIMIT 20")) == 20  # 4 of one step, 24 of two
+    few = rows(g, "MATCH (a {id2: 1})-[r:K*2..3]->(b {id2: 2}) RETURN size(r) AS n LIMIT 500")
+    assert sorted(few) == [(2,)] * 6 + [(3,)] * 30
+
+
+def test_paths_beyond_the_guard_are_cut_by_length(spark):
+    g = chain(spark)
+    cut = PropertyGraph(g.spark, g.nodes, g.edges, GraphConfig(max_paths=12, on_excess="stop"))
+    with pytest.warns(UserWarning, match="more than 12 paths"):
+        got = rows(cut, "MATCH (a)-[r:NEXT*]->(b) RETURN size(r) AS n, count(*) AS c ORDER BY n")
+    steps = dict(got)
+    assert sum(steps.values()) == 12 and min(steps) == 1 and steps[1] == dict(rows(g, "MATCH (a)-[r:NEXT*1..2]->(b) RETURN size(r) AS n, count(*) AS c"))[1]
 
 
 def test_path_values(u):
