@@ -40,6 +40,7 @@ LOAD, TABLES, BITS, MORE_BITS = 8, 5, 3, 5
 #: Bits of a digest that check the others, and the first of those that say its cells; the ones between say its subtable.
 CHECK, FIRST = 24, 64 - TABLES * BITS
 MASK = (1 << CHECK) - 1
+NONE = "cast(array() as array<struct<n:int,k:bigint>>)"
 #: Where a piece of text ends.
 PIECE = r"\n|(?<=[.!?]) "
 
@@ -54,12 +55,9 @@ def digests(text: str) -> str:
     return f"array_distinct(transform(filter(split({text}, r'{PIECE}'), p -> p <> ''), p -> {one}))"
 
 
-def _here(d: str, i: str, bits: int) -> str:
-    """SQL: whether digest ``d`` enters cell ``i``; the tables' bits and the cells' numbers are constant arrays."""
-    word, first = (d, FIRST) if bits == BITS else (f"xxhash64({d}, 1)", 0)
-    shifts = ", ".join(str(first + bits * (c >> bits)) for c in range(TABLES << bits))
-    numbers = ", ".join(f"{c & ((1 << bits) - 1)}L" for c in range(TABLES << bits))
-    return f"(shiftrightunsigned({word}, array({shifts})[{i}]) & {(1 << bits) - 1}L) = array({numbers})[{i}]"
+def _word(d: str, bits: int) -> tuple[str, int]:
+    """SQL of the bits that say a digest's cells, and where they start; a retry takes others."""
+    return (d, FIRST) if bits == BITS else (f"xxhash64({d}, 1)", 0)
 
 
 def subtables(n: str) -> str:
@@ -78,11 +76,11 @@ def deal(digests: str, count: str) -> str:
 
 
 def sketch(elements: str, bits: int = BITS) -> str:
-    """SQL: the cells (count, xor of digests) of an array of digests."""
-    word, first = ("x", FIRST) if bits == BITS else ("xxhash64(x, 1)", 0)
+    """SQL: the tables of cells (count, xor of digests) of an array of digests."""
+    word, first = _word("x", bits)
     cell = _let("m", f"filter({elements}, x -> (shiftrightunsigned({word}, h) & {(1 << bits) - 1}L) = r)", "named_struct('n', size(m), 'k', aggregate(m, 0L, (z, x) -> z ^ x))")
     numbers = ", ".join(f"{c}L" for c in range(1 << bits))
-    return f"flatten(transform(array({', '.join(str(first + bits * t) for t in range(TABLES))}), h -> transform(array({numbers}), r -> {cell})))"
+    return f"transform(array({', '.join(str(first + bits * t) for t in range(TABLES))}), h -> transform(array({numbers}), r -> {cell}))"
 
 
 def sketches(digests: str) -> str:
@@ -91,20 +89,33 @@ def sketches(digests: str) -> str:
 
 
 def minus(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k))"
+    return f"zip_with({a}, {b}, (v, w) -> zip_with(v, w, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k)))"
 
 
 def peeled(table: str, bits: int = BITS) -> str:
-    """SQL: struct(found, left): the digests that peeling recovers (with their sign), and how many are stuck."""
-    single = f"abs(x.n) = 1 and (xxhash64(shiftrightunsigned(x.k, {CHECK})) & {MASK}L) = (x.k & {MASK}L) and {_here('x.k', 'i', bits)}"
-    pure = f"array_distinct(filter(st.t, (x, i) -> {single}))"
-    less = f"transform(st.t, (c, i) -> aggregate(filter(p, y -> {_here('y.k', 'i', bits)}), c, (a, y) -> named_struct('n', a.n - y.n, 'k', a.k ^ y.k)))"
-    step = _let("p", pure, f"if(size(p) = 0, named_struct('t', st.t, 'f', st.f, 'end', true), named_struct('t', {less}, 'f', concat(st.f, p), 'end', false))")
-    start = f"named_struct('t', {table}, 'f', cast(array() as array<struct<n:int,k:bigint>>), 'end', false)"
+    """SQL: struct(f, left): the digests that peeling recovers (with their sign), and how many are stuck."""
+    word, first = _word("x.k", bits)
+    place = f"cast(shiftrightunsigned({word}, {first} + {bits} * h) & {(1 << bits) - 1}L as int) = r"
+    single = f"abs(x.n) = 1 and {place} and (xxhash64(shiftrightunsigned(x.k, {CHECK})) & {MASK}L) = (x.k & {MASK}L)"
+    pure = f"array_distinct(flatten(transform(st.t, (row, h) -> filter(row, (x, r) -> {single}))))"
+    word, _ = _word("y.k", bits)
+    hit = f"filter(p, y -> cast(shiftrightunsigned({word}, g) & {(1 << bits) - 1}L as int) = r)"
+    cell = _let("q", hit, "if(size(q) = 0, c, aggregate(q, c, (a, y) -> named_struct('n', a.n - y.n, 'k', a.k ^ y.k)))")
+    less = f"transform(st.t, (row, h) -> {_let('g', f'{first} + {bits} * h', f'transform(row, (c, r) -> {cell})')})"
+    # what a table's cells hold in all, less what was found: nothing is left as soon as count and xor are 0
+    total = "aggregate({0}[0], named_struct('n', 0, 'k', 0L), (a, c) -> named_struct('n', a.n + c.n, 'k', a.k ^ c.k))"
+    rest = "aggregate(p, st.rest, (a, y) -> named_struct('n', a.n - y.n, 'k', a.k ^ y.k))"
+    found = f"if(u.n = 0 and u.k = 0L, {_state('st.t', 'concat(st.f, p)', 'u', 'true')}, {_state(less, 'concat(st.f, p)', 'u', 'false')})"
+    step = _let("p", pure, f"if(size(p) = 0, {_state('st.t', 'st.f', 'st.rest', 'true')}, {_let('u', rest, found)})")
+    start = _let("t", table, _let("u", total.format("t"), _state("t", NONE, "u", "u.n = 0 and u.k = 0L")))
     # every round that is no end finds a digest, so a table can't take more rounds than it has cells
     state = f"aggregate(sequence(1, {TABLES << bits}), {start}, (st, round) -> if(st.end, st, {step}))"
-    stuck = f"cast(ceil(aggregate(z.t, 0, (s, x) -> s + if(x.n = 0 and x.k = 0L, 0, greatest(abs(x.n), 2))) / {TABLES}) as int)"
-    return _let("z", state, f"named_struct('f', z.f, 'left', {stuck})")
+    stuck = f"cast(ceil(aggregate(flatten(z.t), 0, (s, x) -> s + if(x.n = 0 and x.k = 0L, 0, greatest(abs(x.n), 2))) / {TABLES}) as int)"
+    return _let("z", state, f"named_struct('f', z.f, 'left', if(z.rest.n = 0 and z.rest.k = 0L, 0, {stuck}))")
+
+
+def _state(table: str, found: str, rest: str, end: str) -> str:
+    return f"named_struct('t', {table}, 'f', {found}, 'rest', {rest}, 'end', {end})"
 
 
 def add_likeness(rows: DataFrame, name: str, a: str, na: str, b: str, nb: str) -> DataFrame:
@@ -114,14 +125,15 @@ def add_likeness(rows: DataFrame, name: str, a: str, na: str, b: str, nb: str) -
         "large": f"if(size({a}) < size({b}), {b}, {a})",
         # the smaller one's digests, where it has fewer subtables, and these dealt to more of them
         "own": f"if(size(small) = size(large), null, transform(small, o -> {peeled('o')}))",
-        "spread": f"if(own is null, small, transform({deal('flatten(transform(own, o -> transform(o.f, x -> x.k)))', 'size(large)')}, q -> {sketch('q')}))",
+        "spread": f"if(own is null, small, transform({deal('flatten(transform(own, o -> transform(o.f, x -> x.k)))', 'size(large)')}, q -> if(size(q) = 0, null, {sketch('q')})))",
         "lost": "if(own is null, 0, aggregate(own, 0, (s, o) -> s + o.left))",
-        # subtract and peel
-        "once": f"transform(large, (o, i) -> {peeled(minus('o', 'spread[i]'))})",
+        # subtract and peel; where the other side has nothing, all that the cells of one table count differs
+        "once": f"transform(large, (o, i) -> if(spread[i] is null, named_struct('f', {NONE}, 'left', 0), {peeled(minus('o', 'spread[i]'))}))",
+        "whole": "aggregate(zip_with(large, spread, (o, x) -> if(x is null, aggregate(o[0], 0, (s, c) -> s + c.n), 0)), lost, (s, n) -> s + n)",
         # what is stuck again with more cells, from what both sides give by themselves
         "sides": f"transform(once, (o, i) -> if(o.left = 0, null, named_struct('a', {peeled('large[i]')}, 'b', {peeled('spread[i]')})))",
         "again": f"transform(sides, o -> if(o is null or o.a.left + o.b.left > 0, null, {peeled(minus(sketch('transform(o.a.f, x -> x.k)', MORE_BITS), sketch('transform(o.b.f, x -> x.k)', MORE_BITS)), MORE_BITS)}))",
-        "differ": "aggregate(zip_with(once, again, (o, r) -> if(r is null, size(o.f) + o.left, size(r.f) + r.left)), lost, (s, n) -> s + n)",
+        "differ": "aggregate(zip_with(once, again, (o, r) -> if(r is null, size(o.f) + o.left, size(r.f) + r.left)), whole, (s, n) -> s + n)",
     }
     kept = rows.columns
     for step, expr in steps.items():
@@ -131,7 +143,7 @@ def add_likeness(rows: DataFrame, name: str, a: str, na: str, b: str, nb: str) -
 
 def written(sketch: str, n: str) -> str:
     """SQL: a sketch as text: how many digests, then for each cell count and xor, nothing for an empty one."""
-    return f"concat({n}, ':', array_join(transform(flatten({sketch}), x -> if(x.n = 0, '', concat(x.n, '.', lower(hex(x.k))))), ' '))"
+    return f"concat({n}, ':', array_join(transform(flatten(flatten({sketch})), x -> if(x.n = 0, '', concat(x.n, '.', lower(hex(x.k))))), ' '))"
 
 
 def _ranges(docs: DataFrame, rows_per_range: int):
