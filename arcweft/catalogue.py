@@ -18,13 +18,40 @@ class Entry:
     labels: tuple | None = None
 
 
-GEO = ("Region", "Nation")
+#: The graph of a search over all pairs of nodes: places and who is there.
+TRADE = ("Region", "Nation", "Customer", "Supplier")
+# SQL: how many nodes and edges the whole graph has
+_V = "((SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM events))"
+_E = "((SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) + 2 * (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM events))"
+_PAGERANK = """
+WITH RECURSIVE ids AS (
+  SELECT 'Region:' || r_regionkey AS id FROM region UNION ALL SELECT 'Nation:' || n_nationkey FROM nation UNION ALL SELECT 'Customer:' || c_custkey FROM customer
+  UNION ALL SELECT 'Supplier:' || s_suppkey FROM supplier UNION ALL SELECT 'Part:' || p_partkey FROM part UNION ALL SELECT 'Order:' || o_orderkey FROM orders UNION ALL SELECT 'Event:' || event_id FROM events),
+edges AS (
+  SELECT 'Nation:' || n_nationkey AS a, 'Region:' || n_regionkey AS b FROM nation UNION ALL SELECT 'Customer:' || c_custkey, 'Nation:' || c_nationkey FROM customer
+  UNION ALL SELECT 'Supplier:' || s_suppkey, 'Nation:' || s_nationkey FROM supplier UNION ALL SELECT 'Customer:' || o_custkey, 'Order:' || o_orderkey FROM orders
+  UNION ALL SELECT 'Order:' || l_orderkey, 'Part:' || l_partkey FROM lineitem UNION ALL SELECT 'Order:' || l_orderkey, 'Supplier:' || l_suppkey FROM lineitem UNION ALL SELECT 'Customer:' || user_id, 'Event:' || event_id FROM events),
+links AS (SELECT a, b, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY a) AS w FROM edges GROUP BY a, b),
+start AS (SELECT id, id NOT IN (SELECT a FROM links) AS leaf, count(*) OVER () AS n FROM ids),
+ranks AS (
+  SELECT 0 AS i, id, leaf, n, 1.0::DOUBLE / n AS score, 1.0::DOUBLE AS moved FROM start
+  UNION ALL
+  SELECT i + 1, id, leaf, n, new, sum(abs(new - score)) OVER ()
+  FROM (SELECT i, id, leaf, n, score, moved, (1 - 0.85::DOUBLE) / n + 0.85::DOUBLE * (coalesce(gain, 0) + sum(CASE WHEN leaf THEN score ELSE 0 END) OVER () / n) AS new
+        FROM ranks LEFT JOIN (SELECT b, sum(score * w) AS gain FROM ranks JOIN links ON id = a GROUP BY b) ON b = id)
+  WHERE i < 100 AND moved >= 1e-6)
+SELECT CAST(replace(id, 'Customer:', '') AS INT) AS k, CAST(floor(score * 1000000000 + 0.5) AS BIGINT) AS score
+FROM ranks WHERE i = (SELECT max(i) FROM ranks) AND id LIKE 'Customer:%'
+"""
 
 ENTRIES: dict[str, Entry] = {
     "match_label_where": Entry("MATCH (c:Customer) WHERE c.acctbal > 9000 RETURN c.custkey AS k", "SELECT c_custkey AS k FROM customer WHERE c_acctbal > 9000"),
     "match_all_nodes_count": Entry("MATCH (n) RETURN count(n) AS total", "SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM events) AS total"),
     "match_label_or": Entry("MATCH (n:Region|Nation) RETURN id(n) AS k, coalesce(n.name, '') AS name", "SELECT 'Region:' || r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT 'Nation:' || n_nationkey, n_name FROM nation"),
-    "match_label_not": Entry("MATCH (n:!Nation) RETURN n.name AS name", "SELECT r_name AS name FROM region", GEO),
+    "match_label_not": Entry(
+        "MATCH (n:!Event) RETURN labelsOf(n)[0] AS label, count(*) AS c",
+        "SELECT 'Region' AS label, count(*) AS c FROM region UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Customer', count(*) FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Order', count(*) FROM orders",
+    ),
     "match_prop_map": Entry("MATCH (p:Part {brand: 'Brand#13'}) RETURN p.partkey AS k", "SELECT p_partkey AS k FROM part WHERE p_brand = 'Brand#13'"),
     "match_dynamic_prop_map": Entry(
         "MATCH (r:Region) MATCH (n:Nation {regionkey: r.regionkey}) RETURN r.name AS r, count(n) AS c",
@@ -244,79 +271,137 @@ ENTRIES: dict[str, Entry] = {
     ),
     "varlen_region": Entry(
         "MATCH (r:Region)-[*1..2]-(x) RETURN r.name AS r, labelsOf(x)[0] AS label, count(*) AS n",
-        "SELECT r_name AS r, 'Nation' AS label, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1 UNION ALL SELECT r_name, 'Supplier', count(*) FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1",
-        ("Region", "Nation", "Supplier"),
+        "SELECT r_name AS r, 'Nation' AS label, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1 UNION ALL SELECT r_name, 'Supplier', count(*) FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT r_name, 'Customer', count(*) FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY 1",
     ),
     "varlen_zero": Entry(
-        "MATCH (n:Nation)-[rs:IN_REGION*0..1]->(x) RETURN n.name AS n, count(*) AS c, sum(size(rs)) AS hops",
-        "SELECT n_name AS n, CAST(2 AS BIGINT) AS c, CAST(1 AS BIGINT) AS hops FROM nation",
-        GEO,
+        "MATCH (c:Customer)-[rs:IN_NATION|IN_REGION*0..2]->(x) RETURN labelsOf(x)[0] AS label, count(*) AS c, sum(size(rs)) AS hops",
+        "SELECT 'Customer' AS label, count(*) AS c, CAST(0 AS BIGINT) AS hops FROM customer UNION ALL SELECT 'Nation', count(*), count(*) FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'Region', count(*), 2 * count(*) FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey",
     ),
     "varlen_simple_paths": Entry(
-        "MATCH (a:Nation {nationkey: 0})-[:IN_REGION*1..4]-(b:Nation) RETURN b.name AS b, count(*) AS paths",
-        "SELECT b.n_name AS b, CAST(1 AS BIGINT) AS paths FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey <> 0 WHERE a.n_nationkey = 0",
-        GEO,
+        "MATCH (a:Supplier)-[:IN_NATION*1..2]-(b:Customer) RETURN a.suppkey AS s, count(*) AS paths",
+        "SELECT s_suppkey AS s, count(*) AS paths FROM supplier JOIN customer ON c_nationkey = s_nationkey GROUP BY 1",
+    ),
+    "varlen_limit": Entry(
+        "MATCH (a:Customer)-[*1..]->(b:Order) RETURN 'path' AS p LIMIT 12",
+        "SELECT 'path' AS p FROM orders LIMIT 12",
+    ),
+    "varlen_depth_cap": Entry(
+        "MATCH (s:Supplier)-[:IN_NATION|IN_REGION*]->(x) RETURN labelsOf(x)[0] AS label, count(*) AS c",
+        "SELECT 'Nation' AS label, count(*) AS c FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION ALL SELECT 'Region', count(*) FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey",
+    ),
+    "varlen_self_loop": Entry(
+        "MATCH (c:Customer) WHERE c.acctbal < 0 CREATE (c)-[:SELF]->(c) CREATE (c)-[:NEXT]->(:Stop {k: c.custkey}) WITH count(*) AS n MATCH (c:Customer)-[r:SELF|NEXT*1..3]->(y) RETURN n, labelsOf(y)[0] AS label, count(*) AS c, sum(size(r)) AS hops",
+        "SELECT count(*) AS n, l AS label, count(*) AS c, count(*) AS hops FROM customer, (SELECT unnest(['Customer', 'Stop']) AS l) WHERE c_acctbal < 0 GROUP BY l",
     ),
     "shortest_path_len": Entry(
-        "MATCH (a:Nation {nationkey: 0}) MATCH (b:Nation) RETURN b.nationkey AS k, length(shortestPath((a)-[:IN_REGION*..4]-(b))) AS hops",
-        "SELECT b.n_nationkey AS k, CASE WHEN b.n_nationkey = 0 THEN 0 WHEN a.n_regionkey = b.n_regionkey THEN 2 END::BIGINT AS hops FROM nation a, nation b WHERE a.n_nationkey = 0",
-        GEO,
+        "MATCH (a:Region) MATCH (b:Customer) RETURN b.custkey AS k, a.name AS r, length(shortestPath((b)-[:IN_NATION|IN_REGION*..3]->(a))) AS hops",
+        "SELECT c_custkey AS k, r_name AS r, CASE WHEN n_regionkey = r_regionkey THEN 2 END::BIGINT AS hops FROM customer JOIN nation ON n_nationkey = c_nationkey, region",
     ),
     "all_shortest_paths": Entry(
-        "MATCH (r:Region) MATCH (s:Supplier {suppkey: 1}) RETURN r.name AS r, size(allShortestPaths((s)-[*..3]->(r))) AS n",
-        "SELECT r_name AS r, CAST(r_regionkey = (SELECT n_regionkey FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_suppkey = 1) AS BIGINT) AS n FROM region",
-        ("Region", "Nation", "Supplier"),
+        "MATCH (r:Region) MATCH (s:Supplier) RETURN r.name AS r, s.suppkey AS k, size(allShortestPaths((s)-[*..3]->(r))) AS n",
+        "SELECT r_name AS r, s_suppkey AS k, CAST(n_regionkey = r_regionkey AS BIGINT) AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey, region",
+    ),
+    "all_shortest_paths_many": Entry(
+        "MATCH (c:Customer) WHERE c.acctbal < -900 MATCH (s:Supplier) RETURN c.custkey AS c, s.suppkey AS s, size(allShortestPaths((c)-[:PLACED|SUPPLIED_BY*..2]->(s))) AS n",
+        "SELECT c_custkey AS c, s_suppkey AS s, (SELECT count(*) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey AND l_suppkey = s_suppkey) AS n FROM customer, supplier WHERE c_acctbal < -900",
     ),
     "graph_stats": Entry(
-        "MATCH (r:Region) RETURN r.name AS r, numNodes() AS nodes, numRelationships() AS rels, density() AS density, averageDegree() AS degree, diameter() AS diameter",
-        "SELECT r_name AS r, CAST(30 AS BIGINT) AS nodes, CAST(25 AS BIGINT) AS rels, 25.0::DOUBLE / (30 * 29) AS density, 50.0::DOUBLE / 30 AS degree, CAST(-1 AS BIGINT) AS diameter FROM region",
-        GEO,
+        "MATCH (r:Region) RETURN r.name AS r, numNodes() AS nodes, numRelationships() AS rels, density() AS density, averageDegree() AS degree",
+        f"SELECT r_name AS r, {_V} AS nodes, {_E} AS rels, CAST({_E} AS DOUBLE) / ({_V} * ({_V} - 1)) AS density, CAST(2 * {_E} AS DOUBLE) / {_V} AS degree FROM region",
+    ),
+    "diameter": Entry(
+        "MATCH (r:Region) RETURN r.name AS r, diameter() AS d",
+        "SELECT r_name AS r, CAST(CASE WHEN (SELECT count(*) FROM region) > 1 THEN -1 ELSE 4 END AS BIGINT) AS d FROM region",
+        TRADE,
     ),
     "degree_centrality": Entry(
-        "MATCH (n:Region|Nation) RETURN id(n) AS k, degreeCentrality(n) AS score",
-        "SELECT 'Region:' || r_regionkey AS k, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey)::DOUBLE / 29 AS score FROM region UNION ALL SELECT 'Nation:' || n_nationkey, 1.0::DOUBLE / 29 FROM nation",
-        GEO,
+        "MATCH (n:Customer) RETURN n.custkey AS k, degreeCentrality(n) AS score",
+        f"SELECT c_custkey AS k, CAST(1 + (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) + (SELECT count(*) FROM events WHERE user_id = c_custkey) AS DOUBLE) / ({_V} - 1) AS score FROM customer",
+    ),
+    "score_map": Entry(
+        "WITH degreeCentrality() AS scores RETURN size(keys(scores)) AS n, toInteger(scores['Region:0'] * 1000000 + 0.5) AS first",
+        f"SELECT {_V} AS n, CAST(floor((SELECT count(*) FROM nation WHERE n_regionkey = 0)::DOUBLE / ({_V} - 1) * 1000000 + 0.5) AS BIGINT) AS first",
     ),
     "betweenness": Entry(
         "MATCH (n:Region|Nation) RETURN id(n) AS k, betweennessCentrality(n) AS score",
-        "SELECT 'Region:' || r_regionkey AS k, (c * (c - 1) / 2)::DOUBLE AS score FROM region JOIN (SELECT n_regionkey, count(*) AS c FROM nation GROUP BY 1) ON n_regionkey = r_regionkey UNION ALL SELECT 'Nation:' || n_nationkey, 0.0 FROM nation",
-        GEO,
+        "WITH k AS (SELECT n_nationkey, n_regionkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS k FROM nation), t AS (SELECT n_regionkey AS r, sum(1 + k)::DOUBLE AS total, sum((1 + k) * (1 + k))::DOUBLE AS squares FROM k GROUP BY 1) SELECT 'Region:' || r_regionkey AS k, coalesce((total * total - squares) / 2, 0) AS score FROM region LEFT JOIN t ON r = r_regionkey UNION ALL SELECT 'Nation:' || n_nationkey, k * (k - 1) / 2 + k * (total - k) FROM k JOIN t ON r = n_regionkey",
+        TRADE,
     ),
-    "pagerank": Entry("MATCH (n:Region|Nation) RETURN id(n) AS k, pagerank(n) AS score", None, GEO),
+    "pagerank": Entry("MATCH (n:Customer) RETURN n.custkey AS k, toInteger(pagerank(n) * 1000000000 + 0.5) AS score", _PAGERANK),
     "connected_component": Entry(
         "MATCH (n:Nation) WITH n, connectedComponent(n) AS g RETURN n.name AS n, size(g.nodes) AS nodes, size(g.edges) AS edges",
-        "SELECT a.n_name AS n, 1 + count(*) AS nodes, count(*) AS edges FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey GROUP BY 1",
-        GEO,
+        "WITH k AS (SELECT n_regionkey AS r, 1 + (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS k FROM nation) SELECT n_name AS n, CAST(1 + (SELECT sum(k) FROM k WHERE r = n_regionkey) AS BIGINT) AS nodes, CAST((SELECT sum(k) FROM k WHERE r = n_regionkey) AS BIGINT) AS edges FROM nation",
+        TRADE,
     ),
     "ego_graph": Entry(
-        "MATCH (n:Nation) WITH n, egoGraph(n, 1) AS g RETURN n.name AS n, size(g.nodes) AS nodes, size(g.edges) AS edges",
-        "SELECT n_name AS n, CAST(2 AS BIGINT) AS nodes, CAST(1 AS BIGINT) AS edges FROM nation",
-        GEO,
+        "MATCH (n:Customer) WITH n, egoGraph(n, 1) AS g RETURN n.custkey AS k, size(g.nodes) AS nodes, size(g.edges) AS edges",
+        "SELECT c_custkey AS k, 2 + o + e AS nodes, 1 + o + e AS edges FROM (SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS o, (SELECT count(*) FROM events WHERE user_id = c_custkey) AS e FROM customer)",
     ),
     "subgraph_of_list": Entry(
-        "MATCH (r:Region) OPTIONAL MATCH (r)<-[:IN_REGION]-(n:Nation) WHERE n.nationkey < 12 WITH r, collect(n) AS ns WITH r.name AS r, subgraph([x IN ns WHERE x IS NOT NULL | x] + [r]) AS g RETURN r, size(g.nodes) AS nodes, size(g.edges) AS edges",
-        "SELECT r_name AS r, 1 + count(n_nationkey) AS nodes, count(n_nationkey) AS edges FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey < 12 GROUP BY 1",
-        GEO,
+        "MATCH (n:Nation)<-[:IN_NATION]-(c:Customer) WITH n, collect(c) AS cs WITH n.name AS n, subgraph([x IN cs | x] + [n]) AS g RETURN n, size(g.nodes) AS nodes, size(g.edges) AS edges",
+        "SELECT n_name AS n, 1 + count(*) AS nodes, count(*) AS edges FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1",
     ),
     "create_set_delete": Entry(
-        "MATCH (r:Region) CREATE (r)<-[:IN_REGION]-(n:Nation {nationkey: 100 + r.regionkey, name: 'NEW ' + r.name}) SET n.fresh = true WITH count(*) AS made MATCH (x:Nation) WHERE x.nationkey < 5 DETACH DELETE x WITH DISTINCT made MATCH (r:Region)<-[:IN_REGION]-(n:Nation) RETURN made, r.name AS r, count(n) AS c, count(n.fresh) AS f",
-        "SELECT CAST(5 AS BIGINT) AS made, r_name AS r, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey >= 5) + 1 AS c, CAST(1 AS BIGINT) AS f FROM region",
-        GEO,
+        "MATCH (c:Customer) WHERE c.acctbal < 0 CREATE (c)-[:OWES]->(d:Debt {amount: -c.acctbal}) SET d.fresh = true WITH count(*) AS made MATCH (x:Supplier) WHERE x.acctbal < 5000 DETACH DELETE x WITH DISTINCT made MATCH (n:Nation)<-[:IN_NATION]-(x) OPTIONAL MATCH (x)-[:OWES]->(d) RETURN made, n.name AS n, count(x) AS c, count(x.suppkey) AS suppliers, count(d.fresh) AS fresh",
+        "SELECT (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS made, n_name AS n, count(*) AS c, count(s) AS suppliers, count(fresh) AS fresh FROM nation JOIN (SELECT c_nationkey AS k, NULL AS s, CASE WHEN c_acctbal < 0 THEN 1 END AS fresh FROM customer UNION ALL SELECT s_nationkey, s_suppkey, NULL FROM supplier WHERE s_acctbal >= 5000) ON k = n_nationkey GROUP BY n_name",
+    ),
+    "delete_edges": Entry(
+        "MATCH (c:Customer)-[r:PLACED]->(o:Order) WHERE o.totalprice > 200000 DELETE r WITH count(*) AS n MATCH (c:Customer)-[:PLACED]->(o) RETURN n, count(o) AS left",
+        'SELECT (SELECT count(*) FROM orders WHERE o_totalprice > 200000) AS n, (SELECT count(*) FROM orders WHERE o_totalprice <= 200000) AS "left"',
     ),
     "merge": Entry(
+        "MATCH (c:Customer) MERGE (s:Segment {name: c.mktsegment}) ON CREATE SET s.made = true ON MATCH SET s.seen = true WITH count(*) AS n MATCH (s:Segment) RETURN n, s.name AS s, coalesce(s.made, false) AS made, coalesce(s.seen, false) AS seen",
+        "SELECT (SELECT count(*) FROM customer) AS n, c_mktsegment AS s, true AS made, false AS seen FROM customer GROUP BY c_mktsegment",
+    ),
+    "merge_existing": Entry(
         "UNWIND ['ASIA', 'ATLANTIS', 'ATLANTIS'] AS name MERGE (r:Region {name: name}) ON CREATE SET r.made = true ON MATCH SET r.seen = true WITH count(*) AS n MATCH (r:Region) RETURN n, r.name AS r, coalesce(r.made, false) AS made, coalesce(r.seen, false) AS seen",
         "SELECT CAST(3 AS BIGINT) AS n, r_name AS r, false AS made, r_name = 'ASIA' AS seen FROM region UNION ALL SELECT 3, 'ATLANTIS', true, false",
-        GEO,
     ),
     "remove_label_prop": Entry(
-        "MATCH (r:Region) WHERE r.regionkey < 2 REMOVE r.name, r:Region WITH count(*) AS n MATCH (x) WHERE size(labels(x)) = 0 RETURN n, x.regionkey AS k, x.name IS NULL AS gone",
-        "SELECT CAST(2 AS BIGINT) AS n, r_regionkey AS k, true AS gone FROM region WHERE r_regionkey < 2",
-        GEO,
+        "MATCH (c:Customer) WHERE c.acctbal < 0 REMOVE c.name, c:Customer WITH count(*) AS n MATCH (x) WHERE size(labels(x)) = 0 RETURN n, x.custkey AS k, x.name IS NULL AS gone",
+        "SELECT (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS n, c_custkey AS k, true AS gone FROM customer WHERE c_acctbal < 0",
     ),
     "foreach_write": Entry(
-        "MATCH (n:Nation) WITH collect(n) AS ns FOREACH (x IN ns WHERE x.regionkey = 1 | SET x.flag = x.nationkey) WITH size(ns) AS total MATCH (n:Nation) RETURN total, count(n.flag) AS flagged, sum(n.flag) AS s",
-        "SELECT CAST(25 AS BIGINT) AS total, count(*) AS flagged, CAST(sum(n_nationkey) AS BIGINT) AS s FROM nation WHERE n_regionkey = 1",
-        GEO,
+        "MATCH (s:Supplier) WITH collect(s) AS all FOREACH (x IN all WHERE x.acctbal < 0 | SET x.flag = x.suppkey) WITH size(all) AS total MATCH (s:Supplier) RETURN total, count(s.flag) AS flagged, sum(s.flag) AS s",
+        "SELECT (SELECT count(*) FROM supplier) AS total, count(*) AS flagged, CAST(coalesce(sum(s_suppkey), 0) AS BIGINT) AS s FROM supplier WHERE s_acctbal < 0",
+    ),
+    "union_tail": Entry(
+        "MATCH (c:Customer) RETURN c.name AS name, c.acctbal AS b UNION ALL MATCH (s:Supplier) RETURN s.name AS name, s.acctbal AS b ORDER BY b DESC, name SKIP 3 LIMIT 8",
+        "SELECT * FROM (SELECT c_name AS name, c_acctbal AS b FROM customer UNION ALL SELECT s_name, s_acctbal FROM supplier) ORDER BY b DESC, name LIMIT 8 OFFSET 3",
+    ),
+    "call_yield": Entry(
+        "MATCH (n:Nation) CALL { MATCH (n)<-[:IN_NATION]-(c:Customer) RETURN count(c) AS customers, max(c.acctbal) AS top } YIELD customers RETURN n.name AS n, customers",
+        "SELECT n_name AS n, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers FROM nation",
+    ),
+    "call_where": Entry(
+        "MATCH (n:Nation) CALL { MATCH (n)<-[:IN_NATION]-(c:Customer) RETURN count(c) AS customers } WHERE customers > 50 RETURN n.name AS n, customers",
+        "SELECT n_name AS n, count(*) AS customers FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1 HAVING count(*) > 50",
+    ),
+    "call_alone": Entry(
+        "CALL { MATCH (s:Supplier) RETURN s.nationkey AS k, count(*) AS c }",
+        "SELECT s_nationkey AS k, count(*) AS c FROM supplier GROUP BY 1",
+    ),
+    "exists_value": Entry(
+        "MATCH (c:Customer) OPTIONAL MATCH (c)-[:DID]->(e:Event) WITH c, e WHERE EXISTS(e.value) RETURN count(*) AS n",
+        "SELECT count(*) AS n FROM customer JOIN events ON user_id = c_custkey WHERE value IS NOT NULL",
+    ),
+    "bare_value": Entry("MATCH (c:Customer) WHERE c.nationkey RETURN count(*) AS n", "SELECT count(*) AS n FROM customer WHERE c_nationkey <> 0"),
+    "map_subset": Entry("MATCH (c:Customer) WHERE c = {mktsegment: 'BUILDING', nationkey: 3} RETURN c.custkey AS k", "SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3"),
+    "types_and_ends": Entry(
+        "MATCH (s:Supplier)-[r]->(n) RETURN type(r) AS t, startNode(r) AS s, endNode(r) AS e",
+        "SELECT 'IN_NATION' AS t, 'Supplier:' || s_suppkey AS s, 'Nation:' || s_nationkey AS e FROM supplier",
+    ),
+    "keys_of_map": Entry("MATCH (r:Region) WITH r, keys({b: r.name, a: 1}) AS ks RETURN r.name AS r, size(ks) AS n, 'a' IN ks AS a, 'c' IN ks AS c", "SELECT r_name AS r, CAST(2 AS BIGINT) AS n, true AS a, false AS c FROM region"),
+    "random_and_clock": Entry("MATCH (c:Customer) WITH random() AS x, timestamp() AS t WHERE x >= 0 AND x < 1 AND t > 1700000000 RETURN count(*) AS n", "SELECT count(*) AS n FROM customer"),
+    "timezone_of": Entry(
+        "RETURN timezone('2023-01-02T03:04:05+02:00') AS a, timezone('2023-01-02T03:04:05Z') AS b, timezone('2023-01-02T03:04:05') IS NULL AS c",
+        "SELECT '+02:00' AS a, 'Z' AS b, true AS c",
+    ),
+    "default_names": Entry("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) RETURN c.custkey, n.name", "SELECT c_custkey AS custkey, n_name AS name FROM customer JOIN nation ON n_nationkey = c_nationkey"),
+    "rematched_node": Entry("MATCH (c:Customer) MATCH (c:Customer) WHERE c.acctbal > 9000 RETURN c.custkey AS k", "SELECT c_custkey AS k FROM customer WHERE c_acctbal > 9000"),
+    "nested_lambdas": Entry(
+        "MATCH (n:Nation) RETURN n.name AS n, reduce(s = 0, z IN [x IN [1, 2, 3] | reduce(t = 0, y IN [x, n.nationkey] | t + x * y)] | s + z) AS v",
+        "SELECT n_name AS n, CAST(14 + 6 * n_nationkey AS BIGINT) AS v FROM nation",
     ),
 }
 
@@ -325,19 +410,216 @@ def _query(entry: Entry):
     return lambda spark, sf_dir: table_graph(spark, sf_dir, labels=entry.labels).cypher(entry.text)
 
 
-def load_csv(spark, sf_dir):
-    """LOAD CSV of the nations, written as CSV into the shared folder first."""
+def _folder(spark, name: str) -> str:
+    """A new folder among those that all executors share."""
     import uuid
 
     from .operators.cutting import cut_lineage
 
     cut_lineage(spark.range(1))  # sets the session's shared folder where it has none
-    path = f"{spark.sparkContext.getCheckpointDir()}/csv-{uuid.uuid4().hex}"
-    spark.read.parquet(f"{sf_dir}/nation.parquet").write.csv(path, header=True)
-    return table_graph(spark, sf_dir).cypher(f"LOAD CSV WITH HEADERS FROM '{path}' AS row MATCH (r:Region) WHERE r.regionkey = toInteger(row.n_regionkey) RETURN r.name AS r, count(*) AS n, sum(toInteger(row.n_nationkey)) AS s")
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def load_csv(spark, sf_dir):
+    """LOAD CSV of the customers, written as CSV into the shared folder first."""
+    path = _folder(spark, "csv")
+    spark.read.parquet(f"{sf_dir}/customer.parquet").write.csv(path, header=True)
+    return table_graph(spark, sf_dir).cypher(f"LOAD CSV WITH HEADERS FROM '{path}' AS row MATCH (n:Nation) WHERE n.nationkey = toInteger(row.c_nationkey) RETURN n.name AS n, count(*) AS c, sum(toInteger(row.c_custkey)) AS s")
+
+
+def _places(spark, sf_dir) -> dict:
+    """Nations and regions as graph JSON: data of the driver's own, and few rows at any scale."""
+    nodes, edges = [], []
+    for label, name, key, up, kind in (("Region", "region", "r_regionkey", None, None), ("Nation", "nation", "n_nationkey", "n_regionkey", "IN_REGION")):
+        for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").toLocalIterator():
+            nodes.append({"key": f"{label}:{r[key]}", "attributes": {"label": label, "name": r[f"{name[0]}_name"], "number": r[key]}})
+            if up:
+                edges.append({"source": f"{label}:{r[key]}", "target": f"Region:{r[up]}", "attributes": {"type": kind}})
+    return {"options": {"type": "directed", "multi": True}, "nodes": nodes, "edges": edges}
+
+
+_PER_REGION = "MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN r.name AS r, count(n) AS nations, sum(n.number) AS numbers"
+_PER_REGION_SQL = "SELECT r_name AS r, count(*) AS nations, CAST(sum(n_nationkey) AS BIGINT) AS numbers FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1"
+
+
+def _json_file(spark, sf_dir) -> str:
+    """The path of a graph JSON file in the shared folder."""
+    import json
+
+    path = _folder(spark, "json")
+    spark.createDataFrame([(json.dumps(_places(spark, sf_dir)),)], "value string").coalesce(1).write.text(path)
+    names = spark.read.text(path, wholetext=True).inputFiles()
+    return names[0]
+
+
+def graph_from_json_file(spark, sf_dir):
+    from .sources.graph_json import read_graph
+
+    return read_graph(spark, _json_file(spark, sf_dir)).cypher(_PER_REGION)
+
+
+def graph_from_json_data(spark, sf_dir):
+    from . import execute_query
+
+    return execute_query(_places(spark, sf_dir), _PER_REGION, spark)
+
+
+def graph_from_builder(spark, sf_dir):
+    from .sources.builder import GraphBuilder
+
+    builder, data = GraphBuilder(), _places(spark, sf_dir)
+    for n in data["nodes"]:
+        builder.add_node(n["key"], **n["attributes"])
+    for e in data["edges"]:
+        builder.add_edge(e["source"], e["target"], **e["attributes"])
+    return builder.build(spark).cypher(_PER_REGION)
+
+
+def graph_from_frames(spark, sf_dir):
+    """Customers and orders as generic frames, wrapped as they are."""
+    from .graph import PropertyGraph
+
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("concat('c', c_custkey) as id", "'Customer' as label", "c_mktsegment as segment", "cast(null as double) as price")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    nodes = customers.unionByName(orders.selectExpr("concat('o', o_orderkey) as id", "'Order' as label", "cast(null as string) as segment", "o_totalprice as price"))
+    edges = orders.selectExpr("concat('c', o_custkey) as source", "concat('o', o_orderkey) as target", "'PLACED' as type")
+    return PropertyGraph.from_frames(nodes, edges).cypher("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.segment AS s, count(o) AS n, max(o.price) AS top")
+
 
+def graph_indexed(spark, sf_dir):
+    graph = table_graph(spark, sf_dir).indexed()
+    return graph.cypher("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.mktsegment AS s, count(o) AS n, max(o.totalprice) AS top")
 
-QUERIES = {name: _query(e) for name, e in ENTRIES.items()} | {"load_csv": load_csv}
-ORACLE_SQL = {name: e.sql for name, e in ENTRIES.items() if e.sql} | {
-    "load_csv": "SELECT r_name AS r, count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS s FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1"
+
+def graph_errors(spark, sf_dir):
+    """What validation says of data with a repeated node, a lost end and an odd type."""
+    from .errors import GraphError
+    from .sources.graph_json import validate
+
+    rows = []
+    for name in ("repeated", "lost", "type"):
+        data = _places(spark, sf_dir)
+        if name == "repeated":
+            data["nodes"].append(data["nodes"][0])
+        elif name == "lost":
+            data["edges"][0]["target"] = "Region:none"
+        else:
+            data["options"]["type"] = "odd"
+        try:
+            validate(data)
+            rows.append((name, False))
+        except GraphError:
+            rows.append((name, True))
+    return spark.createDataFrame(rows, "name string, refused boolean")
+
+
+def graph_format(spark, sf_dir):
+    """A format of the user's: lines of "key>key", converted to graph JSON."""
+    from .sources import formats
+
+    def convert(content, path, label_property, edge_type_property):
+        pairs = [line.split(">") for line in content.splitlines() if ">" in line]
+        keys = sorted({k for p in pairs for k in p})
+        return {"nodes": [{"key": k, "attributes": {label_property: k.split(":")[0]}} for k in keys], "edges": [{"source": a, "target": b, "attributes": {edge_type_property: "IN"}} for a, b in pairs]}
+
+    if "arrows" not in formats.formats():
+        formats.register_format("arrows", convert)
+    path = f"{_folder(spark, 'lines')}.arrows"
+    spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("concat('Supplier:', s_suppkey, '>Nation:', s_nationkey) as value").coalesce(1).write.text(path)
+    return formats.load(spark, path).cypher("MATCH (s:Supplier)-[:IN]->(n:Nation) RETURN id(n) AS n, count(s) AS c")
+
+
+def _cli(spark, path: str, *args) -> str:
+    import io
+
+    from . import cli
+
+    out = io.StringIO()
+    if cli.main(["-g", path, *args, "--no-cache"], spark, out):
+        raise RuntimeError("the command failed")
+    return out.getvalue()
+
+
+def cli_rows(spark, sf_dir):
+    """Rows printed by the command line, read back."""
+    import json
+
+    lines = _cli(spark, _json_file(spark, sf_dir), "-e", _PER_REGION, "--format", "rows").splitlines()
+    return spark.createDataFrame([(x["r"], x["nations"], x["numbers"]) for x in map(json.loads, lines)], "r string, nations long, numbers long")
+
+
+def cli_graph(spark, sf_dir):
+    """Nodes and relationships printed as graph JSON, read back as a graph."""
+    import json
+
+    data = json.loads(_cli(spark, _json_file(spark, sf_dir), "-e", "MATCH (n:Nation)-[r:IN_REGION]->(g:Region) RETURN n, r, g"))
+    rows = [(n["attributes"]["label"],) for n in data["nodes"]] + [("edge",)] * len(data["edges"])
+    return spark.createDataFrame(rows, "kind string").groupBy("kind").count()
+
+
+def cli_pass_through(spark, sf_dir):
+    import json
+
+    from .sources.graph_json import graph_from_dict
+
+    return graph_from_dict(spark, json.loads(_cli(spark, _json_file(spark, sf_dir), "--pass-through"))).cypher(_PER_REGION)
+
+
+def explained(spark, sf_dir):
+    from .explain import explain
+
+    said = explain("MATCH (c:Customer)-[:PLACED]->(o) WITH c, count(o) AS n WHERE n > 3 RETURN c.name AS name, n ORDER BY n DESC LIMIT 5")
+    return spark.createDataFrame([(i, s["type"], ",".join(s["variables"])) for i, s in enumerate(said["stages"])], "i int, stage string, variables string")
+
+
+def user_functions(spark, sf_dir):
+    """A function of values, one of columns, and one called on a gathered list, by dotted names in any case."""
+    from pyspark.sql import functions as F
+
+    from .functions.registry import REGISTRY
+
+    if "shop.grade" not in REGISTRY.names():
+        REGISTRY.add_function("shop", "grade", lambda x: "debt" if x < 0 else "fine", "string")
+        REGISTRY.add_column_function("shop", "half", lambda c: F.floor(c / 2).cast("long"), "long")
+        REGISTRY.add_aggregation("shop", "spread", lambda xs: int(max(xs) - min(xs)), "long")
+    return table_graph(spark, sf_dir).cypher("MATCH (c:Customer) RETURN shop.Grade(c.acctbal) AS grade, count(*) AS n, shop.half(count(*)) AS half, shop.spread(collect(c.custkey)) AS spread")
+
+
+def path_guard(spark, sf_dir):
+    """A bound on paths: an error, or that many paths."""
+    import warnings
+
+    from .errors import QueryError
+    from .graph import GraphConfig
+
+    text, rows = "MATCH (c:Customer)-[*1..2]->(x) RETURN count(*) AS n", []
+    try:
+        table_graph(spark, sf_dir, GraphConfig(max_paths=150)).cypher(text)
+        rows.append(("error", 0))
+    except QueryError:
+        rows.append(("error", 1))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        kept = table_graph(spark, sf_dir, GraphConfig(max_paths=150, on_excess="stop")).cypher(text)
+    return spark.createDataFrame(rows, "what string, n long").unionByName(kept.selectExpr("'kept' as what", "n"))
+
+
+SOURCES = {
+    "load_csv": (load_csv, "SELECT n_name AS n, count(*) AS c, CAST(sum(c_custkey) AS BIGINT) AS s FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1"),
+    "graph_from_json_file": (graph_from_json_file, _PER_REGION_SQL),
+    "graph_from_json_data": (graph_from_json_data, _PER_REGION_SQL),
+    "graph_from_builder": (graph_from_builder, _PER_REGION_SQL),
+    "graph_from_frames": (graph_from_frames, "SELECT c_mktsegment AS s, count(*) AS n, max(o_totalprice) AS top FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
+    "graph_indexed": (graph_indexed, "SELECT c_mktsegment AS s, count(*) AS n, max(o_totalprice) AS top FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
+    "graph_errors": (graph_errors, "SELECT unnest(['repeated', 'lost', 'type']) AS name, true AS refused"),
+    "graph_format": (graph_format, "SELECT 'Nation:' || s_nationkey AS n, count(*) AS c FROM supplier GROUP BY 1"),
+    "cli_rows": (cli_rows, _PER_REGION_SQL),
+    "cli_graph": (cli_graph, "SELECT 'Nation' AS kind, count(*) AS count FROM nation UNION ALL SELECT 'Region', count(DISTINCT n_regionkey) FROM nation UNION ALL SELECT 'edge', count(*) FROM nation"),
+    "cli_pass_through": (cli_pass_through, _PER_REGION_SQL),
+    "explained": (explained, "SELECT unnest([0, 1, 2])::INT AS i, unnest(['MATCH', 'WITH', 'RETURN']) AS stage, unnest(['c,o', 'c,n', 'name,n']) AS variables"),
+    "user_functions": (user_functions, "SELECT CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'fine' END AS grade, count(*) AS n, count(*) // 2 AS half, CAST(max(c_custkey) - min(c_custkey) AS BIGINT) AS spread FROM customer GROUP BY 1"),
+    "path_guard": (path_guard, "SELECT 'error' AS what, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'kept', 150"),
 }
+
+QUERIES = {name: _query(e) for name, e in ENTRIES.items()} | {name: f for name, (f, _) in SOURCES.items()}
+ORACLE_SQL = {name: e.sql for name, e in ENTRIES.items() if e.sql} | {name: sql for name, (_, sql) in SOURCES.items()}

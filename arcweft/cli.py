@@ -48,14 +48,18 @@ def _load(spark: SparkSession, a, config: GraphConfig):
     return formats.load(spark, a.graph, config) if a.no_cache or not folder else GraphCache(folder).load(spark, a.graph, config)
 
 
-def _graph_json(graph) -> dict:
-    nodes = [json.loads(x) for x in graph.node_frame().toJSON().collect()]
-    edges = [json.loads(x) for x in graph.edge_frame().toJSON().collect()]
-    return {
-        "options": {"type": graph.config.graph_type, "multi": True},
-        "nodes": [{"key": n.pop("id"), "attributes": {k: v for k, v in n.items() if k != "labels"}} for n in nodes],
-        "edges": [{"key": e.pop("id"), "source": e.pop("source"), "target": e.pop("target"), "undirected": e.pop("undirected", False), "attributes": e} for e in edges],
-    }
+def _write_graph(graph, out) -> None:
+    """The graph as JSON, row by row: the driver holds one partition at a time."""
+
+    def lines(df, shape):
+        for i, line in enumerate(df.toJSON().toLocalIterator()):
+            out.write((", " if i else "") + json.dumps(shape(json.loads(line)), ensure_ascii=False))
+
+    out.write(f'{{"options": {json.dumps({"type": graph.config.graph_type, "multi": True})}, "nodes": [')
+    lines(graph.node_frame(), lambda n: {"key": n.pop("id"), "attributes": {k: v for k, v in n.items() if k != "labels"}})
+    out.write('], "edges": [')
+    lines(graph.edge_frame(), lambda e: {"key": e.pop("id"), "source": e.pop("source"), "target": e.pop("target"), "undirected": e.pop("undirected", False), "attributes": e})
+    out.write("]}\n")
 
 
 def main(argv=None, spark: SparkSession | None = None, out=None) -> int:
@@ -80,7 +84,7 @@ def main(argv=None, spark: SparkSession | None = None, out=None) -> int:
         graph = _load(spark, a, config)
         if a.pass_through:
             graph.check()
-            print(json.dumps(_graph_json(graph), ensure_ascii=False), file=out)
+            _write_graph(graph, out)
             return 0
         df = graph.cypher(a.execute)
         found = result_graph(df) if a.format == "graph" else None

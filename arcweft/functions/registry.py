@@ -35,9 +35,9 @@ class Registry:
         self._functions[key] = fn
 
     def add_function(self, namespace: str, name: str, fn: Callable, returns="string", vectorized: bool = False):
-        """A Python function of values, or with ``vectorized`` one of pandas Series (Arrow batches)."""
+        """A Python function of values, or with ``vectorized`` one of pandas Series; rows travel in Arrow batches either way."""
         kind = _type(returns)
-        udf = F.pandas_udf(fn, kind) if vectorized else F.udf(fn, kind)
+        udf = F.pandas_udf(fn, kind) if vectorized else F.udf(fn, kind, useArrow=True)
         self._add(namespace, name, lambda args: Expr(udf(*[a.col.cast("string") if is_null(a.type) else a.col for a in args]), kind))
 
     def add_column_function(self, namespace: str, name: str, fn: Callable, returns="string"):

@@ -181,3 +181,26 @@ def test_streamed_edges(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.sql("select a, matches from seen").collect()) == [("a", 1), ("a", 1), ("b", 1)]
     with pytest.raises(ValueError):
         with_streamed_edges(base, people, "k", "k", "X", "P", "P")
+
+
+def test_cache_waits_for_a_lock_and_takes_a_stale_one(spark, tmp_path, monkeypatch):
+    import os
+    import threading
+
+    from arcweft.sources import cache
+
+    data = json.loads(json.dumps(DATA))
+    data["nodes"][1]["attributes"]["label"] = "User"
+    path = tmp_path / "g.json"
+    path.write_text(json.dumps(data))
+    kept = GraphCache(str(tmp_path / "kept"))
+    lock = tmp_path / "kept" / f"{kept.key(str(path), GraphConfig())}.lock"
+    lock.parent.mkdir()
+    lock.write_text("")
+    threading.Timer(1.0, lock.unlink).start()
+    assert rows(kept.load(spark, str(path)), "MATCH (n) RETURN count(n) AS c") == [(2,)] and not lock.exists()
+    path.write_text(json.dumps(data) + " ")
+    lock.write_text("")
+    os.utime(lock, (1, 1))
+    monkeypatch.setattr(cache, "PAUSE", 0.01)
+    assert rows(kept.load(spark, str(path)), "MATCH (n) RETURN count(n) AS c") == [(2,)]
