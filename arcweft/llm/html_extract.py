@@ -4,7 +4,9 @@ A page is read into a tree of containers with text blocks.  Every block passes p
 comma, one for each 100 characters up to three) to its container, half to the next one up, and a falling
 share further up.  A container's points are discounted by its link density.  The best container is kept
 with those siblings that score well enough; menus, headers, footers, sidebars, notices, adverts, forms and
-comments are left out by their element, role or class wherever they stand.
+comments are left out by their element, role or class wherever they stand; an element within a line, such as a
+button or a hidden word, leaves the line whole.  Inside an article a paragraph, heading or item may bear a name of
+its subject ("legal", "related") and stays; a container of that name goes.
 
 Edge cases: null or empty html and pages without text give '' and 0; unclosed elements, comments and
 quotes are closed at the next place that allows it, an unfinished tag at the very end is no text; white
@@ -21,12 +23,12 @@ from pyspark.sql import DataFrame
 
 # fixed values: element names of HTML by their role
 BLOCK = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
-    " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre section select summary table tbody td"
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
+    " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td"
     " tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript iframe template svg math title textarea object canvas noembed noframes xmp".split())
+RAW = frozenset("script style noscript iframe template svg annotation annotation-xml title textarea object canvas noembed noframes xmp".split())
 SKIP = frozenset("nav footer aside button select dialog menu head option optgroup datalist".split())
 FORM = frozenset("form fieldset".split())
 KEEP = frozenset("article main".split())
@@ -38,6 +40,11 @@ BAD_WORD = frozenset(
     " sidebar sidebars side aside social sponsor sponsored subscribe signup login search tags toolbar widget widgets skip topbar copyright"
     " outbrain taboola teaser sitemap legal disclaimer".split()
 )
+# names that a paragraph, heading or item of an article may have by its subject; containers of these names are parts of a page
+SUBJECT = frozenset(
+    "banner copyright disclaimer discussion footer header legal masthead overlay promotion recommended related replies reply respond search side aside sidebar"
+    " sidebars sitemap skip tags teaser toolbar topbar widget widgets".split()
+)
 TALK = frozenset("comment comments commentlist disqus discussion replies reply respond".split())
 GOOD_WORD = frozenset("article body content entry hentry main page post story text blog prose column".split())
 #: Depth beyond which elements have no level of their own; what they are named and left out by still counts.
@@ -101,7 +108,8 @@ def _judge(tag: str, attrs: dict, inside_keep: bool) -> tuple[bool, bool | str,
     if tag in FORM or attrs.get("role", "").lower() in ("form", "search"):
         return False, True, 0.0
     names = {w.lower() for w in _WORDS.findall(attrs.get("class", "") + " " + attrs.get("id", ""))}
-    if names & BAD_WORD and tag not in KEEP:
+    told = names & BAD_WORD
+    if told and tag not in KEEP and not (inside_keep and tag in LEAF and told <= SUBJECT):
         if not names & GOOD_WORD or names & {"comment", "comments", "ad", "ads"}:
             return False, "talk" if names & TALK else "name", 0.0
         if names & {"sidebar", "footer"}:  # "sidebar-content", or "content-with-sidebar"
@@ -144,10 +152,11 @@ def parse(html: str) -> list[tuple[Node, str, int]]:
         if lt < 0:
             lt = n
         if lt > i:
-            text = unescape(html[i:lt])
-            parts.append(text)
-            if in_link:
-                links += len(text.strip())
+            if not stack[-1].bad:
+                text = unescape(html[i:lt])
+                parts.append(text)
+                if in_link:
+                    links += len(text.strip())
         if lt >= n:
             break
         nxt = html[lt + 1 : lt + 2]
@@ -166,7 +175,8 @@ def parse(html: str) -> list[tuple[Node, str, int]]:
                 end = html.find(">", lt)
                 i = n if end < 0 else end + 1
             else:
-                parts.append("<")
+                if not stack[-1].bad:
+                    parts.append("<")
                 i = lt + 1
             continue
         tag = m[0].lower()

@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import html
+import os
 import random
 import re
 import zlib
@@ -207,11 +209,11 @@ def test_null_ids_follow_by_hash_in_many_ranges(spark):
 
 
 def test_article_without_the_rest():
-    html = """<html><head><title>T</title><style>p{}</style></head><body class="page"><header><h2>Site</h2></header><nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav>
+    page = """<html><head><title>T</title><style>p{}</style></head><body class="page"><header><h2>Site</h2></header><nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav>
     <div class="cookie-notice">We use cookies, really, we do.</div><div id="main-content"><div class="post"><h1>The  title &amp; more</h1><p>First, long paragraph, with commas, and text &lt;here&gt;.<br>Same block.</p>
     <ul><li>An item, kept</li><li>Another</li></ul><p>Second paragraph with a <a href="#">link</a> inside.</p><form><p>Sign up</p></form><aside>Related stories, many of them, all linked.</aside></div></div>
     <div class="comments"><p>A reader, commenting, at length, about everything, and more.</p></div><div class="sidebar"><p>Side, side, side, side.</p></div><script>var p="</p>";</script><footer>&copy; Foot</footer></body></html>"""
-    assert html_extract.extract(html) == "The title & more\nFirst, long paragraph, with commas, and text <here>. Same block.\nAn item, kept\nAnother\nSecond paragraph with a link inside."
+    assert html_extract.extract(page) == "The title & more\nFirst, long paragraph, with commas, and text <here>. Same block.\nAn item, kept\nAnother\nSecond paragraph with a link inside."
 
 
 def test_wrappers_named_like_parts_of_a_page():
@@ -245,6 +247,31 @@ def test_long_attributes_and_deep_menus():
     assert html_extract.extract(page) == LONG
 
 
+def test_what_stands_inside_an_article():
+    page = f"<article><h2><a href=x>Linked head</a></h2><p class='legal'>The law, in short.</p><p class='related'>A related matter.</p><ul><li>Plain</li><li><a href=y>Linked</a></li></ul><p>{LONG}</p><div class='related'><p>More to read.</p></div><p class='ad'>Buy now.</p></article>"
+    assert html_extract.extract(page).split("\n") == ["Linked head", "The law, in short.", "A related matter.", "Plain", "Linked", LONG]
+    page = f"<article><p>{LONG}</p><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds, press <button>OK</button> to go <span hidden>unseen</span>on.</p></article>"
+    assert html_extract.extract(page).split("\n") == [LONG, "So x=2 holds, press to go on."]
+    assert html_extract.extract(f"<article><p>Choose <select><option>A<option>B</select> here, then read on.</p><p>{LONG}</p></article>").split("\n")[0] == "Choose here, then read on."
+
+
+def plain_article(page):
+    """The blocks of the only article of a page, by splitting at tags alone."""
+    inside = re.search(r"<article[^>]*>(.*?)</article>", page, re.S)[1]
+    inside = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", inside, flags=re.S)
+    blocks = re.split(r"</?(?:p|h[1-6]|div|section|ul|ol|li|blockquote|pre)\b[^>]*>", inside)
+    texts = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br[^>]*>", " ", b))).split()) for b in blocks]
+    return "\n".join(t for t in texts if t)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="tables are not here")
+def test_all_pages_against_splitting(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(pages).collect()}
+    rows = pages.collect()
+    assert len(rows) == len(got) > 100 and all(got[r["page_id"]] == plain_article(r["html"]) for r in rows)
+
+
 def test_page_without_structure():
     assert html_extract.extract("<div>One block,\n of &nbsp; text</div>") == "One block, of text"
     assert html_extract.extract("<nav><a href=x>Menu</a></nav>") == ""
