@@ -53,11 +53,15 @@ def _rows(texts: list[bytes]):
 
 def learn(texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """Indices and values of the weights other than 0, and the bias."""
-    # two passes in small pieces: what is held at once are the texts and the features that several texts have
+    return fit([row.astype(np.int32) for row in _rows(texts)], labels, epochs)
+
+
+def fit(rows: list[np.ndarray], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+    """The same from the distinct features of each text."""
     seen = np.zeros(1 << BITS, np.int32)
-    for row in _rows(texts):
+    for row in rows:
         seen[row] += 1
-    rows = [row[seen[row] >= MIN_TEXTS].astype(np.int32) for row in _rows(texts)]
+    rows = [row[seen[row] >= MIN_TEXTS] for row in rows]
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = 1 << BITS
     order = np.random.default_rng(7)
@@ -80,13 +84,13 @@ def learn(texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> tuple[
 
 
 def sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """(id, text, toxic): at most ``bound`` labelled whole texts of the learning folds, chosen by a hash of the id."""
+    """(id, text, toxic): the whole texts of at most ``bound`` labels of the learning folds, chosen by a hash of the id."""
     rows = labels.where(F.col("toxic").isNotNull() & (crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT)).select("doc_id", "toxic")
     total = rows.count()
     draw = (F.xxhash64("doc_id") % 1_000_000 + 1_000_000) % 1_000_000
     rows = rows.where(draw < int(1_000_000 * min(1.0, 0.95 * bound / total if total > bound else 1.0)) + 1)
     got = docs.select("doc_id", "text").join(F.broadcast(rows.limit(bound)), "doc_id")
-    return got.select(F.col("doc_id").cast("string").alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.col("toxic").cast("int").alias("toxic")).limit(bound)
+    return got.select(F.col("doc_id").cast("string").alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
 
 
 def probabilities(texts: list[bytes], weight: np.ndarray, bias: float) -> np.ndarray:
@@ -128,17 +132,26 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None) -
     return _scored(rows, model, emit, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """Weights learned from the bounded sample in one executor task; the driver only gets the few that are not 0."""
+def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """Weights learned from the bounded sample: features where the texts lie, the fit in one executor task.
+
+    That task holds the features of ``bound`` texts; the driver only gets the few weights that are not 0.
+    """
+
+    def hashed(batches):
+        for b in batches:
+            rows = [r.astype("<i4").tobytes() for r in _rows(b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(rows, pa.binary()), b.column("toxic")], ["id", "row", "toxic"])
 
     def run(batches):
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         if rows:
-            rows.sort()
-            idx, val, bias = learn([r[1] for r in rows], [r[2] for r in rows])
+            rows.sort(key=lambda r: (r[0] is None, r[0] or "", r[1], r[2]))
+            idx, val, bias = fit([np.frombuffer(r[1], "<i4") for r in rows], [r[2] for r in rows])
             yield pa.RecordBatch.from_arrays([pa.array([idx.tobytes()], pa.binary()), pa.array([val.tobytes()], pa.binary()), pa.array([bias])], ["idx", "val", "bias"])
 
-    got = sample(docs, labels).coalesce(1).mapInArrow(run, "idx binary, val binary, bias double").collect()
+    rows = sample(docs, labels, bound).mapInArrow(hashed, "id string, row binary, toxic int").limit(bound)
+    got = rows.repartition(1).mapInArrow(run, "idx binary, val binary, bias double").collect()
     return (np.frombuffer(got[0]["idx"], np.int32), np.frombuffer(got[0]["val"], np.float32), got[0]["bias"]) if got else None
 
 
