@@ -7,7 +7,9 @@ coefficients alone.  Every unit is a restart interval, hence all intervals of al
 decoded in step by numpy; memory is bounded by the chunk of files in hand.
 
 Edge cases: a null text is the empty text and stores 192 blanks; texts of any length up to 65 535 x 65 535
-pixels are stored whole; equal texts give equal files and features; an empty table gives an empty result.
+pixels are stored whole; equal texts give equal files and features; an empty table gives an empty result.  Files
+that ``describe_media`` can't read (null, damaged, not baseline, with subsampled components) get ``readable`` false
+and nulls, and cost no other file its row.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks
+from .common import chunks, free_names
 
 UNIT = 192
 #: Units in a row of the picture.
@@ -159,13 +161,14 @@ class Picture:
 def decode(files: list[bytes]) -> list[tuple[Picture, np.ndarray]]:
     """Of each file: what its markers say, and its coefficients as (unit, component, 64) in zigzag order.
 
-    All restart intervals of all files that share their Huffman tables advance together, a symbol a step.
+    All restart intervals of all files that share their Huffman tables and the length of an interval advance
+    together, a symbol a step.  A file that can't be read raises ValueError.
     """
     pictures = [Picture(f) for f in files]
     out: list = [None] * len(files)
     groups: dict[bytes, list[int]] = {}
     for i, p in enumerate(pictures):
-        key = p.spec + bytes(x for c in p.components for x in (c[0], p.scan[c[0]]))
+        key = p.spec + bytes(x for c in p.components for x in (c[0], p.scan[c[0]])) + b"%d" % (p.interval or p.rows * p.cols)
         groups.setdefault(key, []).append(i)
     for members in groups.values():
         pieces, lengths, owner, units = [], [], [], []
@@ -244,6 +247,17 @@ def decode(files: list[bytes]) -> list[tuple[Picture, np.ndarray]]:
     return out
 
 
+def readable(files: list[bytes]) -> list[tuple[Picture, np.ndarray] | None]:
+    """Like ``decode``, with None for the files that can't be read: a list with one is halved until it stands alone."""
+    try:
+        return decode(files)
+    except (ValueError, IndexError, KeyError, AttributeError, TypeError, OverflowError, MemoryError):
+        if len(files) == 1:
+            return [None]
+        half = len(files) // 2
+        return readable(files[:half]) + readable(files[half:])
+
+
 def payload_of(picture: Picture, coefs: np.ndarray) -> bytes:
     """The bytes that ``encode`` stored."""
     v = coefs.reshape(-1).astype(np.int16)
@@ -292,3 +306,29 @@ def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols + ([pa.array(files, pa.binary())] if keep_media else []), ["doc_id", *names] + (["media"] if keep_media else []))
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {SCHEMA}" + (", media binary" if keep_media else ""))
+
+
+def describe_media(table: DataFrame, column: str = "media") -> DataFrame:
+    """All columns of a table of JPEG files, and readable, width, height, thumbnail (its pixels), thumbnail_hash of each."""
+    names = free_names(table, "readable", "width", "height", "thumbnail", "thumbnail_hash")
+    at, kinds = table.columns.index(column), [pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+
+    def run(batches):
+        for b in batches:
+            files = [f or b"" for f in b.column(at).to_pylist()]
+            for first, end in chunks(files):
+                rows = []
+                for got in readable(files[first:end]):
+                    if got is None:
+                        rows.append((False, None, None, None, None))
+                    else:
+                        thumb = thumbnail(*got)
+                        rows.append((True, got[0].width, got[0].height, thumb.tobytes(), thumb_hash(thumb)))
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                own = b.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([*own.columns, *cols], [f"c{i}" for i in range(len(own.columns) + 5)])
+
+    plain = table.toDF(*(f"c{i}" for i in range(len(table.columns))))  # by place: names may hold dots
+    types = ", ".join(f"c{len(table.columns) + i} {t}" for i, t in enumerate(("boolean", "int", "int", "binary", "string")))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", " + types
+    return plain.mapInArrow(run, schema).toDF(*table.columns, *names)
