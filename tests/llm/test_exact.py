@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from arcweft.llm import fingerprint, html_extract, jpeg, mixing, packing, pii, simhash, suffix_dedup
+from arcweft.llm import fingerprint, html_extract, jpeg, langid, mixing, packing, pii, simhash, suffix_dedup, toxicity
 
 
 def docs(spark, rows):
@@ -352,6 +352,34 @@ def test_pseudonyms_link_and_stay_valid(spark):
     assert {r["doc_id"]: r for r in pii.pii_report(docs(spark, rows), "other").collect()}[1]["text"] != got[1]["text"]
 
 
+def plain_feistel(values, limits, kind, key):
+    v, half = list(values), len(values) // 2
+    for r in range(pii.ROUNDS):
+        other = ",".join(map(str, v[half:] if r % 2 == 0 else v[:half]))
+        mine = range(half) if r % 2 == 0 else range(half, len(v))
+        new = list(v)
+        for i in mine:
+            new[i] = (v[i] + int(hashlib.sha256(f"{key}|{kind}|{r}|{i}|{other}".encode()).hexdigest()[:12], 16)) % limits[i]
+        v = new
+    return v
+
+
+def test_pseudonyms_by_plain_python(spark):
+    rng = random.Random(33)
+    ips = [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(40)]
+    got = {r["doc_id"]: r["text"] for r in pii.pii_report(docs(spark, [(i, f"at {x} now", "s") for i, x in enumerate(ips)]), "k9").collect()}
+    assert all(got[i] == "at " + ".".join(map(str, plain_feistel(list(map(int, x.split("."))), [256] * 4, "ip", "k9"))) + " now" for i, x in enumerate(ips))
+    cards = []
+    for _ in range(40):
+        body = "".join(rng.choice("0123456789") for _ in range(15))
+        check = -sum(sum(divmod(2 * int(c), 10)) if k % 2 == 0 else int(c) for k, c in enumerate(body[::-1])) % 10
+        cards.append(f"{body}{check}")
+    got = {r["doc_id"]: r["text"] for r in pii.pii_report(docs(spark, [(i, x, "s") for i, x in enumerate(cards)]), "k9").collect()}
+    for i, x in enumerate(cards):
+        body = "".join(map(str, plain_feistel(list(map(int, x[:15])), [10] * 15, "card", "k9")))
+        assert got[i] == body + str(-sum(sum(divmod(2 * int(c), 10)) if k % 2 == 0 else int(c) for k, c in enumerate(body[::-1])) % 10)
+
+
 def test_feistel_is_a_permutation(spark):
     n = spark.range(1000).selectExpr(f"{pii.feistel('array(id div 10, id % 10)', 'array(100L, 10L)', 'x', 'k')} as p")
     assert n.distinct().count() == 1000
@@ -613,3 +641,40 @@ def test_media_columns(spark):
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest() and r["media_bytes"] == len(r["media"])
     assert got[3]["feature"] == got[4]["feature"] and got[3]["media_sha256"] == got[4]["media_sha256"]
+
+
+def test_files_that_cannot_be_read(spark):
+    good = jpeg.encode([b"x" * 192 * n for n in (1, 3)])
+    sub = good[0].replace(b"\x03\x01\x11\x00", b"\x03\x01\x22\x00")
+    files = [good[0], None, b"", b"no picture", good[1][:200], good[0][:-30] + b"\xff\xd9", sub, good[1], bytes(500), b"\xff\xd8" + bytes(90)]
+    table = spark.createDataFrame([(i, f, i) for i, f in enumerate(files)], "id int, media binary, width int")
+    got = {r["id"]: r for r in jpeg.describe_media(table).collect()}
+    assert got.keys() == set(range(10)) and [i for i in got if got[i]["readable"]] == [0, 7]
+    assert got[7]["width_1"] == 24 and got[7]["height"] == 8 and len(got[7]["thumbnail"]) == 3 and got[3]["thumbnail"] is None and got[3]["width"] == 3
+
+
+def test_language_by_brute_force(spark):
+    rng = random.Random(31)
+    letters = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
+    rows = [(i, " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(2, 6))) for _ in range(20)), lang) for i in range(240) for lang in [rng.choice("abc") * 2]]
+    table = spark.createDataFrame([(i, t, lang if i % 3 else None) for i, t, lang in rows], "doc_id long, text string, lang string")
+    model = langid.learn(table)
+    got = {r["doc_id"]: r for r in langid.identify(table, model).collect()}
+    for i, t, lang in rows:
+        v = langid.counts([t.encode()])[0].astype(np.float64) * model.idf
+        cos = [float(v @ c / np.linalg.norm(v)) for c in model.vectors.astype(np.float64)]
+        best = max(range(len(cos)), key=lambda k: cos[k])
+        assert got[i]["lang_pred"] == model.langs[model.owner[best]] == lang and got[i]["score"] == pytest.approx(cos[best], abs=1e-5)
+
+
+def test_toxicity_by_brute_force(spark):
+    rng = random.Random(32)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 30))) + (" vile thing" if i % 3 == 0 else "") for i in range(300)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    idx, val, bias = model = toxicity.train(table, labels)
+    weight = dict(zip(idx.tolist(), val.tolist(), strict=True))
+    for r in toxicity.score(table, model).collect():
+        own = set(toxicity.features([texts[r["doc_id"]].encode()])[0].tolist())
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(bias + sum(weight.get(k, 0.0) for k in own)))), abs=1e-5)
+        assert r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
