@@ -161,17 +161,27 @@ class PropertyGraph:
             edges=(EdgeTable(edges, "source", "target", {c: c for c in edges.columns if c not in ("id", "source", "target", "undirected")}, type_column="type", id_column="id", undirected_column="undirected"),),
         )
 
-    def indexed(self) -> PropertyGraph:
+    def indexed(self, by: dict | None = None) -> PropertyGraph:
         """The same graph kept in memory for repeated queries: edges are dealt by their source, then persisted.
 
-        Joins on the source then find their rows in place; typed tables keep their columns and pruning.
+        Joins on the source then find their rows in place; typed tables keep their columns and pruning.  ``by`` names a
+        property for a label (None: of a generic table): those nodes are kept in its order, so that a comparison with
+        it skips the batches whose least and largest value rule it out.
         """
         from pyspark import StorageLevel
 
         def kept(df):
             return df.persist(StorageLevel.MEMORY_AND_DISK)
 
-        nodes = tuple(replace(t, df=kept(t.df)) for t in self.nodes)
+        def ordered(t):
+            name = (by or {}).get(t.label)
+            if name is None:
+                return t.df
+            if name not in t.props:
+                raise GraphError(f"{t.label or 'nodes'} have no property {name!r}")
+            return t.df.repartitionByRange(F.col(t.props[name])).sortWithinPartitions(t.props[name])
+
+        nodes = tuple(replace(t, df=kept(ordered(t))) for t in self.nodes)
         return replace(self, nodes=nodes, edges=tuple(replace(t, df=kept(t.df.repartition(F.col(t.source)))) for t in self.edges))
 
     def write_tables(self, folder: str) -> None:
