@@ -54,4 +54,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op1_mix_sources": mixing.SQL}
+ORACLE_SQL = {"op1_mix_sources": mixing.SQL, "op8_suffix_dedup": suffix_dedup.SQL}
