@@ -17,15 +17,20 @@ from .cutting import cut_lineage
 UNROLLED = 4
 
 
-def _edges(graph, rel, labels=None):
-    """Edges as (a, b, rel), from nodes of the labels where these are known, and the labels that they lead to."""
+def _edges(graph, rel, labels=None, bare: bool = False):
+    """Edges as (a, b, rel), from nodes of the labels where these are known, and the labels that they lead to.
+
+    ``bare`` edges are (a, b): their relationships are read by nobody.
+    """
     from .. import ast as A
-    from ..plans.match import hops, oriented
+    from ..plans.match import bare_hops, hops, oriented
 
     term = A.LabelTerm(tuple(((x, False),) for x in sorted(labels))) if labels else None
-    h = hops(graph, rel, (term, None), generic=True)
     ends = {t.source_label if back else t.target_label for t, back in oriented(graph, rel, (term, None))}
     reached = None if None in ends or labels is None else ends
+    if bare:
+        return bare_hops(graph, rel, (term, None)), T.StringType(), reached
+    h = hops(graph, rel, (term, None), generic=True)
     s = h.edge.struct()
     df = h.df.select(F.col(h.start.key).alias("a"), F.col(h.end.key).alias("b"), s.col.alias("rel"))
     df = _filtered(df, rel, s.type)
@@ -51,14 +56,15 @@ def expand(matcher, frame: Frame, left: Node, rel, path, flipped: bool):
     where the query reads them.  Short hops are one plan; longer ones are written level by level.
     """
     graph = matcher.graph
-    _, kind, _ = _edges(graph, rel)
+    want_nodes = path.var is not None
+    want_rels = want_nodes or matcher.whole(rel.var) or matcher.reads(rel.var)
+    bare = not want_rels and not rel.props
+    kind = T.StringType() if bare else _edges(graph, rel)[1]
     low, high = rel.low, rel.high
     if high < 0:
         high = graph.config.max_var_length_depth
         warnings.warn(f"unbounded variable-length relationship: paths of up to {high} steps are followed (max_var_length_depth)", stacklevel=2)
     limit, stop = graph.config.max_paths, graph.config.on_excess == "stop"
-    want_nodes = path.var is not None
-    want_rels = want_nodes or matcher.whole(rel.var) or matcher.reads(rel.var)
     list_type = T.ArrayType(kind)
     starts = frame.df.select(left.id().alias("start")).where(F.col("start").isNotNull()).distinct()
     empty = F.array().cast(list_type)
@@ -71,7 +77,7 @@ def expand(matcher, frame: Frame, left: Node, rel, path, flipped: bool):
     for depth in range(1, high + 1):
         if labels is not None and not labels:
             break
-        edges, own, labels = _edges(graph, rel, labels)
+        edges, own, labels = _edges(graph, rel, labels, bare)
         edges = edges.withColumn("rel", convert(Expr(F.col("rel"), own), kind)) if want_rels else edges.select("a", "b")
         step = level.where("not ended").join(edges, F.col("last") == F.col("a"))
         step = step.where((F.col("b") == F.col("last")) | ~F.array_contains("seen", F.col("b")))

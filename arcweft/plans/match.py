@@ -100,8 +100,9 @@ def _held(graph: PropertyGraph, t: EdgeTable, column: str, label: str | None) ->
     return next((n for n in graph.nodes if n.label is not None and n.label == label and n.df is t.df and n.key == column), None)
 
 
-def _oriented(graph: PropertyGraph, t: EdgeTable, back: bool, rel: A.RelPattern, as_text: bool) -> Hops:
-    df, kinds = t.df, types_of(t.df)
+def _rows(t: EdgeTable, back: bool, rel: A.RelPattern) -> DataFrame:
+    """The rows of an edge table that a hop follows in one orientation."""
+    df = t.df
     if t.type is None and rel.types:
         df = df.where(F.col(t.type_column).isin(*rel.types))
     natural = {"OUT": False, "IN": True}.get(rel.direction)
@@ -109,6 +110,22 @@ def _oriented(graph: PropertyGraph, t: EdgeTable, back: bool, rel: A.RelPattern,
         df = df.where(undirected(t) & (F.col(t.source) != F.col(t.target)))
     elif rel.direction == "BOTH" and back and t.source_label == t.target_label:
         df = df.where(F.col(t.source) != F.col(t.target))
+    return df
+
+
+def bare_hops(graph: PropertyGraph, rel: A.RelPattern, left=(None, None)) -> DataFrame:
+    """(a, b): the string ids of both ends of every hop, and nothing else of it."""
+    out = None
+    for t, back in oriented(graph, rel, left):
+        ends = [space_id(t.source_label, F.col(t.source)), space_id(t.target_label, F.col(t.target))]
+        a, b = ends[::-1] if back else ends
+        one = _rows(t, back, rel).select(a.alias("a"), b.alias("b"))
+        out = one if out is None else out.unionByName(one)
+    return graph.spark.createDataFrame([], "a string, b string") if out is None else out
+
+
+def _oriented(graph: PropertyGraph, t: EdgeTable, back: bool, rel: A.RelPattern, as_text: bool) -> Hops:
+    df, kinds = _rows(t, back, rel), types_of(t.df)
     eid, s, d, ty = fresh("e"), fresh("src"), fresh("dst"), fresh("type")
     spaces = (None, None) if as_text else (t.source_label, t.target_label)
     ends = [space_id(label, F.col(c)) if as_text else F.col(c) for label, c in ((t.source_label, t.source), (t.target_label, t.target))]
