@@ -488,7 +488,10 @@ def graph_from_frames(spark, sf_dir):
 
 def graph_indexed(spark, sf_dir):
     graph = table_graph(spark, sf_dir, labels=("Customer", "Order")).indexed({"Customer": "acctbal"})
-    return graph.cypher("MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE c.acctbal > 0 RETURN c.mktsegment AS s, count(o) AS n, max(o.totalprice) AS top")
+    df = graph.cypher("MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE c.acctbal > 0 RETURN c.mktsegment AS s, count(o) AS n, max(o.totalprice) AS top")
+    rows = df.collect()  # one for each segment; what is in memory would serve other queries of the session as well
+    graph.release()
+    return spark.createDataFrame(rows, df.schema)
 
 
 def graph_errors(spark, sf_dir):

@@ -184,6 +184,11 @@ class PropertyGraph:
         nodes = tuple(replace(t, df=kept(ordered(t))) for t in self.nodes)
         return replace(self, nodes=nodes, edges=tuple(replace(t, df=kept(t.df.repartition(F.col(t.source)))) for t in self.edges))
 
+    def release(self) -> None:
+        """Give up what ``indexed`` keeps in memory."""
+        for t in (*self.nodes, *self.edges):
+            t.df.unpersist()
+
     def write_tables(self, folder: str) -> None:
         """The graph as Parquet: nodes split by label list, edges by type, for pruning at the next load."""
         nodes, edges = self.node_frame(), self.edge_frame()
