@@ -144,7 +144,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     per = per.agg(F.count(F.when(F.col("pass") == 0, 1)).alias(copies), F.count(F.when(sent, 1)).alias(times)).where(F.col(times) > 0)
     per = checkpoint(per.select(row, source, copies, F.floor(F.col(times) / F.col(copies)).alias(times), F.pmod(F.col(times), F.col(copies)).alias(extra)))
     own, at = docs.withColumn(key, place()), (F.col(key) == F.col(row)) & F.col("source").eqNullSafe(F.col(source))
-    out = own.join(per, at).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times)))).where(F.col(nth) <= F.col(times)).select(*_quoted(docs))
+    out = own.join(per, at).withColumn(nth, F.explode(F.when(F.col(times) > 0, F.sequence(F.lit(1).cast("long"), F.col(times))))).select(*_quoted(docs))
     more = per.where(F.col(extra) > 0)  # a row for each source at most, as copies follow each other in the queue
     n = more.count()
     if n:

@@ -78,6 +78,15 @@ def test_copies_of_a_document_share_their_passes(spark, monkeypatch):
         assert all(n <= 2 * have[k] for k, n in per.items())
 
 
+def test_some_copies_are_sent_once(spark):
+    rows = [(1, "a " * 10, s) for s in "abc" for _ in range(10)]
+    got = collections.Counter(r["source"] for r in mixing.mix_documents(docs(spark, rows)).collect())
+    taken = collections.Counter()
+    for r in mixing.mix_sizes(docs(spark, rows)).collect():
+        taken[round(r["target"])] += r["taken"]
+    assert got["c"] < 10 < got["b"] < got["a"] == 20 and sorted(taken.values()) == sorted(10 * n for n in got.values())
+
+
 # ---- fingerprints
 
 
