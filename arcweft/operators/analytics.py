@@ -6,6 +6,8 @@ string ids; iterative ones are checkpointed through the shared folder.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -207,11 +209,27 @@ def betweenness(graph) -> DataFrame:
 # ---- subgraphs
 
 
+def _of_labels(graph, ids: DataFrame):
+    """The graph without the rows of typed tables that hold none of the nodes; its schema stays."""
+    typed = {t.label for t in graph.nodes if t.label} | {x for t in graph.edges for x in (t.source_label, t.target_label) if x}
+    if not typed:
+        return graph
+    label = F.substring_index("id", ":", 1)
+    met = {r[0] for r in ids.select(label.alias("label")).where(label.isin(sorted({x.split(":")[0] for x in typed}))).distinct().collect()}
+    gone = {x for x in typed if x.split(":")[0] not in met}
+
+    def kept(t, *labels):
+        return replace(t, df=t.df.where(F.lit(False))) if gone.intersection(labels) else t
+
+    return replace(graph, nodes=tuple(kept(t, t.label) for t in graph.nodes), edges=tuple(kept(t, t.source_label, t.target_label) for t in graph.edges))
+
+
 def _members(graph, members: DataFrame) -> tuple[DataFrame, T.DataType]:
     """(group, graph): the induced subgraph of each group's node ids, from rows (group, id)."""
     from ..plans.match import hops, scan_nodes
 
     members = cut_lineage(members.distinct())
+    graph = _of_labels(graph, members)
     nodes, b = scan_nodes(graph, None)
     s = b.struct()
     node_rows = members.join(nodes.select(b.id().alias("id"), s.col.alias("node")), "id").groupBy("group").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
@@ -241,11 +259,12 @@ def subgraph(graph, frame: Frame, nodes: Expr) -> tuple[Frame, Expr]:
         return frame, Expr(F.lit(None), T.NullType())
     items = as_list(nodes)
     ids = F.transform(items.col, lambda x: x.getField("id") if is_struct(items.type.elementType) else x.cast("string"))
-    column = fresh("ids")
+    column, key = fresh("ids"), fresh("key")
     df = frame.df.withColumn(column, F.array_sort(F.array_distinct(ids)))
-    members = df.select(F.array_join(column, "\x01").alias("group"), F.explode(column).alias("id"))
+    df = df.withColumn(key, F.sha2(F.to_json(column), 256))  # each member carries its list's digest, never the list
+    members = df.select(F.col(key).alias("group"), F.explode(column).alias("id"))
     rows, kind = _members(graph, members)
-    f, e = _join_graph(Frame(df, frame.vars), F.array_join(column, "\x01"), rows, kind)
+    f, e = _join_graph(Frame(df, frame.vars), F.col(key), rows, kind)
     none = F.struct(F.array().cast(kind["nodes"].dataType).alias("nodes"), F.array().cast(kind["edges"].dataType).alias("edges"))
     return f, Expr(F.when(F.col(column).isNotNull(), F.coalesce(e.col, none)), kind)
 

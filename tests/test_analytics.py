@@ -85,3 +85,23 @@ def test_subgraphs(spark):
     assert rows(users(spark), "MATCH (n {name: 'dave'}) WITH connectedComponent(n) AS g RETURN size(g.nodes) AS n, size(g.edges) AS e") == [(4, 3)]
     assert rows(users(spark), "MATCH (n) WHERE n.age < 31 WITH collect(n) AS l WITH subgraph(l) AS g RETURN size(g.nodes) AS n, size(g.edges) AS e") == [(3, 2)]
     assert rows(users(spark), "MATCH (n {name: 'bob'}) RETURN subgraph(n) AS s, egoGraph(n, -1) AS e") == [(None, None)]
+
+
+def test_subgraph_members_carry_no_list(spark, monkeypatch):
+    from arcweft.operators import analytics
+
+    seen, plain = [], analytics._members
+
+    def members(graph, rows):
+        seen.append(rows.selectExpr("max(length(group))").first()[0])
+        return plain(graph, rows)
+
+    monkeypatch.setattr(analytics, "_members", members)
+    g = make(spark, {f"node number {i}": {"label": "P", "k": i} for i in range(40)}, [(f"node number {i}", f"node number {i + 1}", {"type": "L"}) for i in range(39)])
+    assert rows(g, "MATCH (n) WITH collect(n) AS l WITH subgraph(l) AS g RETURN size(g.nodes), size(g.edges)") == [(40, 39)]
+    assert seen == [64]  # a digest, however long the list
+
+
+def test_subgraph_lists_are_told_apart(spark):
+    g = make(spark, {k: {"label": "P"} for k in ("a", "b", "a\x01b")}, [("a", "b", {"type": "L"})])
+    assert sorted(rows(g, "UNWIND [['a', 'b'], ['a\x01b']] AS l WITH l, subgraph(l) AS g RETURN size(l), size(g.nodes), size(g.edges)")) == [(1, 1, 0), (2, 2, 1)]
