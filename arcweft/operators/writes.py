@@ -345,7 +345,11 @@ def foreach(planner, frame: Frame, clause: A.Foreach) -> Frame:
     e = as_list(Compiler(frame.vars).value(clause.source))
     kind = STRING if is_null(e.type.elementType) else e.type.elementType
     column = fresh(clause.var)
-    inner = Frame(frame.df.withColumn(column, F.explode(e.col)), {**frame.vars, clause.var: Value(column, kind)})
+    # an element carries what the body reads, not the list that it comes from
+    used = {getattr(x, "name", None) if isinstance(x, A.Var) else getattr(x, "var", None) for x in A.walk((clause.where, clause.body))}
+    outer = {v: b for v, b in frame.vars.items() if v in used and v != clause.var}
+    kept = dict.fromkeys(c for b in outer.values() for c in b.columns())
+    inner = Frame(frame.df.select(*kept, F.explode(e.col).alias(column)), {**outer, clause.var: Value(column, kind)})
     inner = _as_entity(planner, inner, clause.var, kind)
     if clause.where is not None:
         inner = planner.filter(inner, clause.where)
@@ -359,6 +363,6 @@ def _as_entity(planner, frame: Frame, var: str, kind) -> Frame:
     if not isinstance(kind, T.StructType) or "id" not in kind.fieldNames():
         return frame
     c = fresh(var)
-    df = frame.df.withColumn(c, frame.vars[var].expr().col.getField("id"))
+    df = frame.df.withColumn(c, frame.vars[var].expr().col.getField("id")).drop(frame.vars[var].column)
     b = Edge(c, c, c, None, None) if "source" in kind.fieldNames() else Node(c, None, loaded=False)
     return refreshed(planner, Frame(df, {**frame.vars, var: b}))

@@ -63,3 +63,18 @@ def test_writes_in_subqueries_and_visibility(u):
     assert rows(u, "MATCH (a {name: 'bob'}) SET a.age = 1 WITH a MATCH (b) WHERE b.age < 10 RETURN b.name AS n") == [("bob",)]
     assert rows(u, "CREATE (:Z) WITH count(*) AS c MATCH (z:Z) RETURN c, count(z) AS n") == [(1, 1)]
     assert after(u, "MATCH (a:User) CALL { WITH a CREATE (:Copy {name: a.name}) }", "MATCH (c:Copy) RETURN count(c) AS c") == [(4,)]
+
+
+def test_foreach_elements_carry_no_list(spark, monkeypatch):
+    from arcweft.operators import writes
+
+    seen, plain = [], writes.set_values
+
+    def set_values(planner, frame, items, remove=False):
+        seen.append([f.name for f in frame.df.schema.fields if f.dataType.typeName() == "array" and f.dataType.elementType.typeName() == "struct"])
+        return plain(planner, frame, items, remove)
+
+    monkeypatch.setattr(writes, "set_values", set_values)
+    got = rows(users(spark), "MATCH (n:User) WITH collect(n) AS all, 2 AS two FOREACH (x IN all WHERE x.age > 26 | SET x.twice = x.age * two) WITH size(all) AS k MATCH (n:User) RETURN k, n.name, n.twice")
+    assert sorted(got, key=str) == [(4, "alice", 60), (4, "bob", None), (4, "charlie", 70), (4, "dave", 56)]
+    assert seen == [[]]
