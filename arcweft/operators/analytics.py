@@ -141,9 +141,9 @@ def pagerank(graph) -> DataFrame:
     return ranks.select("id", "score")
 
 
-def _batches(graph):
+def _batches(nodes: DataFrame):
     """Sources in batches of about BATCH: what a search holds is a batch's rows of the graph, never all pairs."""
-    nodes = cut_lineage(_ids(graph))
+    nodes = cut_lineage(nodes)
     n = nodes.count()
     parts = -(-n // BATCH)
     for i in range(parts):
@@ -166,7 +166,7 @@ def _levels(links: DataFrame, sources: DataFrame) -> list[DataFrame]:
 def diameter(graph) -> DataFrame:
     """The longest shortest path; -1 if some pair is not connected, which the first batch of sources tells."""
     links, far = cut_lineage(_both(graph)), 0
-    for n, sources in _batches(graph):
+    for n, sources in _batches(_ids(graph)):
         levels = _levels(links, sources)
         if n > 1 and sum(x.count() for x in levels) < n * levels[0].count():
             far = -1
@@ -175,35 +175,72 @@ def diameter(graph) -> DataFrame:
     return graph.spark.range(1).select(F.lit(far).cast("long").alias("v"))
 
 
+def _folded(links: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links that are left, weights): trees are folded into the nodes that they hang on, leaves first.
+
+    Weights are (id, s1, s2): the sum over a node's folded branches of their sizes, and of the squares of these.  A round
+    folds all nodes with a single neighbour (of two that have but each other the greater one).  Rounds end when none is
+    left, or when one folds less than a thousandth of the links: a long chain is left to the search.
+    """
+    weights = cut_lineage(ids.select("id", F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2")))
+    while True:
+        leaves = links.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1").select("a", "b")
+        other = leaves.select(F.col("a").alias("c"))
+        leaves = leaves.join(other, F.col("b") == F.col("c"), "left").where("c is null or a > b").select("a", "b")
+        leaves = cut_lineage(leaves.join(weights, F.col("a") == F.col("id")).select("a", "b", (F.col("s1") + 1).alias("size")))
+        n = leaves.count()
+        if not n:
+            return links, weights
+        gain = leaves.groupBy("b").agg(F.sum("size").alias("g1"), F.sum(F.col("size") * F.col("size")).alias("g2"))
+        weights = weights.join(gain, F.col("id") == F.col("b"), "left")
+        weights = cut_lineage(weights.select("id", *[(F.col(f"s{k}") + F.coalesce(f"g{k}", F.lit(0.0))).alias(f"s{k}") for k in (1, 2)]))
+        gone = leaves.select(F.col("a").alias("c"))
+        links = cut_lineage(links.join(gone, F.col("a") == F.col("c"), "left_anti").join(gone, F.col("b") == F.col("c"), "left_anti"))
+        if n * 1000 < links.count():
+            return links, weights
+
+
 def betweenness(graph) -> DataFrame:
     """Shares of shortest paths that pass a node, each pair of ends once.
 
-    Dependencies are summed from the farthest level back, for a batch of sources at once: a node's is the sum over
-    its successors of paths(node) / paths(successor) * (1 + dependency(successor)).  Batches leave sums by node.
+    Trees are folded first: of a node with branches of sizes r1, r2, … and a rest of the component beyond them, all paths
+    between two branches, or a branch and the rest, pass it.  What is left is searched, a node counting for all that is
+    folded into it.  Dependencies are summed from the farthest level back, for a batch of sources at once: a node's is the
+    sum over its successors of paths(node) / paths(successor) * (weight(successor) + dependency(successor)).  Batches
+    leave sums by node.
     """
-    links = cut_lineage(_both(graph))
-    rows, sums = _ids(graph), []
-    for _, sources in _batches(graph):
+    every, ids = cut_lineage(_both(graph)), _ids(graph)
+    links, weights = _folded(every, ids)
+    parts = _components(every, ids)
+    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
+    size = parts.join(sizes, "component").select(F.col("id").alias("i"), "size")
+    tree = (F.col("s1") * F.col("s1") - F.col("s2")) / 2 + F.col("s1") * (F.col("size") - 1 - F.col("s1"))
+    rows = cut_lineage(weights.join(size, F.col("id") == F.col("i")).select("id", (F.col("s1") + 1).alias("weight"), tree.alias("tree")))
+    heavy = rows.select(F.col("id").alias("i"), "weight")
+    links = cut_lineage(links.join(heavy, F.col("a") == F.col("i")).select("a", "b", "weight"))
+    sums = []
+    for _, sources in _batches(links.select(F.col("a").alias("id"), "weight").distinct()):
         levels, below, parts = _levels(links, sources), None, []
         for here, up in zip(levels[:0:-1], levels[-2::-1], strict=True):
             here = here.withColumn("dep", F.lit(0.0)) if below is None else here.join(below, ["s", "t"], "left").withColumn("dep", F.coalesce("dep", F.lit(0.0)))
             here = cut_lineage(here.select("s", "t", "paths", "dep"))
-            parts.append(here.select("t", "dep"))
+            parts.append(here.select("s", "t", "dep"))
             up = up.select("s", F.col("t").alias("v"), F.col("paths").alias("pv"))
-            flow = here.join(links, F.col("t") == F.col("a")).select("s", F.col("b").alias("v"), "paths", "dep").join(up, ["s", "v"])
-            below = flow.groupBy("s", F.col("v").alias("t")).agg(F.sum(F.col("pv") / F.col("paths") * (1 + F.col("dep"))).alias("dep"))
+            flow = here.join(links, F.col("t") == F.col("a")).select("s", F.col("b").alias("v"), "paths", "weight", "dep").join(up, ["s", "v"])
+            below = flow.groupBy("s", F.col("v").alias("t")).agg(F.sum(F.col("pv") / F.col("paths") * (F.col("weight") + F.col("dep"))).alias("dep"))
         if parts:
             every = parts[0]
             for p in parts[1:]:
                 every = every.unionByName(p)
-            sums.append(cut_lineage(every.groupBy("t").agg(F.sum("dep").alias("dep"))))
+            every = every.join(sources.select(F.col("id").alias("s"), "weight"), "s")
+            sums.append(cut_lineage(every.groupBy("t").agg(F.sum(F.col("weight") * F.col("dep")).alias("dep"))))
     if not sums:
-        return rows.select("id", F.lit(0.0).alias("score"))
+        return rows.select("id", F.col("tree").alias("score"))
     every = sums[0]
     for p in sums[1:]:
         every = every.unionByName(p)
-    score = every.groupBy(F.col("t").alias("id")).agg((F.sum("dep") / 2).alias("score"))
-    return rows.join(score, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    score = every.groupBy(F.col("t").alias("i")).agg((F.sum("dep") / 2).alias("score"))
+    return rows.join(score, F.col("id") == F.col("i"), "left").select("id", (F.col("tree") + F.coalesce("score", F.lit(0.0))).alias("score"))
 
 
 # ---- subgraphs
@@ -294,9 +331,13 @@ def ego(graph, frame: Frame, node: Expr, steps: Expr | None) -> tuple[Frame, Exp
 
 
 def labels_of_components(graph) -> DataFrame:
-    """(id, component): the least id that can be reached, by spreading least labels with pointer jumps."""
-    links = cut_lineage(_both(graph))
-    state = cut_lineage(_ids(graph).select("id", F.col("id").alias("component")))
+    """(id, component): the least id that can be reached."""
+    return _components(cut_lineage(_both(graph)), _ids(graph))
+
+
+def _components(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """Components by spreading least labels with pointer jumps."""
+    state = cut_lineage(ids.select("id", F.col("id").alias("component")))
     while True:
         near = links.join(state, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("low"))
         new = state.join(near, F.col("id") == F.col("a"), "left").select("id", "component", F.least("component", F.coalesce("low", "component")).alias("next"))

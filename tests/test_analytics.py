@@ -105,3 +105,23 @@ def test_subgraph_members_carry_no_list(spark, monkeypatch):
 def test_subgraph_lists_are_told_apart(spark):
     g = make(spark, {k: {"label": "P"} for k in ("a", "b", "a\x01b")}, [("a", "b", {"type": "L"})])
     assert sorted(rows(g, "UNWIND [['a', 'b'], ['a\x01b']] AS l WITH l, subgraph(l) AS g RETURN size(l), size(g.nodes), size(g.edges)")) == [(1, 1, 0), (2, 2, 1)]
+
+
+def test_betweenness_folds_trees(spark, monkeypatch):
+    from arcweft.operators import analytics
+
+    met, plain = [], analytics._levels
+
+    def levels(links, sources):
+        met.append(sources.count())
+        return plain(links, sources)
+
+    monkeypatch.setattr(analytics, "_levels", levels)
+    tree = [(f"n{(i - 1) // 3}", f"n{i}") for i in range(1, 30)] + [("x", "y")]
+    ring = [(f"r{i}", f"r{(i + 1) % 6}") for i in range(6)] + [("r0", "r2"), ("r0", "t0"), ("t0", "t1"), ("t0", "t2"), ("r4", "t3")]
+    for pairs, core in ((tree, []), (ring, [6])):
+        met.clear()
+        names = sorted({x for p in pairs for x in p} | {"alone"})
+        got = dict(rows(make(spark, {v: {"label": "P"} for v in names}, [(a, b, {"type": "L"}) for a, b in pairs]), "MATCH (n) RETURN id(n), betweennessCentrality(n)"))
+        assert got == pytest.approx(brandes(names, pairs))
+        assert met == core  # only what is no tree is searched from
