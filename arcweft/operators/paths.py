@@ -125,39 +125,87 @@ def _attach_nodes(graph, df: DataFrame, seen: str):
     return df, Expr(F.col(column), kind)
 
 
-def shortest(graph, frame: Frame, a: Node, b: Node, rel, every: bool) -> tuple[Frame, Expr]:
-    """Shortest paths between two bound nodes of each row, as path structs (a list of them for ``every``).
+def _search(graph, a: Node, b: Node, rel, pairs: DataFrame, counted: bool = False):
+    """Levels (start, node, paths), the labels that each was reached from, and hits (start, goal, paths) by level.
 
-    One breadth-first search over all distinct pairs of the frame: a level holds the distinct nodes that each start
-    first meets there, no paths.  It ends when all pairs are found, a level is empty, or the pattern's bound is reached.
-    Going back from the goals marks the nodes that lie on a shortest path; paths are built over those alone.
+    A level holds the distinct nodes that each start first meets there, and if ``counted`` how many shortest paths lead
+    to them (else 1: such numbers can outgrow a long).  Edges
+    are pairs of ids, of the tables only that leave the labels reached so far.  The search ends when all pairs are
+    found, a level is empty, or the pattern's bound is reached.
     """
-    edges, kind, _ = _edges(graph, rel)
-    low, high = (1, 1) if rel.low is None else (rel.low, rel.high)
-    list_type = T.ArrayType(kind)
-    ways = edges.where("a <> b")
-    pairs = cut_lineage(frame.df.select(a.id().alias("start"), b.id().alias("goal")).where("start is not null and goal is not null").distinct())
-    levels = [pairs.select("start").distinct().select("start", F.col("start").alias("node"))]
-    hits = [pairs.where("start = goal")]
-    open_pairs = cut_lineage(pairs.where("start <> goal"))
-    while (high < 0 or len(levels) <= high) and not open_pairs.isEmpty():
-        live = levels[-1].join(open_pairs.select("start").distinct(), "start", "left_semi")
-        step = live.join(ways, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct()
-        level = cut_lineage(step.join(_union(levels), ["start", "node"], "left_anti"))
+    high = 1 if rel.low is None else rel.high
+    one = F.lit(1).cast("long").alias("paths")
+    left = pairs.groupBy("start").agg(F.count("*").alias("left"))
+    levels, hits = [left.select("start", F.col("start").alias("node"), one)], [pairs.where("start = goal").select("start", "goal", one)]
+    labels = {a.label} if a.label else None
+    sources, met, left = [], [labels], None
+    while high < 0 or len(levels) <= high:
+        if labels is not None and not labels:
+            break
+        live = levels[-1] if left is None else levels[-1].join(left.select("start"), "start", "left_semi")
+        ways, _, reached = _edges(graph, rel, labels, bare=not rel.props)
+        step = live.join(ways.where("a <> b").select("a", "b"), F.col("node") == F.col("a")).groupBy("start", F.col("b").alias("node")).agg((F.sum if counted else F.max)("paths").alias("paths"))
+        again = [x for x, own in zip(levels, met, strict=True) if own is None or reached is None or own & reached]
+        if again:
+            step = step.join(_union([x.select("start", "node") for x in again]), ["start", "node"], "left_anti")
+        level = cut_lineage(step.select("start", "node", "paths"))
         if level.isEmpty():
             break
         levels.append(level)
-        hits.append(cut_lineage(open_pairs.join(level.withColumnRenamed("node", "goal"), ["start", "goal"], "left_semi")))
-        open_pairs = cut_lineage(open_pairs.join(hits[-1], ["start", "goal"], "left_anti"))
+        sources.append(labels)
+        met.append(reached)
+        labels = reached
+        if b.label and reached is not None and b.label not in reached:
+            hits.append(None)
+            continue
+        hits.append(cut_lineage(level.withColumnRenamed("node", "goal").join(pairs, ["start", "goal"]).select("start", "goal", "paths")))
+        if high < 0 or len(levels) <= high:
+            found = _union([h for h in hits if h is not None]).groupBy("start").agg(F.count("*").alias("found"))
+            left = pairs.groupBy("start").agg(F.count("*").alias("left")).join(found, "start", "left").where(F.col("left") > F.coalesce("found", F.lit(0)))
+            left = cut_lineage(left.select("start"))
+            if left.isEmpty():
+                break
+    return levels, sources, [hits[0].limit(0) if h is None else h for h in hits]
+
+
+def _pairs(frame: Frame, a: Node, b: Node) -> DataFrame:
+    return cut_lineage(frame.df.select(a.id().alias("start"), b.id().alias("goal")).where("start is not null and goal is not null").distinct())
+
+
+def measured(graph, frame: Frame, a: Node, b: Node, rel, every: bool) -> tuple[Frame, Expr]:
+    """How many shortest paths there are between two bound nodes of each row, or their length: no path is built."""
+    low = 1 if rel.low is None else rel.low
+    hits = _search(graph, a, b, rel, _pairs(frame, a, b), every)[2]
+    out = _union([h.withColumn("steps", F.lit(i).cast("long")) for i, h in enumerate(hits) if i >= low or i == 0])
+    s, g, v = fresh("start"), fresh("goal"), fresh("measure")
+    out = out.select(F.col("start").alias(s), F.col("goal").alias(g), F.col("paths" if every else "steps").alias(v))
+    df = frame.df.join(out, (a.id() == F.col(s)) & (b.id() == F.col(g)), "left")
+    return Frame(df, frame.vars), Expr(F.coalesce(F.col(v), F.lit(0).cast("long")) if every else F.col(v), T.LongType())
+
+
+def shortest(graph, frame: Frame, a: Node, b: Node, rel, every: bool) -> tuple[Frame, Expr]:
+    """Shortest paths between two bound nodes of each row, as path structs (a list of them for ``every``).
+
+    One breadth-first search over all distinct pairs of the frame.  Going back from the goals marks the nodes that lie on
+    a shortest path; paths are built over those alone, and only then are relationships read.
+    """
+    low = 1 if rel.low is None else rel.low
+    kind = _edges(graph, rel)[1]
+    list_type = T.ArrayType(kind)
+    levels, sources, hits = _search(graph, a, b, rel, _pairs(frame, a, b))
+    hits = [h.select("start", "goal") for h in hits]
     # back from the goals: (start, goal, node) of the nodes on a shortest path, by level
     marked = [hits[-1].withColumn("node", F.col("goal"))]
-    for level, hit in zip(levels[-2::-1], hits[-2::-1], strict=True):
-        before = marked[0].join(ways.select("a", "b"), F.col("node") == F.col("b")).select("start", "goal", F.col("a").alias("node")).distinct()
+    for level, labels, hit in zip(levels[-2::-1], sources[::-1], hits[-2::-1], strict=True):
+        ways = _edges(graph, rel, labels, bare=not rel.props)[0].where("a <> b").select("a", "b")
+        before = marked[0].join(ways, F.col("node") == F.col("b")).select("start", "goal", F.col("a").alias("node")).distinct()
         marked.insert(0, cut_lineage(before.join(level, ["start", "node"], "left_semi").select("start", "goal", "node").unionByName(hit.withColumn("node", F.col("goal")))))
     # forward again, over the marked nodes only
     part = marked[0].withColumn("ids", F.array("node")).withColumn("rels", F.array().cast(list_type))
     done = [part.where("node = goal")]
-    for mark in marked[1:]:
+    for mark, labels in zip(marked[1:], sources, strict=True):
+        ways, own, _ = _edges(graph, rel, labels)
+        ways = ways.where("a <> b").withColumn("rel", convert(Expr(F.col("rel"), own), kind))
         step = part.where("node <> goal").join(ways, F.col("node") == F.col("a")).drop("node").withColumnRenamed("b", "node")
         step = step.join(mark, ["start", "goal", "node"], "left_semi")
         step = step.select("start", "goal", "node", F.concat("ids", F.array("node")).alias("ids"), F.concat("rels", F.array("rel")).alias("rels"), F.col("rel").getField("id").alias("by"))

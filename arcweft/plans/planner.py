@@ -37,7 +37,7 @@ def run(graph: PropertyGraph, text: str | A.Query) -> tuple[DataFrame, PropertyG
 
 def special(node):
     """The outermost parts of an expression whose value needs a join."""
-    if isinstance(node, JOINED) or (isinstance(node, A.Call) and node.name in analytics.FUNCTIONS):
+    if isinstance(node, JOINED) or (isinstance(node, A.Call) and node.name in analytics.FUNCTIONS) or measure(node):
         yield node
     elif isinstance(node, tuple):
         for x in node:
@@ -47,6 +47,13 @@ def special(node):
             yield from special(getattr(node, name))
 
 
+def measure(node) -> bool:
+    """Whether a value is the length of a shortest path or the number of all: the paths themselves are not read."""
+    if not isinstance(node, A.Call) or len(node.args) != 1 or not isinstance(node.args[0], A.ShortestPath):
+        return False
+    return node.name == ("size" if node.args[0].every else "length")
+
+
 def conjuncts(node):
     if isinstance(node, A.Binary) and node.op == "AND":
         yield from conjuncts(node.left)
@@ -224,7 +231,14 @@ class Planner:
         for node in special(tuple(exprs)):
             if node in hooks:
                 continue
-            if isinstance(node, A.ShortestPath):
+            if measure(node):
+                path = node.args[0]
+                a, b = (frame.vars.get(n.var) for n in path.path.nodes)
+                if not isinstance(a, Node) or not isinstance(b, Node):
+                    hooks[node] = lit(0) if path.every else Expr(F.lit(None).cast("long"), LONG)
+                    continue
+                frame, hooks[node] = paths.measured(self.graph, frame, a, b, path.path.rels[0], path.every)
+            elif isinstance(node, A.ShortestPath):
                 a, b = (frame.vars.get(n.var) for n in node.path.nodes)
                 if not isinstance(a, Node) or not isinstance(b, Node):
                     hooks[node] = Expr(F.lit(None), NULL) if not node.every else Expr(F.array().cast("array<string>"), T.ArrayType(STRING))

@@ -154,3 +154,18 @@ def test_unknown_things_are_errors(u):
         rows(u, "MATCH (n) RETURN nothing(n.name)")
     with pytest.raises(QueryError):
         rows(u, "MATCH (n) WHERE n.age > 'x' RETURN n")
+
+
+def test_shortest_paths_read_only_tables_in_reach(spark, monkeypatch):
+    from arcweft import table_graph
+    from arcweft.operators import paths
+
+    read, plain = [], paths._edges
+
+    def edges(graph, rel, labels=None, bare=False):
+        read.append(labels)
+        return plain(graph, rel, labels, bare)
+
+    monkeypatch.setattr(paths, "_edges", edges)
+    table_graph(spark, "/root/testdata/sf0.001").cypher("MATCH (r:Region) MATCH (s:Supplier) RETURN size(allShortestPaths((s)-[*..3]->(r))) AS n")
+    assert read == [{"Supplier"}, {"Nation"}, {"Region"}]
