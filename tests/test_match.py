@@ -169,3 +169,23 @@ def test_shortest_paths_read_only_tables_in_reach(spark, monkeypatch):
     monkeypatch.setattr(paths, "_edges", edges)
     table_graph(spark, "/root/testdata/sf0.001").cypher("MATCH (r:Region) MATCH (s:Supplier) RETURN size(allShortestPaths((s)-[*..3]->(r))) AS n")
     assert read == [{"Supplier"}, {"Nation"}, {"Region"}]
+
+
+def test_measured_shortest_paths_read_no_relationships(spark, monkeypatch):
+    from arcweft.operators import paths
+
+    read, plain = [], paths._edges
+
+    def edges(graph, rel, labels=None, bare=False):
+        read.append((bare, labels and tuple(sorted(labels))))
+        return plain(graph, rel, labels, bare)
+
+    monkeypatch.setattr(paths, "_edges", edges)
+    g = diamond(spark)
+    both = "MATCH (a), (b) RETURN id(a), id(b), length(shortestPath((a)-[*]->(b))), size(allShortestPaths((a)-[*]->(b)))"
+    listed = "MATCH (a), (b) WITH a, b, shortestPath((a)-[*]->(b)) AS p, allShortestPaths((a)-[*]->(b)) AS l RETURN id(a), id(b), length(p), size(l)"
+    got = sorted(rows(g, both), key=str)
+    assert {bare for bare, _ in read} == {True}
+    assert got == sorted(rows(g, listed), key=str) and ("a", "d", 1, 1) in got and ("a", "a", 0, 1) in got and ("d", "a", None, 0) in got
+    twice = make(spark, {c: {"label": "P"} for c in "abcd"}, [(x, y, {"type": "L"}) for x, y in ("ab", "ab", "ac", "bd", "cd")])
+    assert rows(twice, "MATCH (a), (d) WHERE id(a) = 'a' AND id(d) = 'd' RETURN length(shortestPath((a)-[*]->(d))), size(allShortestPaths((a)-[*]->(d)))") == [(2, 3)]
