@@ -166,6 +166,10 @@ def _merged(graph: PropertyGraph, parts: list[Hops]) -> Hops:
     return Hops(out, edge, Node(a, None, loaded=False), Node(b, None, loaded=False))
 
 
+def _named(paths: tuple) -> set:
+    return {x.var for p in paths for x in (p, *p.nodes, *p.rels) if x.var}
+
+
 def flip(rel: A.RelPattern) -> A.RelPattern:
     return replace(rel, direction={"OUT": "IN", "IN": "OUT", "BOTH": "BOTH"}[rel.direction])
 
@@ -192,14 +196,73 @@ class Matcher:
     def match(self, frame: Frame, m: A.Match, hooked) -> Frame:
         """Inner match: rows of the frame extended by every occurrence of the patterns."""
         conditions: list = []
-        for path in m.paths:
+        names = set(frame.vars)
+        for path in self._around(frame, m.paths):
             frame = self.extend(frame, path, conditions)
+        frame = Frame(frame.df, {v: b for v, b in frame.vars.items() if v in names or v in _named(m.paths)})
         for c in conditions:
             frame = Frame(frame.df.where(c(frame)), frame.vars)
         if m.where is not None:
             frame = hooked(frame, m.where)
         return frame
 
+    def _around(self, frame: Frame, paths: tuple) -> tuple:
+        """The paths, or if they close a circle their hops in an order that keeps the rows between few.
+
+        Hops that close a circle come first, then those to at most one node (the end's own table holds them), then
+        others.  Of all hops to start from, the one that leaves fewest of the last kind is taken.
+        """
+        if any(p.var or any(r.low is not None for r in p.rels) for p in paths):
+            return paths
+        written, paths = paths, tuple(replace(p, nodes=tuple(n if n.var else replace(n, var=fresh("any")) for n in p.nodes)) for p in paths)
+        labels: dict = {}
+        for n in (n for p in paths for n in p.nodes):
+            labels[n.var] = labels.get(n.var) or n.labels
+        every = [(p, i) for p in paths for i in range(len(p.rels))]
+        joined = {v: v for v in labels}  # the nodes that hops connect, as trees
+
+        def root(v):
+            return v if joined[v] == v else root(joined[v])
+
+        circle = False
+        for p, i in every:
+            a, b = root(p.nodes[i].var), root(p.nodes[i + 1].var)
+            circle = circle or a == b
+            joined[a] = b
+        if not circle:
+            return written
+        start = frozenset(v for v in labels if v in frame.vars)
+
+        def rank(hop, known):
+            p, i = hop
+            a, b = p.nodes[i], p.nodes[i + 1]
+            if a.var in known and b.var in known:
+                return 0
+            if a.var not in known and b.var not in known:
+                return 3
+            own = {n.var: x.label if isinstance(x := frame.vars.get(n.var), Node) else None for n in (a, b)}
+            found = oriented(self.graph, p.rels[i], *[(labels[n.var], own[n.var]) for n in (a, b)])
+            if len(found) != 1:
+                return 2
+            t, back = found[0]
+            column, label = (t.source, t.source_label) if (a.var in known) != back else (t.target, t.target_label)
+            return 1 if _held(self.graph, t, column, label) else 2
+
+        def order(first):
+            left, known, out, cost = list(every), start, [], [0, 0, 0, 0]
+            while left:
+                hop = first if first is not None and not out else min(left, key=lambda h: rank(h, known))
+                if out or first is None:
+                    cost[rank(hop, known)] += 1
+                left.remove(hop)
+                out.append(hop)
+                known = known | {n.var for n in hop[0].nodes[hop[1] : hop[1] + 2]}
+            return (cost[3], cost[2]), out
+
+        _, best = min((order(h) for h in ([None] if start else every)), key=lambda x: x[0])
+        out = [replace(p, nodes=tuple(replace(n, labels=n.labels or labels[n.var]) for n in p.nodes[i : i + 2]), rels=(p.rels[i],)) for p, i in best]
+        return (*out, *(p for p in paths if not p.rels))
+
     def optional(self, frame: Frame, m: A.Match, condition) -> Frame:
         """Left outer match: the WHERE belongs to the join, and rows without a match keep nulls."""
         names = {x.var for p in m.paths for x in p.nodes if x.var}

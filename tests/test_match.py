@@ -189,3 +189,37 @@ def test_measured_shortest_paths_read_no_relationships(spark, monkeypatch):
     assert got == sorted(rows(g, listed), key=str) and ("a", "d", 1, 1) in got and ("a", "a", 0, 1) in got and ("d", "a", None, 0) in got
     twice = make(spark, {c: {"label": "P"} for c in "abcd"}, [(x, y, {"type": "L"}) for x, y in ("ab", "ab", "ac", "bd", "cd")])
     assert rows(twice, "MATCH (a), (d) WHERE id(a) = 'a' AND id(d) = 'd' RETURN length(shortestPath((a)-[*]->(d))), size(allShortestPaths((a)-[*]->(d)))") == [(2, 3)]
+
+
+def test_circles_are_joined_without_a_product(spark, monkeypatch):
+    from arcweft import catalogue, table_graph
+    from arcweft.plans.match import Matcher
+
+    counts, plain = [], Matcher.extend
+
+    def extend(self, *args, **more):
+        out = plain(self, *args, **more)
+        counts.append(out.df.count())
+        return out
+
+    monkeypatch.setattr(Matcher, "extend", extend)
+    g = table_graph(spark, "/root/testdata/sf0.001")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    g.cypher(catalogue.ENTRIES["cyclic_pattern"].text)
+    assert max(counts) <= lines
+
+
+def test_circles_against_plain_python(spark):
+    import random
+
+    rng = random.Random(5)
+    edges = [(rng.randrange(8), rng.randrange(8)) for _ in range(26)]
+    names = [f"n{i}" for i in range(8)]
+    g = make(spark, {v: {"label": "P", "k": i % 3} for i, v in enumerate(names)}, [(names[a], names[b], {"type": "L"}) for a, b in edges])
+    triangles = [(a, b, d) for a, b in edges for c, d in edges if b == c for e, f in edges if (e, f) == (a, d)]
+    assert rows(g, "MATCH (a)-->(b)-->(c), (a)-->(c) RETURN count(*)") == [(len(triangles),)]
+    assert rows(g, "MATCH (a {k: 1})-->()-->(c:P), (a)-->(c) RETURN count(*)") == [(sum(a % 3 == 1 for a, _, _ in triangles),)]
+    got = rows(g, "MATCH (a) WHERE a.k = 2 MATCH (a)-->(b)<--(c), (c)<--(a) RETURN id(a), id(b), id(c)")
+    assert sorted(got) == sorted((names[a], names[d], names[b]) for a, b, d in triangles if a % 3 == 2)
+    assert g.cypher("MATCH (a)-->()-->(c), (a)-->(c) RETURN *").columns == g.cypher("MATCH (a)-->()-->(c) RETURN *").columns
+    assert rows(g, "MATCH (a)-->(a) RETURN count(*)") == [(sum(a == b for a, b in edges),)]
