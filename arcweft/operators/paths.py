@@ -17,20 +17,22 @@ from .cutting import cut_lineage
 UNROLLED = 4
 
 
-def _edges(graph, rel, labels=None, bare: bool = False):
+def _edges(graph, rel, labels=None, bare: bool = False, right=(None, None)):
     """Edges as (a, b, rel), from nodes of the labels where these are known, and the labels that they lead to.
 
+    ``right`` is the label term and the known label of their ends.
+
     ``bare`` edges are (a, b): their relationships are read by nobody.
     """
     from .. import ast as A
     from ..plans.match import bare_hops, hops, oriented
 
     term = A.LabelTerm(tuple(((x, False),) for x in sorted(labels))) if labels else None
-    ends = {t.source_label if back else t.target_label for t, back in oriented(graph, rel, (term, None))}
+    ends = {t.source_label if back else t.target_label for t, back in oriented(graph, rel, (term, None), right)}
     reached = None if None in ends or labels is None else ends
     if bare:
-        return bare_hops(graph, rel, (term, None)), T.StringType(), reached
-    h = hops(graph, rel, (term, None), generic=True)
+        return bare_hops(graph, rel, (term, None), right), T.StringType(), reached
+    h = hops(graph, rel, (term, None), right, generic=True)
     s = h.edge.struct()
     df = h.df.select(F.col(h.start.key).alias("a"), F.col(h.end.key).alias("b"), s.col.alias("rel"))
     df = _filtered(df, rel, s.type)
@@ -48,13 +50,17 @@ def _filtered(df: DataFrame, rel, kind) -> DataFrame:
     return df
 
 
-def expand(matcher, frame: Frame, left: Node, rel, path, flipped: bool):
+def expand(matcher, frame: Frame, left: Node, rel, path, flipped: bool, right, alone: bool):
     """Paths of a variable-length hop: no node twice, a self loop only as the last step.
 
     Returns the frame joined with them, the list of relationships, the far end, and the nodes in between.
     Paths start at the distinct nodes that the frame has, not at all nodes, and carry their relationships only
-    where the query reads them.  Short hops are one plan; longer ones are written level by level.
+    where the query reads them.  Short hops are one plan; longer ones are written level by level.  ``right`` is the label
+    term and the known label of the far end: typed tables that can't end a path are not followed in the last step.  If
+    the frame is ``alone``, a scan of the start, short paths carry its row and need no join back.
     """
+    from ..plans.match import accepts
+
     graph = matcher.graph
     want_nodes = path.var is not None
     want_rels = want_nodes or matcher.whole(rel.var) or matcher.reads(rel.var)
@@ -68,22 +74,28 @@ def expand(matcher, frame: Frame, left: Node, rel, path, flipped: bool):
     list_type = T.ArrayType(kind)
     starts = frame.df.select(left.id().alias("start")).where(F.col("start").isNotNull()).distinct()
     empty = F.array().cast(list_type)
-    level = starts.select("start", F.col("start").alias("last"), F.array("start").alias("seen"), *[empty.alias("rels")] * want_rels, F.lit(False).alias("ended"))
-    found = [level] if low == 0 else []
-    total = 0
     lazily = high <= UNROLLED and limit is None
+    carried = frame.df.columns if alone and lazily else []
+    if carried:
+        starts = frame.df.withColumn("start", left.id()).where("start is not null")
+    level = starts.select("start", *carried, F.col("start").alias("last"), F.array("start").alias("seen"), *[empty.alias("rels")] * want_rels, F.lit(False).alias("ended"))
+    total = 0
     # typed tables: a level only reads the edge tables that leave the labels reached so far
     labels = {left.label} if left.label else None
+    found, ends = ([level], [labels]) if low == 0 else ([], [])
     for depth in range(1, high + 1):
         if labels is not None and not labels:
             break
-        edges, own, labels = _edges(graph, rel, labels, bare)
+        edges, own, labels = _edges(graph, rel, labels, bare, right if depth == high and limit is None else (None, None))
         edges = edges.withColumn("rel", convert(Expr(F.col("rel"), own), kind)) if want_rels else edges.select("a", "b")
         step = level.where("not ended").join(edges, F.col("last") == F.col("a"))
-        step = step.where((F.col("b") == F.col("last")) | ~F.array_contains("seen", F.col("b")))
+        if depth > 2:
+            step = step.where((F.col("b") == F.col("last")) | ~F.array_contains("seen", F.col("b")))
+        elif depth == 2 and (labels is None or left.label in labels):  # no other node can be met again
+            step = step.where((F.col("b") == F.col("last")) | (F.col("b") != F.col("start")))
         rels = F.concat(F.array("rel"), "rels") if flipped else F.concat("rels", F.array("rel"))
         seen = F.concat(F.array("b"), "seen") if flipped else F.concat("seen", F.array("b"))
-        level = step.select("start", F.col("b").alias("last"), seen.alias("seen"), *[rels.alias("rels")] * want_rels, (F.col("b") == F.col("last")).alias("ended"))
+        level = step.select("start", *carried, F.col("b").alias("last"), seen.alias("seen"), *[rels.alias("rels")] * want_rels, (F.col("b") == F.col("last")).alias("ended"))
         if not lazily:
             level = cut_lineage(level)
             n = level.count()
@@ -97,16 +109,19 @@ def expand(matcher, frame: Frame, left: Node, rel, path, flipped: bool):
                 warnings.warn(f"more than {limit} paths: the first ones by length are kept (max_paths)", stacklevel=2)
                 found.append(level.limit(n - (total - limit)))
                 break
-        if depth >= low:
+        if depth >= low and (labels is None or limit is not None or any(accepts(x, *right) for x in labels)):
             found.append(level)
+            ends.append(labels)
     out = _union(found) if found else level.limit(0)
+    reached = set().union(*ends) if ends and all(x is not None for x in ends) else set()
+    label = next(iter(reached)) if len(reached) == 1 else None
     start, last, rels, seen = fresh("start"), fresh("end"), fresh(rel.var or "rels"), fresh("seen")
-    out = out.select(F.col("start").alias(start), F.col("last").alias(last), (F.col("rels") if want_rels else empty).alias(rels), F.col("seen").alias(seen))
+    out = out.select(*carried, F.col("start").alias(start), F.col("last").alias(last), (F.col("rels") if want_rels else empty).alias(rels), F.col("seen").alias(seen))
     inner = None
-    df = frame.df.join(out, left.id() == F.col(start))
+    df = out if carried else frame.df.join(out, left.id() == F.col(start))
     if want_nodes:
         df, inner = _attach_nodes(graph, df, seen)
-    return Frame(df, frame.vars), Value(rels, list_type), Node(last, None, loaded=False), inner
+    return Frame(df, frame.vars), Value(rels, list_type), Node(last, None, label, loaded=False), inner
 
 
 def _attach_nodes(graph, df: DataFrame, seen: str):

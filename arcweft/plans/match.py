@@ -59,7 +59,7 @@ class Hops:
     end: Node
 
 
-def _accepts(label: str | None, term: A.LabelTerm | None, hint: str | None) -> bool:
+def accepts(label: str | None, term: A.LabelTerm | None, hint: str | None) -> bool:
     return label is None or ((term is None or term.accepts({label})) and (hint is None or hint == label))
 
 
@@ -73,7 +73,7 @@ def oriented(graph: PropertyGraph, rel: A.RelPattern, left=(None, None), right=(
         for back in (False, True):
             wanted = {"OUT": not back or mixed, "IN": back or mixed, "BOTH": True}[rel.direction]
             a, b = (t.target_label, t.source_label) if back else (t.source_label, t.target_label)
-            if wanted and _accepts(a, *left) and _accepts(b, *right):
+            if wanted and accepts(a, *left) and accepts(b, *right):
                 found.append((t, back))
     return found
 
@@ -113,10 +113,10 @@ def _rows(t: EdgeTable, back: bool, rel: A.RelPattern) -> DataFrame:
     return df
 
 
-def bare_hops(graph: PropertyGraph, rel: A.RelPattern, left=(None, None)) -> DataFrame:
+def bare_hops(graph: PropertyGraph, rel: A.RelPattern, left=(None, None), right=(None, None)) -> DataFrame:
     """(a, b): the string ids of both ends of every hop, and nothing else of it."""
     out = None
-    for t, back in oriented(graph, rel, left):
+    for t, back in oriented(graph, rel, left, right):
         ends = [space_id(t.source_label, F.col(t.source)), space_id(t.target_label, F.col(t.target))]
         a, b = ends[::-1] if back else ends
         one = _rows(t, back, rel).select(a.alias("a"), b.alias("b"))
@@ -417,7 +417,8 @@ class Matcher:
         if rel.low is not None:
             from ..operators.paths import expand
 
-            frame, edges[i], bound[b], inner[i] = expand(self, frame, bound[a], rel, path, flipped=a > b)
+            alone = set(frame.df.columns) == set(bound[a].columns())
+            frame, edges[i], bound[b], inner[i] = expand(self, frame, bound[a], rel, path, a > b, (right.labels, to_label), alone)
             frame = self._bind_rel(frame, rel, edges[i])
             return self._settle(frame, right, bound, b, path, conditions, hints.get(right.var))
         h = hops(self.graph, rel, (left.labels, bound[a].label), (right.labels, to_label))

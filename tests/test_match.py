@@ -223,3 +223,40 @@ def test_circles_against_plain_python(spark):
     assert sorted(got) == sorted((names[a], names[d], names[b]) for a, b, d in triangles if a % 3 == 2)
     assert g.cypher("MATCH (a)-->()-->(c), (a)-->(c) RETURN *").columns == g.cypher("MATCH (a)-->()-->(c) RETURN *").columns
     assert rows(g, "MATCH (a)-->(a) RETURN count(*)") == [(sum(a == b for a, b in edges),)]
+
+
+def test_short_paths_need_no_join_back(spark):
+    from arcweft import catalogue, table_graph
+
+    g = table_graph(spark, "/root/testdata/sf0.001")
+    plan = g.cypher(catalogue.ENTRIES["varlen_simple_paths"].text)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and "array" not in plan  # one for each step; neither the ends nor the start are joined again
+    assert rows(g, "MATCH (r:Region)-[e*1..2]->(b:Nation) RETURN count(*), sum(size(e))") == [(0, 0)]
+    assert rows(g, "MATCH (r:Region)<-[e*0..2]-(b:Region|Supplier) RETURN labelsOf(b)[0], count(*), sum(size(e)), count(b.suppkey)") in ([("Region", 5, 0, 0), ("Supplier", 10, 20, 10)], [("Supplier", 10, 20, 10), ("Region", 5, 0, 0)])
+
+
+def test_path_counts_against_plain_python(spark):
+    import random
+
+    rng = random.Random(9)
+    names = [f"n{i}" for i in range(7)]
+    edges = [(rng.choice(names), rng.choice(names)) for _ in range(16)] + [("n1", "n1")]
+    g = make(spark, {v: {"label": "PQ"[i % 2], "k": i} for i, v in enumerate(names)}, [(a, b, {"type": "L"}) for a, b in edges])
+    both = edges + [(b, a) for a, b in edges if a != b]
+
+    def count(ways, start, low, high):
+        found, level = {}, [(start,)]
+        for depth in range(high + 1):
+            for p in level:
+                if depth >= low:
+                    found[p[-1]] = found.get(p[-1], 0) + 1
+            level = [(*p, b) for p in level if len(p) < 2 or p[-1] != p[-2] for a, b in ways if a == p[-1] and (b == a or b not in p)]
+        return found
+
+    for ways, arrow in ((edges, "->"), (both, "-")):
+        for low, high in ((0, 2), (1, 2), (2, 3), (1, 4)):
+            want = sorted((v, w, n) for v in names for w, n in count(ways, v, low, high).items())
+            assert sorted(rows(g, f"MATCH (a)-[*{low}..{high}]{arrow}(b) RETURN id(a), id(b), count(*)")) == want
+        want = sorted((v, sum(n for w, n in count(ways, v, 1, 2).items() if int(w[1]) % 2)) for v in names if not int(v[1]) % 2)
+        assert sorted(rows(g, f"MATCH (a:P) WITH a OPTIONAL MATCH (a)-[*1..2]{arrow}(b:Q) RETURN id(a), count(b)")) == want
+        assert [r for r in sorted(rows(g, f"MATCH (a:P)-[*1..2]{arrow}(b:Q) RETURN id(a), count(*)")) if r[1]] == [w for w in want if w[1]]
