@@ -21,6 +21,8 @@ FUNCTIONS = frozenset(
     "numnodes numrelationships density averagedegree diameter pagerank degreecentrality betweennesscentrality subgraph egograph connectedcomponent".split()
 )
 
+#: Those that have a value for each node.
+SCORES = frozenset(("pagerank", "degreecentrality", "betweennesscentrality"))
 #: Fixed values of the PageRank iteration.
 DAMPING, TOLERANCE, ITERATIONS = 0.85, 1e-6, 100
 #: Sources that a search over all pairs takes at once, and nodes that one value (a map of scores, a graph) may hold.
@@ -48,7 +50,8 @@ def _one(frame: Frame, values: DataFrame, column: str, kind) -> tuple[Frame, Exp
     return Frame(frame.df.crossJoin(F.broadcast(values.select(F.col(column).alias(name)))), frame.vars), Expr(F.col(name), kind)
 
 
-def call(graph, frame: Frame, name: str, args: list[Expr]) -> tuple[Frame, Expr]:
+def call(graph, frame: Frame, name: str, args: list[Expr], known: dict | None = None) -> tuple[Frame, Expr]:
+    """The value of a graph function; ``known`` keeps scores for the next call on the same graph."""
     if name == "numnodes":
         return _one(frame, _ids(graph).agg(F.count("*").alias("v")), "v", LONG)
     if name == "numrelationships":
@@ -59,8 +62,11 @@ def call(graph, frame: Frame, name: str, args: list[Expr]) -> tuple[Frame, Expr]
         return _one(frame, average_degree(graph), "v", DOUBLE)
     if name == "diameter":
         return _one(frame, diameter(graph), "v", LONG)
-    if name in ("pagerank", "degreecentrality", "betweennesscentrality"):
-        scores = {"pagerank": pagerank, "degreecentrality": degree_centrality, "betweennesscentrality": betweenness}[name](graph)
+    if name in SCORES:
+        known = {} if known is None else known
+        if name not in known:
+            known[name] = {"pagerank": pagerank, "degreecentrality": degree_centrality, "betweennesscentrality": betweenness}[name](graph)
+        scores = known[name]
         return _scores(frame, scores, args)
     if name == "subgraph":
         return subgraph(graph, frame, args[0])

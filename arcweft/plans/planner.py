@@ -28,6 +28,7 @@ JOINED = (A.PatternComprehension, A.CountPattern, A.PatternPredicate, A.Shortest
 def run(graph: PropertyGraph, text: str | A.Query) -> tuple[DataFrame, PropertyGraph]:
     """Rows of a query and the graph that it leaves."""
     query = parse(text) if isinstance(text, str) else text
+    query = looked_up(query)
     planner = Planner(graph, needs(query))
     if any(isinstance(x, A.WRITES) for x in A.walk(query)):
         planner.graph = graph.generic()
@@ -35,6 +36,58 @@ def run(graph: PropertyGraph, text: str | A.Query) -> tuple[DataFrame, PropertyG
     return planner.query(query), planner.graph
 
 
+def looked_up(query: A.Query) -> A.Query:
+    """The query without maps of scores that are only counted or asked for single nodes: these are looked up instead.
+
+    ``WITH f() AS m`` with nothing but ``size(keys(m))`` and ``m['id']`` or ``m[id(n)]`` behind it needs no map, which
+    one value of any size could be.
+    """
+    if any(isinstance(x, A.WRITES) for x in A.walk(query)):
+        return query
+    return replace(query, parts=tuple(_without_maps(q) for q in query.parts))
+
+
+def _without_maps(q: A.SingleQuery) -> A.SingleQuery:
+    for i, c in enumerate(q.clauses):
+        for item in c.projection.items if isinstance(c, A.With) else ():
+            call, name = item.expr, item.alias
+            if not isinstance(call, A.Call) or call.name not in analytics.SCORES or call.args or name is None:
+                continue
+
+            def lookup(node, name=name, call=call):
+                if isinstance(node, A.Index) and node.base == A.Var(name):
+                    key = node.index
+                    if (isinstance(key, A.Literal) and isinstance(key.value, str)) or (isinstance(key, A.Call) and key.name == "id"):
+                        return replace(call, args=(key,))
+                if node == A.Call("size", (A.Call("keys", (A.Var(name),)),)):
+                    return A.Call("numnodes", ())
+                if isinstance(node, A.Item) and node.expr == A.Var(name) and node.alias in (None, name):
+                    return replace(node, expr=A.Literal(0), alias=name)  # handed on, and never read as a map
+                return None
+
+            final = q.clauses[-1].projection if isinstance(q.clauses[-1], A.Return) else None
+            handed = final is None or final.star or any(x.expr == A.Var(name) for x in final.items)
+            here = replace(c, projection=replace(c.projection, items=tuple(replace(x, expr=A.Literal(0)) if x is item else x for x in c.projection.items)))
+            rest = _rebuilt(q.clauses[i + 1 :], lookup)
+            bound = any(name in (getattr(x, "var", None), getattr(x, "acc", None)) or (isinstance(x, A.Item) and x.alias == name and x.expr != A.Literal(0)) for x in A.walk((c.projection, rest)) if x is not item)
+            if handed or bound or A.Var(name) in A.walk(rest) or A.Var(name) in A.walk((c.projection.order, c.projection.where)):
+                continue
+            return _without_maps(replace(q, clauses=(*q.clauses[:i], here, *rest)))
+    return q
+
+
+def _rebuilt(node, change):
+    """A syntax tree with parts replaced where ``change`` gives something."""
+    if isinstance(node, tuple):
+        return tuple(_rebuilt(x, change) for x in node)
+    if not hasattr(node, "__dataclass_fields__"):
+        return node
+    new = change(node)
+    if new is not None:
+        return new
+    return replace(node, **{f: _rebuilt(getattr(node, f), change) for f in node.__dataclass_fields__})
+
+
 def special(node):
     """The outermost parts of an expression whose value needs a join."""
     if isinstance(node, JOINED) or (isinstance(node, A.Call) and node.name in analytics.FUNCTIONS) or measure(node):
@@ -81,6 +134,7 @@ class Planner:
     def __init__(self, graph: PropertyGraph, need: dict):
         self.graph, self.need = graph, need
         self.writing = False
+        self.scores: dict = {}  # scores of the graph's nodes, computed once for a query that looks them up often
         self.rid: str | None = None  # inside a subquery: the column that numbers the outer rows
 
     # ---- queries
@@ -246,7 +300,7 @@ class Planner:
                 frame, hooks[node] = paths.shortest(self.graph, frame, a, b, node.path.rels[0], node.every)
             elif isinstance(node, A.Call):
                 args = [Compiler(frame.vars, hooks).compile(a) for a in node.args]
-                frame, hooks[node] = analytics.call(self.graph, frame, node.name, args)
+                frame, hooks[node] = analytics.call(self.graph, frame, node.name, args, None if self.writing else self.scores)
             else:
                 frame, hooks[node] = self.pattern_value(frame, node)
         return frame, hooks

@@ -125,3 +125,19 @@ def test_betweenness_folds_trees(spark, monkeypatch):
         got = dict(rows(make(spark, {v: {"label": "P"} for v in names}, [(a, b, {"type": "L"}) for a, b in pairs]), "MATCH (n) RETURN id(n), betweennessCentrality(n)"))
         assert got == pytest.approx(brandes(names, pairs))
         assert met == core  # only what is no tree is searched from
+
+
+def test_scores_are_looked_up_without_a_map(spark, monkeypatch):
+    from arcweft import QueryError
+    from arcweft.operators import analytics
+
+    g = star(spark)
+    listed = rows(g, "WITH degreeCentrality() AS s RETURN s")[0][0]
+    ranks = rows(g, "RETURN pagerank() AS s")[0][0]
+    monkeypatch.setattr(analytics, "LARGEST", 2)
+    assert rows(g, "WITH degreeCentrality() AS s RETURN size(keys(s)) AS n, s['a'] AS a, s['b'] + s['a'] AS both, s['none'] AS none") == [(4, listed["a"], listed["a"] + listed["b"], None)]
+    got = rows(g, "WITH pagerank() AS s, 7 AS k MATCH (n) WITH s, n, k WHERE s[id(n)] > 0 RETURN id(n), s[id(n)], k ORDER BY s['a'], id(n)")
+    assert got == [(v, pytest.approx(ranks[v]), 7) for v in "abcd"]
+    for whole in ("WITH degreeCentrality() AS s RETURN s", "WITH degreeCentrality() AS s WITH s AS t RETURN t['a']", "WITH degreeCentrality() AS s RETURN *"):
+        with pytest.raises(QueryError):  # one value of more than LARGEST scores
+            rows(g, whole)
