@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Pattern of a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a checkpoint's file, where their number is known beforehand.
+FILE_ROWS = 20_000
 #: Bytes of text that a numpy kernel works on at a time.
 CHUNK_BYTES = 2 << 20
 
@@ -17,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cut the lineage through the shared folder that the session names.
 
+    ``rows``, about how many there are, keeps small tables from being written as one file for each shuffle partition:
+    every file costs a task, and on a local file system a process of its own that sets its permissions.
+
     A folder of our own is made only on one machine (a local master); a cluster must name a shared one.
     """
     sc = df.sparkSession.sparkContext
@@ -28,6 +33,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if not folder and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     return df.checkpoint(eager=True)
 
 
@@ -83,7 +90,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     A hub's neighbours are never gathered: the least neighbour is a partial aggregate, joined back.
     """
     edges = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+    state, rows = None, edges.count()
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
@@ -92,11 +99,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(low, "a").select(
             F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")
         )
-        before, edges = edges, checkpoint(small.select("e.*").where("a <> b").distinct())
+        before, edges = edges, checkpoint(small.select("e.*").where("a <> b").distinct(), rows)
         now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if now == state and edges.join(before, ["a", "b"], "left_anti").isEmpty():
             break
-        state = now
+        state, rows = now, now[0]
     else:
         raise RuntimeError("connected components did not settle")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -231,7 +231,8 @@ def _groups(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The rows' signatures, and (whole, component) of the shingle sets that have a near-duplicate."""
     rows = checkpoint(signatures(docs))
     sets = rows.groupBy("whole").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    sets = checkpoint(sets)
+    n = rows.count()
+    sets = checkpoint(sets, n)
     pairs = candidates(sets)
     a, b = (sets.select(F.col("whole").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
 
@@ -241,13 +242,13 @@ def _groups(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(est, pa.float64())], ["a", "b", "est"])
 
     est = checkpoint(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(estimate, "a long, b long, est double").where(F.col("est") >= UNLIKE))
-    sure = checkpoint(connected_components(est.where(F.col("est") >= SURE).select("a", "b")))
+    sure = checkpoint(connected_components(est.where(F.col("est") >= SURE).select("a", "b")), n)
     ca, cb = (sure.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
     open_pairs = est.where(F.col("est") < SURE).join(ca, "a", "left").join(cb, "b", "left")
-    open_pairs = checkpoint(open_pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    open_pairs = checkpoint(open_pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), est.count())
     agreed = _exact(docs, rows, open_pairs, similarity)
     edges = checkpoint(est.where(F.col("est") >= SURE).select("a", "b").unionByName(agreed))
-    linked = checkpoint(connected_components(edges))
+    linked = checkpoint(connected_components(edges), n)
     edges = edges.unionByName(bucket_links(docs, rows, sets, linked, similarity))
     return rows, connected_components(edges).select(F.col("node").alias("whole"), "component")
 
@@ -314,7 +315,7 @@ def bucket_links(docs: DataFrame, rows: DataFrame, sets: DataFrame, linked: Data
     mixed = mixed.where("size > 3 and low < high")
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     members = members.join(mixed.select("band", "key", blocks.alias("blocks")), ["band", "key"])
-    members = checkpoint(members.select("whole", "component", "band", "key", "blocks", F.pmod(F.xxhash64("whole", F.lit(3)), F.col("blocks")).cast("int").alias("own")))
+    members = checkpoint(members.select("whole", "component", "band", "key", "blocks", F.pmod(F.xxhash64("whole", F.lit(3)), F.col("blocks")).cast("int").alias("own")), BANDS * sets.count())
     if members.isEmpty():
         return spark.createDataFrame([], "a long, b long")
 
@@ -338,7 +339,7 @@ def bucket_links(docs: DataFrame, rows: DataFrame, sets: DataFrame, linked: Data
     texts = _texts_of(docs, rows, members.select("whole").distinct()).mapInArrow(hashed, "whole long, hashes binary")
     met = members.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     met = met.join(texts, "whole").select("whole", "component", "band", "key", "i", "j", "hashes")
-    return checkpoint(met.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long").distinct())
+    return checkpoint(met.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long").distinct(), members.count())
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -10,6 +10,8 @@ label that is null teaches nothing, of several labels of one id each teaches; te
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +24,9 @@ BITS = 20
 #: Learning reads at most so many labelled texts (the bound on what its one task holds).
 SAMPLE = 12_000
 EPOCHS = 6
-#: Learning looks at features that so many texts of the sample have, and at so many bytes of text at a time.
-MIN_TEXTS, LEARN_BYTES = 2, 1 << 18
+#: Learning looks at features that so many texts of the sample have.  Features are hashed for so many bytes of text at a
+#: time: a word costs many times its own bytes of memory.
+MIN_TEXTS, BLOCK_BYTES = 2, 1 << 18
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 4.0, 1.0
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
@@ -43,7 +46,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _rows(texts: list[bytes]):
     """The distinct features of each text."""
-    for first, end in chunks(texts, LEARN_BYTES):
+    for first, end in chunks(texts, BLOCK_BYTES):
         idx, doc = features(texts[first:end])
         idx, doc = idx[np.argsort(doc, kind="stable")], np.sort(doc)
         cut = np.searchsorted(doc, np.arange(end - first + 1))
@@ -56,7 +59,27 @@ def learn(texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> tuple[
     return fit([row.astype(np.int32) for row in _rows(texts)], labels, epochs)
 
 
-def fit(rows: list[np.ndarray], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+def packed(row: np.ndarray) -> bytes:
+    """Ascending features in two bytes each: how many there are for each of the upper bits, then the lower 16 of all."""
+    return np.bincount(row >> 16, minlength=1 << BITS - 16).astype("<u4").tobytes() + (row & 0xFFFF).astype("<u2").tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    n = 4 << BITS - 16
+    return np.repeat(np.arange(1 << BITS - 16, dtype=np.int32) << 16, np.frombuffer(data, "<u4", n // 4)) | np.frombuffer(data, "<u2", offset=n)
+
+
+class Packed:
+    """Rows of features that are unpacked one at a time, as often as they are read."""
+
+    def __init__(self, rows: list):
+        self.rows = rows
+
+    def __iter__(self):
+        return map(unpacked, self.rows)
+
+
+def fit(rows, labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """The same from the distinct features of each text."""
     seen = np.zeros(1 << BITS, np.int32)
     for row in rows:
@@ -96,7 +119,7 @@ def sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame
 def probabilities(texts: list[bytes], weight: np.ndarray, bias: float) -> np.ndarray:
     """Score of each text; ``weight`` is dense."""
     out = np.zeros(len(texts))
-    for first, end in chunks(texts):
+    for first, end in chunks(texts, BLOCK_BYTES):
         at, doc = features(texts[first:end])
         hit = np.flatnonzero(weight[at])  # few: most weights are 0
         pair = np.unique((doc[hit].astype(np.int64) << BITS) | at[hit])
@@ -140,14 +163,16 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.n
 
     def hashed(batches):
         for b in batches:
-            rows = [r.astype("<i4").tobytes() for r in _rows(b.column("text").to_pylist())]
+            rows = [packed(r) for r in _rows(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(rows, pa.binary()), b.column("toxic")], ["id", "row", "toxic"])
 
     def run(batches):
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        rows = [r for b in batches for r in zip(b.column("id").to_pylist(), (x.as_buffer() for x in b.column("row")), b.column("toxic").to_pylist(), strict=True)]
         if rows:
-            rows.sort(key=lambda r: (r[0] is None, r[0] or "", r[1], r[2]))
-            idx, val, bias = fit([np.frombuffer(r[1], "<i4") for r in rows], [r[2] for r in rows])
+            rows.sort(key=lambda r: (r[0] is None, r[0] or ""))
+            equal = [[*g] for _, g in groupby(rows, key=lambda r: r[0])]  # of one id in the order of their features
+            rows = [r for g in equal for r in (g if len(g) == 1 else sorted(g, key=lambda r: (unpacked(r[1]).astype("<i4").tobytes(), r[2])))]
+            idx, val, bias = fit(Packed([r[1] for r in rows]), [r[2] for r in rows])
             yield pa.RecordBatch.from_arrays([pa.array([idx.tobytes()], pa.binary()), pa.array([val.tobytes()], pa.binary()), pa.array([bias])], ["idx", "val", "bias"])
 
     rows = sample(docs, labels, bound).mapInArrow(hashed, "id string, row binary, toxic int").limit(bound)

@@ -102,3 +102,36 @@ def test_pipeline_stages(spark, tmp_path):
             assert 0 < sizes[-1] - same < 0.1 * sizes[-1]
     assert docs.where("sequence is not null").groupBy("sequence").agg(F.sum("size").alias("s")).where("s > 2048").count() == 0
     assert sizes[0] < 10_000 and sizes[1] < sizes[0] and sizes[2] == sizes[1] and sizes[3] > sizes[2]
+
+
+def test_features_are_packed_and_hashed_in_small_blocks(monkeypatch):
+    import numpy as np
+
+    from arcweft.llm import toxicity
+
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 1 << toxicity.BITS, n)) for n in (0, 1, 7, 900, 40_000)]
+    for row in (*rows, np.array([0, (1 << 16) - 1, 1 << 16, (1 << toxicity.BITS) - 1])):
+        assert (toxicity.unpacked(toxicity.packed(row)) == row).all() and len(toxicity.packed(row)) == 64 + 2 * len(row)
+    labels = [i % 2 for i in range(len(rows))]
+    plain, lazy = toxicity.fit(rows, labels, 2), toxicity.fit(toxicity.Packed([toxicity.packed(r) for r in rows]), labels, 2)
+    assert all(np.array_equal(x, y) for x, y in zip(plain, lazy, strict=True))
+    sizes, features = [], toxicity.features
+    monkeypatch.setattr(toxicity, "features", lambda texts: sizes.append(sum(map(len, texts))) or features(texts))
+    texts = [b"some words of a text " * 50] * 3000
+    whole = toxicity.probabilities(texts, np.ones(1 << toxicity.BITS, np.float32), 0.0)
+    assert max(sizes) <= (1 << 18) + len(texts[0]) and len(set(whole)) == 1
+
+
+def test_small_checkpoints_are_few_files(spark):
+    from arcweft.llm.common import FILE_ROWS, checkpoint, connected_components
+
+    assert checkpoint(spark.range(100).repartition(16), 100).rdd.getNumPartitions() == 1
+    assert checkpoint(spark.range(100).repartition(4), 9 * FILE_ROWS).rdd.getNumPartitions() == 4
+    edges = spark.range(1, 200).selectExpr("id - 1 AS a", "id AS b").where("b % 50 <> 0").repartition(32)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = connected_components(edges)
+        assert sorted(map(tuple, parts.collect())) == [(i, i // 50 * 50) for i in range(200)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
