@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from .cutting import cut_lineage
 
 #: Levels that are planned as one; longer ones are written and checked for emptiness level by level.
 UNROLLED = 4
+#: Of all combinations of two frames: rows that a task makes, rows of the lesser frame that are broadcast, entries of a bucket.
+MADE, SENT, BUCKET = 4_000_000, 20_000, 8
 
 
 def _edges(graph, rel, labels=None, bare: bool = False, right=(None, None)):
@@ -140,25 +143,69 @@ def _attach_nodes(graph, df: DataFrame, seen: str):
     return df, Expr(F.col(column), kind)
 
 
-def _search(graph, a: Node, b: Node, rel, pairs: DataFrame, counted: bool = False):
+@dataclass(frozen=True)
+class _Pairs:
+    """The pairs (start, goal) that a search is for."""
+
+    pairs: DataFrame
+
+    def starts(self) -> DataFrame:
+        return self.pairs.groupBy("start").agg(F.count("*").alias("left"))
+
+    def met(self, level: DataFrame) -> DataFrame:
+        return level.withColumnRenamed("node", "goal").join(self.pairs, ["start", "goal"]).select("start", "goal", "paths")
+
+
+@dataclass(frozen=True)
+class _Product:
+    """Every pair of a start and one of n goals: the pairs themselves are never written."""
+
+    begin: DataFrame
+    goals: DataFrame
+    n: int
+
+    def starts(self) -> DataFrame:
+        return self.begin.select("start", F.lit(self.n).cast("long").alias("left"))
+
+    def met(self, level: DataFrame) -> DataFrame:
+        return level.withColumnRenamed("node", "goal").join(self.goals, "goal", "left_semi").select("start", "goal", "paths")
+
+
+def _toward(graph, rel, goal: str | None, steps: int):
+    """The graph with the edge tables only by which a label may still be reached, in so many steps after them (-1: any)."""
+    from ..plans.match import oriented
+
+    ways = [(t, (t.target_label, t.source_label) if back else (t.source_label, t.target_label)) for t, back in oriented(graph, rel)]
+    if goal is None or any(None in w for _, w in ways):
+        return graph
+    leading = {goal}
+    for _ in range(len(ways) if steps < 0 else min(steps, len(ways))):
+        leading |= {a for _, (a, b) in ways if b in leading}
+    return replace(graph, edges=tuple(t for t in graph.edges if any(x is t and w[1] in leading for x, w in ways)))
+
+
+def _search(graph, a: Node, b: Node, rel, wanted: _Pairs | _Product, counted: bool = False):
     """Levels (start, node, paths), the labels that each was reached from, and hits (start, goal, paths) by level.
 
     A level holds the distinct nodes that each start first meets there, and if ``counted`` how many shortest paths lead
     to them (else 1: such numbers can outgrow a long).  Edges
-    are pairs of ids, of the tables only that leave the labels reached so far.  The search ends when all pairs are
-    found, a level is empty, or the pattern's bound is reached.
+    are pairs of ids, of the tables only that leave the labels reached so far and end where a goal is still in reach.  The
+    search ends when all pairs are found, a level is empty, or the pattern's bound is reached.
     """
     high = 1 if rel.low is None else rel.high
     one = F.lit(1).cast("long").alias("paths")
-    left = pairs.groupBy("start").agg(F.count("*").alias("left"))
-    levels, hits = [left.select("start", F.col("start").alias("node"), one)], [pairs.where("start = goal").select("start", "goal", one)]
+    levels = [wanted.starts().select("start", F.col("start").alias("node"), one)]
+    hits = [wanted.met(levels[0])]
     labels = {a.label} if a.label else None
     sources, met, left = [], [labels], None
     while high < 0 or len(levels) <= high:
         if labels is not None and not labels:
             break
         live = levels[-1] if left is None else levels[-1].join(left.select("start"), "start", "left_semi")
-        ways, _, reached = _edges(graph, rel, labels, bare=not rel.props)
+        near = _toward(graph, rel, b.label, -1 if high < 0 else high - len(levels))
+        ways, _, reached = _edges(near, rel, labels, bare=not rel.props)
+        if reached is not None and not reached:
+            break
         step = live.join(ways.where("a <> b").select("a", "b"), F.col("node") == F.col("a")).groupBy("start", F.col("b").alias("node")).agg((F.sum if counted else F.max)("paths").alias("paths"))
         again = [x for x, own in zip(levels, met, strict=True) if own is None or reached is None or own & reached]
         if again:
@@ -173,31 +220,78 @@ def _search(graph, a: Node, b: Node, rel, pairs: DataFrame, counted: bool = Fals
         if b.label and reached is not None and b.label not in reached:
             hits.append(None)
             continue
-        hits.append(cut_lineage(level.withColumnRenamed("node", "goal").join(pairs, ["start", "goal"]).select("start", "goal", "paths")))
+        hits.append(cut_lineage(wanted.met(level)))
         if high < 0 or len(levels) <= high:
             found = _union([h for h in hits if h is not None]).groupBy("start").agg(F.count("*").alias("found"))
-            left = pairs.groupBy("start").agg(F.count("*").alias("left")).join(found, "start", "left").where(F.col("left") > F.coalesce("found", F.lit(0)))
+            left = wanted.starts().join(found, "start", "left").where(F.col("left") > F.coalesce("found", F.lit(0)))
             left = cut_lineage(left.select("start"))
             if left.isEmpty():
                 break
     return levels, sources, [hits[0].limit(0) if h is None else h for h in hits]
 
 
-def _pairs(frame: Frame, a: Node, b: Node) -> DataFrame:
-    return cut_lineage(frame.df.select(a.id().alias("start"), b.id().alias("goal")).where("start is not null and goal is not null").distinct())
+def _pairs(frame: Frame, a: Node, b: Node) -> _Pairs:
+    return _Pairs(cut_lineage(frame.df.select(a.id().alias("start"), b.id().alias("goal")).where("start is not null and goal is not null").distinct()))
+
+
+def _measures(hits: list[DataFrame], rel, every: bool) -> DataFrame:
+    """(start, goal, measure) of the pairs that are found."""
+    low = 1 if rel.low is None else rel.low
+    out = [h.withColumn("steps", F.lit(i).cast("long")) for i, h in enumerate(hits) if i >= low or i == 0]
+    return _union(out).select("start", "goal", F.col("paths" if every else "steps").alias("measure"))
 
 
 def measured(graph, frame: Frame, a: Node, b: Node, rel, every: bool) -> tuple[Frame, Expr]:
     """How many shortest paths there are between two bound nodes of each row, or their length: no path is built."""
-    low = 1 if rel.low is None else rel.low
+    sides = [[i for i, f in enumerate(frame.factors) if x.key in f.df.columns] for x in (a, b)]
+    if sides in ([[0], [1]], [[1], [0]]):
+        return _measured_product(graph, frame, a, b, rel, every, sides[0][0])
     hits = _search(graph, a, b, rel, _pairs(frame, a, b), every)[2]
-    out = _union([h.withColumn("steps", F.lit(i).cast("long")) for i, h in enumerate(hits) if i >= low or i == 0])
     s, g, v = fresh("start"), fresh("goal"), fresh("measure")
-    out = out.select(F.col("start").alias(s), F.col("goal").alias(g), F.col("paths" if every else "steps").alias(v))
+    out = _measures(hits, rel, every).select(F.col("start").alias(s), F.col("goal").alias(g), F.col("measure").alias(v))
     df = frame.df.join(out, (a.id() == F.col(s)) & (b.id() == F.col(g)), "left")
     return Frame(df, frame.vars), Expr(F.coalesce(F.col(v), F.lit(0).cast("long")) if every else F.col(v), T.LongType())
 
 
+def _measured_product(graph, frame: Frame, a: Node, b: Node, rel, every: bool, at: int) -> tuple[Frame, Expr]:
+    """The same where the rows are all combinations of two frames, the one at ``at`` with the start.
+
+    The combinations are neither searched for nor joined: what the search finds is gathered by node of the larger frame, its
+    rows carry that, and a combination looks its value up.  A row's finds lie in buckets by hash, so that a look takes
+    about the same time however many there are.  If far fewer goals than starts are asked for, the search goes from them.
+    """
+    frames = {"start": frame.factors[at], "goal": frame.factors[1 - at]}
+    nodes = {"start": a, "goal": b}
+    ids = {k: f.df.select(nodes[k].id().alias(k)).where(F.col(k).isNotNull()).distinct() for k, f in frames.items()}
+    n = {k: d.count() for k, d in ids.items()}
+    if n["goal"] * 10 <= n["start"]:
+        turned = replace(rel, direction={"OUT": "IN", "IN": "OUT"}.get(rel.direction, rel.direction))
+        wanted = _Product(cut_lineage(ids["goal"].withColumnRenamed("goal", "start")), ids["start"].withColumnRenamed("start", "goal"), n["start"])
+        hits = _search(graph, b, a, turned, wanted, every)[2]
+        hits = [h.select(F.col("goal").alias("start"), F.col("start").alias("goal"), "paths") for h in hits]
+    else:
+        hits = _search(graph, a, b, rel, _Product(cut_lineage(ids["start"]), ids["goal"], n["goal"]), every)[2]
+    many, few = ("start", "goal") if n["start"] >= n["goal"] else ("goal", "start")
+    parts = max(graph.spark.sparkContext.defaultParallelism, min(-(-n["start"] * n["goal"] // MADE), 10_000))
+    key, finds, other, place = fresh("id"), fresh("finds"), fresh("id"), fresh("place")
+    # entries, and for each bucket one without a node so that none is missing
+    found = _measures(hits, rel, every).repartition(parts, F.col(many)).groupBy(many).agg(F.collect_list(F.struct(F.col(few).alias("k"), F.col("measure").alias("v"))).alias("l"))
+    found = found.withColumn("n", F.ceil(F.size("l") / BUCKET).cast("int"))
+    empty = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.lit(None).cast("string").alias("k"), i.cast("long").alias("v")))
+    found = found.select(many, "n", F.explode(F.concat("l", empty)).alias("x"))
+    found = found.groupBy(many, F.when(F.col("x.k").isNull(), F.col("x.v")).otherwise(F.pmod(F.xxhash64("x.k"), F.col("n"))).alias("at"))
+    found = found.agg(F.collect_list(F.when(F.col("x.k").isNotNull(), F.col("x"))).alias("l")).groupBy(many).agg(F.array_sort(F.collect_list(F.struct("at", "l"))).alias("l"))
+    found = found.select(F.col(many).alias(key), F.transform("l", lambda x: F.map_from_entries(x.getField("l"))).alias(finds))
+    own = fresh("id")
+    rows = frames[many].df.withColumn(own, nodes[many].id()).repartition(parts, F.col(own)).join(found, F.col(own) == F.col(key), "left").drop(own, key)
+    lesser = frames[few].df.withColumn(other, nodes[few].id()).withColumn(place, F.xxhash64(other))
+    one, two = Frame(rows, frames[many].vars), Frame(lesser, frames[few].vars)
+    flat = not any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in lesser.schema.fields)
+    sent = F.broadcast(lesser) if flat and n[few] <= SENT and lesser.limit(SENT + 1).count() <= SENT else lesser
+    value = F.get(F.col(finds), F.pmod(F.col(place), F.size(finds)).cast("int"))[F.col(other)]
+    return Frame(rows.crossJoin(sent), frame.vars, (one, two)), Expr(F.coalesce(value, F.lit(0).cast("long")) if every else value, T.LongType())
+
+
 def shortest(graph, frame: Frame, a: Node, b: Node, rel, every: bool) -> tuple[Frame, Expr]:
     """Shortest paths between two bound nodes of each row, as path structs (a list of them for ``every``).
 

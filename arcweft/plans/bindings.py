@@ -121,10 +121,14 @@ class Value:
 
 @dataclass(frozen=True)
 class Frame:
-    """Rows with the variables that they bind; without a DataFrame it is the single empty row."""
+    """Rows with the variables that they bind; without a DataFrame it is the single empty row.
+
+    ``factors`` are the two frames of which the rows are every combination, where they are known to be that.
+    """
 
     df: DataFrame
     vars: dict
+    factors: tuple = ()
 
     def with_(self, df: DataFrame, **more) -> Frame:
         return Frame(df, {**self.vars, **more})

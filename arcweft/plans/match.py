@@ -199,7 +199,7 @@ class Matcher:
         names = set(frame.vars)
         for path in self._around(frame, m.paths):
             frame = self.extend(frame, path, conditions)
-        frame = Frame(frame.df, {v: b for v, b in frame.vars.items() if v in names or v in _named(m.paths)})
+        frame = replace(frame, vars={v: b for v, b in frame.vars.items() if v in names or v in _named(m.paths)})
         for c in conditions:
             frame = Frame(frame.df.where(c(frame)), frame.vars)
         if m.where is not None:
@@ -297,7 +297,9 @@ class Matcher:
         return Frame(df, merged)
 
     def _cross(self, frame: Frame, df: DataFrame, **more) -> Frame:
-        return Frame(df if frame.df is None else frame.df.crossJoin(df), {**frame.vars, **more})
+        if frame.df is None:
+            return Frame(df, {**frame.vars, **more})
+        return Frame(frame.df.crossJoin(df), {**frame.vars, **more}, (frame, Frame(df, more)))
 
     # ---- one path
 
@@ -320,7 +322,7 @@ class Matcher:
             bound[at] = node
             self._props(n, node, conditions)
         if n.var:
-            frame = Frame(frame.df, {**frame.vars, n.var: bound[at]})
+            frame = replace(frame, vars={**frame.vars, n.var: bound[at]})
         if 1 in bound and 0 in edges:
             frame = self._bind_rel(frame, path.rels[0], edges[0])
             frame = self._settle(frame, nodes[1], bound, 1, path, conditions)

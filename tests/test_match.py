@@ -260,3 +260,24 @@ def test_path_counts_against_plain_python(spark):
         want = sorted((v, sum(n for w, n in count(ways, v, 1, 2).items() if int(w[1]) % 2)) for v in names if not int(v[1]) % 2)
         assert sorted(rows(g, f"MATCH (a:P) WITH a OPTIONAL MATCH (a)-[*1..2]{arrow}(b:Q) RETURN id(a), count(b)")) == want
         assert [r for r in sorted(rows(g, f"MATCH (a:P)-[*1..2]{arrow}(b:Q) RETURN id(a), count(*)")) if r[1]] == [w for w in want if w[1]]
+
+
+def test_products_are_measured_without_their_pairs(spark, monkeypatch):
+    import random
+
+    from arcweft import table_graph
+    from arcweft.operators import paths
+
+    listed = "WITH a, b, shortestPath({0}) AS p, allShortestPaths({0}) AS l RETURN id(a), id(b), length(p), size(l)"
+    direct = "RETURN id(a), id(b), length(shortestPath({0})), size(allShortestPaths({0}))"
+    rng = random.Random(3)
+    names = [f"n{i}" for i in range(14)]
+    pairs = [(*rng.sample(names, 2), {"type": rng.choice("LM"), "w": rng.randint(0, 1), **({"undirected": True} if rng.random() < 0.2 else {})}) for _ in range(28)]
+    g = make(spark, {n: {"label": rng.choice("PQ"), "few": int(n == "n3")} for n in names}, pairs)
+    monkeypatch.setattr(paths, "BUCKET", 2)
+    cases = [("MATCH (a), (b) ", "(a)-[:L*2..3]-(b)"), ("MATCH (b {few: 1}) MATCH (a) ", "(a)-[*..4]->(b)"), ("UNWIND [1, 1] AS x MATCH (b:P) MATCH (a:Q) ", "(a)<-[*0..2 {w: 1}]-(b)")]
+    wanted = [sorted(rows(g, m + listed.format(p)), key=str) for m, p in cases]
+    monkeypatch.setattr(paths, "_pairs", lambda *args: pytest.fail("all pairs were written"))
+    assert [sorted(rows(g, m + direct.format(p)), key=str) for m, p in cases] == wanted
+    text = "MATCH (r:Region) MATCH (c:Customer) RETURN c.custkey AS k, r.name AS r, length(shortestPath((c)-[:IN_NATION|IN_REGION*..3]->(r))) AS n"
+    assert table_graph(spark, "/root/testdata/sf0.001").cypher(text).where("n = 2").count() == 150
