@@ -281,3 +281,13 @@ def test_products_are_measured_without_their_pairs(spark, monkeypatch):
     assert [sorted(rows(g, m + direct.format(p)), key=str) for m, p in cases] == wanted
     text = "MATCH (r:Region) MATCH (c:Customer) RETURN c.custkey AS k, r.name AS r, length(shortestPath((c)-[:IN_NATION|IN_REGION*..3]->(r))) AS n"
     assert table_graph(spark, "/root/testdata/sf0.001").cypher(text).where("n = 2").count() == 150
+
+
+def test_products_are_not_joined_with_what_a_search_finds(spark):
+    from arcweft import table_graph
+
+    text = "MATCH (c:Customer) MATCH (s:Supplier) RETURN c.custkey AS c, s.suppkey AS s, size(allShortestPaths((c)-[:PLACED|SUPPLIED_BY*..2]->(s))) AS n"
+    df = table_graph(spark, "/root/testdata/sf0.001").cypher(text)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner" if "Join Inner" in plan else "Join Cross") < plan.index("Join LeftOuter")  # the product is above the join
+    assert df.count() == 150 * 10 and df.selectExpr("sum(n)").first()[0] == 6000
