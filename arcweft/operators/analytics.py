@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..errors import QueryError
 from ..functions.typed import DOUBLE, LONG, STRING, Expr, as_list, field, is_null, is_struct
+from ..graph import space_id
 from ..plans.bindings import Frame, Node, fresh
 from .cutting import cut_lineage
 
@@ -66,8 +67,7 @@ def call(graph, frame: Frame, name: str, args: list[Expr], known: dict | None =
         known = {} if known is None else known
         if name not in known:
             known[name] = {"pagerank": pagerank, "degreecentrality": degree_centrality, "betweennesscentrality": betweenness}[name](graph)
-        scores = known[name]
-        return _scores(frame, scores, args)
+        return _scores(frame, known[name], args)
     if name == "subgraph":
         return subgraph(graph, frame, args[0])
     if name == "egograph":
@@ -82,8 +82,19 @@ def _node_id(e: Expr):
     return e.col.getField("id") if is_struct(e.type) and field(e.type, "id") else e.col.cast("string")
 
 
-def _scores(frame: Frame, scores: DataFrame, args: list[Expr]) -> tuple[Frame, Expr]:
-    """The score of a node, null if it is none; without one the map of all scores by id."""
+def _scores(frame: Frame, scores: DataFrame | dict, args: list[Expr]) -> tuple[Frame, Expr]:
+    """The score of a node, null if it is none; without one the map of all scores by id.
+
+    A dict has (key, score) of each label's nodes: those of a node whose label is known are found by their own keys.
+    """
+    if isinstance(scores, dict):
+        node = args[0].binding if args else None
+        if isinstance(node, Node) and node.space is not None and node.space in scores:
+            key, value = fresh("key"), fresh("score")
+            right = scores[node.space].select(F.col("key").alias(key), F.col("score").alias(value))
+            same = F.col(node.key).cast(right.schema[key].dataType) == F.col(key)
+            return Frame(frame.df.join(right, same, "left"), frame.vars), Expr(F.col(value), DOUBLE)
+        scores = _all([x.select(space_id(label, F.col("key")).alias("id"), "score") for label, x in scores.items()])
     if args:
         key, value = fresh("id"), fresh("score")
         right = scores.select(F.col("id").alias(key), F.col("score").alias(value))
@@ -119,9 +130,134 @@ def degree_centrality(graph) -> DataFrame:
     return rows.select("id", F.when(F.col("n") > 1, F.coalesce("d", F.lit(0)) / (F.col("n") - 1)).otherwise(0.0).alias("score"))
 
 
-def pagerank(graph) -> DataFrame:
+def pagerank(graph) -> DataFrame | dict:
     """Damping 0.85; parallel edges count, rank of nodes without out-edges is spread over all.
 
+    (id, score), or by label (key, score) where typed tables lead from label to label without a circle.
+    """
+    layers = _layers(graph)
+    return _ranked(graph) if layers is None else _ranked_by_layers(graph, layers)
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _key_kind(df: DataFrame, column: str) -> str | None:
+    """The type as which a key is compared; None for those whose text may differ where they are equal."""
+    kind = df.schema[column].dataType
+    return "long" if isinstance(kind, T.IntegralType) else "string" if isinstance(kind, T.StringType) else None
+
+
+def _layers(graph) -> list[str] | None:
+    """The labels in an order in which every edge leads onwards; None if there is none, or not all tables are typed."""
+    kinds: dict = {}
+    for t in graph.nodes:
+        if not t.label or ":" in t.label:
+            return None
+        kinds.setdefault(t.label, set()).add(_key_kind(t.df, t.key))
+    ways = set()
+    for t in graph.edges:
+        if not t.type or not t.source_label or not t.target_label or t.undirected or t.undirected_column:
+            return None
+        for label, column in ((t.source_label, t.source), (t.target_label, t.target)):
+            kinds.setdefault(label, set()).add(_key_kind(t.df, column))
+        ways.add((t.source_label, t.target_label))
+    if not graph.nodes or any(len(k) > 1 or None in k for k in kinds.values()):
+        return None
+    order: list = []
+    while len(order) < len(kinds):
+        ready = sorted(x for x in kinds if x not in order and all(a in order for a, b in ways if b == x))
+        if not ready:
+            return None
+        order += ready
+    have = {t.label for t in graph.nodes}
+    return [x for x in order if x in have]
+
+
+def _ranked_by_layers(graph, layers: list[str]) -> dict:
+    """PageRank where edges lead from label to label without a circle: every edge is read once, whatever the rounds.
+
+    With A the step along the edges, the ranks after k rounds are a sum over j of f(k, j) * A^j 1, and A^j 1 is nothing beyond
+    the longest way between labels.  These few numbers are found for every node, label after label.  The factors of all
+    rounds follow from their sums over the nodes without out-edges, and so does the round at which ranks stop moving.
+    """
+    depth = {x: 0 for x in layers}
+    for x in layers:
+        depth[x] = max([0, *(depth[t.source_label] + 1 for t in graph.edges if t.target_label == x and t.source_label in depth)])
+    deep = max(depth.values())
+
+    def key(df, column):
+        return F.col(column).cast(_key_kind(df, column))
+
+    gains: dict = {x: [] for x in layers}  # label -> (key, u1, …) that edge tables bring to its nodes
+    found: dict = {}
+    for x in layers:
+        own = _all([t.df.select(key(t.df, t.key).alias("key")) for t in graph.nodes if t.label == x])
+        names = [f"u{j}" for j in range(1, depth[x] + 1)]
+        rows = own
+        if gains[x]:
+            sums = _all(gains[x]).groupBy("k").agg(*[F.sum(u).alias(u) for u in names])
+            rows = own.join(sums, F.col("key") == F.col("k"), "left").select("key", *[F.coalesce(u, F.lit(0.0)).alias(u) for u in names])
+        tables: list = []  # edge tables that share their rows and source: these are read once for all targets
+        for t in graph.edges:
+            if t.source_label == x:
+                same = next((g for g in tables if g[0].df is t.df and g[0].source == t.source and _key_kind(t.df, t.target) == _key_kind(t.df, g[0].target)), None)
+                tables.append([t]) if same is None else same.append(t)
+        if not tables:
+            found[x] = rows.withColumn("leaf", F.lit(True))
+            continue
+        degree = _all([g[0].df.groupBy(key(g[0].df, g[0].source).alias("k")).agg((F.count("*") * len(g)).alias("d")) for g in tables])
+        degree = degree.groupBy("k").agg(F.sum("d").alias("d")) if len(tables) > 1 else degree
+        rows = rows.join(degree, F.col("key") == F.col("k"), "left").select("key", *names, "d")
+        rows = cut_lineage(rows) if gains[x] else rows
+        found[x] = rows.select("key", *names, F.col("d").isNull().alias("leaf"))
+        share = rows.where("d is not null").select("key", *[(v / F.col("d")).alias(f"u{j}") for j, v in enumerate([F.lit(1.0), *map(F.col, names)], 1)])
+        moved = [f"u{j}" for j in range(1, depth[x] + 2)]
+        for g in tables:
+            ends = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), key(t.df, t.target).alias("k")) for i, t in enumerate(g)]))
+            links = g[0].df.select(key(g[0].df, g[0].source).alias("s"), *dict.fromkeys(t.target for t in g))
+            sent = share.join(links, F.col("key") == F.col("s")).select(ends.alias("end"), *moved)
+            sent = cut_lineage(sent.groupBy("end.at", "end.k").agg(*[F.sum(u).alias(u) for u in moved])) if len(g) > 1 else sent.groupBy("end.at", "end.k").agg(*[F.sum(u).alias(u) for u in moved])
+            for i, t in enumerate(g):
+                if t.target_label in gains:
+                    zero = [F.lit(0.0).alias(f"u{j}") for j in range(len(moved) + 1, depth[t.target_label] + 1)]
+                    gains[t.target_label].append(sent.where(F.col("at") == i).select("k", *moved, *zero))
+    factors = _factors(found, depth, deep)
+    score = {x: sum((F.col(f"u{j}") * F.lit(factors[j]) for j in range(1, depth[x] + 1)), F.lit(factors[0])) for x in layers}
+    return {x: found[x].select("key", score[x].alias("score")) for x in layers}
+
+
+def _factors(found: dict, depth: dict, deep: int) -> list[float]:
+    """The factors of the round at which PageRank ends."""
+    names = [f"u{j}" for j in range(1, deep + 1)]
+    rows = [f.select("leaf", *[F.col(u) if j <= depth[x] else F.lit(0.0).alias(u) for j, u in enumerate(names, 1)]) for x, f in found.items()]
+    kinds = cut_lineage(_all(rows).groupBy("leaf", *names).agg(F.count("*").alias("c")))  # many nodes are alike
+    u = [F.lit(1.0), *map(F.col, names)]
+    n, *lost = kinds.agg(F.sum("c"), *[F.coalesce(F.sum(F.when(F.col("leaf"), F.col("c") * v)), F.lit(0.0)) for v in u]).first()
+    if not n:
+        return [0.0] * (deep + 1)
+    rounds = [[1.0 / n] + [0.0] * deep]
+    for _ in range(ITERATIONS):
+        last = rounds[-1]
+        rounds.append([(1 - DAMPING) / n + DAMPING * sum(f * v for f, v in zip(last, lost, strict=True)) / n, *(DAMPING * f for f in last[:-1])])
+    at, width = 0, 10
+    while at < ITERATIONS:
+        pairs = list(zip(rounds[at : at + width], rounds[at + 1 : at + width + 1], strict=False))
+        moved = kinds.agg(*[F.sum(F.col("c") * F.abs(sum((F.lit(b - a) * v for a, b, v in zip(*p, u, strict=True)), F.lit(0.0)))) for p in pairs]).first()
+        for i, m in enumerate(moved, 1):
+            if m < TOLERANCE:
+                return rounds[at + i]
+        at += len(pairs)
+    return rounds[-1]
+
+
+def _ranked(graph) -> DataFrame:
+    """PageRank of any graph, round by round.
+
     A round is one written table and one small aggregate: how far ranks moved, and the rank that leaves lose next.
     """
     nodes = cut_lineage(_ids(graph))

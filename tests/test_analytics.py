@@ -141,3 +141,31 @@ def test_scores_are_looked_up_without_a_map(spark, monkeypatch):
     for whole in ("WITH degreeCentrality() AS s RETURN s", "WITH degreeCentrality() AS s WITH s AS t RETURN t['a']", "WITH degreeCentrality() AS s RETURN *"):
         with pytest.raises(QueryError):  # one value of more than LARGEST scores
             rows(g, whole)
+
+
+def test_pagerank_by_layers(spark, monkeypatch):
+    from arcweft.graph import EdgeTable, NodeTable, PropertyGraph
+    from arcweft.operators import analytics
+
+    rng = random.Random(8)
+    a, c = (spark.createDataFrame([(i,) for i in range(n)], "k int") for n in (9, 12))
+    b = spark.createDataFrame([(f"b{i}",) for i in range(7)] + [(None,)], "k string")
+    # parallel edges, ends that are no nodes, missing ends
+    first = spark.createDataFrame([(rng.randint(0, 9), rng.choice(["b9", None, *[f"b{i}" for i in range(6)]])) for _ in range(30)], "s long, t string")
+    second = spark.createDataFrame([(f"b{rng.randint(0, 7)}", rng.choice([None, 40, *range(9)]), rng.randint(0, 12)) for _ in range(25)], "s string, t int, u long")
+    third = spark.createDataFrame([(rng.randint(0, 5), rng.randint(0, 8)) for _ in range(8)], "s int, t int")
+    nodes = tuple(NodeTable(df, "k", {}, label=x) for x, df in (("A", a), ("B", b), ("C", c)))
+    edges = tuple(EdgeTable(df, s, t, {}, type=kind, source_label=x, target_label=y) for df, s, t, kind, x, y in ((first, "s", "t", "X", "A", "B"), (second, "s", "t", "Y", "B", "C"), (second, "s", "u", "Z", "B", "C"), (third, "s", "t", "X", "A", "C"), (third, "s", "t", "W", "C", "Gone")))
+    g = PropertyGraph(spark, nodes, edges)
+    plain = analytics._ranked
+    monkeypatch.setattr(analytics, "_ranked", lambda graph: pytest.fail("ranks were found round by round"))
+    for rounds in (1, 100):
+        monkeypatch.setattr(analytics, "ITERATIONS", rounds)
+        expect = {r["id"]: r["score"] for r in plain(g).collect()}
+        assert dict(rows(g, "MATCH (n) RETURN id(n), pagerank(n)")) == {k: v and pytest.approx(v, rel=1e-9) for k, v in expect.items() if k} | {None: None}
+        assert dict(rows(g, "MATCH (n:C) RETURN id(n), pagerank(n)")) == {k: pytest.approx(v, rel=1e-9) for k, v in expect.items() if k and k[0] == "C"}
+    monkeypatch.setattr(analytics, "_ranked", plain)
+    monkeypatch.setattr(analytics, "ITERATIONS", 3)
+    around = PropertyGraph(spark, nodes, (*edges, EdgeTable(third, "s", "t", {}, type="V", source_label="C", target_label="A")))
+    assert analytics._layers(g) == ["A", "B", "C"] and analytics._layers(around) is None
+    assert sum(s for _, s in rows(around, "MATCH (n) WHERE id(n) IS NOT NULL RETURN id(n), pagerank(n)")) < 1
