@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,8 @@ from .cutting import cut_lineage
 UNROLLED = 4
 #: Of all combinations of two frames: rows that a task makes, rows of the lesser frame that are broadcast, entries of a bucket.
 MADE, SENT, BUCKET = 4_000_000, 20_000, 8
+#: Rows of a search's level that are broadcast to the edges instead of being shuffled with them.
+NEAR = 200_000
 
 
 def _edges(graph, rel, labels=None, bare: bool = False, right=(None, None)):
@@ -189,15 +191,20 @@ def _search(graph, a: Node, b: Node, rel, wanted: _Pairs | _Product, counted: bo
 
     A level holds the distinct nodes that each start first meets there, and if ``counted`` how many shortest paths lead
     to them (else 1: such numbers can outgrow a long).  Edges
-    are pairs of ids, of the tables only that leave the labels reached so far and end where a goal is still in reach.  The
+    are pairs of ids, of the tables only that leave the labels reached so far and end where a goal is still in reach.  Levels
+    of few rows are sent to the edges' stored keys.  The
     search ends when all pairs are found, a level is empty, or the pattern's bound is reached.
     """
+    from .. import ast as A
+    from ..plans.match import bare_steps
+
     high = 1 if rel.low is None else rel.high
     one = F.lit(1).cast("long").alias("paths")
     levels = [wanted.starts().select("start", F.col("start").alias("node"), one)]
-    hits = [wanted.met(levels[0])]
+    none = levels[0].select("start", F.col("node").alias("goal"), "paths").limit(0)
+    hits = [None if a.label and b.label and a.label != b.label else wanted.met(levels[0])]
     labels = {a.label} if a.label else None
-    sources, met, left = [], [labels], None
+    sources, met, left, size = [], [labels], None, levels[0].count()
     while high < 0 or len(levels) <= high:
         if labels is not None and not labels:
             break
@@ -206,12 +213,17 @@ def _search(graph, a: Node, b: Node, rel, wanted: _Pairs | _Product, counted: bo
         ways, _, reached = _edges(near, rel, labels, bare=not rel.props)
         if reached is not None and not reached:
             break
-        step = live.join(ways.where("a <> b").select("a", "b"), F.col("node") == F.col("a")).groupBy("start", F.col("b").alias("node")).agg((F.sum if counted else F.max)("paths").alias("paths"))
+        if size <= NEAR and not rel.props:
+            step = bare_steps(near, rel, live, (A.LabelTerm(tuple(((x, False),) for x in sorted(labels))) if labels else None, None))
+        else:
+            step = live.join(ways.where("a <> b").select("a", "b"), F.col("node") == F.col("a")).select("start", F.col("b").alias("node"), "paths")
+        step = step.groupBy("start", "node").agg((F.sum if counted else F.max)("paths").alias("paths"))
         again = [x for x, own in zip(levels, met, strict=True) if own is None or reached is None or own & reached]
         if again:
             step = step.join(_union([x.select("start", "node") for x in again]), ["start", "node"], "left_anti")
         level = cut_lineage(step.select("start", "node", "paths"))
-        if level.isEmpty():
+        size = level.count()
+        if not size:
             break
         levels.append(level)
         sources.append(labels)
@@ -227,7 +239,7 @@ def _search(graph, a: Node, b: Node, rel, wanted: _Pairs | _Product, counted: bo
             left = cut_lineage(left.select("start"))
             if left.isEmpty():
                 break
-    return levels, sources, [hits[0].limit(0) if h is None else h for h in hits]
+    return levels, sources, [none if h is None else h for h in hits]
 
 
 def _pairs(frame: Frame, a: Node, b: Node) -> _Pairs:
@@ -258,40 +270,55 @@ def _measured_product(graph, frame: Frame, a: Node, b: Node, rel, every: bool, a
 
     The combinations are neither searched for nor joined: what the search finds is gathered by node of the larger frame, its
     rows carry that, and a combination looks its value up.  A row's finds lie in buckets by hash, so that a look takes
-    about the same time however many there are.  If far fewer goals than starts are asked for, the search goes from them.
+    about the same time however many there are, and a mask of 64 bits by hash tells most combinations that there is nothing to
+    look for.  Nodes are told apart by their stored keys where these are whole numbers.  If far fewer goals than starts are asked for, the search goes from them.
     """
     frames = {"start": frame.factors[at], "goal": frame.factors[1 - at]}
     nodes = {"start": a, "goal": b}
-    ids = {k: f.df.select(nodes[k].id().alias(k)).where(F.col(k).isNotNull()).distinct() for k, f in frames.items()}
+    ids = {k: cut_lineage(f.df.select(nodes[k].id().alias(k)).where(F.col(k).isNotNull()).distinct()) for k, f in frames.items()}
     n = {k: d.count() for k, d in ids.items()}
     if n["goal"] * 10 <= n["start"]:
         turned = replace(rel, direction={"OUT": "IN", "IN": "OUT"}.get(rel.direction, rel.direction))
-        wanted = _Product(cut_lineage(ids["goal"].withColumnRenamed("goal", "start")), ids["start"].withColumnRenamed("start", "goal"), n["start"])
+        wanted = _Product(ids["goal"].withColumnRenamed("goal", "start"), ids["start"].withColumnRenamed("start", "goal"), n["start"])
         hits = _search(graph, b, a, turned, wanted, every)[2]
         hits = [h.select(F.col("goal").alias("start"), F.col("start").alias("goal"), "paths") for h in hits]
     else:
-        hits = _search(graph, a, b, rel, _Product(cut_lineage(ids["start"]), ids["goal"], n["goal"]), every)[2]
+        hits = _search(graph, a, b, rel, _Product(ids["start"], ids["goal"], n["goal"]), every)[2]
     many, few = ("start", "goal") if n["start"] >= n["goal"] else ("goal", "start")
     parts = max(graph.spark.sparkContext.defaultParallelism, min(-(-n["start"] * n["goal"] // MADE), 10_000))
-    key, finds, other, place = fresh("id"), fresh("finds"), fresh("id"), fresh("place")
-    # entries, and for each bucket one without a node so that none is missing
-    found = _measures(hits, rel, every).repartition(parts, F.col(many)).groupBy(many).agg(F.collect_list(F.struct(F.col(few).alias("k"), F.col("measure").alias("v"))).alias("l"))
-    found = found.withColumn("n", F.ceil(F.size("l") / BUCKET).cast("int"))
-    empty = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.lit(None).cast("string").alias("k"), i.cast("long").alias("v")))
-    found = found.select(many, "n", F.explode(F.concat("l", empty)).alias("x"))
-    found = found.groupBy(many, F.when(F.col("x.k").isNull(), F.col("x.v")).otherwise(F.pmod(F.xxhash64("x.k"), F.col("n"))).alias("at"))
-    found = found.agg(F.collect_list(F.when(F.col("x.k").isNotNull(), F.col("x"))).alias("l")).groupBy(many).agg(F.array_sort(F.collect_list(F.struct("at", "l"))).alias("l"))
-    found = found.select(F.col(many).alias(key), F.transform("l", lambda x: F.map_from_entries(x.getField("l"))).alias(finds))
+    key, finds, mask, last, other, bit, place = (fresh(x) for x in ("id", "finds", "mask", "last", "id", "bit", "place"))
+    node = nodes[few]
+    stored = node.space is not None and isinstance(frames[few].df.schema[node.key].dataType, T.IntegralType)
+    # entries, and for each bucket one without a node so that none is missing; a hash's low six bits are for the mask
+    found = _measures(hits, rel, every).select(many, (F.substring(few, len(node.space) + 2, 2**31 - 1).cast("long") if stored else F.col(few)).alias("k"), F.col("measure").alias("v"))
+    found = found.withColumn("h", F.xxhash64("k")).repartition(parts, F.col(many)).groupBy(many).agg(F.collect_list(F.struct("k", "v", "h")).alias("l"), F.bit_or(_bit("h")).alias(mask))
+    found = found.withColumn(last, F.pow(F.lit(2), F.ceil(F.log2(F.ceil(F.size("l") / BUCKET)))).cast("int") - 1)
+    empty = F.transform(F.sequence(F.lit(0), F.col(last)), lambda i: F.struct(F.lit(None).cast("long" if stored else "string").alias("k"), F.lit(None).cast("long").alias("v"), F.shiftleft(i.cast("long"), 6).alias("h")))
+    found = found.select(many, mask, last, F.explode(F.concat("l", empty)).alias("x"))
+    found = found.groupBy(many, mask, last, _bucket(F.col("x.h"), F.col(last)).alias("at"))
+    found = found.agg(F.collect_list(F.when(F.col("x.k").isNotNull(), F.struct("x.k", "x.v"))).alias("l")).groupBy(many, mask, last).agg(F.array_sort(F.collect_list(F.struct("at", "l"))).alias("l"))
+    found = found.select(F.col(many).alias(key), mask, last, F.transform("l", lambda x: F.map_from_entries(x.getField("l"))).alias(finds))
     own = fresh("id")
     rows = frames[many].df.withColumn(own, nodes[many].id()).repartition(parts, F.col(own)).join(found, F.col(own) == F.col(key), "left").drop(own, key)
-    lesser = frames[few].df.withColumn(other, nodes[few].id()).withColumn(place, F.xxhash64(other))
+    lesser = frames[few].df.withColumn(other, F.col(node.key).cast("long") if stored else node.id()).withColumn(place, F.xxhash64(other)).withColumn(bit, _bit(place))
     one, two = Frame(rows, frames[many].vars), Frame(lesser, frames[few].vars)
     flat = not any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in lesser.schema.fields)
     sent = F.broadcast(lesser) if flat and n[few] <= SENT and lesser.limit(SENT + 1).count() <= SENT else lesser
-    value = F.get(F.col(finds), F.pmod(F.col(place), F.size(finds)).cast("int"))[F.col(other)]
+    # each column is named once: Spark's code then reads the finds in that branch only
+    value = F.when(F.col(mask).bitwiseAND(F.col(bit)) != 0, F.get(F.col(finds), _bucket(F.col(place), F.col(last)))[F.col(other)])
     return Frame(rows.crossJoin(sent), frame.vars, (one, two)), Expr(F.coalesce(value, F.lit(0).cast("long")) if every else value, T.LongType())
 
 
+def _bit(place) -> Column:
+    """One of 64 bits, by the low bits of a hash."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.col(place).bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _bucket(place: Column, last: Column) -> Column:
+    """One of the buckets up to the last, a power of two in number, by the other bits of a hash."""
+    return F.shiftright(place, 6).bitwiseAND(last).cast("int")
+
+
 def shortest(graph, frame: Frame, a: Node, b: Node, rel, every: bool) -> tuple[Frame, Expr]:
     """Shortest paths between two bound nodes of each row, as path structs (a list of them for ``every``).
 

@@ -124,6 +124,25 @@ def bare_hops(graph: PropertyGraph, rel: A.RelPattern, left=(None, None), right=
     return graph.spark.createDataFrame([], "a string, b string") if out is None else out
 
 
+def bare_steps(graph: PropertyGraph, rel: A.RelPattern, live: DataFrame, left=(None, None)) -> DataFrame:
+    """The rows of ``live`` with ``node``, a string id, moved along every hop that leads to another node.
+
+    ``live`` is broadcast to the edges, which are met by their stored keys: ids are only made of hops that are taken.
+    """
+    out = None
+    for t, back in oriented(graph, rel, left):
+        (a, space), (b, to) = ((t.source, t.source_label), (t.target, t.target_label))[:: -1 if back else 1]
+        kind, held = types_of(t.df)[a], live.withColumn("key", F.col("node"))
+        if space is not None:
+            rest = F.substring("node", len(space) + 2, 2**31 - 1)
+            # a key that another text stands for is another node's
+            held = live.where(F.startswith("node", F.lit(f"{space}:"))).withColumn("key", rest.try_cast(kind)).where(F.col("key").cast("string") == rest)
+        one = _rows(t, back, rel).select(F.col(a).alias("a"), F.col(b).alias("b")).join(F.broadcast(held), F.col("a") == F.col("key"))
+        one = one.withColumn("b", space_id(to, F.col("b"))).where("node <> b").select(*[F.col("b" if c == "node" else c).alias(c) for c in live.columns])
+        out = one if out is None else out.unionByName(one)
+    return live.limit(0) if out is None else out
+
+
 def _oriented(graph: PropertyGraph, t: EdgeTable, back: bool, rel: A.RelPattern, as_text: bool) -> Hops:
     df, kinds = _rows(t, back, rel), types_of(t.df)
     eid, s, d, ty = fresh("e"), fresh("src"), fresh("dst"), fresh("type")

@@ -291,3 +291,28 @@ def test_products_are_not_joined_with_what_a_search_finds(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join Inner" if "Join Inner" in plan else "Join Cross") < plan.index("Join LeftOuter")  # the product is above the join
     assert df.count() == 150 * 10 and df.selectExpr("sum(n)").first()[0] == 6000
+
+
+def test_levels_of_few_rows_are_sent_to_stored_keys(spark, monkeypatch):
+    from arcweft import table_graph
+    from arcweft.graph import EdgeTable, NodeTable, PropertyGraph
+    from arcweft.operators import paths
+
+    plans, plain = [], paths.cut_lineage
+    monkeypatch.setattr(paths, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
+    text = "MATCH (c:Customer) MATCH (s:Supplier) RETURN c.custkey AS c, s.suppkey AS s, size(allShortestPaths((c)-[:PLACED|SUPPLIED_BY*..2]->(s))) AS n"
+    g = table_graph(spark, "/root/testdata/sf0.001")
+    got, plan = sorted(rows(g, text)), g.cypher(text)._jdf.queryExecution().optimizedPlan().toString()
+    steps = [p for p in plans if "l_suppkey" in p and "Join" in p]
+    assert steps and all("strategy=broadcast" in p for p in steps)
+    assert "Supplier:" not in plan  # combinations look up keys, not texts
+    # keys that are texts of other numbers, tables that hold the same keys in another type
+    a = spark.createDataFrame([("1",), ("01",), ("B:1",), ("-7",)], "k string")
+    b = spark.createDataFrame([(1,), (2,), (-7,), (None,)], "k long")
+    kinds = (("X", [("1", 1), ("01", 2), ("B:1", -7), ("-7", None)], "s string, t long", "A", "B"), ("Y", [(1, 1), (2, -7)], "s long, t int", "B", "A"), ("Z", [(1, "01"), (-7, "-7"), (None, "1")], "s int, t string", "A", "A"))
+    odd = PropertyGraph(spark, (NodeTable(a, "k", {"k": "k"}, label="A"), NodeTable(b, "k", {"k": "k"}, label="B")), tuple(EdgeTable(spark.createDataFrame(r, s), "s", "t", {}, type=k, source_label=x, target_label=y) for k, r, s, x, y in kinds))
+    text = "MATCH (a:A), (b:B) RETURN a.k, b.k, size(allShortestPaths((a)-[*..2]-(b)))"
+    found = sorted(rows(odd, text), key=str)
+    monkeypatch.setattr(paths, "NEAR", -1)
+    assert sorted(rows(odd, text), key=str) == found
+    assert ("01", 2, 1) in found and ("1", 2, 0) not in found and ("B:1", -7, 1) in found and ("B:1", 1, 0) in found
