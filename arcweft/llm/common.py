@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a checkpoint's file, where their number is known beforehand.
 FILE_ROWS = 20_000
+#: Bits of a row of bitmap_construct_agg, a filter's bits for each of its keys, and the most rows that it has (16 MB in all).
+BITMAP, KEY_BITS, FILTER_ROWS = 32_768, 32, 4096
 #: Bytes of text that a numpy kernel works on at a time.
 CHUNK_BYTES = 2 << 20
 
@@ -80,6 +82,23 @@ def chunks(values, limit: int = CHUNK_BYTES):
         yield first, len(values)
 
 
+def flagged(df: DataFrame, columns: list[str], keys: DataFrame, n: int, flag: str) -> DataFrame:
+    """``df`` with a boolean: true wherever the columns' values are one of the ``n`` rows of ``keys``, and seldom elsewhere.
+
+    Rows that are not flagged need not be sent to a join with ``keys``; those that are need it still.  The hash of each key
+    sets a bit, and the bits are broadcast, whose size is bounded: up to 4 million keys about one row in 32 is flagged without
+    being one; with more keys more are.  The columns must have the keys' types.
+    """
+    size = BITMAP * min(FILTER_ROWS, max(1, -(-n * KEY_BITS // BITMAP)))
+    at, part, bits = free_names(df, "at", "part", "bits")
+    place = lambda names: F.pmod(F.xxhash64(*names), F.lit(size).cast("long"))
+    row = (F.col(at) / BITMAP).cast("long")
+    rows = keys.select(place(keys.columns).alias(at)).groupBy(row.alias(part)).agg(F.bitmap_construct_agg(F.col(at) % BITMAP).alias(bits))
+    byte = F.conv(F.hex(F.col(bits).substr((F.col(at) % BITMAP / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    out = df.withColumn(at, place(columns)).join(F.broadcast(rows), row == F.col(part), "left")
+    return out.withColumn(flag, F.coalesce(F.getbit(byte, (F.col(at) % 8).cast("int")) == 1, F.lit(False))).drop(at, part, bits)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b), component being its least node.
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, free_names
+from .common import checkpoint, connected_components, flagged, free_names
 
 SEED = 42
 SEGMENTS, SEGMENT_BITS = 8, 8
@@ -349,9 +349,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def _texts_of(docs: DataFrame, rows: DataFrame, needed: DataFrame) -> DataFrame:
-    """whole and a text of each of the shingle sets ``needed``."""
-    one = rows.groupBy("whole").agg(F.min(F.struct("doc_id", "th")).alias("r")).join(needed, "whole", "left_semi")
-    texts = docs.select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"), "text").join(one, F.col("i").eqNullSafe(F.col("r.doc_id")) & (F.col("t") == F.col("r.th")))
+    """whole and a text of each of the shingle sets ``needed``; only texts that may be among them are sent."""
+    one = checkpoint(rows.groupBy("whole").agg(F.min(F.struct("doc_id", "th")).alias("r")).join(needed, "whole", "left_semi"), rows.count())
+    texts = docs.select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"), "text")
+    texts = flagged(texts, ["i", "t"], one.select("r.doc_id", "r.th"), one.count(), "needed").where("needed")
+    texts = texts.join(one, F.col("i").eqNullSafe(F.col("r.doc_id")) & (F.col("t") == F.col("r.th")))
     return texts.select("whole", "text").dropDuplicates(["whole"])
 
 
@@ -379,9 +381,18 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     # equal shingle sets meet first, in partial aggregates: copies in any number are one row of the join
     first = rows.groupBy("whole").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k"))
     first = first.join(parts, "whole", "left").groupBy(F.coalesce("component", "whole").alias("group")).agg(F.min("k").alias("k"))
-    own, i, h = free_names(docs, "hash", "kept_id", "kept_hash")
-    keep = first.select(F.col("k.doc_id").alias(i), F.col("k.th").alias(h))
-    out = docs.withColumn(own, F.xxhash64("text")).join(keep, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(h)), "left_semi")
-    if rows.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():  # repeated rows of one id
-        out = out.dropDuplicates(["doc_id", own])
-    return out.drop(own)
+    keep = first.select(F.col("k.doc_id").alias("i"), F.col("k.th").alias("h"))
+    ids = rows.groupBy("doc_id", "th").agg(F.count("*").alias("n"))
+    ids = ids.join(keep, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")), "left")
+    # what goes, and repeated rows of one id: the other texts, nearly all, stay where they are
+    odd = checkpoint(ids.where("h is null or n > 1").select("doc_id", "th", F.col("h").isNull().alias("goes")), rows.count())
+    goes, n = odd.agg(F.count_if("goes"), F.count("*")).first()
+    if not n:
+        return docs
+    own, i, h, flag = free_names(docs, "hash", "odd_id", "odd_hash", "odd")
+    out = flagged(docs.withColumn(own, F.xxhash64("text")), ["doc_id", own], odd.select("doc_id", "th"), n, flag)
+    gone = odd.where("goes").select(F.col("doc_id").alias(i), F.col("th").alias(h))
+    some = out.where(F.col(flag)).join(gone, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(h)), "left_anti")
+    if goes < n:
+        some = some.dropDuplicates(["doc_id", own])
+    return out.where(~F.col(flag)).unionByName(some).drop(own, flag)

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from arcweft.llm import fingerprint, html_extract, jpeg, langid, mixing, packing, pii, simhash, suffix_dedup, toxicity
+from arcweft.llm import common, fingerprint, html_extract, jpeg, langid, mixing, packing, pii, simhash, suffix_dedup, toxicity
 
 
 def docs(spark, rows):
@@ -500,6 +500,49 @@ def test_one_of_a_large_group_stays(spark):
     assert kept == [0] + [9000 + i for i in range(20)]
 
 
+def shuffled(spark):
+    """Bytes that each stage has written for others, by its number."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_texts_that_stay_are_not_sent(spark):
+    rng = random.Random(21)
+    words = prose(rng, 4000).split()
+    rows = [(i, " ".join(rng.choices(words, k=4000)), "s") for i in range(300)]
+    rows += [(1000 + i, f"{rows[i][1]} more", "s") for i in range(6)] + [(2000, rows[7][1], "s"), (9, rows[9][1], "s")]
+    frame = docs(spark, rows)
+    before = max(shuffled(spark), default=-1)
+    kept = sorted(r["doc_id"] for r in simhash.without_near_duplicates(frame).collect())
+    assert kept == list(range(300))
+    assert sum(n for stage, n in shuffled(spark).items() if stage > before) < sum(len(t) for _, t, _ in rows) / 4
+
+
+@pytest.mark.parametrize("bits", [0.0001, 32])
+def test_filters_flag_every_key(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "KEY_BITS", bits)
+    monkeypatch.setattr(common, "BITMAP", 8 if bits < 1 else 32_768)
+    frame = spark.createDataFrame([(i or None, i * i, f"x{i}") for i in range(4000)], "id long, at long, `a.b` string").repartition(5)
+    for n in (0, 1, 1500):
+        keys = frame.where(f"coalesce(id, 0) < {n}").select("id", "at")
+        got = common.flagged(frame, ["id", "at"], keys, n, "hit")
+        assert got.columns == ["id", "at", "a.b", "hit"] and got.count() == 4000
+        hit = {r["at"] for r in got.where("hit").collect()}
+        assert hit >= {i * i for i in range(n)} and (bits < 1 or len(hit) <= n + 4000 // 16)
+
+
+def test_near_duplicates_by_a_full_filter(spark, monkeypatch):
+    monkeypatch.setattr(common, "BITMAP", 8)
+    monkeypatch.setattr(common, "FILTER_ROWS", 1)
+    rng = random.Random(22)
+    rows = [(i, prose(rng, 80), "s") for i in range(120)]
+    rows += [(500 + i, f"{rows[i][1]} more", "s") for i in range(40)] + [rows[50], rows[50], rows[3], (None, rows[51][1], "s"), (None, "no id", "s"), (None, "no id", "s")]
+    kept = [r["doc_id"] for r in simhash.without_near_duplicates(docs(spark, rows)).collect()]
+    assert sorted(kept, key=lambda i: -1 if i is None else i) == [None, *range(120)]
+
+
 # ---- repeated passages
 
 
