@@ -92,6 +92,7 @@ def expand(matcher, frame: Frame, left: Node, rel, path, flipped: bool, right, a
         if labels is not None and not labels:
             break
         edges, own, labels = _edges(graph, rel, labels, bare, right if depth == high and limit is None else (None, None))
+        edges = edges.where("b is not null")  # a foreign key without a value leads nowhere
         edges = edges.withColumn("rel", convert(Expr(F.col("rel"), own), kind)) if want_rels else edges.select("a", "b")
         step = level.where("not ended").join(edges, F.col("last") == F.col("a"))
         if depth > 2:
@@ -129,6 +130,61 @@ def expand(matcher, frame: Frame, left: Node, rel, path, flipped: bool, right, a
     return Frame(df, frame.vars), Value(rels, list_type), Node(last, None, label, loaded=False), inner
 
 
+def count_paths(graph, df: DataFrame, left: Node, rel, right) -> tuple[DataFrame, str] | None:
+    """The rows with paths and the column of how many each has, or None where paths must be listed to be counted.
+
+    Where no label can come again on the way, every walk along typed tables is a path: numbers are added up by node from the
+    far end, level by level.  Tables that lead to no end are not read.  ``right`` is as in ``expand``.
+    """
+    from .. import ast as A
+    from ..plans.match import accepts, bare_hop, oriented
+
+    low, high = rel.low, rel.high if rel.high >= 0 else graph.config.max_var_length_depth
+    if left.label is None or graph.config.max_paths is not None:
+        return None
+    levels, labels = [], {left.label}
+    for depth in range(1, high + 1):
+        term = A.LabelTerm(tuple(((x, False),) for x in sorted(labels)))
+        tables = [(t, back, *(t.source_label, t.target_label)[:: -1 if back else 1]) for t, back in oriented(graph, rel, (term, None), right if depth == high else (None, None))]
+        if any(a is None or b is None for *_, a, b in tables):
+            return None
+        levels.append(tables)
+        labels = {b for *_, b in tables}
+    leading: set = set()  # labels from which a level leads on to an end
+    for depth in range(high, 0, -1):
+        levels[depth - 1] = [(*x, depth >= low and accepts(x[3], *right), x[3] in leading) for x in levels[depth - 1]]
+        levels[depth - 1] = [x for x in levels[depth - 1] if x[4] or x[5]]
+        leading = {x[2] for x in levels[depth - 1]}
+    passed: dict = {left.label: set()}  # labels that a path to a label can have passed
+    for tables in levels:
+        if any(b in passed[a] or (a == b and leads) for _, _, a, b, _, leads in tables):  # a self loop may only be the last step
+            return None
+        passed = {b: set().union(*(passed[x[2]] | {x[2]} for x in tables if x[3] == b)) for _, _, _, b, *_ in tables}
+    if rel.high < 0:
+        warnings.warn(f"unbounded variable-length relationship: paths of up to {high} steps are followed (max_var_length_depth)", stacklevel=2)
+    onward = None  # by node, how many ways there are from a level on
+    for tables in reversed(levels):
+        last, more = None, None  # the level's edges that end paths, and those that others follow
+        for t, back, _, _, ends, leads in tables:
+            one = bare_hop(t, back, rel).where("a is not null and b is not null").withColumn("n", F.lit(int(ends)).cast("long"))
+            if leads:
+                more = one if more is None else more.unionByName(one)
+            else:
+                last = one if last is None else last.unionByName(one)
+        if more is not None:
+            more = more.join(onward, F.col("b") == F.col("node"), "left" if any(x[4] and x[5] for x in tables) else "inner")
+            more = more.withColumn("n", F.col("n") + F.coalesce("more", F.lit(0))).where("n > 0").select("a", "b", "n")
+        steps = _union([x for x in (last, more) if x is not None]) if tables else None
+        onward = None if steps is None else steps.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("more"))
+    none = low == 0 and accepts(left.label, *right)  # paths without a step
+    node, times = fresh("node"), fresh("times")
+    df = df.where(left.id().isNotNull())
+    if onward is None:
+        return df.where(F.lit(none)).withColumn(times, F.lit(1).cast("long")), times
+    df = df.join(onward.select(F.col("node").alias(node), F.col("more").alias(times)), left.id() == F.col(node), "left" if none else "inner")
+    return (df.withColumn(times, F.coalesce(F.col(times), F.lit(0)) + 1) if none else df), times
+
+
 def _attach_nodes(graph, df: DataFrame, seen: str):
     """The nodes strictly between the ends of ``seen``, as structs in order."""
     from ..plans.match import scan_nodes

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .. import ast as A
 from ..errors import QueryError
-from ..functions.typed import STRING, Expr, common, convert
+from ..functions.typed import LONG, STRING, Expr, common, convert
 from ..graph import EdgeTable, NodeTable, PropertyGraph, edge_id, space_id, undirected
 from .bindings import Edge, Frame, Node, Value, fresh
 from .expressions import Compiler, label_test, same_node
@@ -117,13 +117,18 @@ def bare_hops(graph: PropertyGraph, rel: A.RelPattern, left=(None, None), right=
     """(a, b): the string ids of both ends of every hop, and nothing else of it."""
     out = None
     for t, back in oriented(graph, rel, left, right):
-        ends = [space_id(t.source_label, F.col(t.source)), space_id(t.target_label, F.col(t.target))]
-        a, b = ends[::-1] if back else ends
-        one = _rows(t, back, rel).select(a.alias("a"), b.alias("b"))
+        one = bare_hop(t, back, rel)
         out = one if out is None else out.unionByName(one)
     return graph.spark.createDataFrame([], "a string, b string") if out is None else out
 
 
+def bare_hop(t: EdgeTable, back: bool, rel: A.RelPattern) -> DataFrame:
+    """(a, b) of the hops along one edge table."""
+    ends = [space_id(t.source_label, F.col(t.source)), space_id(t.target_label, F.col(t.target))]
+    a, b = ends[::-1] if back else ends
+    return _rows(t, back, rel).select(a.alias("a"), b.alias("b"))
+
+
 def bare_steps(graph: PropertyGraph, rel: A.RelPattern, live: DataFrame, left=(None, None)) -> DataFrame:
     """The rows of ``live`` with ``node``, a string id, moved along every hop that leads to another node.
 
@@ -194,10 +199,15 @@ def flip(rel: A.RelPattern) -> A.RelPattern:
 
 
 class Matcher:
-    """Extends a frame by the patterns of one MATCH."""
+    """Extends a frame by the patterns of one MATCH.
+
+    ``counted`` says that of a variable-length hop only the number of its paths is asked for.  Where that needs no path, a
+    row stands for as many as its column ``times`` says, and the relationship and the far end are that number.
+    """
 
-    def __init__(self, graph: PropertyGraph, need: dict[str, set]):
-        self.graph, self.need = graph, need
+    def __init__(self, graph: PropertyGraph, need: dict[str, set], counted: bool = False):
+        self.graph, self.need, self.counted = graph, need, counted
+        self.times: str | None = None
 
     def reads(self, var: str | None) -> bool:
         """Whether a property, a label or the whole of the variable is read."""
@@ -436,8 +446,11 @@ class Matcher:
         known = frame.vars.get(right.var) if right.var else None
         to_label = known.label if isinstance(known, Node) else hints.get(right.var)
         if rel.low is not None:
-            from ..operators.paths import expand
+            from ..operators.paths import count_paths, expand
 
+            if self.counted and (got := count_paths(self.graph, frame.df, bound[a], rel, (right.labels, to_label))):
+                df, self.times = got
+                return Frame(df, {**frame.vars, **{x.var: Value(self.times, LONG) for x in (rel, right) if x.var}})
             alone = set(frame.df.columns) == set(bound[a].columns())
             frame, edges[i], bound[b], inner[i] = expand(self, frame, bound[a], rel, path, a > b, (right.labels, to_label), alone)
             frame = self._bind_rel(frame, rel, edges[i])

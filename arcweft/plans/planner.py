@@ -130,12 +130,46 @@ def existence(node) -> tuple[A.PatternComprehension, bool] | None:
     return None
 
 
+def only_counted(m, after) -> bool:
+    """Whether the rows of MATCH (a)-[*]-(b) are only counted by what follows, which reads nothing of the paths and of b.
+
+    A start that is picked out by a value has few paths: these are listed, which reads less than counting all.
+    """
+    if not isinstance(m, A.Match) or m.optional or len(m.paths) != 1 or not isinstance(after, (A.With, A.Return)):
+        return False
+    path, p = m.paths[0], after.projection
+    if path.var or len(path.rels) != 1 or path.rels[0].low is None or path.rels[0].props or any(n.props for n in path.nodes) or p.star:
+        return False
+    items = [i.expr for i in p.items]
+    read = (*items, *[k.expr for k in p.order], m.where, p.where)
+    if not any(has_aggregate(e) for e in items) or any(True for _ in special(read)):
+        return False
+    for n in A.walk(read):
+        if isinstance(n, A.CountPattern) or (is_aggregate(n) and isinstance(n, A.Call) and n.name not in ("count", "min", "max") and not n.distinct):
+            return False  # a row that stands for several would have to be repeated
+    if any(isinstance(n, A.Binary) and n.op in ("=", "IN") for n in A.walk(m.where)):
+        return False
+    unread = {x.var for x in (path.nodes[1], *path.rels) if x.var}
+
+    def reads(node):
+        if isinstance(node, tuple):
+            return any(reads(x) for x in node)
+        if isinstance(node, A.Var):
+            return node.name in unread
+        if isinstance(node, A.Call) and node.name == "count" and not node.distinct and len(node.args) == 1 and isinstance(node.args[0], A.Var):
+            return False
+        return hasattr(node, "__dataclass_fields__") and any(reads(getattr(node, f)) for f in node.__dataclass_fields__)
+
+    return path.nodes[0].var not in unread and not reads(read)
+
+
 class Planner:
     def __init__(self, graph: PropertyGraph, need: dict):
         self.graph, self.need = graph, need
         self.writing = False
         self.scores: dict = {}  # scores of the graph's nodes, computed once for a query that looks them up often
         self.rid: str | None = None  # inside a subquery: the column that numbers the outer rows
+        self.times: str | None = None  # the column of how many rows each row stands for, between a MATCH and its projection
 
     # ---- queries
 
@@ -185,8 +219,12 @@ class Planner:
     def single(self, q: A.SingleQuery, frame: Frame) -> Frame:
         if frame.df is None and not self.rid:
             q = self.as_deep_as_needed(q)
-        for clause in q.clauses:
-            frame = self.clause(clause, frame)
+        for clause, after in zip(q.clauses, (*q.clauses[1:], None), strict=True):
+            if frame.df is None and not frame.vars and only_counted(clause, after):
+                matcher = Matcher(self.graph, self.need, counted=True)
+                frame, self.times = matcher.match(frame, clause, self.filter), matcher.times
+            else:
+                frame, self.times = self.clause(clause, frame), None
         if not isinstance(q.clauses[-1], (A.Return, A.CallSubquery)):
             return Frame(None, {})
         return frame
@@ -509,7 +547,7 @@ class Planner:
         aggregates, agg_hooks = [], {}
         for node in found:
             column = fresh("agg")
-            col, kind, after = _aggregate(node, compiler)
+            col, kind, after = _aggregate(node, compiler, self.times)
             aggregates.append(col.alias(column))
             agg_hooks[node] = Expr(after(F.col(column)), kind)
         keys = list(dict.fromkeys(keys))
@@ -684,10 +722,10 @@ def _same(x):
     return x
 
 
-def _aggregate(node, compiler: Compiler):
-    """(aggregate column, type of its value, what to do with it afterwards)."""
+def _aggregate(node, compiler: Compiler, times: str | None = None):
+    """(aggregate column, type of its value, what to do with it afterwards); a row counts as many times as ``times`` says."""
     if isinstance(node, A.CountStar):
-        return F.count(F.lit(1)), LONG, _same
+        return F.coalesce(F.sum(times), F.lit(0)).cast("long") if times else F.count(F.lit(1)), LONG, _same
     if isinstance(node, A.CountPattern):
         return F.coalesce(F.sum(compiler.compile(node).col), F.lit(0)).cast("long"), LONG, _same
     if len(node.args) != 1:
@@ -695,6 +733,8 @@ def _aggregate(node, compiler: Compiler):
     e = compiler.compile(node.args[0])
     if node.name == "count":
         col = e.binding.id() if e.binding is not None and node.distinct else e.col
+        if times and not node.distinct:
+            return F.coalesce(F.sum(F.when(col.isNotNull(), F.col(times))), F.lit(0)).cast("long"), LONG, _same
         return (F.count_distinct(col) if node.distinct else F.count(col)), LONG, _same
     e = compiler.plain(e)
     if node.name == "collect":

@@ -316,3 +316,49 @@ def test_levels_of_few_rows_are_sent_to_stored_keys(spark, monkeypatch):
     monkeypatch.setattr(paths, "NEAR", -1)
     assert sorted(rows(odd, text), key=str) == found
     assert ("01", 2, 1) in found and ("1", 2, 0) not in found and ("B:1", -7, 1) in found and ("B:1", 1, 0) in found
+
+
+def test_paths_that_are_only_counted_are_not_made(spark, monkeypatch):
+    from arcweft import catalogue, table_graph
+    from arcweft.graph import EdgeTable, NodeTable, PropertyGraph
+    from arcweft.operators import paths
+
+    def listed(graph, pattern, key):
+        """By start, how many paths there are, from a row for each of them."""
+        found = {}
+        for (k,) in rows(graph, f"MATCH {pattern} RETURN {key}"):
+            found[k] = found.get(k, 0) + 1
+        return found
+
+    g = table_graph(spark, "/root/testdata/sf0.001")
+    counted = ["(a:Supplier)-[:IN_NATION*1..2]-(b:Customer)", "(a:Region)<-[e*0..3]-(b)", "(a:Customer)-[*0..2]->(b:Customer|Order)", "(a:Customer)-[*2..3]->(b:!Part)", "(a:Nation)<-[*2]-()", "(a:Nation)-[*0..1]->(b:Nation)"]
+    others = ["(a:Supplier)-[:IN_NATION*1..2]-(b:Supplier)", "(a:Region)-[*2..3]-(b:Region)", "(a:Region)-[*1..2]-(b:Nation)"]  # a label comes again
+    key = {"Supplier": "a.suppkey", "Region": "a.regionkey", "Customer": "a.custkey", "Nation": "a.nationkey"}
+    key = {p: key[p[3 : p.index(")")]] for p in counted + others}
+    wanted = {p: listed(g, p, key[p]) for p in counted + others}
+    for p in others:
+        assert dict(rows(g, f"MATCH {p} RETURN {key[p]}, count(*)")) == wanted[p]
+    below = rows(g, "MATCH (a:Supplier)-[:IN_NATION*1..2]-(b:Customer) WHERE a.suppkey = 3 WITH a, count(b) AS n RETURN a.suppkey, n")  # picked out: listed
+    summed = rows(g, "MATCH (a:Supplier)-[:IN_NATION*1..2]-(b:Customer) RETURN sum(a.suppkey), count(a.acctbal)")  # rows of their own
+    # keys of several types, edges without an end, edges to the node itself and to itself by another table, nodes without edges
+    a, b = spark.createDataFrame([("1",), ("01",), ("7",)], "k string"), spark.createDataFrame([(1,), (2,), (7,), (None,)], "k long")
+    kinds = (("X", [("1", 1), ("1", 1), ("01", 2), ("7", None)], "s string, t long", "A", "B"), ("Y", [(1, 2), (1, 1), (2, 2), (None, 1)], "s long, t int", "B", "B"))
+    odd = PropertyGraph(spark, (NodeTable(a, "k", {"k": "k"}, label="A"), NodeTable(b, "k", {"k": "k"}, label="B")), tuple(EdgeTable(spark.createDataFrame(r, s), "s", "t", {}, type=k, source_label=x, target_label=y) for k, r, s, x, y in kinds))
+    steps = ["(a:A)-[*1]->(b)", "(a:A)-[:X*0..1]->(b)", "(a:A)-[*1..2]->(b:B)", "(a:B)-[*1]->(b)", "(a:B)-[*0..1]-(b)", "(a:B)<-[*1..3]-(b)"]
+    found = [listed(odd, p, "a.k") for p in steps]
+    assert found[:2] == [{"1": 2, "01": 1}, {"1": 3, "01": 2, "7": 1}] and found[2] == {"1": 6, "01": 2} and found[3] == {1: 2, 2: 1}
+    assert [dict(rows(odd, f"MATCH {p} RETURN a.k, count(b)")) for p in steps] == found
+    assert rows(odd, "MATCH (a:A)-[:X*1..2]->(b:A) RETURN count(*), min(a.k)") == [(0, None)]
+
+    monkeypatch.setattr(paths, "expand", lambda *args, **more: pytest.fail("paths were made"))
+    for p in counted:
+        b = "b" if "b" in p else "*"
+        assert dict(rows(g, f"MATCH {p} RETURN {key[p]}, count({b})")) == wanted[p]
+    for p in counted[1:3]:
+        assert rows(g, f"MATCH {p} RETURN count(*) AS n, count({key[p]}), count(DISTINCT {key[p]}), max({key[p]})") == [(sum(wanted[p].values()),) * 2 + (len(wanted[p]), max(wanted[p]))]
+    p, entry = counted[0], g.cypher(catalogue.ENTRIES["varlen_simple_paths"].text)
+    assert dict(tuple(r) for r in entry.collect()) == wanted[p] and [t for _, t in entry.dtypes] == ["bigint", "bigint"]
+    assert below == [(3, wanted[p][3])] and summed == [(sum(k * n for k, n in wanted[p].items()), sum(wanted[p].values()))]
+    some = sorted((n, k) for k, n in wanted[p].items() if k > 4)
+    assert rows(g, f"MATCH {p} WHERE a.suppkey > 4 WITH a, count(b) AS n ORDER BY n DESC, a.suppkey DESC LIMIT 3 WHERE n > 1 RETURN n, a.suppkey") == some[::-1][:3]
+    assert g.cypher(f"MATCH {p} RETURN a.suppkey, count(b)").columns == ["suppkey", "COUNT(b)"]
